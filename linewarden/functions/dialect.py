@@ -34,7 +34,9 @@ def _fold_class(text: str) -> str:
     for item in _CLASS_ITEM.findall(text[1:-1]):
         if item[0].isalpha() and item[-1].isalpha() and item.isascii():
             extra += item.swapcase() + _partners(item[0], item[-1])
-    return text[:-1] + extra + "]"
+    # In front, where a hyphen at the end of the class stays a hyphen.
+    start = 2 if text.startswith("[^") else 1
+    return text[:start] + extra + text[start:]
 
 
 def _fold(token: str) -> str:
@@ -52,3 +54,12 @@ def fold_case(pattern: str) -> str:
 
 def java_pattern(pattern: str, ci: bool = False) -> str:
     return PREFIX + (fold_case(pattern) if ci else pattern)
+
+
+def sql_literal(value: str) -> str:
+    """A string as a Spark SQL literal.
+
+    Rule tables become long expressions; written as SQL they reach Spark in one call instead
+    of several per node.
+    """
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"

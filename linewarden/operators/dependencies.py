@@ -211,7 +211,9 @@ def npm_outdated(deps: DataFrame, outdated: DataFrame | None = None) -> DataFram
 
 def python_requirements(files: DataFrame, nested: bool = False) -> DataFrame:
     """``(repo, path, line, package, version)``: lines of python manifests with ``==``."""
-    cut = explode_lines(_texts(files, "python", nested), ["repo", "path"], pattern="==")
+    cut = explode_lines(
+        _texts(files, "python", nested), ["repo", "path"], lambda text: text.contains("==")
+    )
     text = cut.withColumn("text", trim_unicode(F.col("text")))
     text = text.where((F.col("text") != "") & ~F.col("text").startswith("#"))
     at = F.locate("==", F.col("text"))

@@ -11,9 +11,10 @@ from linewarden.operators.findings import ANALYZER_ORDER, to_findings
 CONFIG_PATH = ".git/config"
 
 # A new section starts at a line whose first visible character is "[".
-_SECTION_START = r"(?m)(?=^[ \t]*\[)"
+_SECTION_START = r"(?dm)(?=^[ \t]*\[)"
 _REMOTE_HEADER = r'(?i)\A[ \t]*\[[ \t]*remote[ \t]+"([^"\n]*)"[ \t]*\]'
-_URL_LINE = r"(?im)^(?:[ \t]*\[[^\]\n]*\])?[ \t]*url[ \t]*=[ \t]*(.*?)[ \t\r]*$"
+# A value is quoted, or ends at a comment; the header may stand on the same line.
+_URL_LINE = r'(?dim)^(?:[ \t]*\[[^\]\n]*\])?[ \t]*url[ \t]*=[ \t]*("[^"\n]*"|[^"#;\r\n]*)'
 
 
 def remotes_from_config(files: DataFrame) -> DataFrame:
@@ -30,16 +31,15 @@ def remotes_from_config(files: DataFrame) -> DataFrame:
     sections = configs.where(F.col("content").contains("remote")).select(
         "repo", F.posexplode(F.split("content", _SECTION_START, -1)).alias("pos", "section")
     )
+    values = F.regexp_extract_all("section", F.lit(_URL_LINE), F.lit(1))
     urls = sections.where(F.col("section").rlike(_REMOTE_HEADER)).select(
         "repo",
         "pos",
         F.regexp_extract("section", _REMOTE_HEADER, 1).alias("remote"),
-        F.get(
-            F.reverse(F.regexp_extract_all("section", F.lit(_URL_LINE), F.lit(1))), F.lit(0)
-        ).alias("url"),
+        F.trim(F.translate(F.get(F.reverse(values), F.lit(0)), '"\t', " ")).alias("url"),
     )
     return (
-        urls.where("url IS NOT NULL")
+        urls.where("url <> ''")
         .groupBy("repo", "remote")
         .agg(F.max_by("url", "pos").alias("url"))
     )

@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linewarden.functions.text import decode_utf8, line_count, raw_lines, strip_cr
 
 
-def explode_lines(texts: DataFrame, keep: list[str], pattern: str | None = None) -> DataFrame:
+def explode_lines(
+    texts: DataFrame, keep: list[str], wanted: Callable[[Column], Column] | None = None
+) -> DataFrame:
     """One row per line of the string column ``content``: ``keep`` columns, line, text.
 
-    With ``pattern``, only texts and lines in which it is found go on.  The test on the whole
-    text comes first, so a text without any hit is never cut into lines.
+    With ``wanted``, a condition that holds for a text if it holds for one of its lines, only
+    such texts and lines go on.  The whole text is tested first, so one without any hit is
+    never cut into lines.
     """
-    if pattern:
-        texts = texts.where(F.col("content").rlike(pattern))
+    if wanted:
+        texts = texts.where(wanted(F.col("content")))
     cut = texts.select(*keep, F.posexplode(raw_lines(F.col("content"))).alias("line", "raw"))
-    if pattern:
-        cut = cut.where(F.col("raw").rlike(pattern))
+    if wanted:
+        cut = cut.where(wanted(F.col("raw")))
     return cut.select(*keep, "line", strip_cr(F.col("raw")).alias("text"))
 
 

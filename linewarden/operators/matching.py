@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linewarden.functions.dialect import sql_literal
 from linewarden.functions.severity import RANKS
 from linewarden.operators.findings import to_findings
 from linewarden.operators.lines import explode_lines
@@ -17,6 +19,19 @@ _CHUNK = 256
 _HITS = "array<struct<rule:int,found:array<string>>>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once.
+
+    A column that an outer lambda reads would otherwise be inlined into it by the optimizer
+    and computed again for every element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _total(items: Column) -> Column:
+    return F.aggregate(items, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+
+
 def running_totals(values: Column) -> Column:
     """Inclusive prefix sums of an array, in two levels.
 
@@ -24,57 +39,62 @@ def running_totals(values: Column) -> Column:
     many matches, so whole chunks are summed once and only the rest of a chunk per element.
     """
 
-    def total(items: Column) -> Column:
-        return F.aggregate(items, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+    def with_values(v: Column) -> Column:
+        chunks = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / _CHUNK).cast("int"))
+        sums = F.transform(chunks, lambda c: _total(F.slice(v, c * _CHUNK + 1, F.lit(_CHUNK))))
+        return let(sums, lambda s: let(bases(s), lambda b: F.transform(v, element(v, b))))
 
-    chunks = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _CHUNK).cast("int"))
-    sums = F.transform(chunks, lambda c: total(F.slice(values, c * _CHUNK + 1, F.lit(_CHUNK))))
-    bases = F.transform(sums, lambda _, i: total(F.slice(sums, F.lit(1), i)))
+    def bases(sums: Column) -> Column:
+        return F.transform(sums, lambda _, i: _total(F.slice(sums, F.lit(1), i)))
 
-    def element(_: Column, i: Column) -> Column:
-        chunk = F.floor(i / _CHUNK).cast("int")
-        rest = F.slice(values, chunk * _CHUNK + 1, i - chunk * _CHUNK + 1)
-        return F.get(bases, chunk) + total(rest)
+    def element(v: Column, b: Column):
+        def total(_: Column, i: Column) -> Column:
+            chunk = F.floor(i / _CHUNK).cast("int")
+            rest = F.slice(v, chunk * _CHUNK + 1, i - chunk * _CHUNK + 1)
+            return F.get(b, chunk) + _total(rest)
 
-    return F.when(F.size(values) == 1, values).otherwise(F.transform(values, element))
+        return total
 
+    return let(values, lambda v: F.when(F.size(v) < 2, v).otherwise(with_values(v)))
 
-def _allowed(rule: Rule) -> Column | None:
-    """Condition on the file for the rule to apply."""
+
+def _gate(rule: Rule) -> list[str]:
+    """SQL conditions without which the rule has no match in the line."""
+    conditions = []
     if rule.skips_lock_files:
-        return ~F.col("url_skipped")
+        conditions.append("NOT url_skipped")
     if rule.language:
-        return F.col("language") == rule.language
-    return None
+        conditions.append(f"language = {sql_literal(rule.language)}")
+    if rule.needs:
+        conditions.append(f"contains(text, {sql_literal(rule.needs)})")
+    return conditions
 
 
 def _hits(rules: list[Rule]) -> Column:
-    """Array of (rule position, matches), gated by file conditions and needed literals."""
-
-    def gate(item):
-        _, rule = item
-        return (rule.skips_lock_files, rule.language or "", rule.needs or "")
-
-    groups = []
-    for _, members in groupby(sorted(enumerate(rules), key=gate), key=gate):
-        members = list(members)
-        rule = members[0][1]
-        block = F.array(
-            *[
-                F.struct(
-                    F.lit(i).alias("rule"),
-                    F.regexp_extract_all(F.col("text"), F.lit(r.java), F.lit(0)).alias("found"),
-                )
-                for i, r in members
-            ]
+    """Array of (rule position, matches); rules with the same gate are under one condition."""
+    blocks = []
+    by_gate = sorted(enumerate(rules), key=lambda item: _gate(item[1]))
+    for gate, members in groupby(by_gate, key=lambda item: _gate(item[1])):
+        structs = ", ".join(
+            f"named_struct('rule', {i}, 'found', "
+            f"regexp_extract_all(text, {sql_literal(rule.java)}, 0))"
+            for i, rule in members
         )
-        conditions = [_allowed(rule)]
-        if rule.needs:
-            conditions.append(F.col("text").contains(rule.needs))
-        for condition in (c for c in conditions if c is not None):
-            block = F.when(condition, block).otherwise(F.array().cast(_HITS))
-        groups.append(block)
-    return F.concat(*groups)
+        block = f"array({structs})"
+        if gate:
+            block = f"CASE WHEN {' AND '.join(gate)} THEN {block} ELSE CAST(array() AS {_HITS}) END"
+        blocks.append(block)
+    # As the argument of a higher-order function the rules are evaluated one by one; dozens
+    # of regular expressions generated into one method would be too long for the JIT.
+    return F.expr(f"filter(concat({', '.join(blocks)}), hit -> size(hit.found) > 0)")
+
+
+def _pieces(rules: list[Rule]) -> Column:
+    """The line cut at the matches of the rule that hit it."""
+    branches = " ".join(
+        f"WHEN {i} THEN split(text, {sql_literal(rule.java)}, -1)" for i, rule in enumerate(rules)
+    )
+    return F.expr(f"CASE rule {branches} END")
 
 
 def match_all(lines: DataFrame, rules, keep: list[str]) -> DataFrame:
@@ -86,26 +106,19 @@ def match_all(lines: DataFrame, rules, keep: list[str]) -> DataFrame:
     """
     rules = list(rules)
     hits = lines.select(*keep, "line", "text", F.explode(_hits(rules)).alias("hit"))
-    hits = hits.where(F.size("hit.found") > 0).select(
-        *keep, "line", "text", F.col("hit.rule").alias("rule"), F.col("hit.found").alias("found")
-    )
-    cut = None
-    for i, rule in enumerate(rules):
-        pieces = F.split("text", rule.java, -1)
-        cut = F.when(F.col("rule") == i, pieces) if cut is None else cut.when(F.col("rule") == i, pieces)
-    cut = hits.select(*keep, "line", "rule", "found", cut.alias("pieces"))
-    steps = F.transform(
-        F.col("found"),
-        lambda m, i: (
-            F.octet_length(F.get(F.col("pieces"), i))
-            + F.when(i > 0, F.octet_length(F.get(F.col("found"), i - 1))).otherwise(0)
-        ).cast("bigint"),
-    )
-    measured = cut.select(*keep, "line", "rule", "found", steps.alias("steps"))
-    zipped = F.arrays_zip(
-        running_totals(F.col("steps")).alias("column"), F.col("found").alias("evidence")
-    )
-    return measured.select(*keep, "line", "rule", F.inline(zipped).alias("column", "evidence"))
+    hits = hits.select(*keep, "line", "text", "hit.rule", "hit.found")
+    found = F.col("found")
+
+    def steps(pieces: Column) -> Column:
+        def step(_: Column, i: Column) -> Column:
+            before = F.when(i > 0, F.octet_length(F.get(found, i - 1))).otherwise(0)
+            return (F.octet_length(F.get(pieces, i)) + before).cast("bigint")
+
+        return F.transform(found, step)
+
+    columns = let(_pieces(rules), lambda pieces: running_totals(steps(pieces)))
+    zipped = F.arrays_zip(columns.alias("column"), found.alias("evidence"))
+    return hits.select(*keep, "line", "rule", F.inline(zipped).alias("column", "evidence"))
 
 
 @dataclass(frozen=True)
@@ -123,25 +136,22 @@ class PlacedRule:
 def scan_lines(texts: DataFrame, placed: list[PlacedRule], use_prefilter: bool = True) -> DataFrame:
     """Findings of the line rules over ``(repo, path, content, url_skipped, language)``."""
     rules = [p.rule for p in placed]
-    pattern = prefilter(rules) if use_prefilter else None
+    wanted = prefilter(rules) if use_prefilter else None
     keep = ["repo", "path", "url_skipped", "language"]
-    matches = match_all(explode_lines(texts, keep, pattern), rules, keep)
-    described = F.array(
-        *[
-            F.struct(
-                F.lit(p.analyzer_ord).alias("analyzer_ord"),
-                F.lit(p.rule_ord).alias("rule_ord"),
-                F.lit(p.rule.analyzer).alias("analyzer"),
-                F.lit(p.rule.rule_id).alias("rule_id"),
-                F.lit(p.rule.severity).alias("severity"),
-                F.lit(RANKS[p.rule.severity]).alias("severity_rank"),
-                F.lit(p.rule.title).alias("title"),
-                F.lit(p.rule.title_takes_match).alias("title_takes_match"),
-                F.lit(p.rule.description).alias("description"),
-                F.lit(p.rule.remediation).cast("string").alias("remediation"),
-            )
+    matches = match_all(explode_lines(texts, keep, wanted), rules, keep)
+    described = F.expr(
+        "array("
+        + ", ".join(
+            f"named_struct('analyzer_ord', {p.analyzer_ord}, 'rule_ord', {p.rule_ord}, "
+            f"'analyzer', {sql_literal(p.rule.analyzer)}, 'rule_id', {sql_literal(p.rule.rule_id)}, "
+            f"'severity', '{p.rule.severity}', 'severity_rank', {RANKS[p.rule.severity]}, "
+            f"'title', {sql_literal(p.rule.title)}, 'title_takes_match', {p.rule.title_takes_match}, "
+            f"'description', {sql_literal(p.rule.description)}, 'remediation', "
+            + (sql_literal(p.rule.remediation) if p.rule.remediation else "CAST(NULL AS STRING)")
+            + ")"
             for p in placed
-        ]
+        )
+        + ")"
     )
     known = matches.withColumn("r", F.get(described, F.col("rule")))
     r = F.col("r")

@@ -8,7 +8,11 @@ match.  A rule without anchors is its own anchor.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column
 
 from linewarden.functions.dialect import PREFIX, java_pattern
 
@@ -52,7 +56,6 @@ ANCHORS: dict[str, tuple[str, str]] = {
     "onion": (".", "onion"),
     "bit": (".", "bit"),
     "local": (".", "local"),
-    "test": ("t", "est"),
     "dots_slash": (".", r"\.[/\\]"),
     "encoded_dot": ("%", "2[eE]"),
     "tmp": ("/", "[tT][mM][pP]/"),
@@ -76,26 +79,42 @@ ANCHORS: dict[str, tuple[str, str]] = {
 }
 
 
-def prefilter(rules) -> str | None:
-    """Java pattern found in every text that any of the rules matches; null without rules."""
+#: Anchors that are plain text starting with a frequent letter.  A byte search for them is far
+#: cheaper than stopping the pattern at every such letter.
+LITERAL_ANCHORS = {"test": "test"}
+
+
+def prefilter(rules) -> Callable[[Column], Column]:
+    """Condition that holds for every text in which any of the rules has a match."""
     by_first: dict[str, list[str]] = {}
-    own = []
+    own, literals = [], []
     for rule in rules:
         if not rule.anchors:
             own.append(f"(?:{java_pattern(rule.pattern, rule.ci)[len(PREFIX):]})")
         for name in rule.anchors:
+            if name in LITERAL_ANCHORS:
+                literals.append(LITERAL_ANCHORS[name])
+                continue
             first, rest = ANCHORS[name]
             tails = by_first.setdefault(first, [])
             if rest not in tails:
                 tails.append(rest)
-    # A start-set look-ahead rejects most positions in one step.
-    branches = [f"[{first}](?:{'|'.join(rest)})" for first, rest in by_first.items()]
-    anchored = []
-    if branches:
-        starts = "".join(f.replace("-", "\\-") for f in by_first)
-        anchored = [f"(?=[{starts}])(?:{'|'.join(branches)})"]
-    alternatives = anchored + own
-    return PREFIX + "|".join(alternatives) if alternatives else None
+    alternatives = []
+    if by_first:
+        # A start-set look-ahead rejects most positions in one step.
+        starts = "".join(first.replace("-", "\\-") for first in by_first)
+        branches = "|".join(f"[{first}](?:{'|'.join(rest)})" for first, rest in by_first.items())
+        alternatives.append(f"(?=[{starts}])(?:{branches})")
+    alternatives += own
+    pattern = PREFIX + "|".join(alternatives) if alternatives else None
+
+    def holds(text: Column) -> Column:
+        conditions = [text.contains(literal) for literal in dict.fromkeys(literals)]
+        if pattern:
+            conditions.append(text.rlike(pattern))
+        return reduce(Column.__or__, conditions)
+
+    return holds
 
 
 _MOVE_URLS = "Move sensitive URLs to environment variables or configuration files"

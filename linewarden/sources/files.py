@@ -42,5 +42,5 @@ def spread(frame: DataFrame) -> DataFrame:
     cores = spark.sparkContext.defaultParallelism
     split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     size = frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    small = int(size.toString()) < cores * split
+    small = int(size) < cores * split
     return frame.repartition(cores) if small else frame
