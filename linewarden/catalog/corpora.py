@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +30,7 @@ def _slot(values, key: Column) -> Column:
 
 
 def documents(spark, sf_dir) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents"))
+    return table(spark, sf_dir, "documents")
 
 
 def document_files(spark, sf_dir) -> DataFrame:
@@ -53,7 +55,7 @@ def planted_files(spark, sf_dir) -> DataFrame:
 
 def page_files(spark, sf_dir) -> DataFrame:
     """Pages as HTML files of their host, with the page's URL as last line."""
-    return spread(table(spark, sf_dir, "pages")).select(
+    return table(spark, sf_dir, "pages").select(
         F.regexp_extract("url", "://([^/:]+)", 1).alias("repo"),
         F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"),
         F.concat("html", F.lit("\n"), "url").alias("content"),
@@ -114,15 +116,21 @@ def config_files(spark, sf_dir) -> DataFrame:
     )
 
 
-def all_files(spark, sf_dir) -> DataFrame:
-    """Everything above that a scan takes, as one files table."""
-    parts = (page_files, path_files, planted_manifests, config_files)
-    files = planted_files(spark, sf_dir)
-    for part in parts:
-        files = files.unionByName(part(spark, sf_dir))
+def _union(*parts):
+    def files(spark, sf_dir) -> DataFrame:
+        first, *others = (part(spark, sf_dir) for part in parts)
+        return spread(reduce(DataFrame.unionByName, others, first))
+
     return files
 
 
+planted_and_pages = _union(planted_files, page_files)
+planted_pages_configs = _union(planted_files, page_files, config_files)
+planted_pages_paths = _union(planted_files, page_files, path_files)
+#: Everything a scan takes, as one files table.
+all_files = _union(planted_files, page_files, path_files, planted_manifests, config_files)
+
+
 def corpus(spark, sf_dir) -> Corpus:
     return Corpus(all_files(spark, sf_dir))
 
@@ -168,10 +176,10 @@ def indicator_texts(spark, sf_dir) -> DataFrame:
         F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("row_id"),
         "text",
     )
-    pages = spread(table(spark, sf_dir, "pages")).select(
+    pages = table(spark, sf_dir, "pages").select(
         "page_id", F.inline(F.array(
             F.struct(F.lit("pages").alias("origin"), F.col("html").alias("text")),
             F.struct(F.lit("page_urls").alias("origin"), F.col("url").alias("text")),
         ))
     ).select("origin", F.col("page_id").cast("string").alias("row_id"), "text")
-    return docs.unionByName(chats).unionByName(pages)
+    return spread(docs.unionByName(chats).unionByName(pages))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +17,8 @@ from linewarden.plans.registry import default_registry
 from linewarden.plans.scan import Corpus, scan, scan_filtered
 from linewarden.reports import html, sarif, sinks
 from linewarden.reports import text as text_reports
-from linewarden.session import configure, shared_dir
+from linewarden.session import configure
+from linewarden.sources.files import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,12 +47,12 @@ def registered() -> dict[str, Query]:
 
 @query("lines_documents")
 def lines_documents(spark, sf):
-    return lines.lines(c.document_files(spark, sf))
+    return lines.lines(spread(c.document_files(spark, sf)))
 
 
 @query("file_stats")
 def file_stats(spark, sf):
-    return lines.file_stats(c.planted_files(spark, sf).unionByName(c.page_files(spark, sf)))
+    return lines.file_stats(c.planted_and_pages(spark, sf))
 
 
 @query("source_listing")
@@ -120,32 +120,30 @@ def _flat(findings: DataFrame) -> DataFrame:
 
 @query("scan_url")
 def scan_url(spark, sf):
-    files = c.planted_files(spark, sf).unionByName(c.page_files(spark, sf))
-    found = scan(Corpus(files.unionByName(c.config_files(spark, sf))), ["url"])
+    found = scan(Corpus(c.planted_pages_configs(spark, sf)), ["url"])
     return _flat(found)
 
 
 @query("scan_domains")
 def scan_domains(spark, sf):
-    files = c.planted_files(spark, sf).unionByName(c.page_files(spark, sf))
+    files = c.planted_and_pages(spark, sf)
     found = scan(Corpus(files), ["url"])
     return _flat(found.where("rule_id = 'URL-SUSPICIOUS-DOMAIN'"))
 
 
 @query("scan_secrets")
 def scan_secrets(spark, sf):
-    return _flat(scan(Corpus(c.planted_files(spark, sf)), ["secrets"]))
+    return _flat(scan(Corpus(spread(c.planted_files(spark, sf))), ["secrets"]))
 
 
 @query("scan_file_ops")
 def scan_file_ops(spark, sf):
-    files = c.planted_files(spark, sf).unionByName(c.page_files(spark, sf))
-    return _flat(scan(Corpus(files.unionByName(c.path_files(spark, sf))), ["file-ops"]))
+    return _flat(scan(Corpus(c.planted_pages_paths(spark, sf)), ["file-ops"]))
 
 
 @query("scan_language_rules")
 def scan_language_rules(spark, sf):
-    found = scan(Corpus(c.planted_files(spark, sf)), ["file-ops"])
+    found = scan(Corpus(spread(c.planted_files(spark, sf))), ["file-ops"])
     return _flat(found.where("rule_id = 'FILE-LANG-001'"))
 
 
@@ -205,7 +203,8 @@ def deps_npm_outdated(spark, sf):
 
 @query("deps_python")
 def deps_python(spark, sf):
-    return deps.python_requirements(c.planted_manifests(spark, sf))
+    found = deps.python_requirements(c.planted_manifests(spark, sf))
+    return found.select("repo", "path", "line", "package", "version")
 
 
 @query("deps_python_vuln")
@@ -418,24 +417,22 @@ def _document(fragments: DataFrame) -> DataFrame:
 @query("sarif_document")
 def sarif_document(spark, sf):
     corpus = c.corpus(spark, sf)
-    return _document(sarif.sarif_document(scan(corpus), corpus.repos(), SCAN_TIME, 2.45, "low"))
+    return _document(sarif.sarif_document(sinks.stored(scan(corpus)), corpus.repos(), SCAN_TIME, 2.45, "low"))
 
 
 @query("html_document")
 def html_document(spark, sf):
     corpus = c.corpus(spark, sf)
-    return _document(html.html_document(scan(corpus), corpus.repos(), SCAN_TIME, 2.45, "low"))
+    return _document(html.html_document(sinks.stored(scan(corpus)), corpus.repos(), SCAN_TIME, 2.45, "low"))
 
 
 @query("text_report")
 def text_report(spark, sf):
     corpus = c.corpus(spark, sf)
-    return _document(text_reports.text_report(scan(corpus), corpus.repos(), SCAN_TIME, 2.45, "medium"))
+    return _document(text_reports.text_report(sinks.stored(scan(corpus)), corpus.repos(), SCAN_TIME, 2.45, "medium"))
 
 
 @query("findings_table")
 def findings_table(spark, sf):
     """Written as a partitioned table in the shared folder and read back."""
-    path = f"{shared_dir(spark)}/findings-{uuid.uuid4().hex}"
-    sinks.write_findings(_everything(spark, sf), path)
-    return _flat(sinks.read_findings(spark, path))
+    return _flat(sinks.stored(_everything(spark, sf)))

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from linewarden import schema
 from linewarden.functions.paths import manifest
 from linewarden.functions.severity import severity_rank
-from linewarden.functions.text import decode_utf8, fold_name, trim_unicode
+from linewarden.functions.arrays import let
+from linewarden.functions.text import decode_utf8, fold_name, raw_lines, strip_cr, trim_unicode
 from linewarden.operators.findings import ANALYZER_ORDER, to_findings
-from linewarden.operators.lines import explode_lines
 
 # The default advisory tables and audit commands.
 NPM_ADVISORIES = (
@@ -47,19 +47,66 @@ OTHER_AUDIT = "Use appropriate security scanner"
 SECTIONS = ("dependencies", "devDependencies")
 
 
-def _advisories(
-    spark: SparkSession, given: DataFrame | None, fixed: tuple, sql_schema: str
-) -> DataFrame:
-    """Advisory rows with their place ``adv``.
+#: Positions of outdated-version findings start here, after all advisories of a package.
+OUTDATED_POS = 1 << 30
 
-    Only the built-in table, whose size is fixed above, is marked for broadcast.  A table of
-    the caller has no known bound: Spark decides from its statistics, and past the broadcast
-    threshold the join is a shuffled one that adaptive execution splits where it is skewed.
-    """
-    if given is None:
-        rows = [(*row, i) for i, row in enumerate(fixed)]
-        return F.broadcast(spark.createDataFrame(rows, sql_schema + ", adv INT"))
-    return given.withColumn("adv", F.xxhash64(*given.columns).bitwiseAND(0x3FFFFFFF).cast("int"))
+def _place(given: DataFrame) -> DataFrame:
+    """Advisories of the caller get a stable place; the built-in ones carry theirs."""
+    return given.withColumn("adv", F.xxhash64(*given.columns).bitwiseAND(OUTDATED_POS - 1).cast("int"))
+
+
+def npm_advisories(spark: SparkSession, given: DataFrame | None = None) -> DataFrame:
+    """npm advisories as join rows; the key is the folded package name."""
+    rows = _table(spark, given, NPM_ADVISORIES, schema.NPM_ADVISORIES)
+    return rows.select(
+        F.lit("javascript").alias("ecosystem"),
+        fold_name(F.col("package")).alias("key"),
+        F.col("package").alias("a_package"),
+        F.col("version").alias("a_version"),
+        F.lit(None).cast("int").alias("min_major"),
+        F.concat(F.lit("Vulnerable dependency: "), "cve", F.lit(": "), "text").alias("title"),
+        F.upper("severity").alias("severity"),
+        F.lit(None).cast("string").alias("advice"),
+        "adv",
+    )
+
+
+def npm_minimums(spark: SparkSession, given: DataFrame | None = None) -> DataFrame:
+    """Minimum major versions as join rows, told from advisories by ``min_major``."""
+    rows = _table(spark, given, OUTDATED, schema.OUTDATED)
+    return rows.select(
+        F.lit("javascript").alias("ecosystem"),
+        fold_name(F.col("package")).alias("key"),
+        F.lit(None).cast("string").alias("a_package"),
+        F.lit(None).cast("string").alias("a_version"),
+        "min_major",
+        F.lit("Outdated major version of ").alias("title"),
+        F.lit("LOW").alias("severity"),
+        "advice",
+        (F.col("adv") + OUTDATED_POS).alias("adv"),
+    )
+
+
+def python_advisories(spark: SparkSession, given: DataFrame | None = None) -> DataFrame:
+    """Python advisories as join rows; names only need to be contained, so the key is the version."""
+    rows = _table(spark, given, PYTHON_ADVISORIES, schema.PYTHON_ADVISORIES)
+    return rows.select(
+        F.lit("python").alias("ecosystem"),
+        F.col("version").alias("key"),
+        F.col("package").alias("a_package"),
+        F.col("version").alias("a_version"),
+        F.lit(None).cast("int").alias("min_major"),
+        F.concat(F.lit("Vulnerable Python package: "), "cve").alias("title"),
+        F.upper("severity").alias("severity"),
+        F.lit(None).cast("string").alias("advice"),
+        "adv",
+    )
+
+
+def _table(spark: SparkSession, given, fixed: tuple, sql_schema: str) -> DataFrame:
+    if given is not None:
+        return _place(given)
+    return spark.createDataFrame([(*row, i) for i, row in enumerate(fixed)], sql_schema + ", adv INT")
 
 
 def manifests(files: DataFrame, nested: bool = False) -> DataFrame:
@@ -86,11 +133,6 @@ def manifest_findings(files: DataFrame, nested: bool = False) -> DataFrame:
     )
 
 
-def _texts(files: DataFrame, language: str, nested: bool) -> DataFrame:
-    found = manifests(files, nested).where(F.col("language") == language)
-    return found.select("repo", "path", decode_utf8(F.col("content")).alias("content"))
-
-
 def _json_document(text: Column) -> Column:
     """The document as a variant, null unless the whole text is one strict JSON value.
 
@@ -111,136 +153,146 @@ def normalize_npm_version(version: Column) -> Column:
     return F.regexp_replace(F.coalesce(version, F.lit("*")), r"\A\^*~*(?:>=)*+=*", "")
 
 
-def npm_dependencies(files: DataFrame, nested: bool = False) -> DataFrame:
-    """``(repo, path, section, package, version, raw_version, section_ord, package_ord)``.
+_PACKAGE = "struct<section_ord:int,package_ord:int,package:string,raw_version:string,version:string>"
 
-    Every javascript manifest is tried as JSON; packages are numbered by name inside their
-    section, as the report orders them.
-    """
-    parsed = _texts(files, "javascript", nested).select(
-        "repo", "path", _json_document(F.col("content")).alias("doc")
-    )
-    sections = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("section_ord"),
-                F.lit(name).alias("section"),
-                F.try_variant_get("doc", f"$.{name}", "map<string,variant>").alias("packages"),
+
+def _npm_packages(text: Column) -> Column:
+    """Array of the packages of an npm document, by section and name."""
+
+    def section(doc: Column, i: int, name: str) -> Column:
+        members = F.map_entries(F.try_variant_get(doc, f"$.{name}", "map<string,variant>"))
+        by_name = F.array_sort(
+            members,
+            lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0),
+        )
+
+        def package(member: Column, n: Column) -> Column:
+            raw = F.when(
+                F.schema_of_variant(member["value"]) == "STRING",
+                F.try_variant_get(member["value"], "$", "string"),
             )
-            for i, name in enumerate(SECTIONS)
-        ]
-    )
-    by_section = parsed.where("doc IS NOT NULL").select("repo", "path", F.inline(sections))
-    entries = F.array_sort(
-        F.map_entries("packages"),
-        lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0),
-    )
-    names_and_versions = F.transform(
-        entries,
-        lambda e: F.struct(
-            e["key"].alias("package"),
-            F.when(
-                F.schema_of_variant(e["value"]) == "STRING",
-                F.try_variant_get(e["value"], "$", "string"),
-            ).alias("raw_version"),
-        ),
+            return F.struct(
+                F.lit(i), n, member["key"], raw, normalize_npm_version(raw)
+            ).cast(_PACKAGE)
+
+        listed = F.transform(by_name, package)
+        return F.coalesce(listed, F.array().cast(f"array<{_PACKAGE}>"))
+
+    return let(
+        _json_document(text),
+        lambda doc: F.concat(*[section(doc, i, name) for i, name in enumerate(SECTIONS)]),
     )
-    exploded = by_section.where("packages IS NOT NULL").select(
-        "repo", "path", "section", "section_ord",
-        F.posexplode(names_and_versions).alias("package_ord", "d"),
+
+
+def _python_packages(text: Column) -> Column:
+    """Array of the pinned packages of a python manifest, by line (in ``section_ord``)."""
+    numbered = F.transform(
+        raw_lines(text),
+        lambda line, i: F.struct(i.alias("line"), trim_unicode(strip_cr(line)).alias("text")),
     )
-    return exploded.select(
-        "repo", "path", "section",
-        F.col("d.package").alias("package"),
-        normalize_npm_version(F.col("d.raw_version")).alias("version"),
-        F.col("d.raw_version").alias("raw_version"),
-        "section_ord", "package_ord",
+    pinned = F.filter(
+        numbered, lambda l: l["text"].contains("==") & ~l["text"].startswith("#")
     )
 
+    def package(l: Column) -> Column:
+        at = F.locate("==", l["text"])
+        name = F.lower(trim_unicode(F.substring(l["text"], F.lit(1), at - 1)))
+        version = trim_unicode(F.substring(l["text"], at + 2, F.length(l["text"])))
+        return F.struct(l["line"], F.lit(0), name, version, version).cast(_PACKAGE)
 
-def npm_vulnerabilities(deps: DataFrame, advisories: DataFrame | None = None) -> DataFrame:
-    """Equi join on the package; the version is the advisory's or below it."""
-    known = _advisories(deps.sparkSession, advisories, NPM_ADVISORIES, schema.NPM_ADVISORIES)
-    known = known.withColumnsRenamed({"package": "a_package", "version": "a_version"})
-    hit = (F.col("package") == F.col("a_package")) & (
-        (F.col("version") == F.col("a_version"))
-        | F.col("version").startswith(F.concat("a_version", F.lit(".")))
-    )
-    return to_findings(
-        deps.join(known, hit),
-        analyzer="dependencies",
-        rule_id="DEP-VULN-001",
-        severity=F.upper("severity"),
-        severity_rank=severity_rank(F.col("severity")),
-        title=F.concat(F.lit("Vulnerable dependency: "), "cve", F.lit(": "), "text"),
-        file=F.col("path"),
-        evidence=F.concat("package", F.lit("@"), "version"),
-        remediation=F.concat(F.lit("Upgrade "), "package", F.lit(" to a patched version")),
-        order=(ANALYZER_ORDER["dependencies"], 1, F.col("section_ord"), F.col("package_ord"), F.col("adv")),
+    return F.transform(pinned, package)
+
+
+def dependencies(
+    files: DataFrame, nested: bool = False, ecosystems: tuple[str, ...] = ("javascript", "python")
+) -> DataFrame:
+    """Dependency rows of all manifests, from one pass over the files.
+
+    ``(repo, path, ecosystem, section_ord, package_ord, package, raw_version, version)``.  All
+    javascript manifests are tried as JSON and all python manifests as requirement lines.
+    """
+    readers = {"javascript": _npm_packages, "python": _python_packages}
+    found = manifests(files, nested).where(F.col("language").isin(list(ecosystems)))
+    texts = found.select(
+        "repo", "path", F.col("language").alias("ecosystem"),
+        decode_utf8(F.col("content")).alias("content"),
     )
+    packages = None
+    for ecosystem in ecosystems:
+        chosen, array = F.col("ecosystem") == ecosystem, readers[ecosystem](F.col("content"))
+        packages = F.when(chosen, array) if packages is None else packages.when(chosen, array)
+    return texts.select("repo", "path", "ecosystem", F.inline(packages))
 
 
-#: Positions of outdated-version findings start here, after all advisories of a package.
-OUTDATED_POS = 1 << 30
+def npm_dependencies(files: DataFrame, nested: bool = False) -> DataFrame:
+    """``(repo, path, section, package, version, raw_version, …)`` of javascript manifests."""
+    names = F.array(*map(F.lit, SECTIONS))
+    rows = dependencies(files, nested, ("javascript",))
+    return rows.withColumn("section", F.get(names, F.col("section_ord")))
 
 
-def npm_outdated(deps: DataFrame, outdated: DataFrame | None = None) -> DataFrame:
-    """Join on the folded package name; the major version is a number below the minimum."""
-    known = _advisories(deps.sparkSession, outdated, OUTDATED, schema.OUTDATED)
-    known = known.withColumn("a_name", fold_name(F.col("package"))).drop("package")
+def python_requirements(files: DataFrame, nested: bool = False) -> DataFrame:
+    """``(repo, path, line, package, version, …)`` of python manifests."""
+    return dependencies(files, nested, ("python",)).withColumn("line", F.col("section_ord"))
+
+
+def advisory_findings(deps: DataFrame, known: DataFrame, small: bool = False) -> DataFrame:
+    """Dependency rows joined with advisory rows on (ecosystem, key).
+
+    npm advisories ask for the exact package and for the advisory's version or one below it,
+    minimum versions for a numeric major version under the minimum, python advisories for a
+    package that contains the advisory's.  ``small`` marks advisory rows whose number is fixed
+    for broadcast.  A table of the caller has no known bound: Spark decides from its statistics,
+    and past the broadcast threshold adaptive execution splits the skewed side of the join.
+    """
+    python = F.col("ecosystem") == "python"
     first = F.split_part("version", F.lit("."), F.lit(1))
     # The cast alone would also take blanks around the digits.
     major = F.when(first.rlike(r"\A[+-]?[0-9]+\z"), first.try_cast("int"))
-    numbered = deps.withColumn("major", major).where("major IS NOT NULL")
-    old = (fold_name(F.col("package")) == F.col("a_name")) & (F.col("major") < F.col("min_major"))
+    keyed = deps.withColumns({
+        "key": F.when(python, F.col("version")).otherwise(fold_name(F.col("package"))),
+        "major": F.when(~python, major),
+    })
+    hit = (
+        F.when(F.col("min_major").isNotNull(), F.col("major") < F.col("min_major"))
+        .when(python, F.col("package").contains(F.col("a_package")))
+        .otherwise(
+            (F.col("package") == F.col("a_package"))
+            & (
+                (F.col("version") == F.col("a_version"))
+                | F.col("version").startswith(F.concat("a_version", F.lit(".")))
+            )
+        )
+    )
+    joined = keyed.join(F.broadcast(known) if small else known, ["ecosystem", "key"]).where(hit)
+    outdated = F.col("min_major").isNotNull()
+    upgrade = F.concat(F.lit("Upgrade "), "package", F.lit(" to a patched version"))
     return to_findings(
-        numbered.join(known, old),
+        joined,
         analyzer="dependencies",
-        rule_id="DEP-OUTDATED-001",
-        severity="LOW",
-        title=F.concat(F.lit("Outdated major version of "), "package"),
+        rule_id=F.when(outdated, "DEP-OUTDATED-001").otherwise("DEP-VULN-001"),
+        severity=F.col("severity"),
+        severity_rank=severity_rank(F.col("severity")),
+        title=F.when(outdated, F.concat("title", "package")).otherwise(F.col("title")),
         file=F.col("path"),
-        evidence=F.concat("package", F.lit("@"), "version"),
-        remediation=F.col("advice"),
+        evidence=F.concat("package", F.when(python, "==").otherwise("@"), "version"),
+        remediation=F.coalesce("advice", upgrade),
         order=(
-            ANALYZER_ORDER["dependencies"], 1, F.col("section_ord"), F.col("package_ord"),
-            F.col("adv") + OUTDATED_POS,
+            ANALYZER_ORDER["dependencies"], 1, F.col("section_ord"), F.col("package_ord"), F.col("adv"),
         ),
     )
 
 
-def python_requirements(files: DataFrame, nested: bool = False) -> DataFrame:
-    """``(repo, path, line, package, version)``: lines of python manifests with ``==``."""
-    cut = explode_lines(
-        _texts(files, "python", nested), ["repo", "path"], lambda text: text.contains("==")
-    )
-    text = cut.withColumn("text", trim_unicode(F.col("text")))
-    text = text.where((F.col("text") != "") & ~F.col("text").startswith("#"))
-    at = F.locate("==", F.col("text"))
-    return text.where(at > 0).select(
-        "repo", "path", "line",
-        F.lower(trim_unicode(F.substring("text", F.lit(1), at - 1))).alias("package"),
-        trim_unicode(F.substring("text", at + 2, F.length("text"))).alias("version"),
-    )
+def npm_vulnerabilities(deps: DataFrame, advisories: DataFrame | None = None) -> DataFrame:
+    return advisory_findings(deps, npm_advisories(deps.sparkSession, advisories), advisories is None)
 
 
-def python_vulnerabilities(reqs: DataFrame, advisories: DataFrame | None = None) -> DataFrame:
-    """Equi join on the version; the package name contains the advisory's."""
-    known = _advisories(reqs.sparkSession, advisories, PYTHON_ADVISORIES, schema.PYTHON_ADVISORIES)
-    known = known.withColumnsRenamed({"package": "a_package", "version": "a_version"})
-    hit = (F.col("version") == F.col("a_version")) & F.col("package").contains(F.col("a_package"))
-    return to_findings(
-        reqs.join(known, hit),
-        analyzer="dependencies",
-        rule_id="DEP-VULN-001",
-        severity=F.upper("severity"),
-        severity_rank=severity_rank(F.col("severity")),
-        title=F.concat(F.lit("Vulnerable Python package: "), "cve"),
-        file=F.col("path"),
-        evidence=F.concat("package", F.lit("=="), "version"),
-        remediation=F.concat(F.lit("Upgrade "), "package", F.lit(" to a patched version")),
-        order=(ANALYZER_ORDER["dependencies"], 1, F.col("line"), 0, F.col("adv")),
-    )
+def npm_outdated(deps: DataFrame, outdated: DataFrame | None = None) -> DataFrame:
+    return advisory_findings(deps, npm_minimums(deps.sparkSession, outdated), outdated is None)
+
+
+def python_vulnerabilities(deps: DataFrame, advisories: DataFrame | None = None) -> DataFrame:
+    return advisory_findings(deps, python_advisories(deps.sparkSession, advisories), advisories is None)
 
 
 def rust_notes(files: DataFrame, nested: bool = False) -> DataFrame:
@@ -248,10 +300,11 @@ def rust_notes(files: DataFrame, nested: bool = False) -> DataFrame:
 
     The rule this stands for can never fire in a parity scan, so it is off there.
     """
-    text = F.col("content")
+    rust = manifests(files, nested).where("language = 'rust'")
+    text = decode_utf8(F.col("content"))
     has_section = text.contains("[dependencies]") | text.contains("[dev-dependencies]")
     return to_findings(
-        _texts(files, "rust", nested).where(has_section),
+        rust.where(has_section),
         analyzer="dependencies",
         rule_id="DEP-INFO-001",
         severity="INFO",

@@ -2,62 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linewarden.functions.arrays import let, running_totals
 from linewarden.functions.dialect import sql_literal
 from linewarden.functions.severity import RANKS
 from linewarden.operators.findings import to_findings
 from linewarden.operators.lines import explode_lines
 from linewarden.rules import Rule, prefilter
 
-_CHUNK = 256
 _HITS = "array<struct<rule:int,found:array<string>>>"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once.
-
-    A column that an outer lambda reads would otherwise be inlined into it by the optimizer
-    and computed again for every element.
-    """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _total(items: Column) -> Column:
-    return F.aggregate(items, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
-
-
-def running_totals(values: Column) -> Column:
-    """Inclusive prefix sums of an array, in two levels.
-
-    A plain ``aggregate`` over each prefix is quadratic in the array; one line can hold very
-    many matches, so whole chunks are summed once and only the rest of a chunk per element.
-    """
-
-    def with_values(v: Column) -> Column:
-        chunks = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / _CHUNK).cast("int"))
-        sums = F.transform(chunks, lambda c: _total(F.slice(v, c * _CHUNK + 1, F.lit(_CHUNK))))
-        return let(sums, lambda s: let(bases(s), lambda b: F.transform(v, element(v, b))))
-
-    def bases(sums: Column) -> Column:
-        return F.transform(sums, lambda _, i: _total(F.slice(sums, F.lit(1), i)))
-
-    def element(v: Column, b: Column):
-        def total(_: Column, i: Column) -> Column:
-            chunk = F.floor(i / _CHUNK).cast("int")
-            rest = F.slice(v, chunk * _CHUNK + 1, i - chunk * _CHUNK + 1)
-            return F.get(b, chunk) + _total(rest)
-
-        return total
-
-    return let(values, lambda v: F.when(F.size(v) < 2, v).otherwise(with_values(v)))
-
-
 def _gate(rule: Rule) -> list[str]:
     """SQL conditions without which the rule has no match in the line."""
     conditions = []

@@ -19,16 +19,20 @@ def extension_findings(corpus) -> list[DataFrame]:
 
 
 def dependency_findings(corpus) -> list[DataFrame]:
-    files = corpus.listed()
-    configure(files.sparkSession)
-    packages = deps.npm_dependencies(files, corpus.nested_manifests)
-    requirements = deps.python_requirements(files, corpus.nested_manifests)
+    """Manifest notes from paths alone, and one join of all dependencies with all advisories."""
+    files, nested = corpus.listed(), corpus.nested_manifests
+    spark = configure(files.sparkSession)
+    given = (corpus.npm_advisories, corpus.outdated, corpus.python_advisories)
+    known = (
+        deps.npm_advisories(spark, corpus.npm_advisories)
+        .unionByName(deps.npm_minimums(spark, corpus.outdated))
+        .unionByName(deps.python_advisories(spark, corpus.python_advisories))
+    )
+    fixed = all(table is None for table in given)
     found = [
-        deps.manifest_findings(files, corpus.nested_manifests),
-        deps.npm_vulnerabilities(packages, corpus.npm_advisories),
-        deps.npm_outdated(packages, corpus.outdated),
-        deps.python_vulnerabilities(requirements, corpus.python_advisories),
+        deps.manifest_findings(files, nested),
+        deps.advisory_findings(deps.dependencies(files, nested), known, fixed),
     ]
     if corpus.rust_notes:
-        found.append(deps.rust_notes(files, corpus.nested_manifests))
+        found.append(deps.rust_notes(files, nested))
     return found

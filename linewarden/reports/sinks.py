@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from linewarden.reports.html import html_document
 from linewarden.reports.sarif import sarif_document
 from linewarden.reports.text import text_report
+from linewarden.session import shared_dir
 
 # The names a format can be asked for by.
 FORMATS = {
@@ -18,8 +21,13 @@ FORMATS = {
 }
 
 
-def report(findings: DataFrame, repos: DataFrame, scan_time: str, format: str = "console", **options):
-    """Document fragments in the named format, case-insensitive; unknown names raise."""
+def report(
+    findings: DataFrame, repos: DataFrame, scan_time: str, format: str = "console", **options
+) -> DataFrame:
+    """Document fragments in the named format, case-insensitive; unknown names raise.
+
+    Pass :func:`stored` findings unless scanning again is cheaper than writing them.
+    """
     try:
         build = FORMATS[format.lower()]
     except KeyError:
@@ -37,6 +45,18 @@ def write_findings(findings: DataFrame, path: str, mode: str = "errorifexists")
     balanced.write.mode(mode).partitionBy("analyzer", "severity").parquet(path)
 
 
+def stored(findings: DataFrame) -> DataFrame:
+    """The findings, written once to the shared folder and read back.
+
+    A report reads its findings several times.  Reading them from a table scans the corpus
+    once, and a lost executor costs a reread of that table instead of a new scan.
+    """
+    spark = findings.sparkSession
+    path = f"{shared_dir(spark)}/findings-{uuid.uuid4().hex}"
+    write_findings(findings, path)
+    return read_findings(spark, path)
+
+
 def read_findings(spark: SparkSession, path: str) -> DataFrame:
     from linewarden import schema
 
