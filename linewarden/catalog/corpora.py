@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linewarden.catalog import planted
+from linewarden.functions.dialect import sql_literal
 from linewarden.plans.scan import Corpus
 from linewarden.sources.files import spread
 
@@ -21,12 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _slot(values, key: Column) -> Column:
     """Value number ``key mod len(values)`` of a fixed list of strings or tuples."""
-    items = [
-        F.struct(*[F.lit(x).alias(f"v{i}") for i, x in enumerate(v)])
-        if isinstance(v, tuple) else F.lit(v)
-        for v in values
-    ]
-    return F.get(F.array(*items), F.pmod(key, F.lit(len(values))).cast("int"))
+
+    def item(value) -> str:
+        if isinstance(value, str):
+            return sql_literal(value)
+        return "struct(" + ", ".join(f"{sql_literal(v)} AS v{i}" for i, v in enumerate(value)) + ")"
+
+    items = F.expr(f"array({', '.join(map(item, values))})")
+    return F.get(items, F.pmod(key, F.lit(len(values))).cast("int"))
 
 
 def documents(spark, sf_dir) -> DataFrame:

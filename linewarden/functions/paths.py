@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from linewarden.functions.dialect import sql_literal
 from linewarden.functions.text import fold_name
 
 # Extension, directory and file name lists.
@@ -132,8 +133,8 @@ def below_ignored_dir(path: Column, names=tuple(LISTING_IGNORED_DIRS)) -> Column
 
 
 def detect_language(path: Column) -> Column:
-    pairs = [F.lit(x) for item in LANGUAGES.items() for x in item]
-    return F.try_element_at(F.create_map(*pairs), raw_extension(path))
+    pairs = ", ".join(f"'{known}', '{language}'" for known, language in LANGUAGES.items())
+    return F.try_element_at(F.expr(f"map({pairs})"), raw_extension(path))
 
 
 def is_url_skipped(path: Column) -> Column:
@@ -148,28 +149,20 @@ def manifest(path: Column, nested: bool = False) -> Column:
     The 19 named manifests count only at the root of the repository; ``nested=True`` takes
     them in any folder.  No path matches two patterns.
     """
-    kind = F.struct
-    name = fold_name(base_name(path) if nested else path)
-    entries = []
-    for rank, (known, language, description) in enumerate(MANIFEST_NAMES):
-        entries += [
-            F.lit(known.lower()),
-            kind(
-                F.lit(language).alias("language"),
-                F.lit(description).alias("description"),
-                F.lit(rank).alias("rank"),
-            ),
-        ]
-    found = F.try_element_at(F.create_map(*entries), name)
-    for rank, (suffix, language, description) in enumerate(MANIFEST_SUFFIXES, len(MANIFEST_NAMES)):
-        found = F.when(
-            fold_name(path).endswith(suffix),
-            kind(
-                F.lit(language).alias("language"),
-                F.lit(description).alias("description"),
-                F.lit(rank).alias("rank"),
-            ),
-        ).otherwise(found)
+    def entry(rank: int, language: str, description: str) -> str:
+        return (
+            f"named_struct('language', '{language}', 'description', {sql_literal(description)}, "
+            f"'rank', {rank})"
+        )
+
+    known = ", ".join(
+        f"{sql_literal(name.lower())}, {entry(rank, language, description)}"
+        for rank, (name, language, description) in enumerate(MANIFEST_NAMES)
+    )
+    found = F.try_element_at(F.expr(f"map({known})"), fold_name(base_name(path) if nested else path))
+    folded = fold_name(path)
+    for rank, (suffix, *described) in enumerate(MANIFEST_SUFFIXES, len(MANIFEST_NAMES)):
+        found = F.when(folded.endswith(suffix), F.expr(entry(rank, *described))).otherwise(found)
     return found
 
 

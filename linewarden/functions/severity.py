@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,8 +15,11 @@ CRITICAL_ICON = "\u26a0\ufe0f"
 
 
 def _lookup(table: dict, key: Column) -> Column:
-    literals = [F.lit(x) for x in chain.from_iterable(table.items())]
-    return F.try_element_at(F.create_map(*literals), key)
+    def literal(value) -> str:
+        return f"'{value}'" if isinstance(value, str) else f"{value}D" if isinstance(value, float) else str(value)
+
+    pairs = ", ".join(f"{literal(k)}, {literal(v)}" for k, v in table.items())
+    return F.try_element_at(F.expr(f"map({pairs})"), key)
 
 
 def parse_severity(name: str) -> int:

@@ -91,40 +91,26 @@ def recent_commits(commits: DataFrame, max_count: int = 100) -> DataFrame:
     )
 
 
-def files_changed(commits: DataFrame, tree_entries: DataFrame, salts: int = 16) -> DataFrame:
+def files_changed(commits: DataFrame, tree_entries: DataFrame) -> DataFrame:
     """``(repo, commit, path)`` of each path that differs from the first parent's tree.
 
     Every tree entry is sent to the commit it belongs to and to the commits it is the first
     parent of; one aggregation on (repo, commit, path) then sees both sides, which is a full
-    outer join of the trees with a single shuffle on a key without hot values.  A commit with
-    very many entries would be hot in the look-up of its children, so that one is salted by
-    path.  The first commit lists all its paths.
+    outer join of the trees with a single shuffle on a key without hot values.  The look-up of
+    the children is an inner join, whose skewed partitions (a commit with very many entries)
+    adaptive execution splits.  The first commit lists all its paths.
     """
-    link = commits.select(
-        "repo",
-        F.col("hash").alias("child"),
-        F.get("parents", F.lit(0)).alias("parent"),
-    )
+    parent = F.get("parents", F.lit(0))
     # A commit is listed with itself (its own side) and with its parent (the other side).
-    sides = link.select(
+    sides = F.array(
+        F.struct(F.col("hash").alias("commit"), F.lit(True).alias("own")),
+        F.struct(parent.alias("commit"), F.lit(False).alias("own")),
+    )
+    links = commits.select("repo", F.col("hash").alias("child"), F.inline(sides))
+    both = tree_entries.join(links.where("commit IS NOT NULL"), ["repo", "commit"]).select(
         "repo",
-        "child",
-        F.explode(
-            F.array_compact(
-                F.array(
-                    F.struct(F.col("child").alias("commit"), F.lit(True).alias("own")),
-                    F.when(
-                        F.col("parent").isNotNull(),
-                        F.struct(F.col("parent").alias("commit"), F.lit(False).alias("own")),
-                    ),
-                )
-            )
-        ).alias("s"),
-    ).select("repo", "child", "s.commit", "s.own")
-    salted = sides.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    entries = tree_entries.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(salts)).cast("int"))
-    both = entries.join(salted, ["repo", "commit", "salt"]).select(
-        "repo", F.col("child").alias("commit"), "path",
+        F.col("child").alias("commit"),
+        "path",
         F.when(F.col("own"), F.col("blob")).alias("new_blob"),
         F.when(~F.col("own"), F.col("blob")).alias("old_blob"),
     )
