@@ -638,6 +638,9 @@ def sql() -> dict[str, str]:
         "findings_by_analyzer": all_findings + flat + " WHERE analyzer = 'secrets'",
         "severity_summary": all_findings + "," + summary_cte() + "SELECT * EXCLUDE (max_severity) FROM summary",
         "filtered_summary": all_findings + "," + summary_cte(by_rank(4)) + "SELECT * FROM summary",
+        "scan_reports": all_findings + "," + summary_cte() + """SELECT repo AS repository,
+              TIMESTAMP '2024-01-01 00:00:00' AS scan_time, CAST(2.45 AS DOUBLE) AS duration_secs,
+              'url,secrets,file-ops,dependencies' AS analyzers, * EXCLUDE (repo) FROM summary""",
         "max_severity": all_findings + "," + summary_cte() + "SELECT repo, max_severity FROM summary",
         "total_summary": all_findings + f" SELECT {COUNTS}, {TOTAL}, {RANK_NAME} AS max_severity FROM findings",
         "ci_gate": all_findings + "," + summary_cte() + "SELECT repo, critical > 0 OR high > 0 AS failed FROM summary",

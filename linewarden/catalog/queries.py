@@ -333,6 +333,14 @@ def filtered_summary(spark, sf):
     return summary.severity_summary(scan_filtered(corpus, "high"), corpus.repos())
 
 
+@query("scan_reports")
+def scan_reports(spark, sf):
+    corpus, registry = c.corpus(spark, sf), default_registry()
+    names = [a.name for a in registry.enabled()]
+    headers = summary.scan_reports(scan(corpus, registry=registry), corpus.repos(), names, SCAN_TIME, 2.45)
+    return headers.withColumn("analyzers", F.array_join("analyzers", ","))
+
+
 @query("max_severity")
 def max_severity(spark, sf):
     corpus = c.corpus(spark, sf)

@@ -55,3 +55,18 @@ def rules_first(findings: DataFrame) -> DataFrame:
     carried = ("title", "description", "remediation", "severity", "analyzer")
     first = F.min_by(F.struct(*carried), F.col("ord")).alias("first")
     return findings.groupBy("repo", "rule_id").agg(first).select("repo", "rule_id", "first.*")
+
+
+def scan_reports(
+    findings: DataFrame, repos: DataFrame, analyzers: list[str], scan_time: str, duration_secs: float
+) -> DataFrame:
+    """Report header of every repository: when and how it was scanned, and its counts."""
+    return severity_summary(findings, repos).select(
+        F.col("repo").alias("repository"),
+        F.lit(scan_time).cast("timestamp").alias("scan_time"),
+        F.lit(float(duration_secs)).alias("duration_secs"),
+        F.array(*map(F.lit, analyzers)).alias("analyzers"),
+        *COUNTS,
+        "total",
+        "max_severity",
+    )
