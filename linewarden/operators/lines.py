@@ -11,17 +11,18 @@ from linewarden.functions.text import decode_utf8, line_count, raw_lines, strip_
 
 
 def explode_lines(
-    texts: DataFrame, keep: list[str], wanted: Callable[[Column], Column] | None = None
+    files: DataFrame, keep: list[str], wanted: Callable[[Column], Column] | None = None
 ) -> DataFrame:
-    """One row per line of the string column ``content``: ``keep`` columns, line, text.
+    """One row per line of every file that decodes as UTF-8: ``keep`` columns, line, text.
 
     With ``wanted``, a condition that holds for a text if it holds for one of its lines, only
-    such texts and lines go on.  The whole text is tested first, so one without any hit is
-    never cut into lines.
+    such texts and lines go on.  It is tested on the whole text first: a file without any hit
+    is neither checked for valid UTF-8 nor cut into lines.
     """
     if wanted:
-        texts = texts.where(wanted(F.col("content")))
-    cut = texts.select(*keep, F.posexplode(raw_lines(F.col("content"))).alias("line", "raw"))
+        files = files.where(wanted(F.col("content").cast("string")))
+    decoded = files.select(*keep, decode_utf8(F.col("content")).alias("content"))
+    cut = decoded.select(*keep, F.posexplode(raw_lines(F.col("content"))).alias("line", "raw"))
     if wanted:
         cut = cut.where(wanted(F.col("raw")))
     return cut.select(*keep, "line", strip_cr(F.col("raw")).alias("text"))
@@ -29,8 +30,7 @@ def explode_lines(
 
 def lines(files: DataFrame) -> DataFrame:
     """``(repo, path, line, text)`` of all files that decode as UTF-8."""
-    decoded = files.select("repo", "path", decode_utf8(F.col("content")).alias("content"))
-    return explode_lines(decoded, ["repo", "path"])
+    return explode_lines(files, ["repo", "path"])
 
 
 def file_stats(files: DataFrame) -> DataFrame:

@@ -15,7 +15,6 @@ from linewarden.functions.paths import (
     is_url_skipped,
 )
 from linewarden.functions.severity import RANKS, parse_severity
-from linewarden.functions.text import decode_utf8
 from linewarden.operators.git import remotes_from_config
 from linewarden.operators.matching import PlacedRule, scan_lines
 from linewarden.plans.registry import AnalyzerRegistry, default_registry
@@ -47,11 +46,11 @@ class Corpus:
         return files.where(~below_ignored_dir(F.col("path"))) if self.prune else files
 
     def texts(self) -> DataFrame:
-        """Decoded files with the conditions the line rules ask for."""
+        """Listed files with the conditions the line rules ask for."""
         return self.listed().select(
             "repo",
             "path",
-            decode_utf8(F.col("content")).alias("content"),
+            "content",
             is_url_skipped(F.col("path")).alias("url_skipped"),
             detect_language(F.col("path")).alias("language"),
         )

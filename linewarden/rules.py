@@ -8,6 +8,7 @@ match.  A rule without anchors is its own anchor.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -40,8 +41,9 @@ class Rule:
 
 
 # Anchors as (first characters, rest).  The first character is consumed before the rest is
-# tried, so a look-behind in the rest sees it.  Letters stand in both cases where a rule
-# ignores case, with the partners of s and k outside ASCII.
+# tried, so a look-behind in the rest sees it.  It should be rare in text: the prefilter stops
+# at each.  Letters stand in both cases where a rule ignores case, with the partners of s and k
+# outside ASCII in the rest only; a partner as first character is a literal anchor.
 _CALLED = (
     r"[xX][eE][cC]|[vV][aA][lL]|[tT][eE][mM]|[pP][eE][nN]|[aA][wW][nN]|[uU][dD][eE]|[iI][rR][eE]"
     r"|[nN][tT][sS\u017f]|[mM][oO][dD]|[aA][lL][lL]|[rR][uU][nN]|[iI][lL][eE]"
@@ -52,7 +54,7 @@ ANCHORS: dict[str, tuple[str, str]] = {
     "scheme": (":", "//"),
     "com_slash": (".", "[cC][oO][mM]/"),
     "zeros": (".", r"0\.0"),
-    "localhost": ("lL", "[oO][cC][aA][lL][hH]"),
+    "localhost": ("cC", "[aA][lL][hH]"),
     "onion": (".", "onion"),
     "bit": (".", "bit"),
     "local": (".", "local"),
@@ -60,11 +62,11 @@ ANCHORS: dict[str, tuple[str, str]] = {
     "encoded_dot": ("%", "2[eE]"),
     "tmp": ("/", "[tT][mM][pP]/"),
     "temp_var": ("%", "[tT][eE][mM][pP]%"),
-    "temp_dir": ("\\\\", r"[tT][eE][mM][pP]\\"),
+    "temp_dir": ("\\", r"[tT][eE][mM][pP]\\"),
     "call": ("(", rf"(?<=(?:{_CALLED})\s?\(|\s\s\()"),
     "process": ("_", "[pP][rR][oO][cC]"),
     "load": (".", "[lL][oO][aA][dD]"),
-    "unpickle": ("uU", "[nN][pP][iI][cC]"),
+    "unpickle": ("kK", "(?<=[nN][pP][iI][cC][kK])"),
     "sevens": ("7", "77"),
     "hex_mode": ("0", "[xX]1[fF]"),
     "php_input": ("$", "_[gGpPrR]"),
@@ -79,39 +81,46 @@ ANCHORS: dict[str, tuple[str, str]] = {
 }
 
 
-#: Anchors that are plain text starting with a frequent letter.  A byte search for them is far
-#: cheaper than stopping the pattern at every such letter.
-LITERAL_ANCHORS = {"test": "test"}
+#: Anchors that are plain text starting with a frequent letter or a character outside Latin-1.
+#: A byte search for them is far cheaper than stopping the pattern there.
+LITERAL_ANCHORS = {"test": "test", "kelvin": "\u212a"}
+
+
+def _anchor_pattern(names) -> str | None:
+    """Java pattern that is found in a text if one of the anchors is.
+
+    It runs over the text once, from its start: a loop takes everything up to the next first
+    character, and that character too if the rest of its anchors does not follow.  When the
+    loop stops before the end, it stands at an anchor.
+    """
+    tails: dict[str, list[str]] = {}
+    for name in dict.fromkeys(names):
+        first, rest = ANCHORS[name]
+        for char in first:
+            tails.setdefault(char, []).append(rest)
+    if not tails:
+        return None
+    # Characters with the same tails share a branch; branches are disjoint.
+    groups: dict[tuple[str, ...], str] = {}
+    for char, rest in tails.items():
+        groups[tuple(rest)] = groups.get(tuple(rest), "") + re.sub(r"[\\\-]", r"\\\g<0>", char)
+    starts = "".join(groups.values())
+    passed = "|".join(f"[{chars}](?!{'|'.join(rest)})" for rest, chars in groups.items())
+    return rf"{PREFIX}\A[^{starts}]*(?:(?:{passed})[^{starts}]*)*+[{starts}]"
 
 
 def prefilter(rules) -> Callable[[Column], Column]:
     """Condition that holds for every text in which any of the rules has a match."""
-    by_first: dict[str, list[str]] = {}
-    own, literals = [], []
-    for rule in rules:
-        if not rule.anchors:
-            own.append(f"(?:{java_pattern(rule.pattern, rule.ci)[len(PREFIX):]})")
-        for name in rule.anchors:
-            if name in LITERAL_ANCHORS:
-                literals.append(LITERAL_ANCHORS[name])
-                continue
-            first, rest = ANCHORS[name]
-            tails = by_first.setdefault(first, [])
-            if rest not in tails:
-                tails.append(rest)
-    alternatives = []
-    if by_first:
-        # A start-set look-ahead rejects most positions in one step.
-        starts = "".join(first.replace("-", "\\-") for first in by_first)
-        branches = "|".join(f"[{first}](?:{'|'.join(rest)})" for first, rest in by_first.items())
-        alternatives.append(f"(?=[{starts}])(?:{branches})")
-    alternatives += own
-    pattern = PREFIX + "|".join(alternatives) if alternatives else None
+    names = [name for rule in rules for name in rule.anchors]
+    literals = dict.fromkeys(LITERAL_ANCHORS[n] for n in names if n in LITERAL_ANCHORS)
+    pattern = _anchor_pattern(n for n in names if n not in LITERAL_ANCHORS)
+    own = dict.fromkeys(rule.java for rule in rules if not rule.anchors)
 
     def holds(text: Column) -> Column:
-        conditions = [text.contains(literal) for literal in dict.fromkeys(literals)]
+        conditions = [text.contains(literal) for literal in literals]
         if pattern:
             conditions.append(text.rlike(pattern))
+        conditions += [text.rlike(java) for java in own]
         return reduce(Column.__or__, conditions)
 
     return holds
@@ -217,7 +226,7 @@ FILE_RULES = (
     _file(10, "MEDIUM", "Use of file_get_contents/put_contents (may be unsafe with user input)",
           r"file_get_contents\s*\(|file_put_contents\s*\(", "call", needs="("),
     _file(11, "HIGH", "Use of pickle deserialization (can execute arbitrary code)",
-          r"pickle\.load|unpickle", "load", "unpickle"),
+          r"pickle\.load|unpickle", "load", "unpickle", "kelvin"),
     _file(12, "HIGH", "Unsafe YAML loading (may execute arbitrary code)",
           r"yaml\.load\(.*\)", "load", needs="("),
     _file(13, "MEDIUM", "World-writable file permissions (777)", r"0777|0x1ff|777",
