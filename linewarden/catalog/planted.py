@@ -104,7 +104,7 @@ MANIFESTS = [
      "urllib3==1.25.10\nmy-urllib3-fork == 1.25.10\n# pillow==8.2.0\n  Pillow==8.2.0  \n"
      "pillow==8.2.0 # pin\n#pillow==8.2.0\ncryptography===3.3\r\ncryptography==3.3\r\n\nflask\n"),
     ("Pipfile", "pillow==8.2.0\npillow==8.2.0"),
-    ("Cargo.toml", '[package]\nname = "x"\n[dependencies]\nserde = "1"\n'),
+    ("Cargo.toml", '[package]\nname = "x"\n[dependencies]\nrand = "1"\n'),
     ("Cargo.toml", "[package]\n"),
     ("go.mod", "module x\n"),
 ]

@@ -33,14 +33,11 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def spread(frame: DataFrame) -> DataFrame:
-    """Repartition an input that is too small to give every core a split.
+    """Repartition an input that has too few splits to keep every core busy.
 
-    One Parquet row group is one task however many cores there are.  Input beyond one split
-    per core is left as it is, so nothing large is ever shuffled for this.
+    One Parquet row group is one task however many cores there are.  An input with more than
+    two splits per core is left as it is, so nothing large is ever shuffled for this.
     """
-    spark = frame.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    size = frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    small = int(size) < cores * split
-    return frame.repartition(cores) if small else frame
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    few = frame.rdd.getNumPartitions() <= 2 * cores
+    return frame.repartition(cores) if few else frame

@@ -185,3 +185,17 @@ def test_email_pattern_equals_the_plain_one(spark):
     long = spark.createDataFrame([("a." * 60_000 + " x@y.zz",)], "text STRING")
     assert [r["value"] for r in indicators.extract(long, "email").collect()] == ["x@y.zz"]
     assert time.time() - start < 20
+
+
+def test_line_rules_run_on_a_stream(spark, corpus, tmp_path):
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    corpus.files.write.parquet(source)
+    stream = spark.readStream.schema(corpus.files.schema).parquet(source)
+    found = scan(Corpus(stream), ["secrets"])
+    query = (
+        found.writeStream.format("parquet").option("path", target)
+        .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    )
+    assert query.awaitTermination(120)
+    ids = sorted(r["id"] for r in spark.read.parquet(target).collect())
+    assert ids == sorted(r["id"] for r in scan(corpus, ["secrets"]).collect()) and ids
