@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, hilbert
+from . import bpe, exact_dedup, hilbert, language, main_text, packing, topk, warc_zip
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,10 +20,42 @@ Query = Callable[[SparkSession, str], DataFrame]
 SHARD_DIMENSIONS = ["size", "lang", "source"]
 
 
+#: Folder of the public vocabularies, and their files.
+TOKENIZERS = "/opt/tokenizers"
+BYTE_BPE, WORD_BPE = "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json"
+#: Fixed value: the pattern that splits text before the merges of the rank files.
+PATTERN = (
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+)
+
+
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_table(spark, f"{sf_dir}/documents.parquet")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+def op4_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_zip.archive_and_read(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"
+    )
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    ranks = bpe.read_ranks(f"{tokenizers}/{BYTE_BPE}")
+    coded = bpe.encode_and_decode(table(spark, sf_dir, "documents"), ranks, PATTERN)
+    return coded.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return hilbert.hilbert_shards(docs, SHARD_DIMENSIONS).select(
@@ -32,10 +64,30 @@ def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_best_fit_packing(
+    spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS
+) -> DataFrame:
+    return packing.pack(
+        table(spark, sf_dir, "documents"), f"{tokenizers}/{WORD_BPE}", with_ids=False
+    )
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages")).select(
+        "page_id", "url", "text", "n_chars"
+    )
+
+
 def registered() -> dict[str, Query]:
     return {
+        "op1_topk_search": op1_topk_search,
         "op2_exact_dedup": op2_exact_dedup,
+        "op3_language_id": op3_language_id,
+        "op4_warc_zip": op4_warc_zip,
+        "op7_byte_bpe": op7_byte_bpe,
         "op8_hilbert_shards": op8_hilbert_shards,
+        "op9_best_fit_packing": op9_best_fit_packing,
+        "op10_html_extraction": op10_html_extraction,
     }
 
 
@@ -54,5 +106,24 @@ FROM (
 """
 
 
+OP1_SQL = """
+WITH scaled AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM scaled q JOIN scaled c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs
+)
+WHERE rank <= 5
+"""
+
+
 def sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL}
+    return {"op1_topk_search": OP1_SQL, "op2_exact_dedup": OP2_SQL}
