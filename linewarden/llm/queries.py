@@ -11,7 +11,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, hilbert, language, main_text, packing, topk, warc_zip
+from . import (
+    bpe,
+    exact_dedup,
+    hilbert,
+    language,
+    line_dedup,
+    main_text,
+    ngram_join,
+    packing,
+    topk,
+    warc_zip,
+)
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +58,17 @@ def op4_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "removed_chunks", "removed_lines",
+        F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"),
+    )
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
     ranks = bpe.read_ranks(f"{tokenizers}/{BYTE_BPE}")
     coded = bpe.encode_and_decode(table(spark, sf_dir, "documents"), ranks, PATTERN)
@@ -84,6 +106,8 @@ def registered() -> dict[str, Query]:
         "op2_exact_dedup": op2_exact_dedup,
         "op3_language_id": op3_language_id,
         "op4_warc_zip": op4_warc_zip,
+        "op5_ngram_join": op5_ngram_join,
+        "op6_line_dedup": op6_line_dedup,
         "op7_byte_bpe": op7_byte_bpe,
         "op8_hilbert_shards": op8_hilbert_shards,
         "op9_best_fit_packing": op9_best_fit_packing,
@@ -108,10 +132,10 @@ FROM (
 
 OP1_SQL = """
 WITH scaled AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), pairs AS (
   SELECT q.vec_id AS query_id, c.vec_id,
          CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
