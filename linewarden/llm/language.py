@@ -29,6 +29,8 @@ from pyspark.sql.types import StructType
 #: Labelled rows that a model learns from, at most; the first of them are the landmarks.
 TRAINING_ROWS = 2400
 LANDMARKS = 240
+#: Parts that a language's labelled rows are drawn from.
+SAMPLE_PARTS = 48
 RIDGE = 1e-2
 #: Orders of the n-grams, and cells of the table of each order.
 ORDERS = (1, 2, 3)
@@ -117,14 +119,23 @@ def fold(doc_id: Column) -> Column:
 
 
 def training_sample(docs: DataFrame) -> DataFrame:
-    """Ids and languages of the rows to learn from: no more than ``TRAINING_ROWS``."""
+    """Ids and languages of the rows to learn from: no more than ``TRAINING_ROWS``.
+
+    A language's rows are drawn in parts by a hash of the id, an equal number from each part, so
+    that no task ranks a whole language.
+    """
     labelled = docs.where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 1)
     ).select("doc_id", "lang", F.xxhash64("doc_id").alias("draw"))
+    part = F.pmod("draw", F.lit(SAMPLE_PARTS))
+    in_part = Window.partitionBy("lang", part).orderBy("draw", "doc_id")
+    drawn = labelled.withColumn("in_part", F.row_number().over(in_part)).where(
+        F.col("in_part") <= TRAINING_ROWS // SAMPLE_PARTS
+    )
     first = Window.partitionBy("lang").orderBy("draw", "doc_id")
-    return labelled.withColumn("turn", F.row_number().over(first)).where(
-        F.col("turn") <= TRAINING_ROWS
-    ).orderBy("turn", "lang").limit(TRAINING_ROWS)
+    return drawn.withColumn("turn", F.row_number().over(first)).orderBy("turn", "lang").limit(
+        TRAINING_ROWS
+    )
 
 
 def _packed_presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
