@@ -3,10 +3,10 @@
 Equal sets are one class, whatever the number of copies.  Two classes that reach the similarity
 share a shingle among the first of each set, in any order of all shingles; the order here puts the
 corpus's rare shingles first, so such a shared shingle is rare as well.  Classes that share one form
-a group, and the groups are searched twice:
+a group, groups with the same smallest class are one, and the groups are searched twice:
 
-1. each class of a group against the group's first class, in one linear pass; links found here
-   make components;
+1. each class of a group against the group's first class, and in a few more turns against some
+   classes drawn by a hash: linear passes whose links make components;
 2. groups that still hold several components by signature trees: a node holds the OR of its
    classes' token bitmaps, their range of sizes and their component if it is one.  Pairs of nodes
    are followed from the roots down and dropped where the sizes exclude the similarity, where both
@@ -36,44 +36,64 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_or_empty, written
+from .packing import in_bounds
 
 #: Cells of the corpus counts of shingles: a table of fixed size.
 COUNT_CELLS = 1 << 16
 #: Bits of a bitmap; classes of a leaf, children of a node, classes of a part of a large group.
-BITS, LEAF, FAN, PART = 1024, 8, 8, 512
-#: Words whose hashes a task remembers.
-REMEMBERED = 1_000_000
+BITS, LEAF, FAN, PART = 4096, 8, 8, 512
+#: Further passes of a group against some of its classes, and how many in each.
+ROUNDS, PIVOTS = 2, 4
+#: Words whose hashes a task remembers, and characters that are cut at once.
+REMEMBERED, AT_ONCE = 700_000, 8_000_000
 
 _MIX, _ADD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 _SHIFT = np.uint64(29)
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
 class Shingles:
     """Sorted hashes of the distinct shingles of whole texts."""
 
     def __init__(self, words: int):
-        self._n, self._hashes = words, _Words()
-
-    def __call__(self, text: str) -> np.ndarray:
-        # bytes: lower() takes A-Z alone and split() the six ASCII spaces alone
-        words = text.encode().lower().split()
-        hashes = np.fromiter(map(self._hashes.__getitem__, words), np.uint64, len(words))
-        n = min(self._n, len(words))
-        if not n:
-            return hashes
-        mixed = np.full(len(words) - n + 1, n, np.uint64)
+        self._n, self._hashes = words, {}
+
+    def _hashes_of(self, words: list[str]) -> np.ndarray:
+        known = self._hashes
+        if len(known) > REMEMBERED:
+            known.clear()
+        known.update((w, xxhash.xxh3_64_intdigest(w)) for w in words if w not in known)
+        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+    @staticmethod
+    def _mixed(hashes: np.ndarray, n: int) -> np.ndarray:
+        """Hashes of all runs of n words; of n as well, so that shorter ones differ."""
+        mixed = np.full(len(hashes) - n + 1, n, np.uint64)
         for i in range(n):
             mixed = (mixed ^ (mixed >> _SHIFT)) * _MIX + hashes[i:i + len(mixed)] * _ADD
         mixed ^= mixed >> _SHIFT
-        return np.unique(mixed * _MIX)
+        return mixed * _MIX
+
+    def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
+        for low, high in in_bounds(texts, AT_ONCE):
+            # both take ASCII alone: A-Z, and the six spaces
+            cut = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts[low:high], pa.string())))
+            coded = cut.flatten().dictionary_encode()
+            hashes = self._hashes_of(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+            # white space at an end of a text leaves an empty word there
+            full = pc.not_equal(pc.binary_length(coded.dictionary), 0).to_numpy(
+                zero_copy_only=False)[coded.indices.to_numpy()]
+            ends = np.concatenate([[0], np.cumsum(full)])[cut.offsets.to_numpy()].tolist()
+            hashes = hashes[full]
+            runs = self._mixed(hashes, self._n) if len(hashes) >= self._n else hashes[:0]
+            for start, end in zip(ends, ends[1:]):
+                n = min(self._n, end - start)
+                own = runs[start:end - n + 1] if n == self._n else self._mixed(hashes[start:end], n)
+                yield _distinct(own) if n else hashes[:0]
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])]
 
 
 def least_overlap(a: int, b: int, percent: int) -> int:
@@ -182,8 +202,8 @@ def shingle_counts(docs: DataFrame, words: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, total = Shingles(words), np.zeros(COUNT_CELLS, np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                total += np.bincount(_cells(shingles(text)), minlength=COUNT_CELLS)
+            found = list(shingles(batch.column(0).to_pylist()))
+            total += np.bincount(_cells(np.concatenate(found)), minlength=COUNT_CELLS)
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays(
             [pa.array(cells), pa.array(total[cells])], names=["cell", "n"]
@@ -204,8 +224,7 @@ def classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
         shingles, seen = Shingles(words), set()
         for batch in batches:
             sizes, names, keys, bits = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                one = shingles(text)
+            for one in shingles(batch.column(1).to_pylist()):
                 name = _name(one)
                 sizes.append(len(one))
                 names.append(name)
@@ -214,7 +233,7 @@ def classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     bits.append(None)
                     continue
                 seen.add(name)
-                rarest = np.lexsort((one, counts.value[_cells(one)]))
+                rarest = np.argsort(counts.value[_cells(one)], kind="stable")  # ties by hash
                 keys.append(one[rarest[:prefix_length(len(one), percent)]].view(np.int64))
                 bits.append(bitmap(one).to_bytes(BITS // 8))
             yield pa.RecordBatch.from_arrays([
@@ -228,7 +247,11 @@ def classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def groups(members: DataFrame) -> DataFrame:
-    """Rows of groups of several classes: key, the group's first class, and each other class."""
+    """(first, class): what shares a key with other classes, under the first class of the key.
+
+    Keys with the same first class make one group, so that classes which share many keys meet in
+    few groups.
+    """
     sorted_rows = members.where("keys is not null").select(
         F.explode("keys").alias("key"), "class"
     ).repartition("key").sortWithinPartitions("key", "class")
@@ -253,11 +276,10 @@ def groups(members: DataFrame) -> DataFrame:
             carried = [x[-1:] for x in (key, name, firsts)]
             if len(chosen):
                 yield pa.RecordBatch.from_arrays(
-                    [key.take(chosen), firsts.take(chosen), name.take(chosen)],
-                    names=["key", "first", "class"],
+                    [firsts.take(chosen), name.take(chosen)], names=["first", "class"]
                 )
 
-    return sorted_rows.mapInArrow(runs, "key long, first binary, class binary")
+    return sorted_rows.mapInArrow(runs, "first binary, class binary").distinct()
 
 
 def _bound_pairs(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
@@ -304,17 +326,17 @@ def exact_links(docs: DataFrame, members: DataFrame, pairs: DataFrame, words: in
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(words)
         for batch in batches:
-            kept, last = [], (None, None)
-            for *key, text_a, name_b, text_b in zip(
-                *(batch.column(c).to_pylist() for c in ("a", "text_a", "b", "text_b")), strict=True
-            ):
-                if last[0] != [*key, text_a]:
-                    last = ([*key, text_a], shingles(text_a))
-                a, b = last[1], shingles(text_b)
-                # an id that repeats may have brought another text than the class's
-                own = _name(a) == key[0] and _name(b) == name_b
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                kept.append(own and 100 * common >= percent * (len(a) + len(b) - common))
+            a, text_a, b, text_b = (c.to_pylist() for c in batch.columns)
+            left, right = list(zip(a, text_a)), list(zip(b, text_b))
+            named = list(dict.fromkeys([*left, *right]))
+            sets = dict(zip(named, shingles([text for _, text in named])))
+            # an id that repeats may have brought another text than the class's
+            own = {key for key, found in sets.items() if _name(found) == key[0]}
+            kept = []
+            for x, y in zip(left, right):
+                common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                union = len(sets[x]) + len(sets[y]) - common
+                kept.append(x in own and y in own and 100 * common >= percent * union)
             yield batch.filter(pa.array(kept, pa.bool_())).select(["a", "b"])
 
     return wide.select("a", "text_a", "b", "text_b").mapInArrow(linked, "a binary, b binary")
@@ -354,35 +376,47 @@ def components(links: DataFrame) -> DataFrame:
             break
         before = after
     roots = edges.select(F.col("low").alias("class")).distinct()
-    return edges.select(F.col("high").alias("class"), F.col("low").alias("component")).union(
+    return written(edges.select(F.col("high").alias("class"), F.col("low").alias("component")).union(
         roots.select("class", F.col("class").alias("component"))
-    )
+    ), "components")
 
 
-def tree_candidates(grouped: DataFrame, known: DataFrame, signatures: DataFrame,
-                    percent: int) -> DataFrame:
-    """Pairs of different components from the signature trees of every group that has several."""
-    # the first class of a group once more, as a member
-    members = grouped.select("key", "class").union(
-        grouped.select("key", F.col("first").alias("class")).distinct()
-    ).join(known, "class", "left").select(
-        "key", "class", F.coalesce("component", "class").alias("component")
-    )
+def _group_members(grouped: DataFrame, known: DataFrame) -> DataFrame:
+    """(first, class, component) of the groups that hold several components."""
+    members = grouped.union(grouped.select("first", F.col("first").alias("class")).distinct()).join(
+        known, "class", "left"
+    ).select("first", "class", F.coalesce("component", "class").alias("component"))
     members = written(members, "group-members")
-    several = members.groupBy("key").agg(
+    several = members.groupBy("first").agg(
         F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")
-    ).where("low != high").select("key", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
-    rows = members.join(several, "key").join(
-        signatures.select("class", "n_shingles", "bits"), "class"
-    )
+    ).where("low != high").select("first", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+    return members.join(several, "first")
+
+
+def pivot_candidates(members: DataFrame, turn: int) -> DataFrame:
+    """Pairs of some classes of each group, drawn anew in each turn, with all others."""
+    drawn = [
+        F.min_by(F.struct("class", "component"), F.xxhash64("class", F.lit(turn * PIVOTS + i)))
+        for i in range(PIVOTS)
+    ]
+    pivots = members.groupBy("first").agg(F.array_distinct(F.array(*drawn)).alias("pivots"))
+    pairs = members.join(pivots, "first").select("class", "component", F.explode("pivots").alias("p"))
+    return pairs.where(F.col("p.component") != F.col("component")).select(
+        F.least("class", "p.class").alias("a"), F.greatest("class", "p.class").alias("b")
+    ).distinct()
+
+
+def tree_candidates(members: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components from the signature trees of the groups."""
+    rows = members.join(signatures.select("class", "n_shingles", "bits"), "class")
     # part i of a large group goes to the cells of all pairs (i, j)
     part = F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")
     cells = rows.withColumn("part", part).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     ).select(
-        "key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"),
+        "first", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"),
         "part", "class", "n_shingles", "bits", "component",
-    ).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    ).repartition("first", "i", "j").sortWithinPartitions("first", "i", "j")
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows_of() -> Iterator[tuple]:
@@ -439,15 +473,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         "class", "n_shingles", "bits"
     )
     grouped = written(groups(members), "groups")
-    to_first = grouped.select(F.col("first").alias("a"), F.col("class").alias("b")).distinct()
-    near = written(_bound_pairs(to_first, signatures, percent), "pairs")
-    links = written(exact_links(docs, members, near, words, percent), "links")
-    known = written(components(links), "components")
-    more = written(tree_candidates(grouped, known, signatures, percent).join(
-        near, ["a", "b"], "left_anti"
-    ), "tree-pairs")
-    links = links.union(exact_links(docs, members, more, words, percent))
-    known = written(components(written(links, "links")), "components")
+    pairs = grouped.select(F.col("first").alias("a"), F.col("class").alias("b"))
+    near = written(_bound_pairs(pairs, signatures, percent), "pairs")
+    tried, known = near, components(exact_links(docs, members, near, words, percent))
+    for turn in range(1, ROUNDS + 2):
+        parts = _group_members(grouped, known)
+        if turn <= ROUNDS:
+            pairs = pivot_candidates(parts, turn).join(tried, ["a", "b"], "left_anti")
+            near = written(_bound_pairs(pairs, signatures, percent), "pairs")
+        else:
+            pairs = tree_candidates(parts, signatures, percent)
+            near = written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        if near.isEmpty():
+            continue
+        tried = tried.union(near)
+        found = exact_links(docs, members, near, words, percent)
+        # components so far are stars: links that stand for all links before
+        stars = known.select(F.col("component").alias("a"), F.col("class").alias("b"))
+        known = components(found.union(stars))
     labelled = members.select("doc_id", "n_shingles", "class").join(known, "class", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "class").alias("component")
     )
