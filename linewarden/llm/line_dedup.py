@@ -1,9 +1,10 @@
 """Removal of repeated passages by content-defined chunks of lines.
 
 A hash over the last lines, rolled from line to line, sets the ends of chunks, so a passage is cut
-alike wherever it stands.  Chunks of several lines that occur more than once in the corpus stay at
-their first place (smallest id, then first line) and go elsewhere, after their bytes have been
-compared: chunks that differ under one hash are grouped by their bytes.
+alike wherever it stands.  A line of ``PASSAGE_WORDS`` words is a passage and a chunk of its own.
+Such chunks, and those of several lines, that occur more than once in the corpus stay at their
+first place (smallest id, then first line) and go elsewhere, after their bytes have been compared:
+chunks that differ under one hash are grouped by their bytes.
 
 Only hashes and places are grouped; a document's lines meet its own list of places.
 
@@ -18,12 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import SPACE, written
 
 #: Lines that the rolling hash covers, and the mean number of lines from end to end.
 WINDOW, MEAN_LINES = 2, 3
-#: Lines with text that a chunk has at least to be removed.
-LEAST_LINES = 2
+#: Lines with text that a chunk has at least to be removed, or words of a single line.
+LEAST_LINES, PASSAGE_WORDS = 2, 50
 
 _KEY = ["doc_id", "text_hash"]
 
@@ -37,18 +38,23 @@ def lines_of(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+def _is_passage(line: Column) -> Column:
+    long_enough = F.octet_length(line) >= 2 * PASSAGE_WORDS - 1
+    return long_enough & (F.size(F.split(F.trim(line), SPACE + "+")) >= PASSAGE_WORDS)
+
+
 def line_chunks(text: Column) -> Column:
-    """Chunks as structs: first line, number of lines, lines with text, hash."""
+    """Chunks as structs: first line, number of lines, whether it is removed if repeated, hash."""
 
     def rolled(hashes: Column, i: Column) -> Column:
         """The hash over the lines of the window that ends with line i."""
         return F.xxhash64(*[F.get(hashes, i - back) for back in range(WINDOW)])
 
-    def cut(lines: Column, hashes: Column) -> Column:
+    def cut(lines: Column, hashes: Column, passages: Column) -> Column:
         last = F.size(lines) - 1
         ends = F.filter(
             F.sequence(F.lit(0), last),
-            lambda i: (i == last) | (
+            lambda i: (i == last) | F.get(passages, i) | F.get(passages, i + 1) | (
                 (i >= WINDOW - 1) & (F.pmod(rolled(hashes, i), F.lit(MEAN_LINES)) == 0)
             ),
         )
@@ -57,16 +63,18 @@ def line_chunks(text: Column) -> Column:
             first = F.when(k == 0, 0).otherwise(F.get(ends, k - 1) + 1)
             return _let(first, lambda first: F.struct(
                 first.alias("first"), (end - first + 1).alias("lines"),
-                F.size(F.filter(
+                (F.get(passages, first) | (F.size(F.filter(
                     F.slice(lines, first + 1, end - first + 1), lambda x: x.rlike(r"[\p{L}\p{N}]")
-                )).alias("full_lines"),
+                )) >= LEAST_LINES)).alias("counts"),
                 F.xxhash64(F.slice(hashes, first + 1, end - first + 1)).alias("chunk_hash"),
             ))
 
         return _let(ends, lambda ends: F.transform(ends, lambda end, k: chunk(ends, end, k)))
 
     return _let(lines_of(text), lambda lines: _let(
-        F.transform(lines, lambda x: F.xxhash64(x)), lambda hashes: cut(lines, hashes)
+        F.transform(lines, lambda x: F.xxhash64(x)), lambda hashes: _let(
+            F.transform(lines, _is_passage), lambda passages: cut(lines, hashes, passages)
+        )
     ))
 
 
@@ -78,7 +86,7 @@ def repeated_places(docs: DataFrame) -> DataFrame:
     """Places of chunks whose hash occurs at several places, and whether an earlier one is there."""
     chunks = docs.where(F.col("text").isNotNull()).select(
         "doc_id", _text_hash().alias("text_hash"), F.explode(line_chunks(F.col("text"))).alias("c")
-    ).where(F.col("c.full_lines") >= LEAST_LINES).select(
+    ).where("c.counts").select(
         *_KEY, "c.first", "c.lines", "c.chunk_hash"
     )
     place = F.struct(*_KEY, "first")
@@ -99,22 +107,24 @@ def _by_document(places: DataFrame) -> DataFrame:
 
 
 def _with_places(docs: DataFrame, places: DataFrame, how: str) -> DataFrame:
-    marks = _by_document(places)
-    keyed = docs.withColumn("text_hash", _text_hash())
-    same = keyed["doc_id"].eqNullSafe(marks["doc_id"]) & (keyed["text_hash"] == marks["text_hash"])
-    return keyed.join(marks, same, how).select(
-        *[keyed[c] for c in docs.columns], keyed["text_hash"], marks["places"]
+    """``docs`` with ``_places``; columns of ``docs`` may have any other name."""
+    marks = _by_document(places).toDF("_doc_id", "_text_hash", "_places")
+    same = docs["doc_id"].eqNullSafe(marks["_doc_id"]) & (
+        F.xxhash64(docs["text"]) == marks["_text_hash"]
     )
+    return docs.join(marks, same, how).drop("_doc_id")
 
 
 def chunk_texts(docs: DataFrame, places: DataFrame) -> DataFrame:
     """The text at each place."""
     rows = _with_places(docs.select("doc_id", "text"), places, "inner")
-    cut = _let(lines_of(F.col("text")), lambda lines: F.transform("places", lambda p: F.struct(
+    cut = _let(lines_of(F.col("text")), lambda lines: F.transform("_places", lambda p: F.struct(
         p["first"].alias("first"), p["lines"].alias("lines"), p["chunk_hash"].alias("chunk_hash"),
         F.array_join(F.slice(lines, p["first"] + 1, p["lines"]), "\n").alias("chunk"),
     )))
-    return rows.select(*_KEY, F.explode(cut).alias("c")).select(*_KEY, "c.*")
+    return rows.select(
+        "doc_id", F.col("_text_hash").alias("text_hash"), F.explode(cut).alias("c")
+    ).select(*_KEY, "c.*")
 
 
 def compared(docs: DataFrame, places: DataFrame) -> DataFrame:
@@ -150,13 +160,13 @@ def line_dedup(docs: DataFrame) -> DataFrame:
         kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
         return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
 
-    remaining = F.when(F.col("places").isNull(), F.col("text")).otherwise(
-        _let(lines_of(F.col("text")), lambda lines: rest(lines, F.col("places")))
+    remaining = F.when(F.col("_places").isNull(), F.col("text")).otherwise(
+        _let(lines_of(F.col("text")), lambda lines: rest(lines, F.col("_places")))
     )
-    count = F.aggregate("places", F.lit(0), lambda n, p: n + p["lines"])
+    count = F.aggregate("_places", F.lit(0), lambda n, p: n + p["lines"])
     return rows.select(
         *[remaining.alias("text") if c == "text" else F.col(c) for c in docs.columns],
-        F.coalesce(F.size("places"), F.lit(0)).alias("removed_chunks"),
+        F.coalesce(F.size("_places"), F.lit(0)).alias("removed_chunks"),
         F.coalesce(count, F.lit(0)).alias("removed_lines"),
         F.size(lines_of(F.col("text"))).alias("n_lines"),
     )
