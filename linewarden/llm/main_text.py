@@ -43,6 +43,9 @@ DROPPED_WORDS = frozenset((
     "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar",
     "widget", "widgets",
 ))
+#: Words that say how a part is arranged, and words of article parts.
+ARRANGED_WORDS = frozenset(("has", "no", "with", "without"))
+CONTENT_WORDS = frozenset(("article", "content", "entry", "post", "story"))
 BLOCKS = frozenset((
     "address", "article", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl",
     "dt", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr",
@@ -60,8 +63,8 @@ START = {"article": 25.0, "main": 25.0, "div": 5.0, "pre": 3.0, "td": 3.0, "bloc
          "ol": -3.0, "ul": -3.0, "dl": -3.0, "li": -3.0, "address": -3.0, "th": -5.0}
 #: A sibling needs this share of the best element's points, or this much running text.
 SIBLING_SHARE, SIBLING_LENGTH, SIBLING_LINKS = 0.2, 80, 0.25
-#: From this share of link text on, a list is a menu.
-MENU_LINKS = 0.8
+#: From this share of link text on, such an element is a menu.
+MENUS, MENU_LINKS = frozenset(("div", "dl", "ol", "section", "table", "ul")), 0.8
 
 _WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
@@ -86,14 +89,17 @@ def _words(value: str) -> set[str]:
     return set(_WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
 
 
+def _outside_article(at: Element | None) -> bool:
+    while at is not None and at.tag not in ("article", "main"):
+        at = at.parent
+    return at is None
+
+
 def _dropped(tag: str, attrs: list[tuple[str, str | None]], parent: Element) -> bool:
     if tag in DROPPED:
         return True
-    if tag == "header":  # the head of the page, not of the article
-        while parent and parent.tag not in ("article", "main"):
-            parent = parent.parent
-        if parent is None:
-            return True
+    if tag == "header" and _outside_article(parent):  # the head of the page, not of the article
+        return True
     if not attrs or tag in ("html", "body", "main", "article"):
         return False
     for name, value in attrs:
@@ -105,8 +111,14 @@ def _dropped(tag: str, attrs: list[tuple[str, str | None]], parent: Element) ->
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-        if name in ("class", "id") and _words(value) & DROPPED_WORDS:
-            return True
+        if name in ("class", "id"):
+            words = _words(value)
+            if words & ARRANGED_WORDS:  # an arrangement of the page, not a part of it
+                continue
+            if words & DROPPED_WORDS:
+                return True
+            if "header" in words and not words & CONTENT_WORDS and _outside_article(parent):
+                return True
     return False
 
 
@@ -191,8 +203,7 @@ def _measured(root: Element) -> list[Element]:
             if isinstance(item, str):
                 at.size += len(item.strip())
             else:
-                if (item.tag in ("ul", "ol", "dl") and item.anchors > 1
-                        and item.link_share >= MENU_LINKS):
+                if item.tag in MENUS and item.anchors > 1 and item.link_share >= MENU_LINKS:
                     continue
                 at.size += item.size
                 at.linked += item.linked
