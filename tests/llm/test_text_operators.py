@@ -179,6 +179,13 @@ def test_page_is_cut_to_its_article():
     assert main_text.main_text(PAGE) == "Fish & chips\n\nOne, two three.\n\nFour < five, and so on here."
 
 
+def test_parts_are_told_by_their_names():
+    page = f"""<div class="has-sidebar"><div class="page-header">Site, of, all</div><div id="post">
+    <div class="post-header"><h1>Title</h1></div><p>{"Text, and more. " * 9}</p></div>
+    <div id="siteNav">a, b, c</div><div class="comment-list"><p>{"Nice, very nice. " * 9}</p></div></div>"""
+    assert main_text.main_text(page) == "Title\n\n" + ("Text, and more. " * 9).strip()
+
+
 def test_best_container_and_its_siblings_stay():
     run = "Words, and more words, follow here, one after the other, until the line ends. " * 2
     page = f"""<body><div id="top"><a href=1>one</a> <a href=2>two</a></div>
@@ -200,6 +207,6 @@ def test_odd_pages(html, text):
 def test_pages_keep_their_rows(spark):
     rows = [(1, "u", PAGE, "x", 5), (1, "u", PAGE, "x", 5), (2, None, None, None, None), (None, "v", "<p>a", "y", 1)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
-    got = main_text.extract(pages).collect()
-    assert sorted((str(r.page_id), r.n_chars) for r in got) == [("1", 58), ("1", 58), ("2", 0), ("None", 1)]
+    got, size = main_text.extract(pages).collect(), len(main_text.main_text(PAGE))
+    assert sorted((str(r.page_id), r.n_chars) for r in got) == [("1", size), ("1", size), ("2", 0), ("None", 1)]
     assert main_text.extract(pages.limit(0)).count() == 0
