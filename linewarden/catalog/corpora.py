@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from linewarden.catalog import planted
 from linewarden.functions.dialect import sql_literal
 from linewarden.plans.scan import Corpus
-from linewarden.sources.files import spread
 
 #: Share of documents whose planted file lies below a lock-file name.
 LOCKED_EVERY, LOCKED_AT = 7, 3
@@ -32,54 +31,133 @@ def _slot(values, key: Column) -> Column:
     return F.get(items, F.pmod(key, F.lit(len(values))).cast("int"))
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """In as many partitions as the caller's setting ``linewarden.partitions`` says, if it is set.
+
+    For tables that are one row group, and so one task, on a machine with several cores.
+    """
+    partitions = frame.sparkSession.conf.get("linewarden.partitions", None)
+    return frame.repartition(int(partitions)) if partitions else frame
+
+
 def documents(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def document_files(spark, sf_dir) -> DataFrame:
-    """Documents as files of the repository named by their source."""
-    return documents(spark, sf_dir).select(
-        F.col("source").alias("repo"),
-        F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"),
-        F.col("text").alias("content"),
-    )
+def _file(repo: Column, path: Column, content: Column) -> list[Column]:
+    return [repo.alias("repo"), path.alias("path"), content.cast("string").alias("content")]
 
 
-def planted_files(spark, sf_dir) -> DataFrame:
-    """Documents with one planted line at the end, and the file extension that goes with it."""
-    docs = documents(spark, sf_dir).withColumn("p", _slot(planted.LINES, F.col("doc_id")))
-    folder = F.when(F.pmod("doc_id", F.lit(LOCKED_EVERY)) == LOCKED_AT, "yarn.lock.d/f").otherwise("src/f")
-    return docs.select(
-        F.col("source").alias("repo"),
-        F.concat(folder, F.col("doc_id").cast("string"), F.lit("."), F.col("p.v0")).alias("path"),
-        F.concat("text", F.lit("\n"), F.col("p.v2")).alias("content"),
+def _of(table_name: str, *files, content: bool = True):
+    """The files that each row of a table stands for, from one read of the table."""
+
+    def read(spark, sf_dir) -> DataFrame:
+        found = [F.struct(*(f() if content else f()[:2])) for f in files]
+        return table(spark, sf_dir, table_name).select(F.inline(F.array(*found)))
+
+    return read
+
+
+def _name(prefix: str, key: str, suffix: str = "") -> Column:
+    return F.concat(F.lit(prefix), F.col(key).cast("string"), F.lit(suffix))
+
+
+def _document_file() -> list[Column]:
+    return _file(F.col("source"), _name("docs/", "doc_id", ".txt"), F.col("text"))
+
+
+def _planted_file() -> list[Column]:
+    line = _slot(planted.LINES, F.col("doc_id"))
+    locked = F.pmod("doc_id", F.lit(LOCKED_EVERY)) == LOCKED_AT
+    folder = F.when(locked, "yarn.lock.d/f").otherwise("src/f")
+    path = F.concat(folder, F.col("doc_id").cast("string"), F.lit("."), line["v0"])
+    return _file(F.col("source"), path, F.concat("text", F.lit("\n"), line["v2"]))
+
+
+def _tree_file() -> list[Column]:
+    return _file(_name("tree-", "doc_id"), _slot(planted.PATHS, F.col("doc_id")), F.lit(None))
+
+
+def _manifest_file() -> list[Column]:
+    given = _slot(planted.MANIFESTS, F.col("doc_id"))
+    return _file(_name("app-", "doc_id"), given["v0"], given["v1"])
+
+
+def _page_file() -> list[Column]:
+    host = F.regexp_extract("url", "://([^/:]+)", 1)
+    return _file(host, _name("pages/", "page_id", ".html"), F.concat("html", F.lit("\n"), "url"))
+
+
+def _url_path() -> Column:
+    return F.regexp_replace("url", "^[a-z]+://[^/]*/?", "")
+
+
+def _url_file() -> list[Column]:
+    return _file(_name("web-", "page_id"), _url_path(), F.lit(None))
+
+
+def _below_url_file() -> list[Column]:
+    path = F.concat(_url_path(), F.lit("/"), _slot(planted.PATHS, F.col("page_id")))
+    return _file(_name("web-", "page_id"), path, F.lit(None))
+
+
+def _config_file() -> list[Column]:
+    around = _slot([tuple(config.split("{url}")) for config in planted.CONFIGS], F.col("page_id"))
+    content = F.concat(around["v0"], "url", around["v1"])
+    return _file(_name("site-", "page_id"), F.lit(".git/config"), content)
+
+
+#: Documents as files of the repository named by their source.
+document_files = _of("documents", _document_file)
+#: Documents with one planted line at the end, and the file extension that goes with it.
+planted_files = _of("documents", _planted_file)
+#: Pages as HTML files of their host, with the page's URL as last line.
+page_files = _of("pages", _page_file)
+planted_manifests = _of("documents", _manifest_file)
+#: One ``.git/config`` per page, with the page's URL as origin, in one of several spellings.
+config_files = _of("pages", _config_file)
+
+
+def chat_files(spark, sf_dir) -> DataFrame:
+    """One repository per conversation, one file per turn."""
+    return table(spark, sf_dir, "conversations").select(
+        _name("chat-", "conv_id").alias("repo"), _name("turns/", "turn", ".txt").alias("path"),
+        F.col("text").alias("content"),
     )
 
 
-def page_files(spark, sf_dir) -> DataFrame:
-    """Pages as HTML files of their host, with the page's URL as last line."""
-    return table(spark, sf_dir, "pages").select(
-        F.regexp_extract("url", "://([^/:]+)", 1).alias("repo"),
-        F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"),
-        F.concat("html", F.lit("\n"), "url").alias("content"),
+def byte_files(spark, sf_dir) -> DataFrame:
+    """Documents as binary content; every third one is no valid UTF-8."""
+    raw = F.to_binary("text", F.lit("utf-8"))
+    broken = F.concat(F.unhex(F.lit("C328")), raw)
+    return documents(spark, sf_dir).select(
+        F.col("source").alias("repo"),
+        F.concat(F.lit("raw/"), F.col("doc_id").cast("string")).alias("path"),
+        F.when(F.pmod("doc_id", F.lit(3)) == 0, broken).otherwise(raw).alias("content"),
     )
 
 
-def path_files(spark, sf_dir) -> DataFrame:
-    """Files without readable content, for the path operators; one repository per document."""
-    return table(spark, sf_dir, "documents").select(
-        F.concat(F.lit("tree-"), F.col("doc_id").cast("string")).alias("repo"),
-        _slot(planted.PATHS, F.col("doc_id")).alias("path"),
-        F.lit(None).cast("string").alias("content"),
+def part_requirements(spark, sf_dir) -> DataFrame:
+    """One requirements.txt per part: its name and its brand as packages, its size as version."""
+    name = F.replace("p_name", F.lit(" "), F.lit("-"))
+    version = F.concat(F.col("p_size").cast("string"), F.lit(".0"))
+    return table(spark, sf_dir, "part").select(
+        F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("repo"),
+        F.lit("requirements.txt").alias("path"),
+        F.concat(
+            name, F.lit("=="), version, F.lit("\n# pinned\n"), F.lower(F.replace("p_brand", F.lit("#"))),
+            F.lit(" == "), version, F.lit("\n"),
+        ).alias("content"),
     )
 
 
-def planted_manifests(spark, sf_dir) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").withColumn("m", _slot(planted.MANIFESTS, F.col("doc_id")))
-    return rows.select(
-        F.concat(F.lit("app-"), F.col("doc_id").cast("string")).alias("repo"),
-        F.col("m.v0").alias("path"),
-        F.col("m.v1").alias("content"),
+def part_advisories(spark, sf_dir) -> DataFrame:
+    """Python advisories of a caller: the first word of each tenth part's name, at its size."""
+    return table(spark, sf_dir, "part").where("p_partkey % 10 = 0").select(
+        F.split_part("p_name", F.lit(" "), F.lit(1)).alias("package"),
+        F.concat(F.col("p_size").cast("string"), F.lit(".0")).alias("version"),
+        F.concat(F.lit("CVE-"), F.col("p_partkey").cast("string")).alias("cve"),
+        F.lit("high").alias("severity"),
     )
 
 
@@ -109,16 +187,6 @@ def manifest_files(spark, sf_dir) -> DataFrame:
     return planted_manifests(spark, sf_dir).unionByName(order_manifests(spark, sf_dir))
 
 
-def config_files(spark, sf_dir) -> DataFrame:
-    """One ``.git/config`` per page, with the page's URL as origin."""
-    before, after = planted.CONFIG.split("{url}")
-    return table(spark, sf_dir, "pages").select(
-        F.concat(F.lit("site-"), F.col("page_id").cast("string")).alias("repo"),
-        F.lit(".git/config").alias("path"),
-        F.concat(F.lit(before), "url", F.lit(after)).alias("content"),
-    )
-
-
 def _union(*parts):
     def files(spark, sf_dir) -> DataFrame:
         first, *others = (part(spark, sf_dir) for part in parts)
@@ -127,11 +195,36 @@ def _union(*parts):
     return files
 
 
+#: Files without readable content, for the path operators: one repository per document with a planted
+#: path, and one per page with the path of its URL, alone and above a planted path.
+path_files = _union(_of("documents", _tree_file), _of("pages", _url_file, _below_url_file))
 planted_and_pages = _union(planted_files, page_files)
-planted_pages_configs = _union(planted_files, page_files, config_files)
-planted_pages_paths = _union(planted_files, page_files, path_files)
-#: Everything a scan takes, as one files table.
-all_files = _union(planted_files, page_files, path_files, planted_manifests, config_files)
+planted_pages_configs = _union(planted_files, _of("pages", _page_file, _config_file))
+planted_pages_paths = _union(
+    _of("documents", _planted_file, _tree_file), _of("pages", _page_file, _url_file, _below_url_file)
+)
+_OF_DOCUMENT = (_planted_file, _tree_file, _manifest_file)
+_OF_PAGE = (_page_file, _url_file, _below_url_file, _config_file)
+#: Everything a scan takes, as one files table; each source is read once.
+all_files = _union(
+    _of("documents", *_OF_DOCUMENT), _of("pages", *_OF_PAGE), chat_files, order_manifests
+)
+
+
+def all_paths(spark, sf_dir) -> DataFrame:
+    """``(repo, path)`` of all files, without reading any text."""
+    orders = table(spark, sf_dir, "lineitem").select("l_orderkey").distinct()
+    parts = [
+        _of("documents", *_OF_DOCUMENT, content=False)(spark, sf_dir),
+        _of("pages", *_OF_PAGE, content=False)(spark, sf_dir),
+        chat_files(spark, sf_dir).drop("content"),
+        orders.select(_name("order-", "l_orderkey").alias("repo"), F.lit("package.json").alias("path")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+#: All texts, as files.
+text_files = _union(planted_files, page_files, chat_files)
 
 
 def corpus(spark, sf_dir) -> Corpus:
@@ -165,7 +258,10 @@ def tree_entries(spark, sf_dir) -> DataFrame:
                 F.lit("src/p"), F.pmod("l_partkey", F.lit(20)).cast("string"), F.lit(".py")
             ).alias("path"),
         )
-        .agg(F.min(F.pmod("l_suppkey", F.lit(3))).cast("string").alias("blob"))
+        .agg(
+            F.min(F.pmod("l_suppkey", F.lit(3))).cast("string").alias("blob"),
+            F.when(F.max("l_linenumber") > 4, "100755").otherwise("100644").alias("mode"),
+        )
     )
 
 

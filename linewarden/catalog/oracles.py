@@ -9,14 +9,10 @@ from __future__ import annotations
 
 import re
 
-from linewarden.catalog import planted
+from linewarden.catalog import expected, planted
 from linewarden.catalog.corpora import LOCKED_AT, LOCKED_EVERY
-from linewarden.functions import paths, repo_urls
 from linewarden.functions.severity import CRITICAL_ICON, RANKS, SARIF_LEVELS, SARIF_RANKS
 from linewarden.functions.text import HTML_ESCAPES
-from linewarden.operators import dependencies as deps
-from linewarden.operators import indicators
-from linewarden.operators.findings import ANALYZER_ORDER
 from linewarden.plans.registry import default_registry
 from linewarden.reports import sarif, text as text_reports
 
@@ -70,9 +66,21 @@ PAGE_FILES = """
 SELECT regexp_extract(url, '://([^/:]+)', 1) AS repo, 'pages/' || page_id || '.html' AS path,
        html || chr(10) || url AS content FROM pages"""
 
+URL_PATH = "regexp_replace(url, '^[a-z]+://[^/]*/?', '')"
 PATH_FILES = f"""
 SELECT 'tree-' || doc_id AS repo, p.path AS path, CAST(NULL AS VARCHAR) AS content
-FROM documents JOIN {slot(planted.PATHS, "p(slot, path)")} ON slot = doc_id % {N_PATHS}"""
+FROM documents JOIN {slot(planted.PATHS, "p(slot, path)")} ON slot = doc_id % {N_PATHS}
+UNION ALL SELECT 'web-' || page_id, {URL_PATH}, NULL FROM pages
+UNION ALL SELECT 'web-' || page_id, {URL_PATH} || '/' || p.path, NULL
+FROM pages JOIN {slot(planted.PATHS, "p(slot, path)")} ON slot = page_id % {N_PATHS}"""
+
+PART_REQUIREMENTS = """
+SELECT 'part-' || p_partkey AS repo, 'requirements.txt' AS path,
+       replace(p_name, ' ', '-') || '==' || p_size || '.0' || chr(10) || '# pinned' || chr(10)
+         || lower(replace(p_brand, '#', '')) || ' == ' || p_size || '.0' || chr(10) AS content
+FROM part"""
+PART_ADVISORIES = """(SELECT split_part(p_name, ' ', 1) AS a_package, p_size || '.0' AS a_version, 'CVE-' || p_partkey AS cve,
+  'HIGH' AS a_severity, 4 AS a_rank, 0 AS adv FROM part WHERE p_partkey % 10 = 0) a"""
 
 PLANTED_MANIFESTS = f"""
 SELECT 'app-' || doc_id AS repo, p.path AS path, p.content AS content
@@ -87,17 +95,22 @@ FROM (SELECT l_orderkey, package, max(version) AS version
       GROUP BY ALL)
 GROUP BY l_orderkey"""
 
-_BEFORE, _AFTER = planted.CONFIG.split("{url}")
 CONFIG_FILES = f"""
-SELECT 'site-' || page_id AS repo, '.git/config' AS path,
-       {q(_BEFORE)} || url || {q(_AFTER)} AS content FROM pages"""
+SELECT 'site-' || page_id AS repo, '.git/config' AS path, before || url || after AS content
+FROM pages JOIN {slot([tuple(c.split("{url}")) for c in planted.CONFIGS], "p(slot, before, after)")}
+  ON slot = page_id % {len(planted.CONFIGS)}"""
 
 
 def union(*parts: str) -> str:
     return " UNION ALL ".join(f"SELECT repo, path, content FROM ({p})" for p in parts)
 
 
-ALL_FILES = union(PLANTED_FILES, PAGE_FILES, PATH_FILES, PLANTED_MANIFESTS, CONFIG_FILES)
+CHAT_FILES = """
+SELECT 'chat-' || conv_id AS repo, 'turns/' || turn || '.txt' AS path, text AS content FROM conversations"""
+ALL_FILES = union(
+    PLANTED_FILES, PAGE_FILES, PATH_FILES, PLANTED_MANIFESTS, CONFIG_FILES, CHAT_FILES, ORDER_MANIFESTS
+)
+TEXT_FILES = union(PLANTED_FILES, PAGE_FILES, CHAT_FILES)
 MANIFEST_FILES = union(PLANTED_MANIFESTS, ORDER_MANIFESTS)
 
 # -- path expressions --------------------------------------------------------------------
@@ -108,11 +121,11 @@ RAW_EXT = (
     f"THEN regexp_extract({BASE}, '([^.]*)$', 1) END"
 )
 EXT = f"lower({RAW_EXT})"
-LISTED = f"NOT coalesce({RAW_EXT} IN {in_list(paths.LISTING_BINARY_EXTENSIONS)}, false)"
+LISTED = f"NOT coalesce({RAW_EXT} IN {in_list(expected.LISTING_BINARY_EXTENSIONS)}, false)"
 LANGUAGE = "CASE " + RAW_EXT + " " + " ".join(
-    f"WHEN {q(k)} THEN {q(v)}" for k, v in paths.LANGUAGES.items()
+    f"WHEN {q(k)} THEN {q(v)}" for k, v in expected.LANGUAGES.items()
 ) + " END"
-URL_SKIPPED = "(" + " OR ".join(f"contains(path, {q(n)})" for n in paths.URL_SKIPPED_NAMES) + ")"
+URL_SKIPPED = "(" + " OR ".join(f"contains(path, {q(n)})" for n in expected.URL_SKIPPED_NAMES) + ")"
 
 
 def below_ignored(names) -> str:
@@ -170,16 +183,16 @@ def re2(pattern: str, ci: bool) -> str:
 
 
 def _placed():
-    registry = default_registry()
-    for a_ord, analyzer in enumerate(registry.analyzers):
-        for r_ord, rule in enumerate(analyzer.rules):
+    for a_ord, analyzer in enumerate(expected.ANALYZERS):
+        rules = [rule for rule in expected.RULES if rule.analyzer == analyzer]
+        for r_ord, rule in enumerate(rules):
             yield a_ord, r_ord, rule
 
 
-def rule_matches(condition=lambda rule: True) -> str:
+def rule_matches(condition=lambda rule: True, placed=None) -> str:
     """UNION ALL of every rule's matches over the CTE ``lines``."""
     parts = []
-    for a_ord, r_ord, rule in _placed():
+    for a_ord, r_ord, rule in placed or _placed():
         if not condition(rule):
             continue
         pattern = q(re2(NESTED.get(rule.code, rule.pattern), rule.ci))
@@ -215,7 +228,7 @@ def finding(
 SELECT repo, {q(analyzer)} AS analyzer, {q(rule_id)} AS rule_id, {severity} AS severity, {rank} AS severity_rank,
        {title} AS title, '' AS description, {file} AS file, CAST(NULL AS INTEGER) AS line, CAST(NULL AS INTEGER) AS "column",
        {evidence} AS evidence, {remediation} AS remediation,
-       {ANALYZER_ORDER[analyzer]} AS o_analyzer, {phase} AS o_phase, {line} AS o_line, {rule} AS o_rule, {pos} AS o_pos,
+       {expected.ANALYZERS.index(analyzer)} AS o_analyzer, {phase} AS o_phase, {line} AS o_line, {rule} AS o_rule, {pos} AS o_pos,
        {key} AS o_key
 FROM {source}"""
 
@@ -238,7 +251,7 @@ def findings_cte(*parts: str) -> str:
 
 
 def extension_findings(files: str = "files") -> str:
-    rows = [(i, s, t, sev, RANKS[sev]) for i, (s, t, sev) in enumerate(paths.SUSPICIOUS_EXTENSIONS)]
+    rows = [(i, s, t, sev, RANKS[sev]) for i, (s, t, sev) in enumerate(expected.SUSPICIOUS_EXTENSIONS)]
     source = (
         f"{files} JOIN {values(rows, 'x(k, suffix, x_title, x_severity, x_rank)')} "
         f"ON ends_with(path, suffix) WHERE {LISTED}"
@@ -251,9 +264,9 @@ def extension_findings(files: str = "files") -> str:
 
 def manifests_sql(files: str = "files", nested: bool = False) -> str:
     name = BASE if nested else "path"
-    exact = [(i, n.lower(), l, d) for i, (n, l, d) in enumerate(paths.MANIFEST_NAMES)]
+    exact = [(i, n.lower(), l, d) for i, (n, l, d) in enumerate(expected.MANIFEST_NAMES)]
     suffix = [
-        (i, n, l, d) for i, (n, l, d) in enumerate(paths.MANIFEST_SUFFIXES, len(paths.MANIFEST_NAMES))
+        (i, n, l, d) for i, (n, l, d) in enumerate(expected.MANIFEST_SUFFIXES, len(expected.MANIFEST_NAMES))
     ]
     cols = "v(rank, name, language, description)"
     return f"""
@@ -264,8 +277,8 @@ SELECT repo, path, content, language, description, rank FROM {files} JOIN {value
 
 def manifest_findings(nested: bool = False) -> str:
     audit = "CASE language " + " ".join(
-        f"WHEN {q(l)} THEN {q(c)}" for l, c in deps.AUDITS.items()
-    ) + f" ELSE {q(deps.OTHER_AUDIT)} END"
+        f"WHEN {q(l)} THEN {q(c)}" for l, c in expected.AUDITS.items()
+    ) + f" ELSE {q(expected.OTHER_AUDIT)} END"
     return finding(
         f"({manifests_sql(nested=nested)})", "dependencies", "DEP-FILE-001", "'INFO'",
         "description || ' dependency file'", "path", (0, 0, "rank", 0),
@@ -294,7 +307,7 @@ npm AS (
 
 
 def npm_vuln() -> str:
-    rows = [(i, *r, RANKS[r[4]]) for i, r in enumerate(deps.NPM_ADVISORIES)]
+    rows = [(i, *r, RANKS[r[4]]) for i, r in enumerate(expected.NPM_ADVISORIES)]
     cols = "a(adv, a_package, a_version, cve, a_text, a_severity, a_rank)"
     return finding(
         f"npm JOIN {values(rows, cols)} ON package = a_package AND "
@@ -306,13 +319,13 @@ def npm_vuln() -> str:
 
 
 def npm_outdated() -> str:
-    rows = [(i, *r) for i, r in enumerate(deps.OUTDATED)]
+    rows = [(i, *r) for i, r in enumerate(expected.OUTDATED)]
     first = "split_part(version, '.', 1)"
     return finding(
         f"npm JOIN {values(rows, 'a(adv, a_package, min_major, advice)')} ON lower(package) = a_package AND "
         f"CASE WHEN regexp_full_match({first}, '[+-]?[0-9]+') THEN TRY_CAST(ltrim({first}, '+') AS INTEGER) END < min_major",
         "dependencies", "DEP-OUTDATED-001", "'LOW'", "'Outdated major version of ' || package", "path",
-        (1, "s", "n", f"adv + {deps.OUTDATED_POS}"), evidence="package || '@' || version",
+        (1, "s", "n", f"adv + {1 << 30}"), evidence="package || '@' || version",
         remediation="advice",
     )
 
@@ -328,11 +341,11 @@ reqs AS (SELECT repo, path, CAST(line AS INTEGER) AS line,
          FROM pylines WHERE t <> '' AND NOT starts_with(t, '#') AND contains(t, '=='))"""
 
 
-def python_vuln() -> str:
-    rows = [(i, *r, RANKS[r[3]]) for i, r in enumerate(deps.PYTHON_ADVISORIES)]
+def python_vuln(advisories: str | None = None) -> str:
+    rows = [(i, *r, RANKS[r[3]]) for i, r in enumerate(expected.PYTHON_ADVISORIES)]
+    given = advisories or values(rows, "a(adv, a_package, a_version, cve, a_severity, a_rank)")
     return finding(
-        f"reqs JOIN {values(rows, 'a(adv, a_package, a_version, cve, a_severity, a_rank)')} "
-        "ON version = a_version AND contains(package, a_package)",
+        f"reqs JOIN {given} ON version = a_version AND contains(package, a_package)",
         "dependencies", "DEP-VULN-001", "a_severity", "'Vulnerable Python package: ' || cve", "path",
         (1, "line", 0, "adv"), rank="a_rank", evidence="package || '==' || version",
         remediation="'Upgrade ' || package || ' to a patched version'",
@@ -516,6 +529,23 @@ def text_report() -> str:
     )
 
 
+def user_analyzer() -> str:
+    rule = expected.Expected(
+        "N1", "notes", "NOTE-001", "LOW", "License named", r"\b[A-Z]+ License\b",
+        description="A license is named", remediation="Check the license",
+    )
+    secrets = [r for r in expected.RULES if r.analyzer == "secrets"]
+    placed = [(0, 0, rule), *((1, i, r) for i, r in enumerate(secrets))]
+    pages = finding(
+        f"files WHERE {LISTED} AND ends_with(path, '.html')", "url", "NOTE-002", "'INFO'", "'Web page'", "path",
+        (0, -1, 0, 0),
+    )
+    pages = f"SELECT * REPLACE ('notes' AS analyzer) FROM ({pages})"
+    return _scan(TEXT_FILES, rule_matches(placed=placed), pages) + f"""
+ SELECT {FLAT}, CASE WHEN rule_id = 'NOTE-002' THEN 'https://example.net/notes ' || file ELSE '' END AS refs,
+        CAST(o_analyzer AS INTEGER) AS place FROM findings"""
+
+
 # -- indicators --------------------------------------------------------------------------
 
 TEXTS = f"""
@@ -526,7 +556,7 @@ UNION ALL SELECT 'page_urls', CAST(page_id AS VARCHAR), url FROM pages"""
 
 
 def indicator(name: str) -> str:
-    pattern, ci = indicators.PATTERNS[name]
+    pattern, ci = expected.PATTERNS[name]
     expression = q(re2(pattern, ci))
     return f"""
 SELECT origin, row_id, CAST(i - 1 AS INTEGER) AS position, m[i] AS value FROM (
@@ -548,50 +578,60 @@ def sql() -> dict[str, str]:
     with_pages = union(PLANTED_FILES, PAGE_FILES)
     manifest_only = "WITH files AS ({}),"
     url = "trim(candidate, ' ' || chr(9) || chr(10) || chr(13))"
-    ssh = _starts(url, repo_urls.SSH_PREFIXES)
-    known_host = "(" + " OR ".join(f"contains({url}, {q(h)})" for h in repo_urls.KNOWN_HOSTS) + ")"
+    ssh = _starts(url, expected.SSH_PREFIXES)
+    known_host = "(" + " OR ".join(f"contains({url}, {q(h)})" for h in expected.KNOWN_HOSTS) + ")"
     rest = "regexp_replace(url, '^https?://', '')"
     name = "coalesce(nullif(regexp_extract(root, '([^/]+)/*$', 1), ''), 'unknown')"
     by_rank = lambda least: f"severity_rank >= {least}"
 
     out = {
         "lines_documents": f"WITH {lines_cte(DOCUMENT_FILES)} SELECT repo, path, line, text FROM lines",
+        "lines_bytes": f"""WITH {lines_cte("SELECT source AS repo, 'raw/' || doc_id AS path, text AS content FROM documents WHERE doc_id % 3 <> 0")}
+            SELECT repo, path, line, text FROM lines""",
+        "deps_python_table": manifest_only.format(PART_REQUIREMENTS) + python_cte() + ","
+        + findings_cte(python_vuln(PART_ADVISORIES)) + f" SELECT * EXCLUDE (id) FROM (SELECT {FLAT} FROM findings)",
+        "report_console": text_report(),
+        "report_web": html_document(),
+        "report_json": sarif_document(),
+        "report_user": all_findings + f"""
+            SELECT repo, 1 AS section, 0 AS band, id, '{SCAN_TIME} ' || rule_id || ' ' || file AS fragment FROM findings""",
+        "user_analyzer": user_analyzer(),
         "file_stats": f"""WITH {lines_cte(with_pages)}
             SELECT f.repo, f.path, strlen(content) AS n_bytes, coalesce(n, 0) AS n_lines
             FROM files f LEFT JOIN (SELECT repo, path, count(*) AS n FROM lines GROUP BY ALL) l
               ON f.repo = l.repo AND f.path = l.path""",
-        "source_listing": f"""SELECT repo, path, {LISTED} AS listed, {below_ignored(paths.LISTING_IGNORED_DIRS)} AS below_ignored
+        "source_listing": f"""SELECT repo, path, {LISTED} AS listed, {below_ignored(expected.LISTING_IGNORED_DIRS)} AS below_ignored
             FROM ({PATH_FILES})""",
-        "path_binary": _path("is_binary", f"coalesce({EXT} IN {in_list(paths.BINARY_EXTENSIONS)}, false)"),
-        "path_lockfile": _path("is_lock_file", f"lower({BASE}) IN {in_list(paths.LOCK_FILES)}"),
-        "path_text": _path("is_text", f"coalesce({EXT} IN {in_list(paths.TEXT_EXTENSIONS)}, true)"),
+        "path_binary": _path("is_binary", f"coalesce({EXT} IN {in_list(expected.BINARY_EXTENSIONS)}, false)"),
+        "path_lockfile": _path("is_lock_file", f"lower({BASE}) IN {in_list(expected.LOCK_FILES)}"),
+        "path_text": _path("is_text", f"coalesce({EXT} IN {in_list(expected.TEXT_EXTENSIONS)}, true)"),
         "path_extension": _path("extension", EXT),
         "path_language": _path("language", LANGUAGE),
         "path_url_skipped": _path("url_skipped", URL_SKIPPED),
         "path_ignored": f"""SELECT repo, path, CAST(i - 1 AS INTEGER) AS depth, parts[i] AS name,
-              parts[i] IN {in_list(paths.IGNORED_DIRS)} AS is_ignored
+              parts[i] IN {in_list(expected.IGNORED_DIRS)} AS is_ignored
             FROM (SELECT repo, path, parts, unnest(range(1, len(parts))) AS i FROM (
               SELECT repo, path, string_split(path, '/') AS parts FROM ({PATH_FILES})))""",
         "indicators_all": "SELECT origin, indicator, count(*) AS n_matches, count(DISTINCT row_id) AS n_rows FROM ("
-        + " UNION ALL ".join(f"SELECT *, {q(n)} AS indicator FROM ({indicator(n)})" for n in indicators.PATTERNS)
+        + " UNION ALL ".join(f"SELECT *, {q(n)} AS indicator FROM ({indicator(n)})" for n in expected.PATTERNS)
         + ") GROUP BY origin, indicator",
         "scan_url": _scan(
             union(PLANTED_FILES, PAGE_FILES, CONFIG_FILES), rule_matches(lambda r: r.analyzer == "url"),
             insecure_remotes(), ctes=(remotes_cte(),),
         ) + flat,
         "scan_domains": _scan(with_pages, rule_matches(lambda r: r.code[0] == "D")) + flat,
-        "scan_secrets": _scan(PLANTED_FILES, rule_matches(lambda r: r.code[0] == "S")) + flat,
+        "scan_secrets": _scan(TEXT_FILES, rule_matches(lambda r: r.code[0] == "S")) + flat,
         "scan_file_ops": _scan(
             union(PLANTED_FILES, PAGE_FILES, PATH_FILES), rule_matches(lambda r: r.analyzer == "file-ops"),
             extension_findings(),
         ) + flat,
-        "scan_language_rules": _scan(PLANTED_FILES, rule_matches(lambda r: r.code[0] == "L")) + flat,
+        "scan_language_rules": _scan(TEXT_FILES, rule_matches(lambda r: r.code[0] == "L")) + flat,
         "scan_extensions": f"WITH files AS ({PATH_FILES}), {findings_cte(extension_findings())} {flat}",
         "scan_dependencies": manifest_only.format(MANIFEST_FILES) + npm_cte() + "," + python_cte() + ","
         + findings_cte(manifest_findings(), npm_vuln(), npm_outdated(), python_vuln()) + flat,
         "scan_all": all_findings + flat,
         "scan_pruned": _scan(
-            f"SELECT * FROM ({ALL_FILES}) WHERE NOT ({below_ignored(paths.LISTING_IGNORED_DIRS)})",
+            f"SELECT * FROM ({ALL_FILES}) WHERE NOT ({below_ignored(expected.LISTING_IGNORED_DIRS)})",
             rule_matches(lambda r: r.analyzer == "file-ops"), extension_findings(), manifest_findings(True),
             npm_vuln(), npm_outdated(), python_vuln(), rust_info(True), ctes=(npm_cte(True), python_cte(True)),
         ) + flat,
@@ -616,17 +656,17 @@ def sql() -> dict[str, str]:
                      row_number() OVER (PARTITION BY o_orderkey % 100 ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR)) AS position
               FROM orders) WHERE position <= 100""",
         "git_files_changed": """
-            WITH entries AS (SELECT l_orderkey AS k, 'src/p' || (l_partkey % 20) || '.py' AS path, min(l_suppkey % 3) AS blob
+            WITH entries AS (SELECT l_orderkey AS k, 'src/p' || (l_partkey % 20) || '.py' AS path, min(l_suppkey % 3) AS blob, max(l_linenumber) > 4 AS executable
                              FROM lineitem GROUP BY ALL),
             own AS (SELECT e.* FROM entries e JOIN orders ON k = o_orderkey),
-            old AS (SELECT o_orderkey AS k, path, blob FROM orders JOIN entries e ON e.k = o_orderkey - 100 WHERE o_orderkey >= 100)
+            old AS (SELECT o_orderkey AS k, path, blob, executable FROM orders JOIN entries e ON e.k = o_orderkey - 100 WHERE o_orderkey >= 100)
             SELECT 'r' || (coalesce(n.k, p.k) % 100) AS repo, CAST(coalesce(n.k, p.k) AS VARCHAR) AS "commit",
                    coalesce(n.path, p.path) AS path
             FROM own n FULL OUTER JOIN old p ON n.k = p.k AND n.path = p.path
-            WHERE n.blob IS DISTINCT FROM p.blob""",
+            WHERE n.blob IS DISTINCT FROM p.blob OR n.executable IS DISTINCT FROM p.executable""",
         "is_git": f"""SELECT repo, bool_or(path = '.git' OR starts_with(path, '.git/')) AS is_git FROM ({ALL_FILES}) GROUP BY repo""",
         "repo_urls": f"""
-            SELECT page_id, candidate, ({ssh} OR {_starts(url, repo_urls.OTHER_PREFIXES)})
+            SELECT page_id, candidate, ({ssh} OR {_starts(url, expected.OTHER_PREFIXES)})
                      AND ({known_host} OR {ssh} OR ends_with({url}, '.git')) AS is_valid
             FROM (SELECT page_id, unnest([url, '  ' || url || '.git' || chr(9), 'git@' || {rest}, 'ssh://' || {rest},
                     'https://github.com/' || {rest}, 'GIT://' || {rest} || '.git', ' ']) AS candidate FROM pages)""",
@@ -669,7 +709,7 @@ def sql() -> dict[str, str]:
         "text_report": text_report(),
         "findings_table": all_findings + flat,
     }
-    for name_ in indicators.PATTERNS:
+    for name_ in expected.PATTERNS:
         out[f"indicators_{name_}"] = indicator(name_)
     registry = default_registry()
     registry.disable("secrets")

@@ -63,6 +63,8 @@ LINES = [
     ("txt", "S07", "xoxb-000000000000-planted"),
     ("txt", "S08", "AIzaPLANTED0PLANTED0PLANTED0PLANTED0"),
     ("txt", "S09", "-----BEGIN RSA PRIVATE KEY-----"),
+    ("txt", "S09", "-----BEGIN A B C D E F G H I PRIVATE KEY-----"),
+    ("txt", "S09", "-----BEGIN " + "AB " * 1000 + "PRIVATE KEY-----"),
     ("txt", "S10", 'Password: "longenough1"'),
     ("txt", "S11", 'api_key = "abcdefghij0123456789"'),
     ("txt", "-", 'password = os.getenv("PW")'),
@@ -119,9 +121,10 @@ VERSIONS = [
     "16.0.0", "latest",
 ]
 
-CONFIG = (
+CONFIGS = [
     '[core]\n\tbare = false\n[remote "origin"]\n\turl = "{url}.git"\n'
     "\tfetch = +refs/heads/*:refs/remotes/origin/*\n"
     '[submodule "lib"]\n\turl = http://sub.example.net/x.git\n'
-    '[remote "b"]\n  url=http://localhost/z.git ; comment\n[branch "main"]\n\tremote = origin\n'
-)
+    '[remote "b"]\n  url=http://localhost/z.git ; comment\n[branch "main"]\n\tremote = origin\n',
+    '[Remote "origin"]\n\tURL = {url}\n',
+]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,13 +13,14 @@ from linewarden.functions import paths, repo_urls, severity, text
 from linewarden.operators import dependencies as deps
 from linewarden.operators import findings as fi
 from linewarden.operators import git, indicators, lines
+from linewarden.functions.severity import RANKS
 from linewarden.operators import path_findings, summary
-from linewarden.plans.registry import default_registry
+from linewarden.plans.registry import Analyzer, AnalyzerRegistry, default_registry
 from linewarden.plans.scan import Corpus, scan, scan_filtered
-from linewarden.reports import html, sarif, sinks
+from linewarden.reports import fragments, html, sarif, sinks
 from linewarden.reports import text as text_reports
-from linewarden.session import configure
-from linewarden.sources.files import spread
+from linewarden.rules import Rule
+from linewarden.session import configure, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,7 +49,13 @@ def registered() -> dict[str, Query]:
 
 @query("lines_documents")
 def lines_documents(spark, sf):
-    return lines.lines(spread(c.document_files(spark, sf)))
+    return lines.lines(c.spread(c.document_files(spark, sf)))
+
+
+@query("lines_bytes")
+def lines_bytes(spark, sf):
+    """Lines of binary content; a file that is no valid UTF-8 has none."""
+    return lines.lines(c.spread(c.byte_files(spark, sf)))
 
 
 @query("file_stats")
@@ -133,7 +141,7 @@ def scan_domains(spark, sf):
 
 @query("scan_secrets")
 def scan_secrets(spark, sf):
-    return _flat(scan(Corpus(spread(c.planted_files(spark, sf))), ["secrets"]))
+    return _flat(scan(Corpus(c.text_files(spark, sf)), ["secrets"]))
 
 
 @query("scan_file_ops")
@@ -143,7 +151,7 @@ def scan_file_ops(spark, sf):
 
 @query("scan_language_rules")
 def scan_language_rules(spark, sf):
-    found = scan(Corpus(spread(c.planted_files(spark, sf))), ["file-ops"])
+    found = scan(Corpus(c.text_files(spark, sf)), ["file-ops"])
     return _flat(found.where("rule_id = 'FILE-LANG-001'"))
 
 
@@ -212,6 +220,13 @@ def deps_python_vuln(spark, sf):
     return _flat(deps.python_vulnerabilities(deps.python_requirements(c.planted_manifests(spark, sf))))
 
 
+@query("deps_python_table")
+def deps_python_table(spark, sf):
+    """Requirements and advisories that both grow with the parts."""
+    found = deps.python_requirements(c.part_requirements(spark, sf))
+    return _flat(deps.python_vulnerabilities(found, c.part_advisories(spark, sf))).drop("id")
+
+
 @query("deps_rust_info")
 def deps_rust_info(spark, sf):
     return _flat(deps.rust_notes(c.planted_manifests(spark, sf)))
@@ -251,7 +266,7 @@ def git_files_changed(spark, sf):
 
 @query("is_git")
 def is_git(spark, sf):
-    return git.is_git(c.all_files(spark, sf))
+    return git.is_git(c.all_paths(spark, sf))
 
 
 @query("repo_urls")
@@ -304,7 +319,8 @@ def findings_min_severity(spark, sf):
 
 @query("findings_by_analyzer")
 def findings_by_analyzer(spark, sf):
-    return _flat(fi.by_analyzer(_everything(spark, sf), "secrets"))
+    """One analyzer is chosen when planning, so the rules of the others do not run."""
+    return _flat(scan(c.corpus(spark, sf), ["secrets"]))
 
 
 @query("analyzer_list")
@@ -323,28 +339,28 @@ def analyzer_list(spark, sf):
 @query("severity_summary")
 def severity_summary(spark, sf):
     corpus = c.corpus(spark, sf)
-    return summary.severity_summary(scan(corpus), corpus.repos()).drop("max_severity")
+    return summary.severity_summary(scan(corpus), c.all_paths(spark, sf)).drop("max_severity")
 
 
 @query("filtered_summary")
 def filtered_summary(spark, sf):
     """The summary recomputed on the findings a filter keeps."""
     corpus = c.corpus(spark, sf)
-    return summary.severity_summary(scan_filtered(corpus, "high"), corpus.repos())
+    return summary.severity_summary(scan_filtered(corpus, "high"), c.all_paths(spark, sf))
 
 
 @query("scan_reports")
 def scan_reports(spark, sf):
     corpus, registry = c.corpus(spark, sf), default_registry()
     names = [a.name for a in registry.enabled()]
-    headers = summary.scan_reports(scan(corpus, registry=registry), corpus.repos(), names, SCAN_TIME, 2.45)
+    headers = summary.scan_reports(scan(corpus, registry=registry), c.all_paths(spark, sf), names, SCAN_TIME, 2.45)
     return headers.withColumn("analyzers", F.array_join("analyzers", ","))
 
 
 @query("max_severity")
 def max_severity(spark, sf):
     corpus = c.corpus(spark, sf)
-    return summary.severity_summary(scan(corpus), corpus.repos()).select("repo", "max_severity")
+    return summary.severity_summary(scan(corpus), c.all_paths(spark, sf)).select("repo", "max_severity")
 
 
 @query("total_summary")
@@ -355,7 +371,8 @@ def total_summary(spark, sf):
 @query("ci_gate")
 def ci_gate(spark, sf):
     corpus = c.corpus(spark, sf)
-    return summary.ci_gate(scan(corpus), corpus.repos())
+    # only findings from high severity on can fail the gate
+    return summary.ci_gate(scan(corpus, min_rank=RANKS["HIGH"]), c.all_paths(spark, sf))
 
 
 @query("rules_first")
@@ -418,6 +435,12 @@ def sarif_results(spark, sf):
     return sarif.sarif_results(_everything(spark, sf)).select("repo", "id", "result")
 
 
+def _stored(findings: DataFrame) -> DataFrame:
+    """The findings from a new table in the shared folder, so that reports scan the corpus once."""
+    folder = shared_dir(findings.sparkSession)
+    return sinks.stored(findings, f"{folder}/findings-{uuid.uuid4().hex}")
+
+
 def _document(fragments: DataFrame) -> DataFrame:
     return fragments.select("repo", "section", "band", "id", "fragment")
 
@@ -425,22 +448,84 @@ def _document(fragments: DataFrame) -> DataFrame:
 @query("sarif_document")
 def sarif_document(spark, sf):
     corpus = c.corpus(spark, sf)
-    return _document(sarif.sarif_document(sinks.stored(scan(corpus)), corpus.repos(), SCAN_TIME, 2.45, "low"))
+    return _document(sarif.sarif_document(_stored(scan(corpus)), c.all_paths(spark, sf), SCAN_TIME, 2.45, "low"))
 
 
 @query("html_document")
 def html_document(spark, sf):
     corpus = c.corpus(spark, sf)
-    return _document(html.html_document(sinks.stored(scan(corpus)), corpus.repos(), SCAN_TIME, 2.45, "low"))
+    return _document(html.html_document(_stored(scan(corpus)), c.all_paths(spark, sf), SCAN_TIME, 2.45, "low"))
 
 
 @query("text_report")
 def text_report(spark, sf):
     corpus = c.corpus(spark, sf)
-    return _document(text_reports.text_report(sinks.stored(scan(corpus)), corpus.repos(), SCAN_TIME, 2.45, "medium"))
+    return _document(text_reports.text_report(_stored(scan(corpus)), c.all_paths(spark, sf), SCAN_TIME, 2.45, "medium"))
+
+
+def _report(spark, sf, name: str, **options) -> DataFrame:
+    corpus = c.corpus(spark, sf)
+    found = _stored(scan(corpus))
+    return _document(sinks.report(found, c.all_paths(spark, sf), SCAN_TIME, name, **options))
+
+
+@query("report_console")
+def report_console(spark, sf):
+    return _report(spark, sf, "Console", duration_secs=2.45, min_severity="medium")
+
+
+@query("report_web")
+def report_web(spark, sf):
+    return _report(spark, sf, "HTML", duration_secs=2.45, min_severity="low")
+
+
+@query("report_json")
+def report_json(spark, sf):
+    return _report(spark, sf, "json", duration_secs=2.45, min_severity="low")
+
+
+def _short(findings: DataFrame, repos: DataFrame, scan_time: str) -> DataFrame:
+    """A report of a user: one line per finding."""
+    line = F.concat_ws(" ", F.lit(scan_time), "rule_id", "file")
+    return fragments.rows(findings, fragments.FINDINGS, line, with_place=True)
+
+
+@query("report_user")
+def report_user(spark, sf):
+    """A format of the caller, under a name of its own."""
+    sinks.register_format("short", _short)
+    return _report(spark, sf, "short")
+
+
+#: A rule of a user, and findings that need only the path.
+USER_RULE = Rule(
+    "N1", "notes", "NOTE-001", "LOW", "License named", r"\b[A-Z]+ License\b",
+    description="A license is named", remediation="Check the license",
+)
+
+
+def _user_findings(corpus: Corpus) -> list[DataFrame]:
+    return [fi.to_findings(
+        corpus.listed().where(F.col("path").endswith(".html")).select("repo", "path"),
+        analyzer="notes", rule_id="NOTE-002", severity="INFO", title="Web page", file=F.col("path"),
+        references=F.array(F.lit("https://example.net/notes"), F.col("path")), order=(0, 0, -1, 0, 0),
+    )]
+
+
+@query("user_analyzer")
+def user_analyzer(spark, sf):
+    """An analyzer of a user before a built-in one; both stand in the order of registration."""
+    secrets = next(a for a in default_registry().analyzers if a.name == "secrets")
+    registry = AnalyzerRegistry().register(
+        Analyzer("notes", "Notes", rules=(USER_RULE,), analyze=_user_findings)
+    ).register(secrets)
+    found = scan(Corpus(c.text_files(spark, sf)), registry=registry)
+    return found.select(
+        *FLAT, F.array_join("references", " ").alias("refs"), F.col("ord.analyzer").alias("place")
+    )
 
 
 @query("findings_table")
 def findings_table(spark, sf):
     """Written as a partitioned table in the shared folder and read back."""
-    return _flat(sinks.stored(_everything(spark, sf)))
+    return _flat(_stored(_everything(spark, sf)))

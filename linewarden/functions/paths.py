@@ -10,29 +10,36 @@ from linewarden.functions.text import fold_name
 
 # Extension, directory and file name lists.
 LISTING_BINARY_EXTENSIONS = (
-    "exe dll so dylib bin png jpg jpeg gif ico pdf zip tar gz 7z woff woff2".split()
+    "exe", "dll", "so", "dylib", "bin", "png", "jpg", "jpeg", "gif", "ico", "pdf", "zip", "tar",
+    "gz", "7z", "woff", "woff2",
 )
 BINARY_EXTENSIONS = (
-    "exe dll so dylib bin png jpg jpeg gif ico pdf zip tar gz 7z rar bz2 xz woff woff2 ttf eot "
-    "mp3 mp4 avi mov wmv flv mkv class jar war ear a lib obj o".split()
+    "exe", "dll", "so", "dylib", "bin", "png", "jpg", "jpeg", "gif", "ico", "pdf", "zip", "tar",
+    "gz", "7z", "rar", "bz2", "xz", "woff", "woff2", "ttf", "eot", "mp3", "mp4", "avi", "mov",
+    "wmv", "flv", "mkv", "class", "jar", "war", "ear", "a", "lib", "obj", "o",
 )
 TEXT_EXTENSIONS = (
-    "txt md rst adoc json yaml yml toml xml html htm css scss sass less js jsx ts tsx py rs go "
-    "java kt kts c h cpp hpp cc cxx cs php rb sh bash zsh fish ps1 psm1 sql graphql gql wsdl xsd "
-    "dtd xslt svg vue svelte astro elm dart lua r rmd jl nim v zig cr ex exs erl hs lhs fs fsi "
-    "fsx ml mli lisp lsp scm rkt clj cljs cljc edn pl pm t pod".split()
+    "txt", "md", "rst", "adoc", "json", "yaml", "yml", "toml", "xml", "html", "htm", "css",
+    "scss", "sass", "less", "js", "jsx", "ts", "tsx", "py", "rs", "go", "java", "kt", "kts", "c",
+    "h", "cpp", "hpp", "cc", "cxx", "cs", "php", "rb", "sh", "bash", "zsh", "fish", "ps1", "psm1",
+    "sql", "graphql", "gql", "wsdl", "xsd", "dtd", "xslt", "svg", "vue", "svelte", "astro", "elm",
+    "dart", "lua", "r", "rmd", "jl", "nim", "v", "zig", "cr", "ex", "exs", "erl", "hs", "lhs",
+    "fs", "fsi", "fsx", "ml", "mli", "lisp", "lsp", "scm", "rkt", "clj", "cljs", "cljc", "edn",
+    "pl", "pm", "t", "pod",
 )
 LISTING_IGNORED_DIRS = (
-    ".git node_modules target .venv venv __pycache__ .vscode .idea dist build".split()
+    ".git", "node_modules", "target", ".venv", "venv", "__pycache__", ".vscode", ".idea", "dist",
+    "build",
 )
 IGNORED_DIRS = (
-    ".git .svn .hg node_modules target build dist .venv venv .virtualenv __pycache__ "
-    ".pytest_cache .vscode .idea .vs vendor third_party .bundle tmp temp .gradle gradle .maven "
-    "maven".split()
+    ".git", ".svn", ".hg", "node_modules", "target", "build", "dist", ".venv", "venv",
+    ".virtualenv", "__pycache__", ".pytest_cache", ".vscode", ".idea", ".vs", "vendor",
+    "third_party", ".bundle", "tmp", "temp", ".gradle", "gradle", ".maven", "maven",
 )
 LOCK_FILES = (
-    "package-lock.json yarn.lock pnpm-lock.yaml cargo.lock go.sum pom.xml build.gradle "
-    "gradle.lock gemfile.lock composer.lock packages.lock.json poetry.lock".split()
+    "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "cargo.lock", "go.sum", "pom.xml",
+    "build.gradle", "gradle.lock", "gemfile.lock", "composer.lock", "packages.lock.json",
+    "poetry.lock",
 )
 URL_SKIPPED_NAMES = ("package-lock.json", "yarn.lock", "Cargo.lock")
 LANGUAGES = {

@@ -13,8 +13,8 @@ from linewarden.functions.text import trim_unicode
 SSH_PREFIXES = ("git@", "ssh://")
 OTHER_PREFIXES = ("https://", "http://", "git://")
 KNOWN_HOSTS = (
-    "github.com gitlab.com bitbucket.org codeberg.org git.sr.ht gitea.com notabug.org "
-    "framagit.org gitlab.gnome.org git.kernel.org sourcegraph.com".split()
+    "github.com", "gitlab.com", "bitbucket.org", "codeberg.org", "git.sr.ht", "gitea.com",
+    "notabug.org", "framagit.org", "gitlab.gnome.org", "git.kernel.org", "sourcegraph.com",
 )
 
 

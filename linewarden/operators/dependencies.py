@@ -43,16 +43,28 @@ AUDITS = {
     "go": "govulncheck",
 }
 OTHER_AUDIT = "Use appropriate security scanner"
+RUST_TITLE = "Rust dependencies detected in "
+RUST_ADVICE = "Run `cargo audit` to check for vulnerabilities"
 
 SECTIONS = ("dependencies", "devDependencies")
 
+#: First characters of an advisory's package that candidates are found by.
+GRAM = 3
+
 
 #: Positions of outdated-version findings start here, after all advisories of a package.
 OUTDATED_POS = 1 << 30
 
+
 def _place(given: DataFrame) -> DataFrame:
-    """Advisories of the caller get a stable place; the built-in ones carry theirs."""
-    return given.withColumn("adv", F.xxhash64(*given.columns).bitwiseAND(OUTDATED_POS - 1).cast("int"))
+    """Advisories of the caller get a stable place; the built-in ones carry theirs.
+
+    The place has 30 bits, so the whole hash goes into the finding's id as well.
+    """
+    whole = F.xxhash64(*given.columns)
+    return given.withColumns(
+        {"adv": whole.bitwiseAND(OUTDATED_POS - 1).cast("int"), "adv_key": whole.cast("string")}
+    )
 
 
 def npm_advisories(spark: SparkSession, given: DataFrame | None = None) -> DataFrame:
@@ -68,6 +80,7 @@ def npm_advisories(spark: SparkSession, given: DataFrame | None = None) -> DataF
         F.upper("severity").alias("severity"),
         F.lit(None).cast("string").alias("advice"),
         "adv",
+        "adv_key",
     )
 
 
@@ -84,11 +97,15 @@ def npm_minimums(spark: SparkSession, given: DataFrame | None = None) -> DataFra
         F.lit("LOW").alias("severity"),
         "advice",
         (F.col("adv") + OUTDATED_POS).alias("adv"),
+        "adv_key",
     )
 
 
 def python_advisories(spark: SparkSession, given: DataFrame | None = None) -> DataFrame:
-    """Python advisories as join rows; names only need to be contained, so the key is the version."""
+    """Python advisories as join rows; names only need to be contained, so the key is the version.
+
+    That key suits the few built-in advisories; see ``_python_hits`` for a table of the caller.
+    """
     rows = _table(spark, given, PYTHON_ADVISORIES, schema.PYTHON_ADVISORIES)
     return rows.select(
         F.lit("python").alias("ecosystem"),
@@ -100,13 +117,15 @@ def python_advisories(spark: SparkSession, given: DataFrame | None = None) -> Da
         F.upper("severity").alias("severity"),
         F.lit(None).cast("string").alias("advice"),
         "adv",
+        "adv_key",
     )
 
 
 def _table(spark: SparkSession, given, fixed: tuple, sql_schema: str) -> DataFrame:
     if given is not None:
         return _place(given)
-    return spark.createDataFrame([(*row, i) for i, row in enumerate(fixed)], sql_schema + ", adv INT")
+    rows = [(*row, i, "") for i, row in enumerate(fixed)]
+    return spark.createDataFrame(rows, sql_schema + ", adv INT, adv_key STRING")
 
 
 def manifests(files: DataFrame, nested: bool = False) -> DataFrame:
@@ -117,10 +136,15 @@ def manifests(files: DataFrame, nested: bool = False) -> DataFrame:
     return found.select("*", "m.language", "m.description", "m.rank").drop("m")
 
 
-def manifest_findings(files: DataFrame, nested: bool = False) -> DataFrame:
+def audit_note(language: Column) -> Column:
+    """Remediation of a manifest finding."""
     audit = F.lit(OTHER_AUDIT)
-    for language, command in AUDITS.items():
-        audit = F.when(F.col("language") == language, command).otherwise(audit)
+    for known, command in AUDITS.items():
+        audit = F.when(language == known, command).otherwise(audit)
+    return F.concat(F.lit("Consider running a security audit: "), audit)
+
+
+def manifest_findings(files: DataFrame, nested: bool = False) -> DataFrame:
     return to_findings(
         manifests(files.drop("content"), nested),
         analyzer="dependencies",
@@ -128,7 +152,7 @@ def manifest_findings(files: DataFrame, nested: bool = False) -> DataFrame:
         severity="INFO",
         title=F.concat("description", F.lit(" dependency file")),
         file=F.col("path"),
-        remediation=F.concat(F.lit("Consider running a security audit: "), audit),
+        remediation=audit_note(F.col("language")),
         order=(ANALYZER_ORDER["dependencies"], 0, 0, F.col("rank"), 0),
     )
 
@@ -156,7 +180,7 @@ def normalize_npm_version(version: Column) -> Column:
 _PACKAGE = "struct<section_ord:int,package_ord:int,package:string,raw_version:string,version:string>"
 
 
-def _npm_packages(text: Column) -> Column:
+def npm_packages(text: Column) -> Column:
     """Array of the packages of an npm document, by section and name."""
 
     def section(doc: Column, i: int, name: str) -> Column:
@@ -184,7 +208,7 @@ def _npm_packages(text: Column) -> Column:
     )
 
 
-def _python_packages(text: Column) -> Column:
+def python_packages(text: Column) -> Column:
     """Array of the pinned packages of a python manifest, by line (in ``section_ord``)."""
     numbered = F.transform(
         raw_lines(text),
@@ -211,7 +235,7 @@ def dependencies(
     ``(repo, path, ecosystem, section_ord, package_ord, package, raw_version, version)``.  All
     javascript manifests are tried as JSON and all python manifests as requirement lines.
     """
-    readers = {"javascript": _npm_packages, "python": _python_packages}
+    readers = {"javascript": npm_packages, "python": python_packages}
     found = manifests(files, nested).where(F.col("language").isin(list(ecosystems)))
     texts = found.select(
         "repo", "path", F.col("language").alias("ecosystem"),
@@ -236,26 +260,23 @@ def python_requirements(files: DataFrame, nested: bool = False) -> DataFrame:
     return dependencies(files, nested, ("python",)).withColumn("line", F.col("section_ord"))
 
 
-def advisory_findings(deps: DataFrame, known: DataFrame, small: bool = False) -> DataFrame:
-    """Dependency rows joined with advisory rows on (ecosystem, key).
-
-    npm advisories ask for the exact package and for the advisory's version or one below it,
-    minimum versions for a numeric major version under the minimum, python advisories for a
-    package that contains the advisory's.  ``small`` marks advisory rows whose number is fixed
-    for broadcast.  A table of the caller has no known bound: Spark decides from its statistics,
-    and past the broadcast threshold adaptive execution splits the skewed side of the join.
-    """
+def keyed(deps: DataFrame) -> DataFrame:
+    """Dependency rows with their join key and major version."""
     python = F.col("ecosystem") == "python"
     first = F.split_part("version", F.lit("."), F.lit(1))
     # The cast alone would also take blanks around the digits.
     major = F.when(first.rlike(r"\A[+-]?[0-9]+\z"), first.try_cast("int"))
-    keyed = deps.withColumns({
+    return deps.withColumns({
         "key": F.when(python, F.col("version")).otherwise(fold_name(F.col("package"))),
         "major": F.when(~python, major),
     })
-    hit = (
+
+
+def is_hit() -> Column:
+    """Whether an advisory row of the same key concerns the dependency."""
+    return (
         F.when(F.col("min_major").isNotNull(), F.col("major") < F.col("min_major"))
-        .when(python, F.col("package").contains(F.col("a_package")))
+        .when(F.col("ecosystem") == "python", F.col("package").contains(F.col("a_package")))
         .otherwise(
             (F.col("package") == F.col("a_package"))
             & (
@@ -264,7 +285,55 @@ def advisory_findings(deps: DataFrame, known: DataFrame, small: bool = False) ->
             )
         )
     )
-    joined = keyed.join(F.broadcast(known) if small else known, ["ecosystem", "key"]).where(hit)
+
+
+def built_in(spark: SparkSession) -> DataFrame:
+    """All built-in advisories and minimum versions."""
+    return npm_advisories(spark).unionByName(npm_minimums(spark)).unionByName(python_advisories(spark))
+
+
+def _python_hits(deps: DataFrame, known: DataFrame) -> DataFrame:
+    """Dependency rows with the advisories of their version whose package they contain.
+
+    A version like 1.0.0 has very many packages and advisories, so it is no join key alone.
+    Each distinct package name is paired with the advisory names it contains, found by their
+    first characters at each place of the name; then distinct (package, version) meet the
+    advisories on (advisory package, version), and the dependencies meet what is left.
+    """
+    names = deps.select("package").distinct()
+    starts = F.sequence(F.lit(1), F.length("package") + 1)
+    grams = F.flatten(F.transform(starts, lambda i: F.array(
+        *[F.substring(F.col("package"), i, F.lit(n)) for n in range(GRAM + 1)]
+    )))
+    wanted = known.select("a_package", F.substring("a_package", 1, GRAM).alias("gram")).distinct()
+    pairs = names.select("package", F.explode(F.array_distinct(grams)).alias("gram")).join(
+        wanted, "gram"
+    ).where(F.col("package").contains(F.col("a_package"))).select("package", "a_package")
+    hits = deps.select("package", "version").distinct().join(pairs, "package").join(
+        known.drop("ecosystem", "key").withColumn("version", F.col("a_version")),
+        ["a_package", "version"],
+    )
+    return deps.join(hits, ["package", "version"])
+
+
+def advisory_findings(deps: DataFrame, known: DataFrame, small: bool = False) -> DataFrame:
+    """Dependency rows joined with advisory rows on (ecosystem, key).
+
+    npm advisories ask for the exact package and for the advisory's version or one below it,
+    minimum versions for a numeric major version under the minimum, python advisories for a
+    package that contains the advisory's.  ``small`` marks advisory rows whose number is fixed
+    for broadcast.  A table of the caller has no known bound: Spark decides from its statistics,
+    past the broadcast threshold adaptive execution splits the skewed side of the join, and
+    python advisories are joined by name and version.
+    """
+    python = F.col("ecosystem") == "python"
+    asked = keyed(deps)
+    if small:
+        joined = asked.join(F.broadcast(known), ["ecosystem", "key"]).where(is_hit())
+    else:
+        joined = asked.where(~python).join(
+            known.where(~python), ["ecosystem", "key"]
+        ).where(is_hit()).unionByName(_python_hits(asked.where(python), known.where(python)))
     outdated = F.col("min_major").isNotNull()
     upgrade = F.concat(F.lit("Upgrade "), "package", F.lit(" to a patched version"))
     return to_findings(
@@ -280,6 +349,7 @@ def advisory_findings(deps: DataFrame, known: DataFrame, small: bool = False) ->
         order=(
             ANALYZER_ORDER["dependencies"], 1, F.col("section_ord"), F.col("package_ord"), F.col("adv"),
         ),
+        same_place_key=F.col("adv_key"),
     )
 
 
@@ -308,8 +378,8 @@ def rust_notes(files: DataFrame, nested: bool = False) -> DataFrame:
         analyzer="dependencies",
         rule_id="DEP-INFO-001",
         severity="INFO",
-        title=F.concat(F.lit("Rust dependencies detected in "), "path"),
+        title=F.concat(F.lit(RUST_TITLE), "path"),
         file=F.col("path"),
-        remediation="Run `cargo audit` to check for vulnerabilities",
+        remediation=RUST_ADVICE,
         order=(ANALYZER_ORDER["dependencies"], 1, 0, 0, 0),
     )

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linewarden.functions.arrays import let
 from linewarden.functions.text import decode_utf8
 from linewarden.operators.findings import ANALYZER_ORDER, to_findings
 
@@ -28,21 +29,29 @@ def remotes_from_config(files: DataFrame) -> DataFrame:
         files = files.where("kind = 'git-config'")
     text = decode_utf8(F.col("content"))
     configs = files.where(F.col("path") == CONFIG_PATH).select("repo", text.alias("content"))
-    sections = configs.where(F.col("content").contains("remote")).select(
-        "repo", F.posexplode(F.split("content", _SECTION_START, -1)).alias("pos", "section")
-    )
-    values = F.regexp_extract_all("section", F.lit(_URL_LINE), F.lit(1))
-    urls = sections.where(F.col("section").rlike(_REMOTE_HEADER)).select(
-        "repo",
-        "pos",
-        F.regexp_extract("section", _REMOTE_HEADER, 1).alias("remote"),
-        F.trim(F.translate(F.get(F.reverse(values), F.lit(0)), '"\t', " ")).alias("url"),
-    )
-    return (
-        urls.where("url <> ''")
-        .groupBy("repo", "remote")
-        .agg(F.max_by("url", "pos").alias("url"))
-    )
+    return configs.select("repo", F.inline(remotes_of(F.col("content"))))
+
+
+def remotes_of(config: Column) -> Column:
+    """Array of (remote, url) of one config; of settings of one remote the last counts."""
+
+    def remote(section: Column) -> Column:
+        values = F.regexp_extract_all(section, F.lit(_URL_LINE), F.lit(1))
+        return F.struct(
+            F.regexp_extract(section, _REMOTE_HEADER, 1).alias("remote"),
+            F.trim(F.translate(F.get(F.reverse(values), F.lit(0)), '"\t', " ")).alias("url"),
+        )
+
+    sections = F.filter(F.split(config, _SECTION_START, -1), lambda s: s.rlike(_REMOTE_HEADER))
+    found = F.filter(F.transform(sections, remote), lambda r: r["url"] != "")
+
+    def last_of_each(found: Column) -> Column:
+        names = F.array_distinct(F.transform(found, lambda r: r["remote"]))
+        return F.transform(
+            names, lambda n: F.element_at(F.filter(found, lambda r: r["remote"] == n), -1)
+        )
+
+    return let(found, last_of_each)
 
 
 def origin_urls(remotes: DataFrame) -> DataFrame:
@@ -92,15 +101,16 @@ def recent_commits(commits: DataFrame, max_count: int = 100) -> DataFrame:
 
 
 def files_changed(commits: DataFrame, tree_entries: DataFrame) -> DataFrame:
-    """``(repo, commit, path)`` of each path that differs from the first parent's tree.
+    """``(repo, commit, path)`` of each path whose content or mode differs from the first parent's tree.
 
     Every tree entry is sent to the commit it belongs to and to the commits it is the first
     parent of; one aggregation on (repo, commit, path) then sees both sides, which is a full
-    outer join of the trees with a single shuffle on a key without hot values.  The look-up of
-    the children is an inner join, whose skewed partitions (a commit with very many entries)
-    adaptive execution splits.  The first commit lists all its paths.
+    outer join of the trees on a key without hot values.  The entries are shuffled twice: for
+    the look-up of the children, an inner join whose skewed partitions (a commit with very many
+    entries) adaptive execution splits, and for the aggregation.  The first commit lists all its paths.
     """
     parent = F.get("parents", F.lit(0))
+    entry = F.concat_ws(" ", "blob", "mode") if "mode" in tree_entries.columns else F.col("blob")
     # A commit is listed with itself (its own side) and with its parent (the other side).
     sides = F.array(
         F.struct(F.col("hash").alias("commit"), F.lit(True).alias("own")),
@@ -111,11 +121,11 @@ def files_changed(commits: DataFrame, tree_entries: DataFrame) -> DataFrame:
         "repo",
         F.col("child").alias("commit"),
         "path",
-        F.when(F.col("own"), F.col("blob")).alias("new_blob"),
-        F.when(~F.col("own"), F.col("blob")).alias("old_blob"),
+        F.when(F.col("own"), entry).alias("new_entry"),
+        F.when(~F.col("own"), entry).alias("old_entry"),
     )
     compared = both.groupBy("repo", "commit", "path").agg(
-        F.max("new_blob").alias("new_blob"), F.max("old_blob").alias("old_blob")
+        F.max("new_entry").alias("new_entry"), F.max("old_entry").alias("old_entry")
     )
-    changed = ~F.col("new_blob").eqNullSafe(F.col("old_blob"))
+    changed = ~F.col("new_entry").eqNullSafe(F.col("old_entry"))
     return compared.where(changed).select("repo", "commit", "path")

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from linewarden.functions.dialect import java_pattern
 
 # The indicator patterns.
-_OCTET = "(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
 PATTERNS = {
     "email": (r"\b[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}\b", True),
-    "ipv4": (rf"\b(?:{_OCTET}\.){{3}}{_OCTET}\b", False),
+    "ipv4": (
+        r"\b(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\b",
+        False,
+    ),
     "uuid": (r"\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b", False),
     "base64": (r"[A-Za-z0-9+/]{20,}={0,2}", False),
     "hex": (r"[0-9a-f]{16,}", True),

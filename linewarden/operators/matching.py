@@ -57,16 +57,22 @@ def _pieces(rules: list[Rule]) -> Column:
     return F.expr(f"CASE rule {branches} END")
 
 
-def match_all(lines: DataFrame, rules, keep: list[str]) -> DataFrame:
+def match_all(lines: DataFrame, rules, keep: list[str], passing: Column | None = None) -> DataFrame:
     """``keep``, line, rule (position in ``rules``), column, evidence for every match.
 
     Matches are non-overlapping and leftmost per rule; rules may overlap each other.  The
     column is the byte offset in the line: the pieces between the matches are cut out with the
-    same pattern, and lengths of pieces and matches are added up.
+    same pattern, and lengths of pieces and matches are added up.  Rows for which ``passing``
+    holds go through as they are, as rule -1 without a column.
     """
     rules = list(rules)
-    hits = lines.select(*keep, "line", "text", F.explode(_hits(rules)).alias("hit"))
-    hits = hits.select(*keep, "line", "text", "hit.rule", "hit.found")
+    found = _hits(rules)
+    if passing is not None:
+        through = F.expr(f"CAST(array(named_struct('rule', -1, 'found', array(''))) AS {_HITS})")
+        found = F.when(passing, through).otherwise(found)
+    cut = [c for c in ("line", "text") if c not in keep]
+    hits = lines.select(*keep, *cut, F.explode(found).alias("hit"))
+    hits = hits.select(*keep, *cut, "hit.rule", "hit.found")
     found = F.col("found")
 
     def steps(pieces: Column) -> Column:
@@ -78,7 +84,17 @@ def match_all(lines: DataFrame, rules, keep: list[str]) -> DataFrame:
 
     columns = let(_pieces(rules), lambda pieces: running_totals(steps(pieces)))
     zipped = F.arrays_zip(columns.alias("column"), found.alias("evidence"))
-    return hits.select(*keep, "line", "rule", F.inline(zipped).alias("column", "evidence"))
+    matches = hits.select(*keep, *[c for c in cut if c == "line"], "rule", F.inline(zipped).alias("column", "evidence"))
+    return matches.where(_is_match(rules))
+
+
+def _is_match(rules: list[Rule]) -> Column:
+    """Takes out the runs that a rule's linear form has passed over."""
+    branches = " ".join(
+        f"WHEN {i} THEN evidence RLIKE {sql_literal(rule.java_whole)}"
+        for i, rule in enumerate(rules) if rule.linear
+    )
+    return F.expr(f"CASE rule {branches} ELSE true END") if branches else F.lit(True)
 
 
 @dataclass(frozen=True)
@@ -93,13 +109,9 @@ class PlacedRule:
     rule: Rule
 
 
-def scan_lines(texts: DataFrame, placed: list[PlacedRule], use_prefilter: bool = True) -> DataFrame:
-    """Findings of the line rules over ``(repo, path, content, url_skipped, language)``."""
-    rules = [p.rule for p in placed]
-    wanted = prefilter(rules) if use_prefilter else None
-    keep = ["repo", "path", "url_skipped", "language"]
-    matches = match_all(explode_lines(texts, keep, wanted), rules, keep)
-    described = F.expr(
+def described(placed: list[PlacedRule]) -> Column:
+    """What a finding of each rule says, by position."""
+    return F.expr(
         "array("
         + ", ".join(
             f"named_struct('analyzer_ord', {p.analyzer_ord}, 'rule_ord', {p.rule_ord}, "
@@ -113,7 +125,15 @@ def scan_lines(texts: DataFrame, placed: list[PlacedRule], use_prefilter: bool =
         )
         + ")"
     )
-    known = matches.withColumn("r", F.get(described, F.col("rule")))
+
+
+def scan_lines(texts: DataFrame, placed: list[PlacedRule], use_prefilter: bool = True) -> DataFrame:
+    """Findings of the line rules over ``(repo, path, content, url_skipped, language)``."""
+    rules = [p.rule for p in placed]
+    wanted = prefilter(rules) if use_prefilter else None
+    keep = ["repo", "path", "url_skipped", "language"]
+    matches = match_all(explode_lines(texts, keep, wanted), rules, keep)
+    known = matches.withColumn("r", F.get(described(placed), F.col("rule")))
     r = F.col("r")
     shown = F.when(r["title_takes_match"], F.col("evidence")).otherwise("")
     return to_findings(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linewarden.functions.paths import SUSPICIOUS_EXTENSIONS
@@ -10,6 +10,18 @@ from linewarden.functions.severity import RANKS
 from linewarden.operators.findings import ANALYZER_ORDER, to_findings
 
 
+# Fixed value: the remediation of these findings.
+AUDIT_NOTE = "Consider whether this file should be in version control"
+
+
+def suspicious_suffix(path: Column) -> Column:
+    """The plain disjunction; it can be tested before anything is built."""
+    any_suffix = F.lit(False)
+    for suffix, _, _ in SUSPICIOUS_EXTENSIONS:
+        any_suffix = any_suffix | path.endswith(suffix)
+    return any_suffix
+
+
 def suspicious_extensions(files: DataFrame) -> DataFrame:
     """One finding per suspicious suffix of the path, also for unreadable files."""
     matched = F.array(
@@ -26,13 +38,9 @@ def suspicious_extensions(files: DataFrame) -> DataFrame:
             for i, (suffix, title, severity) in enumerate(SUSPICIOUS_EXTENSIONS)
         ]
     )
-    # The plain disjunction can be tested before anything is built.
-    any_suffix = F.lit(False)
-    for suffix, _, _ in SUSPICIOUS_EXTENSIONS:
-        any_suffix = any_suffix | F.col("path").endswith(suffix)
     rows = (
         files.select("repo", "path")
-        .where(any_suffix)
+        .where(suspicious_suffix(F.col("path")))
         .select("repo", "path", F.explode(F.array_compact(matched)).alias("x"))
     )
     return to_findings(
@@ -43,6 +51,6 @@ def suspicious_extensions(files: DataFrame) -> DataFrame:
         severity_rank=F.col("x.severity_rank"),
         title=F.col("x.title"),
         file=F.col("path"),
-        remediation="Consider whether this file should be in version control",
+        remediation=AUDIT_NOTE,
         order=(ANALYZER_ORDER["file-ops"], 0, -1, F.col("x.rule"), 0),
     )

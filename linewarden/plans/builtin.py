@@ -1,4 +1,4 @@
-"""The parts of the built-in analyzers that are not line rules."""
+"""Built-in findings that do not come from the pass over the files."""
 
 from __future__ import annotations
 
@@ -6,33 +6,31 @@ from pyspark.sql import DataFrame
 
 from linewarden.operators import dependencies as deps
 from linewarden.operators.git import insecure_remotes
-from linewarden.operators.path_findings import suspicious_extensions
 from linewarden.session import configure
 
+#: Built-in analyzers by the parts that may be left to this module.
+ANALYZER_OF = {"remote": "url", "package": "dependencies"}
 
-def remote_findings(corpus) -> list[DataFrame]:
-    return [insecure_remotes(corpus.remote_table())]
 
+def beside(corpus, kinds: set[str]) -> dict[str, DataFrame]:
+    """Findings for which the corpus brings tables of its own, by the part they stand for.
 
-def extension_findings(corpus) -> list[DataFrame]:
-    return [suspicious_extensions(corpus.listed())]
-
-
-def dependency_findings(corpus) -> list[DataFrame]:
-    """Manifest notes from paths alone, and one join of all dependencies with all advisories."""
-    files, nested = corpus.listed(), corpus.nested_manifests
-    spark = configure(files.sparkSession)
+    Remotes given as a table, and packages joined with advisories of the caller, whose number has
+    no known bound.  Rust notes are left out unless they are asked for.
+    """
+    spark = configure(corpus.files.sparkSession)
+    found = {}
+    if "remote" in kinds and corpus.remotes is not None:
+        found["remote"] = insecure_remotes(corpus.remotes)
     given = (corpus.npm_advisories, corpus.outdated, corpus.python_advisories)
-    known = (
-        deps.npm_advisories(spark, corpus.npm_advisories)
-        .unionByName(deps.npm_minimums(spark, corpus.outdated))
-        .unionByName(deps.python_advisories(spark, corpus.python_advisories))
-    )
-    fixed = all(table is None for table in given)
-    found = [
-        deps.manifest_findings(files, nested),
-        deps.advisory_findings(deps.dependencies(files, nested), known, fixed),
-    ]
-    if corpus.rust_notes:
-        found.append(deps.rust_notes(files, nested))
+    if "package" in kinds and any(table is not None for table in given):
+        known = (
+            deps.npm_advisories(spark, corpus.npm_advisories)
+            .unionByName(deps.npm_minimums(spark, corpus.outdated))
+            .unionByName(deps.python_advisories(spark, corpus.python_advisories))
+        )
+        packages = deps.dependencies(corpus.listed(), corpus.nested_manifests)
+        found["package"] = deps.advisory_findings(packages, known)
+    if not corpus.rust_notes:
+        kinds.discard("rust")
     return found

@@ -25,14 +25,16 @@ if TYPE_CHECKING:
 class Analyzer:
     """A named source of findings.
 
-    ``rules`` are line rules; those of all enabled analyzers run in one pass over the lines.
-    ``analyze`` gives further findings DataFrames of the corpus.
+    ``rules`` are line rules; those of all enabled analyzers run in one pass over the lines, and
+    so do the ``parts`` of files that built-in analyzers find.  ``analyze`` gives further findings
+    DataFrames of the corpus.
     """
 
     name: str
     description: str
     rules: tuple[Rule, ...] = ()
     analyze: Callable[[Corpus], Iterable[DataFrame]] | None = None
+    parts: tuple[str, ...] = ()
     enabled_by_default: bool = True
 
 
@@ -67,6 +69,12 @@ class AnalyzerRegistry:
         self._check(names)
         self.enabled_names = set(names)
 
+    def named(self, names: Iterable[str]) -> list[Analyzer]:
+        """These analyzers, in the order of registration; what is enabled stays as it is."""
+        names = set(names)
+        self._check(names)
+        return [a for a in self.analyzers if a.name in names]
+
     def enabled(self) -> list[Analyzer]:
         """Enabled analyzers, in the order of registration."""
         return [a for a in self.analyzers if a.name in self.enabled_names]
@@ -84,15 +92,13 @@ class AnalyzerRegistry:
 
 def default_registry() -> AnalyzerRegistry:
     """The four built-in analyzers."""
-    from linewarden.plans import builtin
-
     registry = AnalyzerRegistry()
     registry.register(
         Analyzer(
             "url",
             "Scans for hardcoded URLs, connection strings, and suspicious domains",
             rules=URL_RULES + DOMAIN_RULES,
-            analyze=builtin.remote_findings,
+            parts=("remote",),
         )
     )
     registry.register(
@@ -107,14 +113,14 @@ def default_registry() -> AnalyzerRegistry:
             "file-ops",
             "Audits file operations for dangerous patterns (path traversal, code injection, etc.)",
             rules=FILE_RULES + LANGUAGE_RULES,
-            analyze=builtin.extension_findings,
+            parts=("suffix",),
         )
     )
     registry.register(
         Analyzer(
             "dependencies",
             "Checks for known vulnerabilities in dependencies and outdated packages",
-            analyze=builtin.dependency_findings,
+            parts=("manifest", "package", "rust"),
         )
     )
     return registry

@@ -15,9 +15,10 @@ from linewarden.functions.paths import (
     is_url_skipped,
 )
 from linewarden.functions.severity import RANKS, parse_severity
-from linewarden.operators.git import remotes_from_config
 from linewarden.operators.matching import PlacedRule, scan_lines
+from linewarden.plans import builtin
 from linewarden.plans.registry import AnalyzerRegistry, default_registry
+from linewarden.plans.single_pass import single_pass
 
 
 @dataclass(frozen=True)
@@ -55,19 +56,17 @@ class Corpus:
             detect_language(F.col("path")).alias("language"),
         )
 
-    def remote_table(self) -> DataFrame:
-        return self.remotes if self.remotes is not None else remotes_from_config(self.files)
-
     def repos(self) -> DataFrame:
         """The repositories, as rows to aggregate on (not distinct)."""
         return self.files.select("repo")
 
 
 def _selected(analyzers, registry: AnalyzerRegistry | None) -> tuple[AnalyzerRegistry, list]:
+    """The registry, and what is to run: the named analyzers, else those it has enabled."""
     registry = registry or default_registry()
-    if analyzers is not None:
-        registry.enable_only(analyzers)
-    return registry, registry.enabled()
+    if analyzers is None:
+        return registry, registry.enabled()
+    return registry, registry.named(analyzers)
 
 
 def scan(
@@ -80,7 +79,7 @@ def scan(
 ) -> DataFrame:
     """Findings of the enabled analyzers.  No action runs; errors fail the job.
 
-    The line rules of all analyzers share one pass over the files.  ``min_rank`` leaves rules
+    Line rules and built-in analyzers share one read of the files.  ``min_rank`` leaves rules
     below that severity out of the plan.
     """
     registry, enabled = _selected(analyzers, registry)
@@ -91,12 +90,24 @@ def scan(
         for i, rule in enumerate(a.rules)
         if RANKS[rule.severity] >= min_rank
     ]
+    kinds = {kind for a in enabled for kind in a.parts}
+    places = {name: i for i, name in enumerate(names)}
+    # tables of the caller are joined apart from the pass over the files
+    beside = builtin.beside(corpus, kinds)
+    kinds -= set(beside)
     parts = []
-    if placed:
+    if placed and not kinds:
         parts.append(scan_lines(corpus.texts(), placed, use_prefilter))
+    elif placed or kinds:
+        parts.append(single_pass(corpus, placed, kinds, places, use_prefilter))
+    for kind, found in beside.items():
+        place = F.lit(places[builtin.ANALYZER_OF[kind]])
+        parts.append(found.withColumn("ord", F.col("ord").withField("analyzer", place)))
     for analyzer in enabled:
         if analyzer.analyze:
-            parts.extend(analyzer.analyze(corpus))
+            # like the line rules, they stand where the registry has their analyzer
+            place = F.col("ord").withField("analyzer", F.lit(places[analyzer.name]))
+            parts.extend(part.withColumn("ord", place) for part in analyzer.analyze(corpus))
     if not parts:
         raise ValueError("No analyzer is enabled")
     findings = reduce(DataFrame.unionByName, parts)

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from linewarden.reports.html import html_document
 from linewarden.reports.sarif import sarif_document
 from linewarden.reports.text import text_report
-from linewarden.session import shared_dir
 
-# The names a format can be asked for by.
+# The names a built-in format can be asked for by.
 FORMATS = {
     "console": text_report,
     "text": text_report,
@@ -21,6 +20,15 @@ FORMATS = {
 }
 
 
+def register_format(name: str, build: Callable[..., DataFrame]) -> None:
+    """Make ``report`` take ``name``, in any case, for a function of the caller.
+
+    The function gets findings, repositories, scan time and the options, and returns document
+    fragments.
+    """
+    FORMATS[name.lower()] = build
+
+
 def report(
     findings: DataFrame, repos: DataFrame, scan_time: str, format: str = "console", **options
 ) -> DataFrame:
@@ -45,16 +53,14 @@ def write_findings(findings: DataFrame, path: str, mode: str = "errorifexists")
     balanced.write.mode(mode).partitionBy("analyzer", "severity").parquet(path)
 
 
-def stored(findings: DataFrame) -> DataFrame:
-    """The findings, written once to the shared folder and read back.
+def stored(findings: DataFrame, path: str) -> DataFrame:
+    """The findings, written once to ``path`` and read back.  Runs a job.
 
     A report reads its findings several times.  Reading them from a table scans the corpus
     once, and a lost executor costs a reread of that table instead of a new scan.
     """
-    spark = findings.sparkSession
-    path = f"{shared_dir(spark)}/findings-{uuid.uuid4().hex}"
     write_findings(findings, path)
-    return read_findings(spark, path)
+    return read_findings(findings.sparkSession, path)
 
 
 def read_findings(spark: SparkSession, path: str) -> DataFrame:

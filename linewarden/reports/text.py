@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linewarden.functions.severity import RANKS
+from linewarden.functions.severity import RANKS, parse_severity
 from linewarden.functions.text import console_evidence
 from linewarden.operators.findings import at_least, with_location
 from linewarden.operators.summary import COUNTS, severity_summary
@@ -65,7 +65,7 @@ def text_report(
     )
     kept = with_location(at_least(findings, min_severity))
     # Headings come from the counts, not from the findings: nothing is grouped again.
-    lowest = min(RANKS[s] for s in RANKS if RANKS[s] >= _rank(min_severity))
+    lowest = min(RANKS[s] for s in RANKS if RANKS[s] >= parse_severity(min_severity))
     headings = F.array_compact(
         F.array(
             *[
@@ -93,6 +93,3 @@ def text_report(
         .unionByName(fr.rows(counts, fr.TAIL, F.lit(f"{RULE_LINE}\nGenerated by linewarden")))
     )
 
-
-def _rank(name: str) -> int:
-    return RANKS[name.upper()]

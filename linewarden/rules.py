@@ -4,6 +4,10 @@ A rule finds every non-overlapping match of its pattern in a line.  ``anchors``
 patterns one of which is present in any text the rule matches; together they form the
 prefilter that keeps most lines away from the rules.  ``needs`` is a literal present in every
 match.  A rule without anchors is its own anchor.
+
+``linear`` is a second form of patterns that would try every start of a run up to its end: where
+the first start fails for want of something later in the run, it also matches that rest of the
+run, in which no other start can succeed.  Such matches are taken out again by the plain pattern.
 """
 
 from __future__ import annotations
@@ -34,10 +38,16 @@ class Rule:
     skips_lock_files: bool = False
     anchors: tuple[str, ...] = ()
     needs: str | None = None
+    linear: str | None = None
 
     @property
     def java(self) -> str:
-        return java_pattern(self.pattern, self.ci)
+        return java_pattern(self.linear or self.pattern, self.ci)
+
+    @property
+    def java_whole(self) -> str:
+        """The plain pattern for a whole text; tells matches from what ``linear`` passes over."""
+        return java_pattern(rf"\A(?:{self.pattern})\z", self.ci)
 
 
 # Anchors as (first characters, rest).  The first character is consumed before the rest is
@@ -126,17 +136,18 @@ def prefilter(rules) -> Callable[[Column], Column]:
     return holds
 
 
-_MOVE_URLS = "Move sensitive URLs to environment variables or configuration files"
-_REMOVE_SECRETS = "Remove credentials from code and use environment variables"
-
-
-def _url(code, severity, title, pattern, *anchors, needs=None):
+def _url(code, severity, title, pattern, *anchors, needs=None, linear=None):
     return Rule(
         code, "url", "URL-HARDCODED", severity, title, pattern,
-        remediation=_MOVE_URLS, skips_lock_files=True, anchors=anchors, needs=needs,
+        remediation=_MOVE_URLS, skips_lock_files=True, anchors=anchors, needs=needs, linear=linear,
     )
 
 
+def _credentials(scheme: str, user: str, host: str) -> str:
+    """``scheme://user:password@host``; a run without any further ``@`` is passed over."""
+    return rf"{scheme}://{user}:(?:[^\s@]+@{host}|[^\s@]++(?=\s|$))"
+
+
 def _domain(code, severity, literal, anchor):
     return Rule(
         code, "url", "URL-SUSPICIOUS-DOMAIN", severity, "Suspicious domain detected: ",
@@ -145,45 +156,53 @@ def _domain(code, severity, literal, anchor):
     )
 
 
-def _file(number, severity, title, pattern, *anchors, needs=None):
+def _file(number, severity, title, pattern, *anchors, needs=None, linear=None):
     return Rule(
         f"F{number:02d}", "file-ops", f"FILE-{number:03d}", severity, title, pattern,
-        anchors=anchors, needs=needs,
+        anchors=anchors, needs=needs, linear=linear,
     )
 
 
-def _lang(code, severity, language, title, pattern, *anchors, needs=None):
+def _lang(code, severity, language, title, pattern, *anchors, needs=None, linear=None):
     return Rule(
         code, "file-ops", "FILE-LANG-001", severity, title, pattern,
-        language=language, anchors=anchors, needs=needs,
+        language=language, anchors=anchors, needs=needs, linear=linear,
     )
 
 
-def _secret(code, rule_id, severity, thing, pattern, *anchors, ci=False, needs=None):
+def _secret(code, rule_id, severity, thing, pattern, *anchors, ci=False, needs=None, linear=None):
     return Rule(
         code, "secrets", rule_id, severity, f"{thing} detected", pattern, ci=ci,
         description=f"{thing} detected", remediation=_REMOVE_SECRETS,
-        anchors=anchors, needs=needs,
+        anchors=anchors, needs=needs, linear=linear,
     )
 
 
 # The patterns, titles, severities and remediation texts below define the results.
+_MOVE_URLS = "Move sensitive URLs to environment variables or configuration files"
+_REMOVE_SECRETS = "Remove credentials from code and use environment variables"
 URL_RULES = (
     _url("U01", "HIGH", "Hardcoded S3 URL with potential access key",
          r"\b(https?://[a-z0-9\-]+\.s3\.amazonaws\.com/[^\s]+[A-Za-z0-9/=_\-]{20,})",
-         "scheme", needs="://"),
+         "scheme", needs="://",
+         linear=r"\b(https?://[a-z0-9\-]+\.s3\.amazonaws\.com/(?:[^\s]+[A-Za-z0-9/=_\-]{20,}|[^\s]*+))"),
     _url("U02", "LOW", "Hardcoded S3 endpoint",
          r"\b(https?://[a-z0-9\-]+\.s3\.amazonaws\.com)", "scheme", needs="://"),
     _url("U03", "CRITICAL", "Hardcoded MongoDB connection string",
-         r"(mongodb\+srv://[^\s:]+:[^\s@]+@[^\s/]+)", "scheme", needs="://"),
+         r"(mongodb\+srv://[^\s:]+:[^\s@]+@[^\s/]+)", "scheme", needs="@",
+         linear=_credentials(r"mongodb\+srv", r"[^\s:]+", r"[^\s/]+")),
     _url("U04", "CRITICAL", "Hardcoded Redis connection string",
-         r"(redis://[^\s:]+:[^\s@]+@[^\s/]+)", "scheme", needs="://"),
+         r"(redis://[^\s:]+:[^\s@]+@[^\s/]+)", "scheme", needs="@",
+         linear=_credentials(r"redis", r"[^\s:]+", r"[^\s/]+")),
     _url("U05", "CRITICAL", "Hardcoded PostgreSQL connection string",
-         r"(postgresql://[^\s:]+:[^\s@]+@[^\s/]+)", "scheme", needs="://"),
+         r"(postgresql://[^\s:]+:[^\s@]+@[^\s/]+)", "scheme", needs="@",
+         linear=_credentials(r"postgresql", r"[^\s:]+", r"[^\s/]+")),
     _url("U06", "CRITICAL", "Hardcoded PostgreSQL connection string",
-         r"(postgres://[^\s:]+:[^\s@]+@[^\s/]+)", "scheme", needs="://"),
+         r"(postgres://[^\s:]+:[^\s@]+@[^\s/]+)", "scheme", needs="@",
+         linear=_credentials(r"postgres", r"[^\s:]+", r"[^\s/]+")),
     _url("U07", "CRITICAL", "Hardcoded MySQL connection string",
-         r"(mysql://[^\s:]+:[^\s@]+@[^\s/]+)", "scheme", needs="://"),
+         r"(mysql://[^\s:]+:[^\s@]+@[^\s/]+)", "scheme", needs="@",
+         linear=_credentials(r"mysql", r"[^\s:]+", r"[^\s/]+")),
     _url("U08", "MEDIUM", "Potential hardcoded API endpoint",
          r'\b(https?://(api\.|www\.)?[a-z0-9\-]+\.com/[^\s"]{20,})', "scheme", needs="://"),
     _url("U09", "MEDIUM", "Direct IP address URL",
@@ -196,7 +215,8 @@ URL_RULES = (
     _url("U12", "MEDIUM", "FTP URL (insecure protocol)",
          r'\bftp://[^\s"]+', "scheme", needs="://"),
     _url("U13", "HIGH", "HTTP (not HTTPS) URL for AWS",
-         r'\bhttp://[^\s"]+\.amazonaws\.com', "scheme", needs="://"),
+         r'\bhttp://[^\s"]+\.amazonaws\.com', "scheme", needs="://",
+         linear=r'\bhttp://(?:[^\s"]+\.amazonaws\.com|[^\s"]*+)'),
 )
 DOMAIN_RULES = (
     _domain("D01", "HIGH", ".onion", "onion"),
@@ -228,27 +248,31 @@ FILE_RULES = (
     _file(11, "HIGH", "Use of pickle deserialization (can execute arbitrary code)",
           r"pickle\.load|unpickle", "load", "unpickle", "kelvin"),
     _file(12, "HIGH", "Unsafe YAML loading (may execute arbitrary code)",
-          r"yaml\.load\(.*\)", "load", needs="("),
+          r"yaml\.load\(.*\)", "load", needs="(", linear=r"yaml\.load\((?:.*\)|.*+)"),
     _file(13, "MEDIUM", "World-writable file permissions (777)", r"0777|0x1ff|777",
           "sevens", "hex_mode"),
     _file(14, "MEDIUM", "chmod with 777 permissions (world-writable)",
-          r"chmod\s*\([^)]*0777", "sevens", needs="("),
+          r"chmod\s*\([^)]*0777", "sevens", needs="0777",
+          linear=r"chmod\s*\((?:[^)]*0777|[^)]*+)"),
 )
-# L03 and L04 are written without adjacent repeats over the same characters: the same spans,
-# but linear where the nested form is cubic in a backtracking matcher.
+# L03 and L04 are written without adjacent repeats over the same characters, which match the same
+# spans.
 LANGUAGE_RULES = (
     _lang("L01", "HIGH", "python", "Dynamic file path construction (path traversal risk)",
           r"""open\s*\(\s*['\"]\w+\s*\+\s*""", "call", needs="("),
     _lang("L02", "HIGH", "python", "Subprocess with shell=True (command injection risk)",
           r"subprocess\.(call|run|Popen)\s*\(\s*shell\s*=\s*True", "call", needs="("),
     _lang("L03", "HIGH", "javascript", "Dynamic file path construction in fs operations",
-          r"fs\.(readFile|writeFile|unlink)\s*\([^,]*\+", "call", needs="("),
+          r"fs\.(readFile|writeFile|unlink)\s*\([^,]*\+", "call", needs="+",
+          linear=r"fs\.(readFile|writeFile|unlink)\s*\((?:[^,]*\+|[^,]*+)"),
     _lang("L04", "HIGH", "javascript", "Dynamic require() (code injection risk)",
-          r"require\s*\([^)]*\+", "call", needs="("),
+          r"require\s*\([^)]*\+", "call", needs="+",
+          linear=r"require\s*\((?:[^)]*\+|[^)]*+)"),
     _lang("L05", "MEDIUM", "javascript", "Use of child_process (command injection risk)",
           r"child_process\.(exec|spawn)\s*\(", "call", needs="("),
     _lang("L06", "HIGH", "php", "Direct use of user input in file operations",
-          r"\$_(GET|POST|REQUEST)\[[^\]]+\]\s*\)\s*\);", "php_input", needs="$_"),
+          r"\$_(GET|POST|REQUEST)\[[^\]]+\]\s*\)\s*\);", "php_input", needs="$_",
+          linear=r"\$_(GET|POST|REQUEST)\[(?:[^\]]+\]\s*\)\s*\);|[^\]]*+)"),
     _lang("L07", "HIGH", "php", "Use of unserialize (object injection risk)",
           r"unserialize\s*\(", "call", needs="("),
     _lang("L08", "HIGH", "java", "Use of Runtime.exec() (command injection risk)",
@@ -256,7 +280,8 @@ LANGUAGE_RULES = (
     _lang("L09", "MEDIUM", "java", "Use of ObjectInputStream (deserialization risk)",
           r"ObjectInputStream\.readObject\s*\(", "call", needs="("),
     _lang("L10", "HIGH", "go", "Dynamic command construction (command injection risk)",
-          r"exec\.Command\s*\([^,]*\+", "call", needs="("),
+          r"exec\.Command\s*\([^,]*\+", "call", needs="+",
+          linear=r"exec\.Command\s*\((?:[^,]*\+|[^,]*+)"),
 )
 SECRET_RULES = (
     _secret("S01", "AWS-001", "CRITICAL", "AWS Access Key",
@@ -268,17 +293,20 @@ SECRET_RULES = (
             r"\bgh[pousr]_[A-Za-z0-9]{36,}", "gh_token", needs="_"),
     _secret("S04", "DB-001", "CRITICAL", "Database connection string",
             r"""\b(?:postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis)://[^\s:@/]*:[^\s@]+@[^\s/"']+""",
-            "scheme", ci=True, needs="://"),
+            "scheme", ci=True, needs="@", linear=_credentials(
+                r"\b(?:postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis)", r"[^\s:@/]*", r"""[^\s/"']+"""
+            )),
     _secret("S05", "STRIPE-001", "CRITICAL", "Stripe API key",
             r"\bsk_(?:live|test)_[A-Za-z0-9_]{16,}", "test", "sk_live", needs="sk_"),
     _secret("S06", "JWT-001", "HIGH", "JSON Web Token",
-            r"\beyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", "jwt", needs=".eyJ"),
+            r"\beyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", "jwt", needs=".eyJ",
+            linear=r"\beyJ(?:[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+|[A-Za-z0-9_-]*+)"),
     _secret("S07", "SLACK-001", "HIGH", "Slack token",
             r"\bxox[abprs]-[A-Za-z0-9-]{10,}", "slack", needs="xox"),
     _secret("S08", "GOOGLE-001", "HIGH", "Google API key",
             r"\bAIza[0-9A-Za-z_-]{30,}", "google_key", needs="AIza"),
     _secret("S09", "KEY-001", "CRITICAL", "Private key",
-            r"-----BEGIN (?:[A-Z]+ ){0,8}PRIVATE KEY-----", "pem", needs="-----BEGIN "),
+            r"-----BEGIN (?:(?!PRIVATE KEY-----)[A-Z]+ )*+PRIVATE KEY-----", "pem", needs="-----BEGIN "),
     _secret("S10", "PASSWORD-001", "HIGH", "Hardcoded password",
             r"""\b(?:password|passwd|pwd)\s*[:=]\s*["'][^"'\s]{8,}["']""", "assign", ci=True),
     _secret("S11", "APIKEY-001", "HIGH", "API key",

@@ -6,7 +6,9 @@ COMMITS = (
     "repo STRING, hash STRING, parents ARRAY<STRING>, author STRING, message STRING, "
     "commit_time TIMESTAMP"
 )
-TREE_ENTRIES = "repo STRING, commit STRING, path STRING, blob STRING"
+#: A change of the mode alone counts as a change, so entries carry it.  ``commits`` are to hold
+#: the commits that are reachable from the head and no others.
+TREE_ENTRIES = "repo STRING, commit STRING, path STRING, blob STRING, mode STRING"
 NPM_ADVISORIES = "package STRING, version STRING, cve STRING, text STRING, severity STRING"
 PYTHON_ADVISORIES = "package STRING, version STRING, cve STRING, severity STRING"
 OUTDATED = "package STRING, min_major INT, advice STRING"

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 #: Runtime settings needed for right results: duplicate JSON keys keep the last value.
@@ -19,14 +17,10 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for written intermediate tables.
+    """Folder for written intermediate tables, which every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only a local-mode session, where
-    driver and executors are one process on one machine, may fall back to a new folder.
+    The session names it in ``spark.checkpoint.dir``; where that is unset, it lies in the
+    warehouse, which is shared as well.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    return tempfile.mkdtemp(prefix="linewarden-")
+    return (named or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints").rstrip("/")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,18 +30,3 @@ def write_files(files: DataFrame, path: str, mode: str = "errorifexists") -> Non
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
-
-
-def spread(frame: DataFrame) -> DataFrame:
-    """Repartition an input that is too small to give every core a full split.
-
-    One Parquet row group is one task however many cores there are.  An input whose estimated
-    size is beyond one split per core is left as it is, so nothing large is ever shuffled.
-    """
-    spark = frame.sparkSession
-    split = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    number, unit = re.fullmatch(r"(\d+)\s*([kmgt]?)b?", split.lower()).groups()
-    cores = spark.sparkContext.defaultParallelism
-    room = cores * int(number) * 1024 ** " kmgt".index(unit or " ")
-    size = int(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return frame.repartition(cores) if size < room else frame

@@ -1,114 +1,113 @@
 """Directory trees as a files table.
 
 Spark's binary file source leaves out names that start with a dot or underscore and empty
-files, which a scan for secrets must see.  This data source lists everything below a folder
-that all executors can reach (a shared file system mount).
+files, which a scan for secrets must see.  This reader lists everything below a folder that all
+executors can reach (a shared file system mount).  The driver lists the repositories of one
+folder and nothing below them; tasks list and read the trees.
 """
 
 from __future__ import annotations
 
 import os
-import sys
-from dataclasses import dataclass
-
-from pyspark import cloudpickle
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-
-
-@dataclass
-class TreePart(InputPartition):
-    """Everything below ``start`` (or that one file), with paths relative to ``root``."""
-
-    repo: str
-    root: str
-    start: str
-
-
-def _children(folder: str) -> list[os.DirEntry]:
-    try:
-        with os.scandir(folder) as entries:
-            return sorted(entries, key=lambda e: e.name)
-    except OSError:
-        return []
-
-
-class TreeReader(DataSourceReader):
-    def __init__(self, path: str, layout: str, with_content: bool, depth: int):
-        self.path, self.layout = path, layout
-        self.with_content, self.depth = with_content, depth
-
-    def _roots(self):
-        root = os.path.abspath(self.path)
-        if self.layout == "repo":
-            return [(os.path.basename(root) or "unknown", root)]
-        return [(e.name, e.path) for e in _children(root) if e.is_dir(follow_symlinks=False)]
-
-    def partitions(self):
-        """One partition per entry at the split depth, so one large tree is many tasks."""
-        parts = []
-        for repo, root in self._roots():
-            level = [root]
-            for _ in range(self.depth):
-                below = []
-                for folder in level:
-                    for entry in _children(folder):
-                        if entry.is_dir(follow_symlinks=False):
-                            below.append(entry.path)
-                        else:
-                            parts.append(TreePart(repo, root, entry.path))
-                level = below
-            parts.extend(TreePart(repo, root, folder) for folder in level)
-        return parts
-
-    def read(self, partition: TreePart):
-        pending = [partition.start]
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+#: Bytes of file content that a task hands over at once, at most about.
+BATCH_BYTES = 16 << 20
+
+STARTS = "repo STRING, root STRING, start STRING"
+FILES = "repo STRING, path STRING, content BINARY"
+
+
+def _reader(depth_left: bool, with_content: bool):
+    """Functions for tasks; they refer to nothing of this package, so workers need not have it."""
+    batch_bytes = BATCH_BYTES
+
+    def children(folder: str) -> list:
+        try:
+            with os.scandir(folder) as entries:
+                return sorted(entries, key=lambda e: e.name)
+        except OSError:
+            return []
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            yield from zip(*(c.to_pylist() for c in batch.columns))
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The entries of each folder; files stay as they are."""
+        for repo, root, start in rows_of(batches):
+            is_folder = os.path.isdir(start) and (start == root or not os.path.islink(start))
+            below = [e.path for e in children(start)] if is_folder else [start]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([repo] * len(below)), pa.array([root] * len(below)), pa.array(below, pa.string())],
+                names=["repo", "root", "start"],
+            )
+
+    def files_below(start: str) -> Iterator[str]:
+        pending = [start]
         while pending:
             path = pending.pop()
             if os.path.islink(path):
                 continue
             if os.path.isdir(path):
-                pending.extend(e.path for e in _children(path))
+                pending.extend(e.path for e in children(path))
             elif os.path.isfile(path):
-                content = None
-                if self.with_content:
-                    try:
-                        with open(path, "rb") as f:
-                            content = f.read()
-                    except OSError:
-                        pass
-                relative = os.path.relpath(path, partition.root).replace(os.sep, "/")
-                yield (partition.repo, relative, content)
-
-
-class SourceTree(DataSource):
-    """``spark.read.format("source_tree").load(path)`` gives ``(repo, path, content)``.
+                yield path
+
+    def content_of(path: str) -> bytes | None:
+        if not with_content:
+            return None
+        try:
+            with open(path, "rb") as file:
+                return file.read()
+        except OSError:
+            return None
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+
+        def batch() -> pa.RecordBatch:
+            columns = zip(zip(*rows), (pa.string(), pa.string(), pa.binary()))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in columns], names=["repo", "path", "content"]
+            )
+
+        for repo, root, start in rows_of(batches):
+            for path in files_below(start):
+                content = content_of(path)
+                rows.append((repo, os.path.relpath(path, root).replace(os.sep, "/"), content))
+                size += len(content or b"") + 100
+                if size >= batch_bytes:
+                    yield batch()
+                    rows, size = [], 0
+        if rows:
+            yield batch()
+
+    return listed if depth_left else read
+
+
+def read_tree(
+    spark, path: str, layout: str = "repo", content="true", splitDepth="1", tasks: int | None = None
+) -> DataFrame:
+    """``(repo, path, content)`` of every file below a folder.
 
     ``layout``: ``repo`` (the path is one repository) or ``repos`` (each folder in it is one).
     ``content``: ``false`` leaves the content null for jobs that need paths only.
-    ``splitDepth``: folder depth at which a tree is cut into tasks.
+    ``splitDepth``: folder depth at which a tree is dealt out; ``tasks``: to how many tasks.
     """
-
-    @classmethod
-    def name(cls):
-        return "source_tree"
-
-    def schema(self):
-        return "repo STRING, path STRING, content BINARY"
-
-    def reader(self, schema):
-        return TreeReader(
-            self.options["path"],
-            self.options.get("layout", "repo"),
-            self.options.get("content", "true").lower() != "false",
-            int(self.options.get("splitDepth", "1")),
-        )
-
-
-def read_tree(spark, path: str, **options):
-    # Sent by value, so that the workers need not have this package installed.
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    spark.dataSource.register(SourceTree)
-    reader = spark.read.format("source_tree")
-    for key, value in options.items():
-        reader = reader.option(key, value)
-    return reader.load(path)
+    root = os.path.abspath(path)
+    if layout == "repo":
+        roots = [(os.path.basename(root) or "unknown", root, root)]
+    else:
+        with os.scandir(root) as entries:
+            roots = sorted((e.name, e.path, e.path) for e in entries if e.is_dir(follow_symlinks=False))
+    # with a number, since adaptive execution would put the few bytes of these rows into one task
+    tasks = tasks or 4 * spark.sparkContext.defaultParallelism
+    starts = spark.createDataFrame(roots, STARTS)
+    for _ in range(int(splitDepth)):
+        starts = starts.repartition(tasks, "start").mapInArrow(_reader(True, False), STARTS)
+    with_content = str(content).lower() != "false"
+    return starts.repartition(tasks, "start").mapInArrow(_reader(False, with_content), FILES)

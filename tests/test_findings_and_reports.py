@@ -1,4 +1,5 @@
 import json
+import uuid
 from collections import defaultdict
 
 import pytest
@@ -33,8 +34,9 @@ def corpus(spark):
 
 
 @pytest.fixture(scope="module")
-def found(corpus):
-    return sinks.stored(scan(corpus))
+def found(corpus, spark):
+    folder = spark.conf.get("spark.checkpoint.dir")
+    return sinks.stored(scan(corpus), f"{folder}/findings-{uuid.uuid4().hex}")
 
 
 def test_expected_kinds_of_findings(found):

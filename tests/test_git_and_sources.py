@@ -46,8 +46,10 @@ def test_files_changed_by_brute_force(spark):
     for i in range(40):
         parents = [str(rng.randrange(i))] if i and rng.random() < 0.9 else []
         commits.append(("r", str(i), parents + (["0"] if parents else []), None, None, None))
-        trees[str(i)] = {f"p{k}": str(rng.randint(0, 1)) for k in range(8) if rng.random() < 0.6}
-    entries = [("r", c, p, b) for c, tree in trees.items() for p, b in tree.items()]
+        trees[str(i)] = {
+            f"p{k}": (str(rng.randint(0, 1)), rng.choice(["100644", "100755"])) for k in range(8) if rng.random() < 0.6
+        }
+    entries = [("r", c, p, *b) for c, tree in trees.items() for p, b in tree.items()]
     expected = set()
     for _, c, parents, *_ in commits:
         old = trees[parents[0]] if parents else {}

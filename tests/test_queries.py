@@ -5,6 +5,9 @@ from collections import Counter
 import pytest
 
 import __spark_entry__ as entry
+from linewarden.catalog import corpora, oracles
+from linewarden.catalog import queries as catalog
+from linewarden.plans.scan import scan
 
 duckdb = pytest.importorskip("duckdb")
 
@@ -17,7 +20,9 @@ CHECKED = [
     "lines_documents", "file_stats", "source_listing", "path_ignored", "path_extension", "indicators_all",
     "indicators_url", "scan_all", "scan_pruned", "scan_dependencies", "deps_npm", "deps_python", "git_remotes",
     "git_recent_commits", "git_files_changed", "repo_urls", "repo_names", "rules_first", "severity_summary",
-    "sarif_document", "text_report", "html_document", "report_evidence",
+    "sarif_document", "text_report", "html_document", "report_evidence", "lines_bytes", "deps_python_table",
+    "git_insecure_remote", "scan_secrets", "scan_url", "scan_extensions", "report_user", "user_analyzer",
+    "findings_by_analyzer", "ci_gate", "report_order",
 ]
 
 
@@ -30,7 +35,8 @@ def oracle(sf_dir):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(catalog.registered()) == set(oracles.sql())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", CHECKED)
@@ -56,6 +62,13 @@ def test_plans_have_no_cross_join_or_python(spark, sf_dir, name):
         assert unwanted not in plan
 
 
+def test_a_scan_reads_each_source_once(spark, sf_dir):
+    found = scan(corpora.corpus(spark, sf_dir))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 4  # documents, pages, conversations, lineitem
+    assert "Union" not in plan.split("Generate inline(concat")[0]  # one pass above the corpus
+
+
 def test_path_queries_do_not_read_text(spark, sf_dir):
     frame = entry.queries()["is_git"](spark, sf_dir)
     plan = frame._jdf.queryExecution().executedPlan().toString()

@@ -135,6 +135,35 @@ def test_long_lines_are_linear(spark, text):
     assert time.time() - start < 30
 
 
+@pytest.mark.parametrize(
+    ("code", "start"),
+    [
+        ("U01", "https://a.s3.amazonaws.com/."), ("U03", "mongodb+srv://a:"), ("U04", "redis://a:"),
+        ("U05", "postgresql://a:"), ("U06", "postgres://a:"), ("U07", "mysql://a:"), ("U13", "http://"),
+        ("F12", "yaml.load("), ("F14", "chmod("), ("L03", "fs.unlink("), ("L04", "require("),
+        ("L06", "$_GET["), ("L10", "exec.Command("), ("S04", "redis://a:"), ("S06", "-eyJ"), ("S09", "-----BEGIN A "),
+    ],
+)
+def test_many_starts_in_one_line_are_linear(spark, code, start):
+    """What the far end asks for stands in front of the starts, so the gates let the line pass."""
+    rule = next(r for r in ALL_RULES if r.code == code)
+    text = "@ 0777 + ) .eyJ " + start * (1_000_000 // len(start))
+    frame = spark.createDataFrame([("r", "p", 0, text, False, rule.language)], SCHEMA)
+    begun = time.time()
+    assert match_all(frame, [rule], ["repo"]).count() == 0
+    assert time.time() - begun < 10
+
+
+def test_linear_forms_find_what_the_plain_ones_find(spark):
+    draw = random.Random(5)
+    parts = ["chmod(", "0777", ")", "yaml.load(", "http://", ".amazonaws.com", "x", " ", "redis://", "a:", "@", "/",
+             ":", "fs.unlink (", "+", ",", "require(", "exec.Command(", "$_GET[", "]", "]));", "eyJ", ".eyJ", ".", "-",
+             "https://b.s3.amazonaws.com/", "A" * 21, "mysql://", '"', "-----BEGIN ", "AB ", "PRIVATE KEY-----"]
+    rows = [("".join(draw.choices(parts, k=draw.randint(2, 14))), draw.choice(["javascript", "php", "go"]))
+            for _ in range(6000)]
+    assert matches(spark, rows) == by_python(rows)
+
+
 def test_user_rules_and_analyzers(spark):
     rule = Rule("T1", "todo", "TODO-001", "LOW", "Open task", r"\bTODO\b", ci=True)
     registry = AnalyzerRegistry().register(Analyzer("todo", "Open tasks", rules=(rule,)))
