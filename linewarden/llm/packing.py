@@ -14,33 +14,72 @@ not read.
 
 from __future__ import annotations
 
+import json
 import os
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .common import text_or_empty, written
 
-#: Chunks whose ids a task remembers; beyond it forgets all and goes on.
-REMEMBERED = 400_000
+#: Words whose ids a task remembers; beyond it forgets all and goes on.
+REMEMBERED = 700_000
+#: Words that are encoded as one text, and what may stand behind a word without changing it.
+WORDS_AT_ONCE, PUNCTUATION = 1000, ".,;:!?"
 #: Characters that are tokenised at once.
-AT_ONCE = 4_000_000
+AT_ONCE = 8_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 #: Bits of a rank in the look-up key; the length stands above them.
 _RANK_BITS = 40
 
 
+def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, at: np.ndarray):
+    """The runs ``at`` of a flat array one after the other, and where each ends."""
+    sizes = sizes[at]
+    ends = np.cumsum(sizes)
+    places = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes - starts[at], sizes)
+    return flat[places], ends
+
+
+class _Known:
+    """Ids of texts that have been seen, as runs of one flat array."""
+
+    def __init__(self):
+        self._place: dict[str, int] = {}
+        self.flat, self.starts, self.sizes = (np.zeros(0, t) for t in ("<u4", np.int64, np.int64))
+
+    def places(self, texts: list[str], encode) -> np.ndarray:
+        """Numbers of the texts' runs; ``encode`` gives the ids of a list of new ones."""
+        fresh = [t for t in texts if t not in self._place]
+        if len(self._place) + len(fresh) > REMEMBERED and self._place:
+            self.__init__()
+            fresh = texts
+        if fresh:
+            runs = encode(fresh)
+            sizes = np.array(list(map(len, runs)), np.int64) // 4
+            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(runs), "<u4")])
+            self._place.update(zip(fresh, range(len(self._place), len(self._place) + len(fresh))))
+        return np.array([self._place[t] for t in texts], np.int64)
+
+
 class ChunkEncoder:
     """Ids of whole texts from a tokenizer that drops white space and joins nothing across it.
 
-    Texts are cut at ASCII white space and each distinct chunk is encoded once.
+    Texts are cut at ASCII white space, and the distinct chunks of many texts are encoded once.  A
+    chunk of letters with some punctuation behind is a word and a run of punctuation for the
+    tokenizer.  New words are encoded many at a time, as one text, and told apart by the tokens
+    that end a word; where their number is not that of the words, each is encoded alone.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -48,22 +87,75 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_str(tokenizer_json)
-        self._known: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        cut = [t.encode().split() for t in texts]
-        fresh = set().union(*cut) - self._known.keys()
-        if len(self._known) + len(fresh) > REMEMBERED and self._known:
-            self._known.clear()
-            fresh = set().union(*cut)
-        chunks = list(fresh)
-        coded = self._tokenizer.encode_batch([c.decode() for c in chunks], add_special_tokens=False)
-        self._known.update(
-            (c, np.asarray(e.ids, "<u4").tobytes()) for c, e in zip(chunks, coded, strict=True)
+        suffix = json.loads(tokenizer_json)["model"].get("end_of_word_suffix")
+        vocabulary = self._tokenizer.get_vocab()
+        self._ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, id_ in vocabulary.items():
+            self._ends_word[id_] = bool(suffix) and token.endswith(suffix)
+        self._words, self._others = _Known(), _Known()
+
+    def _alone(self, texts: list[str]) -> list[bytes]:
+        coded = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.asarray(e.ids, "<u4").tobytes() for e in coded]
+
+    def _together(self, words: list[str]) -> list[bytes]:
+        found = []
+        for start in range(0, len(words), WORDS_AT_ONCE):
+            some = words[start:start + WORDS_AT_ONCE]
+            ids = np.frombuffer(self._alone([" ".join(some)])[0], "<u4")
+            ends = 4 * (np.flatnonzero(self._ends_word[ids]) + 1)
+            if len(ends) == len(some):  # each word has one end at least, so each has one
+                raw, ends = ids.tobytes(), [0, *ends.tolist()]
+                found += map(raw.__getitem__, map(slice, ends, ends[1:]))
+            else:
+                found += self._alone(some)
+        return found
+
+    def _chunks(self, chunks: pa.StringArray):
+        """Flat ids of distinct chunks, with starts and sizes."""
+        def mask(flags: pa.BooleanArray) -> np.ndarray:
+            return flags.to_numpy(zero_copy_only=False)
+
+        stems = pc.utf8_rtrim(chunks, characters=PUNCTUATION)
+        ascii_ = pc.string_is_ascii(stems)
+        plain = mask(pc.utf8_is_alpha(stems)).copy()
+        wide = np.flatnonzero(plain & ~mask(ascii_))
+        plain[wide] = [  # letters that stay letters
+            unicodedata.normalize("NFC", s).lower().isalpha()
+            for s in stems.take(pa.array(wide)).to_pylist()
+        ]
+        words = pc.if_else(ascii_, pc.ascii_lower(stems), stems).filter(pa.array(plain))
+        words = words.dictionary_encode()
+        tailed = plain & mask(pc.not_equal(pc.binary_length(chunks), pc.binary_length(stems)))
+        tails = [c[len(c.rstrip(PUNCTUATION)):] for c in chunks.filter(pa.array(tailed)).to_pylist()]
+        others = tails + chunks.filter(pa.array(~plain)).to_pylist()
+        others = pa.array(others, pa.string()).dictionary_encode()
+        first, second = self._words, self._others
+        at = first.places(words.dictionary.to_pylist(), self._together)[words.indices.to_numpy()]
+        others_at = second.places(others.dictionary.to_pylist(), self._alone)[
+            others.indices.to_numpy()
+        ]
+        # a chunk is a word's run and another one, either of which may be empty
+        none = len(first.sizes)
+        runs = np.full((len(chunks), 2), none, np.int64)
+        runs[plain, 0] = at
+        runs[tailed, 1] = none + 1 + others_at[:len(tails)]
+        runs[~plain, 1] = none + 1 + others_at[len(tails):]
+        flat, ends = gathered(
+            np.concatenate([first.flat, second.flat]),
+            np.concatenate([first.starts, [0], len(first.flat) + second.starts]),
+            np.concatenate([first.sizes, [0], second.sizes]), runs.ravel(),
         )
-        look = self._known.__getitem__
-        return [b"".join(map(look, chunks)) for chunks in cut]
+        ends = ends[1::2]
+        return flat, np.concatenate([[0], ends[:-1]]), np.diff(ends, prepend=0)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Unsigned 32-bit ids of each text."""
+        cut = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
+        words = cut.flatten().dictionary_encode()
+        flat, ends = gathered(*self._chunks(words.dictionary), words.indices.to_numpy())
+        ends = np.concatenate([[0], ends])[cut.offsets.to_numpy()]
+        return [flat[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
 
 
 def in_bounds(texts: list[str], limit: int) -> Iterator[tuple[int, int]]:
@@ -96,7 +188,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
             for low, high in in_bounds(texts, AT_ONCE):
                 rows = []
                 for key, ids in zip(keys[low:high], encoder.encode(texts[low:high]), strict=True):
-                    ids = memoryview(ids + end)
+                    ids = memoryview(ids.astype("<u4").tobytes() + end)
                     for n, at in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[at:at + 4 * capacity]
                         kept = bytes(part) if with_ids else None
