@@ -99,21 +99,22 @@ def encoded_word(word: Column, ranks: Column) -> Column:
         following = F.when(at + 2 < F.size(state), packed(low, id_at(state, at + 2))).otherwise(
             low.bitwiseOR(NO_RANK << 31)
         )
-        changed = F.transform(
-            state, lambda x, i: F.when(i > at + 1, x).when(i == at, following).when(
-                i < at - 1, x
-            ).when(i < at, packed(id_at(state, at - 1), low))
+        return F.transform(
+            F.sequence(F.lit(0), F.size(state) - 2),
+            lambda i: F.when(i > at, state[i + 1]).when(i == at, following).when(
+                i < at - 1, state[i]
+            ).otherwise(packed(id_at(state, i), low)),
         )
-        return F.filter(changed, lambda x: x.isNotNull())
 
     def step(state: Column, _: Column) -> Column:
         # rank and place in one number: the smallest is the first pair of the lowest rank
         placed = F.transform(state, lambda x, i: x.bitwiseAND(~LOW).bitwiseOR(i))
-        merged = _let(F.array_min(placed), "array<bigint>", lambda first: _let(
+        return _let(F.array_min(placed), "array<bigint>", lambda first: F.when(
+            first >= (NO_RANK << 31), state
+        ).otherwise(_let(
             first.bitwiseAND(LOW).cast("int"), "array<bigint>",
             lambda at: joined(state, at, F.shiftright(first, 31)),
-        ))
-        return F.when(F.array_min(state) < (NO_RANK << 31), merged).otherwise(state)
+        )))
 
     return F.aggregate(
         F.sequence(F.lit(2), size), start, step,
