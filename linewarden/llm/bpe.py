@@ -173,8 +173,9 @@ def word_blocks(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataF
                         continue
                     # no word holds a space but as its first character: cut there
                     first, *others = text.split(" ")
-                    for chunk in set(others) - chunks.keys():
-                        chunks[chunk] = coded(" " + chunk)
+                    for chunk in set(others):
+                        if chunk not in chunks:
+                            chunks[chunk] = coded(" " + chunk)
                     indexes.append(coded(first) + b"".join(map(chunks.__getitem__, others)))
                 ends = np.cumsum([0, *map(len, words)], dtype=np.int32)
                 ids = byte_ids[np.frombuffer(b"".join(words), np.uint8)]
