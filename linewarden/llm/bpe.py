@@ -31,7 +31,7 @@ from .common import text_or_empty
 from .packing import in_bounds
 
 #: Characters of the documents whose words are made distinct together.
-BLOCK_CHARACTERS = 16_000_000
+BLOCK_CHARACTERS = 6_000_000
 #: Small maps that the pairs are spread over, and bits that the first id is shifted by.
 BUCKETS, SPREAD = 1 << 18, 5
 #: Above every rank: the pair is no token.
