@@ -24,14 +24,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
 from .packing import in_bounds
 
-#: Characters of the documents whose words are made distinct together.
-BLOCK_CHARACTERS = 6_000_000
+#: Bytes of the documents whose words are made distinct together.
+BLOCK_BYTES = 6_000_000
 #: Small maps that the pairs are spread over, and bits that the first id is shifted by.
 BUCKETS, SPREAD = 1 << 18, 5
 #: Above every rank: the pair is no token.
@@ -146,8 +147,9 @@ def word_blocks(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataF
         # a space that begins a longer run of white space, or ends the text
         odd_space = regex.compile(r" (?=\s|\Z)|\A\s").search
         for batch in batches:
-            keys, texts = (c.to_pylist() for c in batch.columns)
-            for low, high in in_bounds(texts, BLOCK_CHARACTERS):
+            sizes = pc.binary_length(batch.column(1)).to_pylist()
+            for low, high in in_bounds(sizes, BLOCK_BYTES):
+                keys, texts = (c.to_pylist() for c in batch.slice(low, high - low).columns)
                 words: list[bytes] = []
                 known: dict[str, int] = {}
                 chunks: dict[str, bytes] = {}
@@ -167,7 +169,7 @@ def word_blocks(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataF
                     return array("i", map(number, words_of(text))).tobytes()
 
                 indexes = []
-                for text in texts[low:high]:
+                for text in texts:
                     if odd_space(text):
                         indexes.append(coded(text))
                         continue
@@ -181,7 +183,7 @@ def word_blocks(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataF
                 ids = byte_ids[np.frombuffer(b"".join(words), np.uint8)]
                 words = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([keys[low:high]], pa.list_(pa.int64())),
+                    pa.array([keys], pa.list_(pa.int64())),
                     pa.array([indexes], pa.list_(pa.binary())),
                     pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words),
                 ], names=["doc_ids", "indexes", "words"])

@@ -74,7 +74,7 @@ class Shingles:
         return mixed * _MIX
 
     def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for low, high in in_bounds(texts, AT_ONCE):
+        for low, high in in_bounds([len(t) for t in texts], AT_ONCE):
             # both take ASCII alone: A-Z, and the six spaces
             cut = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts[low:high], pa.string())))
             coded = cut.flatten().dictionary_encode()

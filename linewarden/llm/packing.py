@@ -158,16 +158,16 @@ class ChunkEncoder:
         return [flat[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
 
 
-def in_bounds(texts: list[str], limit: int) -> Iterator[tuple[int, int]]:
-    """Ranges of texts with about ``limit`` characters together; one longer text stands alone."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        if size and size + len(text) > limit:
+def in_bounds(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with at most ``limit`` together; one that is larger stands alone."""
+    start = together = 0
+    for i, size in enumerate(sizes):
+        if together and together + size > limit:
             yield start, i
-            start, size = i, 0
-        size += len(text)
-    if start < len(texts):
-        yield start, len(texts)
+            start, together = i, 0
+        together += size
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 0,
@@ -185,7 +185,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
         ])
         for batch in batches:
             keys, texts = (c.to_pylist() for c in batch.columns)
-            for low, high in in_bounds(texts, AT_ONCE):
+            for low, high in in_bounds([len(t) for t in texts], AT_ONCE):
                 rows = []
                 for key, ids in zip(keys[low:high], encoder.encode(texts[low:high]), strict=True):
                     ids = memoryview(ids.astype("<u4").tobytes() + end)
