@@ -1,17 +1,22 @@
-"""Removal of repeated passages by content-defined chunks of lines.
+"""Removal of repeated passages: runs of lines that stand at more than one place of the corpus.
 
-A hash over the last lines, rolled from line to line, sets the ends of chunks, so a passage is cut
-alike wherever it stands.  A line of ``PASSAGE_WORDS`` words is a passage and a chunk of its own.
-Such chunks, and those of several lines, that occur more than once in the corpus stay at their
-first place (smallest id, then first line) and go elsewhere, after their bytes have been compared:
-chunks that differ under one hash are grouped by their bytes.
+A passage is a run with at least two lines of text, or a line of ``PASSAGE_WORDS`` words.  Every
+such run is made of pairs of neighbouring lines of text (``line_pairs``), so a pair that occurs
+elsewhere is extended to the whole maximal run by the pairs beside it: all lines of the run go
+but those at the first place (smallest id, then first line), after their bytes have been compared:
+pairs that differ under one hash are grouped by their bytes.  Each line that goes stands in
+front, at the first place of its text.
+
+``line_chunks`` are coarser units, cut by a rolling hash: fewer, but the ends of a passage fall into
+chunks with the document's own lines and stay.
 
 Only hashes and places are grouped; a document's lines meet its own list of places.
 
-Defined cases: a null text stays null; an empty text has no chunk; rows that repeat id and text are
-one document and lose the same chunks; a null id counts as the smallest; lines without any letter
-or digit never make a chunk one of several lines; an empty table gives no rows; columns named like
-an output are replaced.
+Defined cases: a null text stays null; an empty text has no passage; rows that repeat id and text are
+one document and lose the same lines; a null id counts as the smallest; lines without any letter
+or digit are no lines of text: they go between two lines of a run, and stay at its ends; of one line
+that follows itself again and again, two stay; an empty table gives no rows; columns named like an
+output are replaced.
 """
 
 from __future__ import annotations
@@ -78,14 +83,60 @@ def line_chunks(text: Column) -> Column:
     ))
 
 
+def line_pairs(text: Column) -> Column:
+    """Each line of text up to the next one, and each passage of one line, as such structs."""
+
+    def pairs(lines: Column, hashes: Column) -> Column:
+        last = F.size(lines) - 1
+        with_text = F.filter(
+            F.sequence(F.lit(0), last), lambda i: F.get(lines, i).rlike(r"[\p{L}\p{N}]")
+        )
+
+        def unit(first: Column, end: Column) -> Column:
+            n = (end - first + 1).cast("int")
+            return F.struct(
+                first.alias("first"), n.alias("lines"), F.lit(True).alias("counts"),
+                F.xxhash64(F.slice(hashes, first + 1, n)).alias("chunk_hash"),
+            )
+
+        def of_two(starts: Column) -> Column:
+            found = F.filter(
+                F.transform(starts, lambda i, k: F.struct(
+                    i.alias("first"), F.get(starts, k + 1).alias("end")
+                )), lambda p: p["end"].isNotNull()
+            )
+            return F.transform(found, lambda p: unit(p["first"], p["end"]))
+
+        alone = F.transform(
+            F.filter(with_text, lambda i: _is_passage(F.get(lines, i))), lambda i: unit(i, i)
+        )
+        return F.concat(_let(with_text, of_two), alone)
+
+    return _let(lines_of(text), lambda lines: _let(
+        F.transform(lines, lambda x: F.xxhash64(x)), lambda hashes: pairs(lines, hashes)
+    ))
+
+
 def _text_hash() -> Column:
     return F.xxhash64("text")
 
 
-def repeated_places(docs: DataFrame) -> DataFrame:
-    """Places of chunks whose hash occurs at several places, and whether an earlier one is there."""
+def _shared(lines: Column, place: Column) -> Column:
+    """1 if the pair before has the same lines, so that its last line is this one's first; else 0.
+
+    Of such pairs the first may be the place that stays.
+    """
+    first, n = place["first"], place["lines"]
+    same = (n > 1) & (first >= n - 1) & (
+        F.slice(lines, F.greatest(first - n + 2, F.lit(1)), n) == F.slice(lines, first + 1, n)
+    )
+    return F.when(same, 1).otherwise(0)
+
+
+def repeated_places(docs: DataFrame, units=line_chunks) -> DataFrame:
+    """Places of units whose hash occurs at several places, and whether an earlier one is there."""
     chunks = docs.where(F.col("text").isNotNull()).select(
-        "doc_id", _text_hash().alias("text_hash"), F.explode(line_chunks(F.col("text"))).alias("c")
+        "doc_id", _text_hash().alias("text_hash"), F.explode(units(F.col("text"))).alias("c")
     ).where("c.counts").select(
         *_KEY, "c.first", "c.lines", "c.chunk_hash"
     )
@@ -147,26 +198,40 @@ def compared(docs: DataFrame, places: DataFrame) -> DataFrame:
     return places.join(mixed, "chunk_hash", "left_anti").select(exact.columns).unionByName(exact)
 
 
-def line_dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with the remaining text, and ``removed_chunks``, ``removed_lines``, ``n_lines``."""
+def line_dedup(docs: DataFrame, units=line_chunks) -> DataFrame:
+    """``docs`` with the remaining text, and ``removed_chunks``, ``removed_lines``, ``n_lines``.
+
+    ``removed_chunks`` counts the runs of lines taken out.
+    """
     docs = docs.drop("removed_chunks", "removed_lines", "n_lines")
-    places = compared(docs, written(repeated_places(docs), "repeated-places"))
+    places = compared(docs, written(repeated_places(docs, units), "repeated-places"))
     rows = _with_places(docs, places.where("later"), "left")
 
-    def rest(lines: Column, places: Column) -> Column:
-        gone = F.flatten(F.transform(
-            places, lambda p: F.sequence(p["first"], p["first"] + p["lines"] - 1)
-        ))
+    def gone(lines: Column, places: Column) -> Column:
+        """Numbers of the lines that go."""
+        return F.array_sort(F.array_distinct(F.flatten(F.transform(places, lambda p: F.sequence(
+            p["first"] + _shared(lines, p), p["first"] + p["lines"] - 1
+        )))))
+
+    def taken_out(lines: Column, gone: Column) -> Column:
         kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
-        return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+        return F.struct(
+            F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n").alias("text"),
+            F.size(F.filter(
+                gone, lambda i, k: (k == 0) | (F.get(gone, k - 1) < i - 1)
+            )).alias("chunks"),
+            F.size(gone).alias("lines"),
+        )
 
-    remaining = F.when(F.col("_places").isNull(), F.col("text")).otherwise(
-        _let(lines_of(F.col("text")), lambda lines: rest(lines, F.col("_places")))
-    )
-    count = F.aggregate("_places", F.lit(0), lambda n, p: n + p["lines"])
-    return rows.select(
+    done = F.when(F.col("_places").isNotNull(), _let(
+        lines_of(F.col("text")), lambda lines: _let(
+            gone(lines, F.col("_places")), lambda gone: taken_out(lines, gone)
+        )
+    ))
+    remaining = F.when(F.col("_places").isNull(), F.col("text")).otherwise(F.col("_done.text"))
+    return rows.withColumn("_done", done).select(
         *[remaining.alias("text") if c == "text" else F.col(c) for c in docs.columns],
-        F.coalesce(F.size("_places"), F.lit(0)).alias("removed_chunks"),
-        F.coalesce(count, F.lit(0)).alias("removed_lines"),
+        F.coalesce(F.col("_done.chunks"), F.lit(0)).alias("removed_chunks"),
+        F.coalesce(F.col("_done.lines"), F.lit(0)).alias("removed_lines"),
         F.size(lines_of(F.col("text"))).alias("n_lines"),
     )

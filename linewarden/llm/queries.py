@@ -63,7 +63,9 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_dedup(table(spark, sf_dir, "documents")).select(
+    return line_dedup.line_dedup(
+        table(spark, sf_dir, "documents"), line_dedup.line_pairs
+    ).select(
         "doc_id", "n_lines", "removed_chunks", "removed_lines",
         F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"),
     )

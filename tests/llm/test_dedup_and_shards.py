@@ -8,7 +8,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from linewarden.llm import common, exact_dedup, hilbert, line_dedup
+from linewarden.llm import common, exact_dedup, hilbert, line_dedup, queries
 
 DOCS = "doc_id long, text string, lang string, source string, group_size int, curve string, _part int"
 ROWS = [
@@ -185,3 +185,47 @@ def test_chunks_of_one_hash_are_told_apart_by_their_bytes(spark):
     )
     found = line_dedup.compared(docs, places).collect()
     assert {(r.doc_id, r.later) for r in found} == {(1, False), (2, False), (3, True)}
+
+
+def removed_by_hand(rows):
+    """What stays when every line goes that lies in a pair of lines, or a long line, with an earlier place."""
+    rows = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0))
+    first, want = {}, {}
+    for doc_id, text in rows:
+        lines, gone = text.split("\n"), set()
+        full = [i for i, x in enumerate(lines) if any(map(str.isalnum, x))]
+        pairs = list(zip(full, full[1:])) + [(i, i) for i in full if len(lines[i].split()) >= 50]
+        for a, b in pairs:
+            place = first.setdefault(tuple(lines[a:b + 1]), (doc_id, a))
+            if place != (doc_id, a):
+                gone.update(range(a, b + 1))
+        want[doc_id] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+    return want
+
+
+@pytest.mark.parametrize("length", [3, 4, 12])
+def test_whole_passages_go(spark, length):
+    rows, folder = [], common.new_path(spark, "test")
+    for p in range(12):  # many passages, since cuts by a hash take some of them whole by chance
+        shared = "\n".join(f"line {i} of passage {p} " + "word " * 26 for i in range(length))
+        gaps = shared.replace("\n", "\n\n--\n")
+        for d in range(3):
+            rows.append((100 * p + d, f"own {p} {d} a\nown {p} {d} b\n{shared}\nown {p} {d} c\n{gaps}\n"))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    got = {r.doc_id: r for r in queries.registered()["op6_line_dedup"](spark, folder).collect()}
+    want = removed_by_hand(rows)
+    for doc_id, text in rows:
+        p, d = divmod(doc_id, 100)
+        own = [f"own {p} {d} a", f"own {p} {d} b", f"own {p} {d} c", ""]
+        assert want[doc_id] == (text if d == 0 else "\n".join(own))
+        assert got[doc_id].text_sha256 == hashlib.sha256(want[doc_id].encode()).hexdigest()
+        assert got[doc_id].removed_chunks == (0 if d == 0 else 2)
+        assert got[doc_id].removed_lines == len(text.split("\n")) - len(want[doc_id].split("\n"))
+
+
+def test_a_passage_stays_at_its_first_place(spark):
+    rows = [(1, "a b\na b\na b\na b", "", 0), (2, "x 1\na b\na b\na b\ny 1", "", 0), (3, "k\nl\nm", "", 0),
+            (4, "l\nm\nn", "", 0), (5, "n\nm\n", "", 0), (6, "k\nl\nm", "", 0), (6, "k\nl\nm", "", 0)]
+    docs = spark.createDataFrame(rows, LINES)
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup(docs, line_dedup.line_pairs).collect()}
+    assert got == {1: "a b\na b", 2: "x 1\ny 1", 3: "k\nl\nm", 4: "n", 5: "n\nm\n", 6: ""}
