@@ -1,8 +1,9 @@
 """Main text of web pages by scoring the element tree.
 
 Each paragraph passes points for its length and commas to the element around it, and half of them
-to the next one, discounted by the share of its text in links.  The element with the most points is
-the content; siblings with enough points, or that are paragraphs of running text, belong to it.
+to the next one, discounted by the share of its text in links.  If the element with the most points
+lies in an article, that article is the content.  Else all that stands around it, up to the page, is
+content too, headings and short blocks as well; only what is nearly all links goes.
 What is no article by its tag, role, class or id never enters the tree.
 
 Defined cases: null html is an empty page and has an empty text; a page whose every part is left
@@ -52,6 +53,7 @@ BLOCKS = frozenset((
     "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot",
     "th", "thead", "tr", "ul",
 ))
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: An element that ends when one of these begins inside it, up to the element that bounds it.
 ENDED_BY = {
     "p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"},
@@ -61,9 +63,7 @@ BOUNDS = frozenset("article aside body div dl main ol section table td th ul".sp
 #: Points an element has before any paragraph passes it some.
 START = {"article": 25.0, "main": 25.0, "div": 5.0, "pre": 3.0, "td": 3.0, "blockquote": 3.0,
          "ol": -3.0, "ul": -3.0, "dl": -3.0, "li": -3.0, "address": -3.0, "th": -5.0}
-#: A sibling needs this share of the best element's points, or this much running text.
-SIBLING_SHARE, SIBLING_LENGTH, SIBLING_LINKS = 0.2, 80, 0.25
-#: From this share of link text on, such an element is a menu.
+#: From this share of link text on, such an element is a menu, and anything beside the content.
 MENUS, MENU_LINKS = frozenset(("div", "dl", "ol", "section", "table", "ul")), 0.8
 
 _WORDS = re.compile(r"[a-z]+")
@@ -249,7 +249,30 @@ def _blocks(root: Element) -> list[tuple[str, Element]]:
 def _paragraph(tag: str) -> bool:
     """Whether a block's text belongs to the element around it, not to the block itself."""
     return tag in ("p", "li", "dd", "dt", "pre", "td", "th", "blockquote", "caption", "figcaption",
-                   "summary", "address") or (len(tag) == 2 and tag[0] == "h" and tag[1].isdigit())
+                   "summary", "address") or tag in HEADINGS
+
+
+def _without_menus(items: list[Element | str], content: Element) -> list[Element | str]:
+    """What stands beside the content, but for blocks and lines of text that are nearly all links."""
+    kept, line = [], []
+
+    def end() -> None:
+        size = sum(len(x.strip()) if isinstance(x, str) else x.size for x in line)
+        inline = [x for x in line if isinstance(x, Element)]
+        if not (sum(x.anchors for x in inline) > 1
+                and sum(x.linked for x in inline) >= MENU_LINKS * size):
+            kept.extend(line)
+        line.clear()
+
+    for item in items:
+        if isinstance(item, str) or (item is not content and item.tag not in BLOCKS):
+            line.append(item)
+            continue
+        end()
+        if item is content or item.tag in HEADINGS or item.anchors < 2 or item.link_share < MENU_LINKS:
+            kept.append(item)
+    end()
+    return kept
 
 
 def _content(root: Element) -> list[Element]:
@@ -270,21 +293,11 @@ def _content(root: Element) -> list[Element]:
     while at is not None and at.tag not in ("article", "main"):
         at = at.parent
     if at is not None:
-        best = at
-    if best.parent is None:
-        return [best]
-    least = max(10.0, SIBLING_SHARE * best.points * (1 - best.link_share))
-    kept = []
-    for item in best.parent.items:
-        if item is best:
-            kept.append(item)
-        elif isinstance(item, Element):
-            running = (item.tag == "p" and item.size >= SIBLING_LENGTH
-                       and item.link_share < SIBLING_LINKS)
-            scored = item in holders and item.points * (1 - item.link_share) >= least
-            if running or scored:
-                kept.append(item)
-    return kept
+        return [at]
+    while best.parent is not None:
+        best.parent.items = _without_menus(best.parent.items, best)
+        best = best.parent
+    return [best]
 
 
 def main_text(html: str | None) -> str:

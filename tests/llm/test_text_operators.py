@@ -175,6 +175,10 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 </article><footer>&copy; all, rights, reserved</footer></body></html>"""
 
 
+WORDS = ("Words, and more words, follow here, one after the other, until the line ends. " * 2).strip()
+RUN = f"<p>{WORDS}</p>"
+
+
 def test_page_is_cut_to_its_article():
     assert main_text.main_text(PAGE) == "Fish & chips\n\nOne, two three.\n\nFour < five, and so on here."
 
@@ -195,6 +199,19 @@ def test_best_container_and_its_siblings_stay():
     assert text == [" ".join(run.split())] * 4
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    (f"<div id=post><h1>Title</h1><div class=body>{RUN * 3}</div><p>Short end.</p></div>", ["Title", *3 * [WORDS], "Short end."]),
+    (f"<div id=post><section>{RUN * 5}</section><section><h2>Note</h2><p>One short sentence, here.</p></section></div>",
+     [*5 * [WORDS], "Note", "One short sentence, here."]),
+    (f"<h1>Title</h1><div><div><div>{RUN * 4}</div></div><h3>Part</h3>bare <b>text</b><div>{RUN}</div></div>",
+     ["Title", *4 * [WORDS], "Part", "bare text", WORDS]),
+    (f"<a href=a>Home</a> | <a href=b>News</a><div><p><a href=a>one</a> <a href=b>two</a></p><h1><a href=c>A</a> <a href=d>B</a></h1>"
+     f"<div>{RUN * 2}</div><p>See <a href=c>this</a>.</p><div class=comments><p>No.</p></div></div>", ["A B", WORDS, WORDS, "See this."]),
+])
+def test_short_parts_around_the_best_container_stay(page, want):
+    assert main_text.main_text(f"<body>{page}</body>").split("\n\n") == want
+
+
 @pytest.mark.parametrize(("html", "text"), [
     (None, ""), ("", ""), ("plain  text", "plain text"), ("<p>a<p>b", "a\n\nb"), ("<script>x", ""),
     ("<div>" * 5000 + "deep" + "</div>" * 5000, "deep"), ("</p></div>x", "x"), ("a &amp b &#233;", "a & b é"),
