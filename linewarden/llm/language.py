@@ -160,9 +160,12 @@ def learn(docs: DataFrame) -> Model:
     return fit([bytes(r["flags"]) for r in rows], [r["lang"] for r in rows])
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``; columns of these names are replaced."""
-    kept = docs.drop("lang_pred", "score")
+def predict(docs: DataFrame, model: Model, lettered: str | None = None) -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score``; columns of these names are replaced.
+
+    ``lettered`` names one more column: whether the text has a letter, also if nothing was learnt.
+    """
+    kept = docs.drop("lang_pred", "score", *([lettered] if lettered else []))
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.weights))
     names = kept.columns
 
@@ -171,10 +174,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             found = [(UNKNOWN, 0.0)] * batch.num_rows
             texts = batch.column("text").to_pylist()
-            asked = [
-                i for i, t in enumerate(texts)
-                if model.languages and t and any(map(str.isalpha, t))
-            ]
+            letters = [bool(t) and any(map(str.isalpha, t)) for t in texts]
+            asked = [i for i, has in enumerate(letters) if model.languages and has]
             for start in range(0, len(asked), BATCH):
                 some = asked[start:start + BATCH]
                 outputs = model.outputs(np.stack([presence(texts[i]) for i in some]))
@@ -182,12 +183,15 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 for i, b, row in zip(some, best, outputs, strict=True):
                     found[i] = (model.languages[b], float(np.clip((1 + row[b]) / 2, 0, 1)))
             pred, score = zip(*found) if found else ((), ())
+            more = [pa.array(letters, pa.bool_())] if lettered else []
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())],
-                names=[*names, "lang_pred", "score"],
+                [*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), *more],
+                names=[*names, "lang_pred", "score", *([lettered] if lettered else [])],
             )
 
     schema = StructType(list(kept.schema.fields)).add("lang_pred", "string").add("score", "double")
+    if lettered:
+        schema = schema.add(lettered, "boolean")
     return kept.mapInArrow(scored, schema)
 
 

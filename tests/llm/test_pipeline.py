@@ -44,6 +44,16 @@ def test_pipeline_of_nothing(spark, sf_dir):
         assert docs.count() == 0
 
 
+def test_documents_stay_where_nothing_is_labelled(spark, sf_dir):
+    rows = [(1, "some words", None, "s", 10, 1), (2, "12 !!", None, "s", 5, 1), (3, None, None, "s", 0, 1), (None, "é", None, "s", 1, 1)]
+    stage = dict(corpus_pipeline.STAGES)["language"]
+    for lang in (None, "en"):  # 2 is held out, so its label is not learnt
+        docs = spark.createDataFrame([(*r[:2], lang if r[0] == 2 else None, *r[3:]) for r in rows], DOCS)
+        got = stage(spark, docs, sf_dir)
+        assert got.columns == docs.columns
+        assert sorted(got.collect(), key=str) == sorted(docs.where("doc_id = 1 OR doc_id IS NULL").collect(), key=str)
+
+
 @pytest.mark.parametrize("name", sorted(queries.sql()))
 def test_queries_equal_their_sql(spark, sf_dir, name):
     with duckdb.connect() as db:
