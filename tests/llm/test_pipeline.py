@@ -54,6 +54,16 @@ def test_documents_stay_where_nothing_is_labelled(spark, sf_dir):
         assert sorted(got.collect(), key=str) == sorted(docs.where("doc_id = 1 OR doc_id IS NULL").collect(), key=str)
 
 
+def test_copies_that_lost_all_their_text_go(spark, sf_dir):
+    texts = ["one long line " * 30, "a line of text\n\nanother line of it\n--"]
+    rows = [(10 * k + d, text, "en", "s", len(text), 1) for k, text in enumerate(texts) for d in range(4)]
+    stages, docs = dict(corpus_pipeline.STAGES), spark.createDataFrame([*rows, (30, "12 34 a", "en", "s", 7, 1)], DOCS)
+    for name in ("language", "line_dedup", "near_dedup"):
+        docs = common.written(stages[name](spark, docs, sf_dir), "test")
+    assert sorted(r.doc_id for r in docs.collect()) == [0, 10, 30]
+    assert {r.text for r in docs.collect()} == {*texts, "12 34 a"}
+
+
 @pytest.mark.parametrize("name", sorted(queries.sql()))
 def test_queries_equal_their_sql(spark, sf_dir, name):
     with duckdb.connect() as db:
