@@ -6,8 +6,11 @@ its result has to have.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
+import public_tokenizers
+from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +23,8 @@ from . import (
     main_text,
     ngram_join,
     packing,
+    prefix_trie,
+    token_alignment,
     topk,
     warc_zip,
 )
@@ -32,12 +37,9 @@ SHARD_DIMENSIONS = ["size", "lang", "source"]
 
 
 #: Folder of the public vocabularies, and their files.
-TOKENIZERS = "/opt/tokenizers"
+TOKENIZERS = os.path.dirname(public_tokenizers.path(""))
 BYTE_BPE, WORD_BPE = "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json"
-#: Fixed value: the pattern that splits text before the merges of the rank files.
-PATTERN = (
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-)
+BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,6 +104,19 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_token_alignment(
+    spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS
+) -> DataFrame:
+    vocabularies = token_alignment.read_vocabularies(
+        f"{tokenizers}/{BYTE_LEVEL}", f"{tokenizers}/{PIECES}"
+    )
+    return token_alignment.align_corpus(table(spark, sf_dir, "documents"), vocabularies)
+
+
 def registered() -> dict[str, Query]:
     return {
         "op1_topk_search": op1_topk_search,
@@ -114,6 +129,8 @@ def registered() -> dict[str, Query]:
         "op8_hilbert_shards": op8_hilbert_shards,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_html_extraction": op10_html_extraction,
+        "op11_prefix_trie": op11_prefix_trie,
+        "op13_token_alignment": op13_token_alignment,
     }
 
 
@@ -151,5 +168,60 @@ WHERE rank <= 5
 """
 
 
+#: The checksum of a decimal id is computed bit by bit; 3988292384 is CRC-32's polynomial.
+OP11_SQL = """
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (
+           PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')
+         ) AS nth
+  FROM conversations WHERE conv_id IS NOT NULL
+), digits AS (
+  SELECT DISTINCT conv_id,
+         list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)) AS bytes
+  FROM turns
+), heads AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS lead,
+         xor(4294967295, list_reduce(
+           list_prepend(CAST(4294967295 AS BIGINT), bytes),
+           lambda crc, byte: list_reduce(
+             [xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0],
+             lambda a, unused: xor(a >> 1, 3988292384 * (a & 1))
+           )
+         )) % 9 AS h
+  FROM digits
+), rebuilt AS (
+  SELECT h.conv_id, nth, role, text FROM heads h JOIN turns t ON t.conv_id = h.lead AND nth <= h
+  UNION ALL
+  SELECT h.conv_id, nth, role, text FROM heads h JOIN turns t ON t.conv_id = h.conv_id AND nth > h
+), paths AS (
+  SELECT h.conv_id, coalesce(path, []) AS path
+  FROM heads h LEFT JOIN (
+    SELECT conv_id, list({'role': role, 'text': text} ORDER BY nth) AS path FROM rebuilt GROUP BY conv_id
+  ) USING (conv_id)
+), prefixes AS (
+  SELECT conv_id, path, unnest(range(len(path) + 1)) AS depth FROM paths
+), nodes AS (
+  SELECT path[1:depth] AS node, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)
+                         FILTER (WHERE depth = len(path)), '')) AS ends_sha256
+  FROM prefixes GROUP BY ALL
+), children AS (
+  SELECT node[1:depth - 1] AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1
+), counted AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children,
+         CASE WHEN depth > 0 THEN (n_convs - 1) * strlen(n.node[-1].text) ELSE 0 END AS saved
+  FROM nodes n LEFT JOIN children USING (node)
+), up AS (
+  SELECT node[1:level] AS node, sum(saved) AS saved_tokens, count(*) FILTER (WHERE n_children = 0) AS n_leaves
+  FROM (SELECT *, unnest(range(depth + 1)) AS level FROM counted) GROUP BY 1
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM counted n JOIN up USING (node)
+LEFT JOIN nodes p ON n.depth > 0 AND p.node = n.node[1:n.depth - 1]
+"""
+
+
 def sql() -> dict[str, str]:
-    return {"op1_topk_search": OP1_SQL, "op2_exact_dedup": OP2_SQL}
+    return {"op1_topk_search": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op11_prefix_trie": OP11_SQL}
