@@ -36,7 +36,7 @@ from .common import text_or_empty, written
 #: Conversations that share a leader, and the highest number of turns taken from it, plus one.
 BLOCK, HEADS = 5, 9
 #: Member turns below the root of a shard of the lowest level, and the factor to the next level.
-SHARD_ROWS, LEVEL_FACTOR = 20_000, 1000
+SHARD_ROWS, LEVEL_FACTOR = 2_000, 1000
 #: Messages that a task's queue holds in memory, and ids that are hashed as one piece.
 QUEUED, PIECE = 200_000, 50_000
 
@@ -291,7 +291,8 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
     counted = nodes.join(
         totals.select("node", "n_children", "n_leaves", "saved_tokens"), "node"
     ).select(
-        "node", "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens"
+        "node", "parent", "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves",
+        "saved_tokens",
     )
     # the root: its members, and what all shards below it send
     members = path_rows.where("depth = 0").groupBy("node").agg(
@@ -304,10 +305,11 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
         F.coalesce("sent_leaves", F.lit(1)).alias("n_leaves"),
         F.coalesce("sent_saved", F.lit(0)).alias("saved_tokens"),
     )
-    first = members.select(F.col("conv_id").alias("root_conv_id"), F.lit(1).cast("long").alias("depth"))
-    below = counted.join(F.broadcast(first), "depth", "left").withColumn(
+    # one row, for the nodes right below it
+    first = members.select(F.col("node").alias("parent"), F.col("conv_id").alias("root_conv_id"))
+    below = counted.join(F.broadcast(first), "parent", "left").withColumn(
         "parent_conv_id", F.coalesce("parent_conv_id", "root_conv_id")
-    ).drop("root_conv_id")
+    ).drop("root_conv_id", "parent")
     empty = F.sha2(F.lit("").cast("binary"), 256)
     return root.unionByName(below).join(end_digests(path_rows), "node", "left").select(
         "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",

@@ -24,6 +24,7 @@ from . import (
     ngram_join,
     packing,
     prefix_trie,
+    substring_dedup,
     token_alignment,
     topk,
     warc_zip,
@@ -108,6 +109,12 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")
+    )
+
+
 def op13_token_alignment(
     spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS
 ) -> DataFrame:
@@ -130,6 +137,7 @@ def registered() -> dict[str, Query]:
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_html_extraction": op10_html_extraction,
         "op11_prefix_trie": op11_prefix_trie,
+        "op12_substring_dedup": op12_substring_dedup,
         "op13_token_alignment": op13_token_alignment,
     }
 
@@ -223,5 +231,36 @@ LEFT JOIN nodes p ON n.depth > 0 AND p.node = n.node[1:n.depth - 1]
 """
 
 
+OP12_SQL = r"""
+WITH words AS (
+  SELECT doc_id, string_split_regex(trim(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                                    '[\x20\x09-\x0D]+') AS words
+  FROM documents
+), docs AS (
+  SELECT doc_id, CASE WHEN words = [''] THEN [] ELSE words END AS words FROM words
+), windows AS (
+  SELECT doc_id, start, sha256(list_aggregate(words[start + 1:start + 20], 'string_agg', ' ')) AS window_sha256
+  FROM (SELECT doc_id, words, unnest(range(len(words) - 19)) AS start FROM docs WHERE len(words) >= 20)
+), later AS (
+  SELECT doc_id, start FROM windows
+  QUALIFY row_number() OVER (PARTITION BY window_sha256 ORDER BY doc_id, start) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(start, start + 20)) AS word FROM later
+), flat AS (
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS place FROM docs
+), kept AS (
+  SELECT f.doc_id, string_agg(f.word, ' ' ORDER BY place) FILTER (WHERE g.word IS NULL) AS text,
+         count(g.word) AS n_removed
+  FROM flat f LEFT JOIN gone g ON g.doc_id = f.doc_id AND g.word = f.place GROUP BY f.doc_id
+)
+SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
+       sha256(coalesce(text, '')) AS kept_sha256
+FROM docs d LEFT JOIN kept USING (doc_id)
+"""
+
+
 def sql() -> dict[str, str]:
-    return {"op1_topk_search": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op11_prefix_trie": OP11_SQL}
+    return {
+        "op1_topk_search": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op11_prefix_trie": OP11_SQL,
+        "op12_substring_dedup": OP12_SQL,
+    }
