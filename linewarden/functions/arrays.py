@@ -19,31 +19,24 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _total(items: Column) -> Column:
-    return F.aggregate(items, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+def let_sql(value: str, name: str, body: str) -> str:
+    """The same in SQL: ``body`` reads the value by its name."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def running_totals(values: Column) -> Column:
-    """Inclusive prefix sums of an array, in two levels.
+def running_totals_sql(values: str) -> str:
+    """SQL for the inclusive prefix sums of an array of BIGINT, in two levels.
 
     A plain ``aggregate`` over each prefix is quadratic in the array; one line can hold very
     many matches, so whole chunks are summed once and only the rest of a chunk per element.
     """
-
-    def with_values(v: Column) -> Column:
-        chunks = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / _CHUNK).cast("int"))
-        sums = F.transform(chunks, lambda c: _total(F.slice(v, c * _CHUNK + 1, F.lit(_CHUNK))))
-        return let(sums, lambda s: let(bases(s), lambda b: F.transform(v, element(v, b))))
-
-    def bases(sums: Column) -> Column:
-        return F.transform(sums, lambda _, i: _total(F.slice(sums, F.lit(1), i)))
-
-    def element(v: Column, b: Column):
-        def total(_: Column, i: Column) -> Column:
-            chunk = F.floor(i / _CHUNK).cast("int")
-            rest = F.slice(v, chunk * _CHUNK + 1, i - chunk * _CHUNK + 1)
-            return F.get(b, chunk) + _total(rest)
-
-        return total
-
-    return let(values, lambda v: F.when(F.size(v) < 2, v).otherwise(with_values(v)))
+    def total(items: str) -> str:
+        return f"aggregate({items}, 0L, (total, x) -> total + x)"
+
+    chunks = f"sequence(0, CAST(floor((size(v) - 1) / {_CHUNK}) AS INT))"
+    sums = f"transform({chunks}, c -> {total(f'slice(v, c * {_CHUNK} + 1, {_CHUNK})')})"
+    bases = f"transform(sums, (s, n) -> {total('slice(sums, 1, n)')})"
+    rest = f"slice(v, j - j % {_CHUNK} + 1, j % {_CHUNK} + 1)"
+    each = f"transform(v, (x, j) -> get(bases, CAST(floor(j / {_CHUNK}) AS INT)) + {total(rest)})"
+    whole = let_sql(sums, "sums", let_sql(bases, "bases", each))
+    return let_sql(values, "v", f"IF(size(v) < 2, v, {whole})")

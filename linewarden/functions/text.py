@@ -25,6 +25,16 @@ def raw_lines(text: Column) -> Column:
     return F.when(text != "", F.split(body, "\n", -1))
 
 
+def numbered_lines_sql(text: str) -> str:
+    """SQL for the array of ``(line, raw)`` of a text, as :func:`raw_lines` cuts it."""
+    body = (
+        "CASE WHEN endswith(t, '\\n') THEN substring(t, 1, length(t) - 1) "
+        "WHEN endswith(t, '\\r') THEN concat(t, '\\r') ELSE t END"
+    )
+    cut = f"transform(split({body}, '\\n', -1), (raw, i) -> named_struct('line', i, 'raw', raw))"
+    return f"transform(array({text}), t -> IF(t <> '', {cut}, NULL))[0]"
+
+
 def strip_cr(line: Column) -> Column:
     return F.when(
         line.endswith("\r"), F.substring(line, F.lit(1), F.length(line) - 1)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linewarden import schema
+from linewarden.functions.dialect import sql_literal
 from linewarden.functions.paths import manifest
 from linewarden.functions.severity import severity_rank
 from linewarden.functions.arrays import let
@@ -43,6 +46,7 @@ AUDITS = {
     "go": "govulncheck",
 }
 OTHER_AUDIT = "Use appropriate security scanner"
+AUDIT = "Consider running a security audit: "
 RUST_TITLE = "Rust dependencies detected in "
 RUST_ADVICE = "Run `cargo audit` to check for vulnerabilities"
 
@@ -141,7 +145,7 @@ def audit_note(language: Column) -> Column:
     audit = F.lit(OTHER_AUDIT)
     for known, command in AUDITS.items():
         audit = F.when(language == known, command).otherwise(audit)
-    return F.concat(F.lit("Consider running a security audit: "), audit)
+    return F.concat(F.lit(AUDIT), audit)
 
 
 def manifest_findings(files: DataFrame, nested: bool = False) -> DataFrame:
@@ -287,9 +291,94 @@ def is_hit() -> Column:
     )
 
 
-def built_in(spark: SparkSession) -> DataFrame:
+@dataclass(frozen=True)
+class Known:
+    """A built-in advisory or minimum version: how it is met, and what a finding says."""
+
+    ecosystem: str
+    key: str
+    package: str | None
+    version: str | None
+    min_major: int | None
+    title: str
+    severity: str
+    advice: str | None
+    adv: int
+
+
+def built_in() -> list[Known]:
     """All built-in advisories and minimum versions."""
-    return npm_advisories(spark).unionByName(npm_minimums(spark)).unionByName(python_advisories(spark))
+    return [
+        Known("javascript", package.lower(), package, version, None,
+              f"Vulnerable dependency: {cve}: {text}", severity, None, i)
+        for i, (package, version, cve, text, severity) in enumerate(NPM_ADVISORIES)
+    ] + [
+        Known("javascript", package.lower(), None, None, least, "Outdated major version of ", "LOW",
+              advice, i + OUTDATED_POS)
+        for i, (package, least, advice) in enumerate(OUTDATED)
+    ] + [
+        Known("python", version, package, version, None, f"Vulnerable Python package: {cve}", severity,
+              None, i)
+        for i, (package, version, cve, severity) in enumerate(PYTHON_ADVISORIES)
+    ]
+
+
+def _sql_value(value) -> str:
+    if value is None:
+        return "NULL"
+    return str(value) if isinstance(value, int) else sql_literal(value)
+
+
+def _known_by_key(ecosystem: str) -> Column:
+    """A literal map from the key of a package to the built-in advisories that it may meet."""
+    by_key: dict[str, list[str]] = {}
+    for at, known in enumerate(built_in()):
+        if known.ecosystem == ecosystem:
+            by_key.setdefault(known.key, []).append(
+                f"named_struct('at', {at}, 'a_package', CAST({_sql_value(known.package)} AS STRING), "
+                f"'a_version', CAST({_sql_value(known.version)} AS STRING), "
+                f"'min_major', CAST({_sql_value(known.min_major)} AS INT))"
+            )
+    pairs = ", ".join(f"{sql_literal(key)}, array({', '.join(rows)})" for key, rows in by_key.items())
+    return F.expr(f"map({pairs})")
+
+
+def built_in_hits(packages: Column, ecosystem: str) -> Column:
+    """Array of ``struct(package, at)`` of an array of packages: the built-in advisories they meet.
+
+    The advisories are a literal that every task has, so packages without one never leave the row
+    of their manifest.
+    """
+    table = _known_by_key(ecosystem)
+    python = ecosystem == "python"
+
+    def hits(p: Column) -> Column:
+        key = p["version"] if python else fold_name(p["package"])
+
+        def concerns(a: Column) -> Column:
+            if python:
+                return p["package"].contains(a["a_package"])
+            return is_npm_hit(p["package"], p["version"], a)
+
+        met = F.filter(F.try_element_at(table, key), concerns)
+        return F.transform(met, lambda a: F.struct(p.alias("package"), a["at"].alias("at")))
+
+    # a package without an advisory gives no array
+    return F.flatten(F.array_compact(F.transform(packages, hits)))
+
+
+def major_version(version: Column) -> Column:
+    first = F.split_part(version, F.lit("."), F.lit(1))
+    # The cast alone would also take blanks around the digits.
+    return F.when(first.rlike(r"\A[+-]?[0-9]+\z"), first.try_cast("int"))
+
+
+def is_npm_hit(package: Column, version: Column, a: Column) -> Column:
+    """Whether an advisory or minimum version of the same key concerns a javascript package."""
+    exact = (package == a["a_package"]) & (
+        (version == a["a_version"]) | version.startswith(F.concat(a["a_version"], F.lit(".")))
+    )
+    return F.when(a["min_major"].isNotNull(), major_version(version) < a["min_major"]).otherwise(exact)
 
 
 def _python_hits(deps: DataFrame, known: DataFrame) -> DataFrame:

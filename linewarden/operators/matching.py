@@ -3,24 +3,25 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linewarden.functions.arrays import let, running_totals
+from linewarden.functions.arrays import let_sql, running_totals_sql
 from linewarden.functions.dialect import sql_literal
 from linewarden.functions.severity import RANKS
-from linewarden.operators.findings import to_findings
-from linewarden.operators.lines import explode_lines
-from linewarden.rules import Rule, prefilter
+from linewarden.rules import Rule, anchor_bits
 
 _HITS = "array<struct<rule:int,found:array<string>>>"
 
 
-def _gate(rule: Rule) -> list[str]:
+def _gate(rule: Rule, bits: dict[str, int]) -> list[str]:
     """SQL conditions without which the rule has no match in the line."""
     conditions = []
+    if rule.anchors:
+        conditions.append(f"(met & {sum(bits[name] for name in set(rule.anchors))}L) <> 0")
     if rule.skips_lock_files:
         conditions.append("NOT url_skipped")
     if rule.language:
@@ -30,11 +31,15 @@ def _gate(rule: Rule) -> list[str]:
     return conditions
 
 
-def _hits(rules: list[Rule]) -> Column:
-    """Array of (rule position, matches); rules with the same gate are under one condition."""
+def _hits(rules: tuple[Rule, ...]) -> str:
+    """Array of (rule position, matches) of the rules whose anchors the line has.
+
+    Rules with the same gate are under one condition.
+    """
+    bits, met = anchor_bits(rules, "text")
     blocks = []
-    by_gate = sorted(enumerate(rules), key=lambda item: _gate(item[1]))
-    for gate, members in groupby(by_gate, key=lambda item: _gate(item[1])):
+    by_gate = sorted(enumerate(rules), key=lambda item: _gate(item[1], bits))
+    for gate, members in groupby(by_gate, key=lambda item: _gate(item[1], bits)):
         structs = ", ".join(
             f"named_struct('rule', {i}, 'found', "
             f"regexp_extract_all(text, {sql_literal(rule.java)}, 0))"
@@ -46,55 +51,44 @@ def _hits(rules: list[Rule]) -> Column:
         blocks.append(block)
     # As the argument of a higher-order function the rules are evaluated one by one; dozens
     # of regular expressions generated into one method would be too long for the JIT.
-    return F.expr(f"filter(concat({', '.join(blocks)}), hit -> size(hit.found) > 0)")
-
-
-def _pieces(rules: list[Rule]) -> Column:
-    """The line cut at the matches of the rule that hit it."""
-    branches = " ".join(
-        f"WHEN {i} THEN split(text, {sql_literal(rule.java)}, -1)" for i, rule in enumerate(rules)
-    )
-    return F.expr(f"CASE rule {branches} END")
+    return let_sql(met, "met", f"filter(concat({', '.join(blocks)}), hit -> size(hit.found) > 0)")
 
 
-def match_all(lines: DataFrame, rules, keep: list[str], passing: Column | None = None) -> DataFrame:
-    """``keep``, line, rule (position in ``rules``), column, evidence for every match.
+@lru_cache(maxsize=64)
+def line_matches(rules: tuple[Rule, ...]) -> str:
+    """SQL for the array of (rule, column, evidence) of a line called ``text``.
 
-    Matches are non-overlapping and leftmost per rule; rules may overlap each other.  The
-    column is the byte offset in the line: the pieces between the matches are cut out with the
-    same pattern, and lengths of pieces and matches are added up.  Rows for which ``passing``
-    holds go through as they are, as rule -1 without a column.
+    Matches are non-overlapping and leftmost per rule; rules may overlap each other.  The column
+    is the byte offset in the line: the pieces between the matches are cut out with the same
+    pattern, and lengths of pieces and matches are added up.  The rules also ask for
+    ``url_skipped`` and ``language`` of the file.
     """
-    rules = list(rules)
-    found = _hits(rules)
-    if passing is not None:
-        through = F.expr(f"CAST(array(named_struct('rule', -1, 'found', array(''))) AS {_HITS})")
-        found = F.when(passing, through).otherwise(found)
-    cut = [c for c in ("line", "text") if c not in keep]
-    hits = lines.select(*keep, *cut, F.explode(found).alias("hit"))
-    hits = hits.select(*keep, *cut, "hit.rule", "hit.found")
-    found = F.col("found")
-
-    def steps(pieces: Column) -> Column:
-        def step(_: Column, i: Column) -> Column:
-            before = F.when(i > 0, F.octet_length(F.get(found, i - 1))).otherwise(0)
-            return (F.octet_length(F.get(pieces, i)) + before).cast("bigint")
-
-        return F.transform(found, step)
-
-    columns = let(_pieces(rules), lambda pieces: running_totals(steps(pieces)))
-    zipped = F.arrays_zip(columns.alias("column"), found.alias("evidence"))
-    matches = hits.select(*keep, *[c for c in cut if c == "line"], "rule", F.inline(zipped).alias("column", "evidence"))
-    return matches.where(_is_match(rules))
-
-
-def _is_match(rules: list[Rule]) -> Column:
-    """Takes out the runs that a rule's linear form has passed over."""
+    if not rules:
+        return "CAST(array() AS array<struct<rule:int,column:int,evidence:string>>)"
     branches = " ".join(
-        f"WHEN {i} THEN evidence RLIKE {sql_literal(rule.java_whole)}"
+        f"WHEN {i} THEN split(text, {sql_literal(rule.java)}, -1)" for i, rule in enumerate(rules)
+    )
+    steps = let_sql(f"CASE hit.rule {branches} END", "pieces", (
+        "transform(hit.found, (f, i) -> CAST(octet_length(get(pieces, i)) + "
+        "IF(i > 0, octet_length(get(hit.found, i - 1)), 0) AS BIGINT))"
+    ))
+    placed = let_sql(running_totals_sql(steps), "places", (
+        "transform(hit.found, (f, i) -> named_struct('rule', hit.rule, "
+        "'column', CAST(get(places, i) AS INT), 'evidence', f))"
+    ))
+    matches = f"flatten(transform({_hits(rules)}, hit -> {placed}))"
+    # takes out the runs that a rule's linear form has passed over
+    whole = " ".join(
+        f"WHEN {i} THEN m.evidence RLIKE {sql_literal(rule.java_whole)}"
         for i, rule in enumerate(rules) if rule.linear
     )
-    return F.expr(f"CASE rule {branches} ELSE true END") if branches else F.lit(True)
+    return f"filter({matches}, m -> CASE m.rule {whole} ELSE true END)" if whole else matches
+
+
+def match_all(lines: DataFrame, rules, keep: list[str]) -> DataFrame:
+    """``keep``, line, rule (position in ``rules``), column, evidence for every match."""
+    kept = [*keep, *[c for c in ("line",) if c not in keep]]
+    return lines.select(*kept, F.expr(f"inline({line_matches(tuple(rules))})"))
 
 
 @dataclass(frozen=True)
@@ -109,9 +103,9 @@ class PlacedRule:
     rule: Rule
 
 
-def described(placed: list[PlacedRule]) -> Column:
-    """What a finding of each rule says, by position."""
-    return F.expr(
+def described(placed: list[PlacedRule]) -> str:
+    """SQL for what a finding of each rule says, by position."""
+    return (
         "array("
         + ", ".join(
             f"named_struct('analyzer_ord', {p.analyzer_ord}, 'rule_ord', {p.rule_ord}, "
@@ -125,29 +119,3 @@ def described(placed: list[PlacedRule]) -> Column:
         )
         + ")"
     )
-
-
-def scan_lines(texts: DataFrame, placed: list[PlacedRule], use_prefilter: bool = True) -> DataFrame:
-    """Findings of the line rules over ``(repo, path, content, url_skipped, language)``."""
-    rules = [p.rule for p in placed]
-    wanted = prefilter(rules) if use_prefilter else None
-    keep = ["repo", "path", "url_skipped", "language"]
-    matches = match_all(explode_lines(texts, keep, wanted), rules, keep)
-    known = matches.withColumn("r", F.get(described(placed), F.col("rule")))
-    r = F.col("r")
-    shown = F.when(r["title_takes_match"], F.col("evidence")).otherwise("")
-    return to_findings(
-        known,
-        analyzer=r["analyzer"],
-        rule_id=r["rule_id"],
-        severity=r["severity"],
-        severity_rank=r["severity_rank"],
-        title=F.concat(r["title"], shown),
-        description=r["description"],
-        file=F.col("path"),
-        line=F.col("line"),
-        column=F.col("column"),
-        evidence=F.col("evidence"),
-        remediation=r["remediation"],
-        order=(r["analyzer_ord"], 0, F.col("line"), r["rule_ord"], F.col("column")),
-    )

@@ -8,14 +8,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linewarden.functions.paths import (
-    below_ignored_dir,
-    detect_language,
-    is_listed,
-    is_url_skipped,
-)
+from linewarden.functions.paths import below_ignored_dir, is_listed
 from linewarden.functions.severity import RANKS, parse_severity
-from linewarden.operators.matching import PlacedRule, scan_lines
+from linewarden.operators.matching import PlacedRule
 from linewarden.plans import builtin
 from linewarden.plans.registry import AnalyzerRegistry, default_registry
 from linewarden.plans.single_pass import single_pass
@@ -46,16 +41,6 @@ class Corpus:
         files = self.files.where(is_listed(F.col("path")))
         return files.where(~below_ignored_dir(F.col("path"))) if self.prune else files
 
-    def texts(self) -> DataFrame:
-        """Listed files with the conditions the line rules ask for."""
-        return self.listed().select(
-            "repo",
-            "path",
-            "content",
-            is_url_skipped(F.col("path")).alias("url_skipped"),
-            detect_language(F.col("path")).alias("language"),
-        )
-
     def repos(self) -> DataFrame:
         """The repositories, as rows to aggregate on (not distinct)."""
         return self.files.select("repo")
@@ -96,9 +81,7 @@ def scan(
     beside = builtin.beside(corpus, kinds)
     kinds -= set(beside)
     parts = []
-    if placed and not kinds:
-        parts.append(scan_lines(corpus.texts(), placed, use_prefilter))
-    elif placed or kinds:
+    if placed or kinds:
         parts.append(single_pass(corpus, placed, kinds, places, use_prefilter))
     for kind, found in beside.items():
         place = F.lit(places[builtin.ANALYZER_OF[kind]])

@@ -1,8 +1,8 @@
 """Everything the built-in analyzers find, from one read of the corpus.
 
-Each file becomes rows of parts: candidate lines, a suspicious suffix, a manifest, its packages,
-remotes of a git configuration.  The line rules turn lines into matches and pass other parts
-through, one join looks packages up, and one projection makes the findings.
+Each file becomes an array of typed parts inside its row: matches of the line rules, a suspicious
+suffix, a manifest, its packages that meet an advisory, remotes of a git configuration.  A kind is
+worked out where it arises, and only what is found leaves the row; one projection makes the findings.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linewarden.functions.arrays import let
+from linewarden.functions.dialect import sql_literal
 from linewarden.functions.paths import (
     SUSPICIOUS_EXTENSIONS,
     below_ignored_dir,
@@ -20,24 +21,24 @@ from linewarden.functions.paths import (
     manifest,
 )
 from linewarden.functions.severity import RANKS
-from linewarden.functions.text import decode_utf8, raw_lines, strip_cr
+from linewarden.functions.text import decode_utf8, numbered_lines_sql
 from linewarden.operators import dependencies as deps
 from linewarden.operators.findings import to_findings
 from linewarden.operators.git import CONFIG_PATH, remotes_of
-from linewarden.operators.matching import PlacedRule, described, match_all
+from linewarden.operators.matching import PlacedRule, described, line_matches
 from linewarden.operators.path_findings import AUDIT_NOTE, suspicious_suffix
-from linewarden.rules import prefilter
+from linewarden.rules import prefilter_sql
 
 #: Kinds of parts; built-in analyzers say which they find.
 LINE, SUFFIX, MANIFEST, PACKAGE, RUST, REMOTE = "line", "suffix", "manifest", "package", "rust", "remote"
 
-#: A part: for lines their number and text; otherwise what the kind needs.
-_PART = "struct<kind:string,line:int,text:string,name:string,a:int,b:int>"
+#: A part.  Lines: number, evidence, rule and column; otherwise what the kind needs.
+_PART = "struct<kind:string,line:int,text:string,name:string,a:int,b:int,c:int>"
 _PARTS = f"array<{_PART}>"
 
 
-def _part(kind: str, line=None, text=None, name=None, a=None, b=None) -> Column:
-    values = (line, text, name, a, b)
+def _part(kind: str, text=None, name=None, a=None, b=None, c=None) -> Column:
+    values = (None, text, name, a, b, c)
     return F.struct(F.lit(kind), *[v if isinstance(v, Column) else F.lit(v) for v in values]).cast(_PART)
 
 
@@ -45,22 +46,29 @@ def _none() -> Column:
     return F.array().cast(_PARTS)
 
 
-def _lines(content: Column, wanted) -> Column:
-    """Candidate lines of a text; a text that no rule can match is not cut."""
-    text = decode_utf8(F.when(wanted(content.cast("string")), content) if wanted else content)
-    numbered = F.transform(raw_lines(text), lambda line, i: _part(LINE, i, line))
-    if wanted:
-        numbered = F.filter(numbered, lambda part: wanted(part["text"]))
-    return F.transform(numbered, lambda p: _part(LINE, p["line"], strip_cr(p["text"])))
+def _lines(placed: list[PlacedRule], use_prefilter: bool) -> Column:
+    """Matches in the lines of ``content``; a text that no rule can match is not cut."""
+    rules = tuple(p.rule for p in placed)
+    text, lines = "try_validate_utf8(CAST(content AS STRING))", "{}"
+    if use_prefilter:
+        text = f"try_validate_utf8(IF({prefilter_sql(rules, 'CAST(content AS STRING)')}, CAST(content AS STRING), NULL))"
+        lines = f"filter({{}}, l -> {prefilter_sql(rules, 'l.raw')})"
+    numbered = lines.format(numbered_lines_sql(text))
+    matches = f"transform(array(IF(endswith(l.raw, '\\r'), substring(l.raw, 1, length(l.raw) - 1), l.raw)), " \
+        f"text -> {line_matches(rules)})[0]"
+    return F.expr(
+        f"flatten(transform({numbered}, l -> transform({matches}, m -> CAST(named_struct('kind', '{LINE}', "
+        f"'line', l.line, 'text', m.evidence, 'name', NULL, 'a', m.rule, 'b', m.column, 'c', NULL) AS {_PART}))))"
+    )
 
 
 def _packages(content: Column, language: Column) -> Column:
-    """Packages with their ecosystem in ``name`` of the row's manifest, put into one string."""
+    """Packages of a manifest that meet a built-in advisory."""
 
-    def parts(array: Column, ecosystem: str) -> Column:
-        return F.transform(array, lambda p: _part(
-            PACKAGE, None, p["version"], F.concat_ws("\u001f", F.lit(ecosystem), p["package"]),
-            p["section_ord"], p["package_ord"],
+    def parts(packages: Column, ecosystem: str) -> Column:
+        return F.transform(deps.built_in_hits(packages, ecosystem), lambda hit: _part(
+            PACKAGE, hit["package"]["version"], hit["package"]["package"], hit["package"]["section_ord"],
+            hit["package"]["package_ord"], hit["at"],
         ))
 
     text = decode_utf8(content)
@@ -70,13 +78,20 @@ def _packages(content: Column, language: Column) -> Column:
 
 
 def file_parts(corpus, placed: list[PlacedRule], kinds: set[str], use_prefilter: bool) -> DataFrame:
-    """``(repo, path, url_skipped, language, kind, line, text, name, a, b)`` of every file."""
+    """``(repo, path, kind, line, text, name, a, b, c)`` of what is found in every file."""
     path, content = F.col("path"), F.col("content")
-    listed = is_listed(path) if not corpus.prune else is_listed(path) & ~below_ignored_dir(path)
+    kept = is_listed(path) if not corpus.prune else is_listed(path) & ~below_ignored_dir(path)
+    files, listed = corpus.files, F.lit(True)
+    if REMOTE in kinds:
+        listed = kept  # the git configuration is no listed file
+    else:
+        files = files.where(kept)
+    if "kind" in files.columns and not placed and SUFFIX not in kinds:
+        needed = ["git-config"] * (REMOTE in kinds) + ["manifest"] * bool(kinds - {REMOTE})
+        files = files.where(F.col("kind").isin(needed))
     found = []
     if placed:
-        wanted = prefilter([p.rule for p in placed]) if use_prefilter else None
-        found.append(F.when(listed, _lines(content, wanted)))
+        found.append(F.when(listed, _lines(placed, use_prefilter)))
     if SUFFIX in kinds:
         found.append(F.when(listed & suspicious_suffix(path), F.filter(
             F.array(*[
@@ -87,7 +102,7 @@ def file_parts(corpus, placed: list[PlacedRule], kinds: set[str], use_prefilter:
     if kinds & {MANIFEST, PACKAGE, RUST}:
 
         def of_manifest(m: Column) -> Column:
-            own = [F.array(_part(MANIFEST, None, m["description"], m["language"], m["rank"]))]
+            own = [F.array(_part(MANIFEST, m["description"], m["language"], m["rank"]))]
             if PACKAGE in kinds:
                 own.append(F.coalesce(_packages(content, m["language"]), _none()))
             if RUST in kinds:
@@ -98,130 +113,104 @@ def file_parts(corpus, placed: list[PlacedRule], kinds: set[str], use_prefilter:
 
         found.append(F.when(listed, let(manifest(path, corpus.nested_manifests), of_manifest)))
     if REMOTE in kinds:
-        found.append(F.when(path == CONFIG_PATH, F.transform(
-            remotes_of(decode_utf8(content)), lambda r: _part(REMOTE, None, r["url"], r["remote"])
-        )))
+        insecure = F.filter(
+            remotes_of(decode_utf8(content)),
+            lambda r: r["url"].contains("http://") & ~r["url"].contains("localhost"),
+        )
+        found.append(F.when(
+            path == CONFIG_PATH, F.transform(insecure, lambda r: _part(REMOTE, r["url"], r["remote"]))
+        ))
     parts = F.concat(*[F.coalesce(x, _none()) for x in found])
-    files = corpus.files
-    if "kind" in files.columns and not placed and SUFFIX not in kinds:
-        needed = ["git-config"] * (REMOTE in kinds) + ["manifest"] * bool(kinds - {REMOTE})
-        files = files.where(F.col("kind").isin(needed))
-    return files.select(
-        "repo", "path", is_url_skipped(path).alias("url_skipped"),
-        detect_language(path).alias("language"), F.inline(parts),
+    # the rules ask for what the path says
+    described_files = files.select(
+        "repo", "path", "content", is_url_skipped(path).alias("url_skipped"),
+        detect_language(path).alias("language"),
     )
+    return described_files.select("repo", "path", F.inline(parts))
+
+
+def _known() -> str:
+    """SQL for what a finding of each built-in advisory says, by position."""
+    rows = ", ".join(
+        f"named_struct('title', {sql_literal(k.title)}, 'severity', '{k.severity}', 'advice', "
+        + (f"CAST(NULL AS STRING)" if k.advice is None else sql_literal(k.advice))
+        + f", 'adv', {k.adv}, 'outdated', {str(k.min_major is not None).lower()}, "
+        f"'python', {str(k.ecosystem == 'python').lower()})"
+        for k in deps.built_in()
+    )
+    return f"array({rows})"
 
 
 def single_pass(corpus, placed: list[PlacedRule], kinds: set[str], places: dict[str, int],
                 use_prefilter: bool) -> DataFrame:
     """Findings of the line rules and of ``kinds``; ``places`` are those of the analyzers."""
-    keep = ["repo", "path", "kind", "name", "a", "b", "url_skipped", "language"]
     rows = file_parts(corpus, placed, kinds, use_prefilter)
-    rules = [p.rule for p in placed]
-    kept = [*keep, "text"]
-    if rules:
-        rows = match_all(rows, rules, kept, passing=F.col("kind") != LINE)
-    else:
-        rows = rows.withColumns({"rule": F.lit(-1), "column": F.lit(None), "evidence": F.lit("")})
-    kind = F.col("kind")
-    ecosystem, package = (F.split_part("name", F.lit("\u001f"), F.lit(i)) for i in (1, 2))
-    found = {name: F.lit(None) for name in ("k_title", "k_severity", "k_advice", "k_adv", "k_adv_key")}
-    if PACKAGE in kinds:
-        asked = rows.withColumns({
-            "ecosystem": F.when(kind == PACKAGE, ecosystem),
-            "package": F.when(kind == PACKAGE, package),
-            "version": F.when(kind == PACKAGE, F.col("text")),
-        })
-        # the built-in advisories, whose number is fixed
-        known = deps.built_in(corpus.files.sparkSession).select(
-            "ecosystem", "key", "a_package", "a_version", "min_major", F.col("title").alias("k_title"),
-            F.col("severity").alias("k_severity"), F.col("advice").alias("k_advice"),
-            F.col("adv").alias("k_adv"), F.col("adv_key").alias("k_adv_key"),
+    suffixes = ", ".join(
+        f"named_struct('title', {sql_literal(t)}, 'severity', '{s}')" for _, t, s in SUSPICIOUS_EXTENSIONS
+    )
+    says = {SUFFIX: f"get(array({suffixes}), a) AS x", PACKAGE: f"get({_known()}, c) AS k"}
+    if placed:
+        says[LINE] = f"get({described(placed)}, a) AS r"
+    rows = rows.select("*", *[F.expr(sql) for kind, sql in says.items() if kind in kinds | {LINE}])
+    dependency, ranks = places.get("dependencies", -1), ", ".join(f"'{n}', {r}" for n, r in RANKS.items())
+
+    def by_kind(default: str = "NULL", **values: str) -> str:
+        chosen = " ".join(
+            f"WHEN '{kind}' THEN {sql}" for kind, sql in values.items()
+            if kind in kinds or (kind == LINE and placed)
         )
-        rows = deps.keyed(asked).join(F.broadcast(known), ["ecosystem", "key"], "left")
-        rows = rows.where((kind != PACKAGE) | F.coalesce(deps.is_hit(), F.lit(False)))
-        found = {name: F.col(name) for name in found}
-    rule = F.get(described(placed), F.when(F.col("rule") >= 0, F.col("rule"))) if rules else None
-    suffixes = F.array(*[
-        F.struct(F.lit(t).alias("title"), F.lit(s).alias("severity")) for _, t, s in SUSPICIOUS_EXTENSIONS
-    ])
-    suffix = F.get(suffixes, F.when(kind == SUFFIX, F.col("a")))
-    outdated = F.col("min_major").isNotNull() if PACKAGE in kinds else F.lit(False)
-    python = F.col("ecosystem") == "python" if PACKAGE in kinds else F.lit(False)
-
-    def by_kind(of_line, **values) -> Column:
-        chosen = F.when(F.lit(False), F.lit(None))
-        if rules:
-            chosen = chosen.when(kind == LINE, of_line(rule))
-        for name, value in values.items():
-            if name in kinds:
-                chosen = chosen.when(kind == name, value)
-        return chosen
-
-    dependency = places.get("dependencies", -1)
+        return f"CASE kind {chosen} ELSE {default} END" if chosen else default
+
     severity = by_kind(
-        lambda r: r["severity"], suffix=suffix["severity"], manifest=F.lit("INFO"),
-        package=found["k_severity"], rust=F.lit("INFO"), remote=F.lit("MEDIUM"),
+        line="r.severity", suffix="x.severity", manifest="'INFO'", package="k.severity", rust="'INFO'",
+        remote="'MEDIUM'",
     )
-    ranks = F.expr("map(" + ", ".join(f"'{n}', {r}" for n, r in RANKS.items()) + ")")
-    shown = lambda r: F.when(r["title_takes_match"], F.col("evidence")).otherwise("")
-    upgrade = F.concat(F.lit("Upgrade "), F.col("package"), F.lit(" to a patched version")) \
-        if PACKAGE in kinds else F.lit(None)
-    is_line = kind == LINE
-    return to_findings(
-        rows.where(_insecure(kind)) if REMOTE in kinds else rows,
-        analyzer=by_kind(
-            lambda r: r["analyzer"], suffix=F.lit("file-ops"), manifest=F.lit("dependencies"),
-            package=F.lit("dependencies"), rust=F.lit("dependencies"), remote=F.lit("url"),
+    audit = "CASE name " + " ".join(
+        f"WHEN '{language}' THEN {sql_literal(deps.AUDIT + command)}" for language, command in deps.AUDITS.items()
+    ) + f" ELSE {sql_literal(deps.AUDIT + deps.OTHER_AUDIT)} END"
+    values = {
+        "analyzer": by_kind(
+            line="r.analyzer", suffix="'file-ops'", manifest="'dependencies'", package="'dependencies'",
+            rust="'dependencies'", remote="'url'",
         ),
-        rule_id=by_kind(
-            lambda r: r["rule_id"], suffix=F.lit("FILE-EXT-001"), manifest=F.lit("DEP-FILE-001"),
-            package=F.when(outdated, "DEP-OUTDATED-001").otherwise("DEP-VULN-001"),
-            rust=F.lit("DEP-INFO-001"), remote=F.lit("GIT-INSECURE-REMOTE"),
+        "rule_id": by_kind(
+            line="r.rule_id", suffix="'FILE-EXT-001'", manifest="'DEP-FILE-001'",
+            package="IF(k.outdated, 'DEP-OUTDATED-001', 'DEP-VULN-001')", rust="'DEP-INFO-001'",
+            remote="'GIT-INSECURE-REMOTE'",
         ),
-        severity=severity,
-        severity_rank=F.try_element_at(ranks, severity),
-        title=by_kind(
-            lambda r: F.concat(r["title"], shown(r)), suffix=suffix["title"],
-            manifest=F.concat("text", F.lit(" dependency file")),
-            package=F.when(outdated, F.concat(found["k_title"], package)).otherwise(found["k_title"]),
-            rust=F.concat(F.lit(deps.RUST_TITLE), "path"),
-            remote=F.lit("Git remote uses insecure HTTP protocol"),
+        "severity": severity,
+        "severity_rank": f"try_element_at(map({ranks}), {severity})",
+        "title": by_kind(
+            line="concat(r.title, IF(r.title_takes_match, text, ''))", suffix="x.title",
+            manifest="concat(text, ' dependency file')", package="concat(k.title, IF(k.outdated, name, ''))",
+            rust=f"concat({sql_literal(deps.RUST_TITLE)}, path)",
+            remote="'Git remote uses insecure HTTP protocol'",
         ),
-        description=F.coalesce(by_kind(lambda r: r["description"]), F.lit("")),
-        file=F.col("path"),
-        line=F.when(is_line, F.col("line")),
-        column=F.when(is_line, F.col("column")),
-        evidence=by_kind(
-            lambda r: F.col("evidence"), remote=F.col("text"),
-            package=F.concat(package, F.when(python, "==").otherwise("@"), F.col("text")),
+        "description": by_kind("''", line="r.description"),
+        "line": by_kind(line="line"),
+        "column": by_kind(line="b"),
+        "evidence": by_kind(
+            line="text", remote="text", package="concat(name, IF(k.python, '==', '@'), text)",
         ),
-        remediation=by_kind(
-            lambda r: r["remediation"], suffix=F.lit(AUDIT_NOTE), manifest=deps.audit_note(F.col("name")),
-            package=F.coalesce(found["k_advice"], upgrade), rust=F.lit(deps.RUST_ADVICE),
-            remote=F.lit("Change remote URL to use HTTPS with SSH or HTTPS protocol"),
+        "remediation": by_kind(
+            line="r.remediation", suffix=sql_literal(AUDIT_NOTE), manifest=audit,
+            package="coalesce(k.advice, concat('Upgrade ', name, ' to a patched version'))",
+            rust=sql_literal(deps.RUST_ADVICE),
+            remote="'Change remote URL to use HTTPS with SSH or HTTPS protocol'",
         ),
-        order=(
-            by_kind(
-                lambda r: r["analyzer_ord"], suffix=F.lit(places.get("file-ops", -1)),
-                manifest=F.lit(dependency), package=F.lit(dependency), rust=F.lit(dependency),
-                remote=F.lit(places.get("url", -1)),
-            ),
-            F.when(kind.isin(LINE, SUFFIX, MANIFEST), 0).otherwise(1),
-            F.when(is_line, F.col("line")).when(kind == SUFFIX, -1).when(
-                kind == PACKAGE, F.col("a")).otherwise(0),
-            by_kind(
-                lambda r: r["rule_ord"], suffix=F.col("a"), manifest=F.col("a"), package=F.col("b"),
-                rust=F.lit(0), remote=F.lit(0),
-            ),
-            F.when(is_line, F.col("column")).when(kind == PACKAGE, found["k_adv"]).otherwise(0),
+        "same_place_key": by_kind("''", remote="name"),
+    }
+    order = (
+        by_kind(
+            line="r.analyzer_ord", suffix=f"{places.get('file-ops', -1)}", manifest=f"{dependency}",
+            package=f"{dependency}", rust=f"{dependency}", remote=f"{places.get('url', -1)}",
         ),
-        same_place_key=F.when(kind == REMOTE, F.col("name")).when(
-            kind == PACKAGE, found["k_adv_key"]
-        ).otherwise(""),
+        by_kind("1", line="0", suffix="0", manifest="0"),
+        by_kind("0", line="line", suffix="-1", package="a"),
+        by_kind("0", line="r.rule_ord", suffix="a", manifest="a", package="b"),
+        by_kind("0", line="b", package="k.adv"),
+    )
+    return to_findings(
+        rows, file=F.col("path"), order=tuple(map(F.expr, order)),
+        **{name: F.expr(sql) for name, sql in values.items()},
     )
-
-
-def _insecure(kind: Column) -> Column:
-    url = F.col("text")
-    return (kind != REMOTE) | (url.contains("http://") & ~url.contains("localhost"))

@@ -19,7 +19,7 @@ from functools import reduce
 
 from pyspark.sql import Column
 
-from linewarden.functions.dialect import PREFIX, java_pattern
+from linewarden.functions.dialect import PREFIX, java_pattern, sql_literal
 
 
 @dataclass(frozen=True)
@@ -96,46 +96,127 @@ ANCHORS: dict[str, tuple[str, str]] = {
 LITERAL_ANCHORS = {"test": "test", "kelvin": "\u212a"}
 
 
+def _by_first(names) -> dict[str, list[str]]:
+    """Names of pattern anchors by the characters that they start with."""
+    found: dict[str, list[str]] = {}
+    for name in dict.fromkeys(names):
+        for char in ANCHORS[name][0]:
+            found.setdefault(char, []).append(name)
+    return found
+
+
+def _class(chars: str) -> str:
+    return re.sub(r"[\\\-]", r"\\\g<0>", chars)
+
+
+def _skipped(by_first: dict[str, list[str]]) -> tuple[str, str]:
+    """The first characters, and a loop over a text that stops only before an anchor's.
+
+    It takes everything up to the next first character, and that character too if the rest of
+    its anchors does not follow.
+    """
+    # Characters with the same anchors share a branch; branches are disjoint.
+    groups: dict[tuple[str, ...], str] = {}
+    for char, names in by_first.items():
+        groups[tuple(names)] = groups.get(tuple(names), "") + _class(char)
+    starts = "".join(groups.values())
+    passed = "|".join(
+        f"[{chars}](?!{'|'.join(ANCHORS[n][1] for n in names)})" for names, chars in groups.items()
+    )
+    return starts, rf"[^{starts}]*(?:(?:{passed})[^{starts}]*)*+"
+
+
 def _anchor_pattern(names) -> str | None:
     """Java pattern that is found in a text if one of the anchors is.
 
-    It runs over the text once, from its start: a loop takes everything up to the next first
-    character, and that character too if the rest of its anchors does not follow.  When the
-    loop stops before the end, it stands at an anchor.
+    It runs over the text once, from its start.  When the loop stops before the end, it stands at
+    an anchor.
     """
-    tails: dict[str, list[str]] = {}
-    for name in dict.fromkeys(names):
-        first, rest = ANCHORS[name]
-        for char in first:
-            tails.setdefault(char, []).append(rest)
-    if not tails:
+    by_first = _by_first(names)
+    if not by_first:
         return None
-    # Characters with the same tails share a branch; branches are disjoint.
-    groups: dict[tuple[str, ...], str] = {}
-    for char, rest in tails.items():
-        groups[tuple(rest)] = groups.get(tuple(rest), "") + re.sub(r"[\\\-]", r"\\\g<0>", char)
-    starts = "".join(groups.values())
-    passed = "|".join(f"[{chars}](?!{'|'.join(rest)})" for rest, chars in groups.items())
-    return rf"{PREFIX}\A[^{starts}]*(?:(?:{passed})[^{starts}]*)*+[{starts}]"
+    starts, loop = _skipped(by_first)
+    return rf"{PREFIX}\A{loop}[{starts}]"
+
+
+def _look_behind_end(rest: str) -> int:
+    """Where the look-behind that begins a rest ends; 0 without one."""
+    if not rest.startswith("(?<="):
+        return 0
+    depth = 0
+    for token in re.finditer(r"\\.|\[(?:\\.|[^\]\\])+\]|[()]", rest):
+        depth += {"(": 1, ")": -1}.get(token.group(), 0)
+        if not depth:
+            return token.end()
+    raise ValueError(f"open look-behind: {rest}")
+
+
+def anchor_bits(rules, text: str) -> tuple[dict[str, int], str]:
+    """Bits by anchor, and SQL for the set of anchors that occur in a text.
+
+    One pattern walks through the text, each match beginning where the last one ended, and takes
+    out every anchor it meets; what differs among them is told apart afterwards.  An anchor whose
+    look-behind is all that tells it may be reported where another one with the same first
+    character stands: the set is never too small.
+    """
+    names = list(dict.fromkeys(name for rule in rules for name in rule.anchors))
+    bits = {name: 1 << i for i, name in enumerate(names)}
+    if len(names) > 62:
+        raise ValueError("a set of anchors has 62 at most")
+    terms = [
+        f"IF(contains({text}, {sql_literal(LITERAL_ANCHORS[n])}), {bits[n]}L, 0L)"
+        for n in names if n in LITERAL_ANCHORS
+    ]
+    by_first = _by_first(n for n in names if n not in LITERAL_ANCHORS)
+    if by_first:
+        starts, loop = _skipped(by_first)
+        # where one is plain and another asks for what stands before, the plain one is taken
+        met, known = [], []
+        for char, some in by_first.items():
+            some = sorted(some, key=lambda n: _look_behind_end(ANCHORS[n][1]) > 0)
+            met += [f"[{_class(char)}](?:{ANCHORS[n][1]})" for n in some]
+            tests = [
+                f"IF(t RLIKE {sql_literal(rf'{PREFIX}\A.(?:{rest})')}, {bits[n]}L, 0L)" if rest else f"{bits[n]}L"
+                for n in some for rest in [ANCHORS[n][1][_look_behind_end(ANCHORS[n][1]):]]
+            ]
+            known.append(f"WHEN {sql_literal(char)} THEN {' | '.join(tests)}")
+        pattern = rf"{PREFIX}\G{loop}(?=({'|'.join(met)}))[{starts}]"
+        terms.append(
+            f"aggregate(array_distinct(regexp_extract_all({text}, {sql_literal(pattern)}, 1)), 0L, "
+            f"(met, t) -> met | CASE substring(t, 1, 1) {' '.join(known)} ELSE 0L END)"
+        )
+    return bits, " | ".join(terms) or "0L"
 
 
 def prefilter(rules) -> Callable[[Column], Column]:
     """Condition that holds for every text in which any of the rules has a match."""
-    names = [name for rule in rules for name in rule.anchors]
-    literals = dict.fromkeys(LITERAL_ANCHORS[n] for n in names if n in LITERAL_ANCHORS)
-    pattern = _anchor_pattern(n for n in names if n not in LITERAL_ANCHORS)
-    own = dict.fromkeys(rule.java for rule in rules if not rule.anchors)
+    literals, patterns = _prefilter(rules)
 
     def holds(text: Column) -> Column:
         conditions = [text.contains(literal) for literal in literals]
-        if pattern:
-            conditions.append(text.rlike(pattern))
-        conditions += [text.rlike(java) for java in own]
-        return reduce(Column.__or__, conditions)
+        return reduce(Column.__or__, conditions + [text.rlike(java) for java in patterns])
 
     return holds
 
 
+def prefilter_sql(rules, text: str) -> str:
+    """The same condition as SQL over the name of a text."""
+    literals, patterns = _prefilter(rules)
+    return " OR ".join(
+        [f"contains({text}, {sql_literal(literal)})" for literal in literals]
+        + [f"{text} RLIKE {sql_literal(java)}" for java in patterns]
+    )
+
+
+def _prefilter(rules) -> tuple[list[str], list[str]]:
+    """Literals and patterns one of which is in every text that a rule matches."""
+    names = [name for rule in rules for name in rule.anchors]
+    literals = dict.fromkeys(LITERAL_ANCHORS[n] for n in names if n in LITERAL_ANCHORS)
+    pattern = _anchor_pattern(n for n in names if n not in LITERAL_ANCHORS)
+    own = dict.fromkeys(rule.java for rule in rules if not rule.anchors)
+    return list(literals), [pattern] * bool(pattern) + list(own)
+
+
 def _url(code, severity, title, pattern, *anchors, needs=None, linear=None):
     return Rule(
         code, "url", "URL-HARDCODED", severity, title, pattern,
