@@ -29,6 +29,8 @@ _STATE = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # without it, each state partition takes megabytes of disk before it holds a row
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
