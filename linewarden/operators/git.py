@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from linewarden.functions.arrays import let
 from linewarden.functions.text import decode_utf8
 from linewarden.operators.findings import ANALYZER_ORDER, to_findings
+from linewarden.session import shared_dir
 
 CONFIG_PATH = ".git/config"
 
@@ -81,12 +84,71 @@ def is_git(files: DataFrame) -> DataFrame:
     return files.groupBy("repo").agg(F.bool_or(below).alias("is_git"))
 
 
-def recent_commits(commits: DataFrame, max_count: int = 100) -> DataFrame:
+def reachable(commits: DataFrame, heads: DataFrame, folder: str) -> DataFrame:
+    """``(repo, hash)`` of the commits that a head leads to over all parents.
+
+    A commit is reached if it is a head or one of its children is.  A commit with one child is
+    reached when that child is, so chains are followed by pointer doubling: each round halves
+    them, whatever their length.  What is left are commits with several children; branches that
+    end in the same commit fall together, and each round passes on what has been reached.  It ends
+    with a round that reaches nothing new.  Steps are tables below ``folder``.
+    """
+    spark = commits.sparkSession
+    key = ["repo", "hash"]
+
+    def kept(frame: DataFrame, **counts: Column) -> DataFrame:
+        """The rows as a table, with counts taken while it is written."""
+        path, seen = f"{folder}/{uuid.uuid4().hex}", Observation()
+        counts["rows"] = F.count(F.lit(1))
+        frame.observe(seen, *[c.alias(name) for name, c in counts.items()]).write.parquet(path)
+        table = spark.read.schema(frame.schema).parquet(path)
+        tallies[table] = seen.get
+        return table
+
+    def followed(edges: DataFrame, pointers: DataFrame) -> DataFrame:
+        """Edges with what their commit above points to, if it does; ``moved`` says so."""
+        beyond = pointers.select("repo", F.col("hash").alias("above"), F.col("above").alias("next"))
+        moved = edges.join(beyond, ["repo", "above"], "left")
+        return moved.select(*key, F.coalesce("next", "above").alias("above"), F.col("next").isNotNull().alias("moved"))
+
+    tallies: dict[DataFrame, dict] = {}
+    known = kept(commits.select(*key).distinct())
+    new = reached = kept(known.join(heads.select(*key).distinct(), key, "left_semi"))
+    # a row for each commit and the commit above it that decides on it
+    edges = commits.select("repo", F.explode("parents").alias("hash"), F.col("hash").alias("above"))
+    edges = kept(edges.distinct().join(reached, key, "left_anti"))
+    while tallies[new]["rows"] and tallies[edges]["rows"]:
+        alone = edges.groupBy(*key).agg(F.count("*").alias("n"), F.first("above").alias("above"))
+        pointers = kept(alone.where("n = 1").drop("n"))
+        moving = True
+        while moving:
+            # two doublings for each table
+            twice = followed(pointers, pointers).drop("moved")
+            pointers = kept(followed(twice, twice), moving=F.count_if("moved"))
+            moving, pointers = tallies[pointers]["moving"], pointers.drop("moved")
+        moved = kept(followed(edges, pointers).drop("moved").distinct())
+        decided = reached.select("repo", F.col("hash").alias("above"))
+        new = kept(moved.join(decided, ["repo", "above"], "left_semi").select(*key).distinct())
+        reached = reached.unionByName(new)
+        # what nothing leads to any more decides nothing
+        open_ = moved.join(new, key, "left_anti")
+        above = open_.select(*key).unionByName(reached).distinct().withColumnRenamed("hash", "above")
+        edges = kept(open_.join(above, ["repo", "above"], "left_semi"))
+    return reached.join(known, key, "left_semi").distinct()
+
+
+def recent_commits(
+    commits: DataFrame, max_count: int = 100, heads: DataFrame | None = None, folder: str | None = None
+) -> DataFrame:
     """The newest ``max_count`` commits of each repository, newest first by ``position``.
 
-    Spark pushes the rank limit below the shuffle, so of a very large repository each task
-    sends at most ``max_count`` rows.
+    With ``heads``, ``(repo, hash)``, only commits that are reachable from them count; steps of
+    that are tables below ``folder``, by default in the shared folder.  Spark pushes the rank limit
+    below the shuffle, so of a very large repository each task sends at most ``max_count`` rows.
     """
+    if heads is not None:
+        folder = folder or f"{shared_dir(commits.sparkSession)}/reachable-{uuid.uuid4().hex}"
+        commits = commits.join(reachable(commits, heads, folder), ["repo", "hash"], "left_semi")
     newest = Window.partitionBy("repo").orderBy(F.desc("commit_time"), "hash")
     ranked = commits.withColumn("position", F.row_number().over(newest))
     return ranked.where(F.col("position") <= max_count).select(

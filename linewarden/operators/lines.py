@@ -29,8 +29,12 @@ def explode_lines(
 
 
 def lines(files: DataFrame) -> DataFrame:
-    """``(repo, path, line, text)`` of all files that decode as UTF-8."""
-    return explode_lines(files, ["repo", "path"])
+    """``(repo, path, line, text)`` of all files that decode as UTF-8, also of those in pieces."""
+    if "first_line" not in files.columns:
+        return explode_lines(files, ["repo", "path"])
+    cut = explode_lines(files, ["repo", "path", "first_line"])
+    line = (F.col("first_line") + F.col("line")).cast("int")
+    return cut.withColumn("line", line).drop("first_line")
 
 
 def file_stats(files: DataFrame) -> DataFrame:

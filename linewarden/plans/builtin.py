@@ -18,7 +18,7 @@ def beside(corpus, kinds: set[str]) -> dict[str, DataFrame]:
     Remotes given as a table, and packages joined with advisories of the caller, whose number has
     no known bound.  Rust notes are left out unless they are asked for.
     """
-    spark = configure(corpus.files.sparkSession)
+    spark = configure(corpus.spark)
     found = {}
     if "remote" in kinds and corpus.remotes is not None:
         found["remote"] = insecure_remotes(corpus.remotes)
@@ -29,7 +29,7 @@ def beside(corpus, kinds: set[str]) -> dict[str, DataFrame]:
             .unionByName(deps.npm_minimums(spark, corpus.outdated))
             .unionByName(deps.python_advisories(spark, corpus.python_advisories))
         )
-        packages = deps.dependencies(corpus.listed(), corpus.nested_manifests)
+        packages = deps.dependencies(corpus.listed(("manifest",)), corpus.nested_manifests)
         found["package"] = deps.advisory_findings(packages, known)
     if not corpus.rust_notes:
         kinds.discard("rust")

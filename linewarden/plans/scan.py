@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linewarden.functions.paths import below_ignored_dir, is_listed
@@ -14,17 +14,20 @@ from linewarden.operators.matching import PlacedRule
 from linewarden.plans import builtin
 from linewarden.plans.registry import AnalyzerRegistry, default_registry
 from linewarden.plans.single_pass import single_pass
+from linewarden.sources.chunks import with_first_lines
+from linewarden.sources.tree import Tree
 
 
 @dataclass(frozen=True)
 class Corpus:
     """What is scanned: files, and tables that may stand in for parts of them.
 
-    ``files`` is ``(repo, path, content)`` with binary or string content.  Remotes are read
+    ``files`` is ``(repo, path, content)`` with binary or string content, or a tree of which only
+    what a scan asks for is opened; files in pieces also have ``chunk`` and ``chunks``.  Remotes are read
     from the ``.git/config`` files unless a ``(repo, remote, url)`` table is given.
     """
 
-    files: DataFrame
+    files: DataFrame | Tree
     remotes: DataFrame | None = None
     npm_advisories: DataFrame | None = None
     python_advisories: DataFrame | None = None
@@ -36,13 +39,36 @@ class Corpus:
     #: Note rust manifests that have a dependency section.
     rust_notes: bool = False
 
-    def listed(self) -> DataFrame:
+    @property
+    def spark(self) -> SparkSession:
+        return self.files.spark if isinstance(self.files, Tree) else self.files.sparkSession
+
+    def read(self, kinds: tuple[str, ...] = (), prune: bool = False, numbered: bool = False) -> DataFrame:
+        """The files of some kinds, where they are known; ``numbered`` gives pieces their lines."""
+        if isinstance(self.files, Tree):
+            if not numbered:
+                return self.files.files(kinds, prune)
+            return with_first_lines(
+                self.files.files(kinds, prune, "whole"), self.files.files(kinds, prune, "large")
+            )
+        files = self.files
+        if kinds and "kind" in files.columns:
+            files = files.where(F.col("kind").isin(list(kinds)))
+        if prune and "ignored" in files.columns:
+            files = files.where(~F.col("ignored"))
+        if numbered and "chunks" in files.columns:
+            files = with_first_lines(files.where("chunks = 1"), files.where("chunks > 1"))
+        return files
+
+    def listed(self, kinds: tuple[str, ...] = ()) -> DataFrame:
         """The files a listing of the repository returns."""
-        files = self.files.where(is_listed(F.col("path")))
+        files = self.read(kinds).where(is_listed(F.col("path")))
         return files.where(~below_ignored_dir(F.col("path"))) if self.prune else files
 
     def repos(self) -> DataFrame:
         """The repositories, as rows to aggregate on (not distinct)."""
+        if isinstance(self.files, Tree):
+            return self.files.files(columns=("repo",))
         return self.files.select("repo")
 
 

@@ -58,7 +58,7 @@ def _lines(placed: list[PlacedRule], use_prefilter: bool) -> Column:
         f"text -> {line_matches(rules)})[0]"
     return F.expr(
         f"flatten(transform({numbered}, l -> transform({matches}, m -> CAST(named_struct('kind', '{LINE}', "
-        f"'line', l.line, 'text', m.evidence, 'name', NULL, 'a', m.rule, 'b', m.column, 'c', NULL) AS {_PART}))))"
+        f"'line', l.line + first_line, 'text', m.evidence, 'name', NULL, 'a', m.rule, 'b', m.column, 'c', NULL) AS {_PART}))))"
     )
 
 
@@ -81,19 +81,22 @@ def file_parts(corpus, placed: list[PlacedRule], kinds: set[str], use_prefilter:
     """``(repo, path, kind, line, text, name, a, b, c)`` of what is found in every file."""
     path, content = F.col("path"), F.col("content")
     kept = is_listed(path) if not corpus.prune else is_listed(path) & ~below_ignored_dir(path)
-    files, listed = corpus.files, F.lit(True)
-    if REMOTE in kinds:
-        listed = kept  # the git configuration is no listed file
-    else:
+    needed = ["git-config"] * (REMOTE in kinds) + ["manifest"] * bool(kinds - {REMOTE})
+    if placed or SUFFIX in kinds:
+        needed = ["git-config", "manifest", "other"]
+    # the git configuration lies below an ignored folder
+    files = corpus.read(tuple(needed), corpus.prune and REMOTE not in kinds, numbered=bool(placed))
+    listed = kept if REMOTE in kinds else F.lit(True)
+    if REMOTE not in kinds:
         files = files.where(kept)
-    if "kind" in files.columns and not placed and SUFFIX not in kinds:
-        needed = ["git-config"] * (REMOTE in kinds) + ["manifest"] * bool(kinds - {REMOTE})
-        files = files.where(F.col("kind").isin(needed))
+    first_line = F.col("first_line") if "first_line" in files.columns else F.lit(0)
+    # what the path says is found once, in the first piece
+    head = F.col("chunk") == 0 if "chunk" in files.columns else F.lit(True)
     found = []
     if placed:
         found.append(F.when(listed, _lines(placed, use_prefilter)))
     if SUFFIX in kinds:
-        found.append(F.when(listed & suspicious_suffix(path), F.filter(
+        found.append(F.when(listed & head & suspicious_suffix(path), F.filter(
             F.array(*[
                 F.when(path.endswith(suffix), _part(SUFFIX, a=i))
                 for i, (suffix, _, _) in enumerate(SUSPICIOUS_EXTENSIONS)
@@ -124,7 +127,8 @@ def file_parts(corpus, placed: list[PlacedRule], kinds: set[str], use_prefilter:
     # the rules ask for what the path says
     described_files = files.select(
         "repo", "path", "content", is_url_skipped(path).alias("url_skipped"),
-        detect_language(path).alias("language"),
+        detect_language(path).alias("language"), first_line.cast("int").alias("first_line"),
+        *[c for c in ("chunk",) if c in files.columns],
     )
     return described_files.select("repo", "path", F.inline(parts))
 

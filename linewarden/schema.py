@@ -1,13 +1,18 @@
 """Canonical schemas."""
 
 FILES = "repo STRING, path STRING, content BINARY"
+#: Files of a tree: what the path says, and which piece of how many a row is.
+TREE_FILES = (
+    "repo STRING, path STRING, kind STRING, ignored BOOLEAN, size BIGINT, chunk INT, chunks INT, "
+    "content BINARY"
+)
 REMOTES = "repo STRING, remote STRING, url STRING"
 COMMITS = (
     "repo STRING, hash STRING, parents ARRAY<STRING>, author STRING, message STRING, "
     "commit_time TIMESTAMP"
 )
-#: A change of the mode alone counts as a change, so entries carry it.  ``commits`` are to hold
-#: the commits that are reachable from the head and no others.
+HEADS = "repo STRING, hash STRING"
+#: A change of the mode alone counts as a change, so entries carry it.
 TREE_ENTRIES = "repo STRING, commit STRING, path STRING, blob STRING, mode STRING"
 NPM_ADVISORIES = "package STRING, version STRING, cve STRING, text STRING, severity STRING"
 PYTHON_ADVISORIES = "package STRING, version STRING, cve STRING, severity STRING"

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linewarden.functions.paths import manifest
+from linewarden.functions.paths import is_listed, manifest
 from linewarden.operators.git import CONFIG_PATH
 
 
 def file_kind(path: Column) -> Column:
-    """``manifest``, ``git-config`` or ``other``; manifests in any folder count here."""
+    """``git-config``, ``binary`` (not listed), ``manifest`` (in any folder) or ``other``."""
     return (
         F.when(path == CONFIG_PATH, "git-config")
+        .when(~is_listed(path), "binary")
         .when(manifest(path, nested=True).isNotNull(), "manifest")
         .otherwise("other")
     )
