@@ -246,6 +246,66 @@ def commits(spark, sf_dir) -> DataFrame:
     )
 
 
+def branched_commits(spark, sf_dir) -> DataFrame:
+    """The commits, and a branch of two off every fifth of a repository, every other one merged.
+
+    A merged branch is the second parent of the repository's next commit; no head leads to others.
+    """
+    base = commits(spark, sf_dir)
+    place = F.floor(F.col("hash").cast("long") / 100)
+    merged = (F.col("hash").cast("long") >= 100) & (place % 10 == 1)
+    second = F.concat(F.lit("c"), (F.col("hash").cast("long") - 100).cast("string"))
+    base = base.withColumn("parents", F.when(
+        merged, F.concat("parents", F.array(second))
+    ).otherwise(F.col("parents")))
+    off = base.where(place % 5 == 0)
+
+    def branch(letter: str, parent: Column) -> DataFrame:
+        return off.select(
+            "repo", F.concat(F.lit(letter), "hash").alias("hash"), F.array(parent).alias("parents"),
+            F.lit(letter).alias("author"), "message", "commit_time",
+        )
+
+    return base.unionByName(branch("b", F.col("hash"))).unionByName(
+        branch("c", F.concat(F.lit("b"), "hash"))
+    )
+
+
+def heads(spark, sf_dir) -> DataFrame:
+    """The last commit of each repository on its first branch."""
+    key = F.col("o_orderkey")
+    repo = F.concat(F.lit("r"), F.pmod(key, F.lit(100)).cast("string")).alias("repo")
+    return table(spark, sf_dir, "orders").groupBy(repo).agg(F.max(key).cast("string").alias("hash"))
+
+
+def _part_version(last: Column) -> Column:
+    """A version from a part's key and size, with or without its last number."""
+    return F.concat_ws(
+        ".", F.pmod("p_partkey", F.lit(6)).cast("string"), F.pmod("p_size", F.lit(25)).cast("string"), last
+    )
+
+
+def part_manifests(spark, sf_dir) -> DataFrame:
+    """One package.json per part, with one of three packages at a version of the part's own."""
+    version = _part_version(F.pmod("p_partkey", F.lit(50)).cast("string"))
+    package = _slot(planted.PACKAGES[:3], F.col("p_partkey"))
+    return table(spark, sf_dir, "part").select(
+        _name("npm-", "p_partkey").alias("repo"), F.lit("package.json").alias("path"),
+        F.concat(F.lit('{"dependencies":{"'), package, F.lit('":"^'), version, F.lit('"}}')).alias("content"),
+    )
+
+
+def part_npm_advisories(spark, sf_dir) -> DataFrame:
+    """npm advisories of a caller, all on three packages: one per part, some for all below a version."""
+    key = F.col("p_partkey")
+    version = _part_version(F.when(F.pmod(key, F.lit(7)) != 0, F.pmod(key, F.lit(50)).cast("string")))
+    return table(spark, sf_dir, "part").select(
+        _slot(planted.PACKAGES[:3], key).alias("package"), version.alias("version"),
+        F.concat(F.lit("CVE-"), key.cast("string")).alias("cve"),
+        F.col("p_name").alias("text"), F.lit("medium").alias("severity"),
+    )
+
+
 def tree_entries(spark, sf_dir) -> DataFrame:
     """Order lines as tree entries of the order's commit."""
     key = F.col("l_orderkey")

@@ -82,6 +82,16 @@ FROM part"""
 PART_ADVISORIES = """(SELECT split_part(p_name, ' ', 1) AS a_package, p_size || '.0' AS a_version, 'CVE-' || p_partkey AS cve,
   'HIGH' AS a_severity, 4 AS a_rank, 0 AS adv FROM part WHERE p_partkey % 10 = 0) a"""
 
+_PART_PACKAGE = slot(planted.PACKAGES[:3], "p(slot, package)")
+PART_MANIFESTS = f"""
+SELECT 'npm-' || p_partkey AS repo, 'package.json' AS path,
+       '{{"dependencies":{{"' || package || '":"^' || (p_partkey % 6) || '.' || (p_size % 25) || '.' || (p_partkey % 50) || '"}}}}' AS content
+FROM part JOIN {_PART_PACKAGE} ON slot = p_partkey % 3"""
+PART_NPM_ADVISORIES = f"""(SELECT package AS a_package, 'CVE-' || p_partkey AS cve, p_name AS a_text,
+  (p_partkey % 6) || '.' || (p_size % 25) || CASE WHEN p_partkey % 7 <> 0 THEN '.' || (p_partkey % 50) ELSE '' END AS a_version,
+  'MEDIUM' AS a_severity, 3 AS a_rank, 0 AS adv
+  FROM part JOIN {_PART_PACKAGE} ON slot = p_partkey % 3) a"""
+
 PLANTED_MANIFESTS = f"""
 SELECT 'app-' || doc_id AS repo, p.path AS path, p.content AS content
 FROM documents JOIN {slot(planted.MANIFESTS, "p(slot, path, content)")} ON slot = doc_id % {N_MANIFESTS}"""
@@ -306,11 +316,11 @@ npm AS (
   FROM latest)"""
 
 
-def npm_vuln() -> str:
+def npm_vuln(advisories: str | None = None) -> str:
     rows = [(i, *r, RANKS[r[4]]) for i, r in enumerate(expected.NPM_ADVISORIES)]
     cols = "a(adv, a_package, a_version, cve, a_text, a_severity, a_rank)"
     return finding(
-        f"npm JOIN {values(rows, cols)} ON package = a_package AND "
+        f"npm JOIN {advisories or values(rows, cols)} ON package = a_package AND "
         "(version = a_version OR starts_with(version, a_version || '.'))",
         "dependencies", "DEP-VULN-001", "a_severity", "'Vulnerable dependency: ' || cve || ': ' || a_text",
         "path", (1, "s", "n", "adv"), rank="a_rank", evidence="package || '@' || version",
@@ -643,18 +653,33 @@ def sql() -> dict[str, str]:
         "deps_python": manifest_only.format(PLANTED_MANIFESTS) + python_cte()
         + " SELECT repo, path, line, package, version FROM reqs",
         "deps_python_vuln": manifest_only.format(PLANTED_MANIFESTS) + python_cte() + "," + findings_cte(python_vuln()) + flat,
+        "deps_npm_table": manifest_only.format(PART_MANIFESTS) + npm_cte() + ","
+        + findings_cte(npm_vuln(PART_NPM_ADVISORIES)) + f" SELECT * EXCLUDE (id) FROM (SELECT {FLAT} FROM findings)",
         "deps_rust_info": f"WITH files AS ({PLANTED_MANIFESTS}), {findings_cte(rust_info())} {flat}",
         "git_remotes": f"WITH files AS ({CONFIG_FILES}), {remotes_cte()} SELECT repo, remote, url FROM remotes",
         "git_origin": f"WITH files AS ({CONFIG_FILES}), {remotes_cte()} SELECT repo, url FROM remotes WHERE remote = 'origin'",
         "git_insecure_remote": f"WITH files AS ({CONFIG_FILES}), {remotes_cte()}, {findings_cte(insecure_remotes())} {flat}",
         "git_recent_commits": """
-            SELECT repo, hash, author, message, commit_time, CAST(position AS INTEGER) AS position, n_parents FROM (
-              SELECT 'r' || (o_orderkey % 100) AS repo, CAST(o_orderkey AS VARCHAR) AS hash,
+            WITH RECURSIVE base AS (
+              SELECT o_orderkey AS k, o_orderkey // 100 AS place, 'r' || (o_orderkey % 100) AS repo, CAST(o_orderkey AS VARCHAR) AS hash,
                      CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' THEN o_orderpriority ELSE 'Unknown' END AS author,
-                     CASE WHEN o_orderstatus <> 'P' THEN 'order ' || o_orderstatus ELSE '' END AS message,
-                     o_orderdate AS commit_time, CAST(CASE WHEN o_orderkey >= 100 THEN 1 ELSE 0 END AS INTEGER) AS n_parents,
-                     row_number() OVER (PARTITION BY o_orderkey % 100 ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR)) AS position
-              FROM orders) WHERE position <= 100""",
+                     CASE WHEN o_orderstatus <> 'P' THEN 'order ' || o_orderstatus ELSE '' END AS message, o_orderdate AS commit_time
+              FROM orders),
+            commits AS (
+              SELECT repo, hash, author, message, commit_time,
+                     list_filter([CASE WHEN k >= 100 THEN CAST(k - 100 AS VARCHAR) END,
+                                  CASE WHEN k >= 100 AND place % 10 = 1 THEN 'c' || (k - 100) END], lambda p: p IS NOT NULL) AS parents
+              FROM base
+              UNION ALL SELECT repo, 'b' || hash, 'b', message, commit_time, [hash] FROM base WHERE place % 5 = 0
+              UNION ALL SELECT repo, 'c' || hash, 'c', message, commit_time, ['b' || hash] FROM base WHERE place % 5 = 0),
+            links AS (SELECT repo, hash, unnest(parents) AS parent FROM commits),
+            reached(repo, hash) AS (
+              SELECT repo, CAST(max(k) AS VARCHAR) FROM base GROUP BY repo
+              UNION SELECT l.repo, l.parent FROM reached r JOIN links l ON l.repo = r.repo AND l.hash = r.hash)
+            SELECT repo, hash, author, message, commit_time, CAST(position AS INTEGER) AS position, n_parents FROM (
+              SELECT c.repo, c.hash, author, message, commit_time, CAST(len(parents) AS INTEGER) AS n_parents,
+                     row_number() OVER (PARTITION BY c.repo ORDER BY commit_time DESC, c.hash) AS position
+              FROM commits c JOIN reached r ON r.repo = c.repo AND r.hash = c.hash) WHERE position <= 100""",
         "git_files_changed": """
             WITH entries AS (SELECT l_orderkey AS k, 'src/p' || (l_partkey % 20) || '.py' AS path, min(l_suppkey % 3) AS blob, max(l_linenumber) > 4 AS executable
                              FROM lineitem GROUP BY ALL),
@@ -687,8 +712,13 @@ def sql() -> dict[str, str]:
         "rules_first": all_findings + f"""
             SELECT repo, rule_id, title, description, remediation, severity, analyzer FROM (
               SELECT *, row_number() OVER (PARTITION BY repo, rule_id ORDER BY {ORDERING}) AS rn FROM findings) WHERE rn = 1""",
+        "rule_state": all_findings + f"""
+            SELECT repo, rule_id, CAST(severity_rank AS INTEGER) AS severity_rank, n, title, severity FROM (
+              SELECT *, count(*) OVER (PARTITION BY repo, rule_id, severity_rank) AS n,
+                     row_number() OVER (PARTITION BY repo, rule_id, severity_rank ORDER BY {ORDERING}) AS rn FROM findings) WHERE rn = 1""",
         "report_order": all_findings + """
-            SELECT repo, CAST(severity_rank AS INTEGER) AS severity_rank, CAST(o_analyzer AS INTEGER) AS analyzer_ord,
+            SELECT row_number() OVER (ORDER BY repo, severity_rank DESC, o_analyzer, o_phase, file, o_line, o_rule, o_pos, id) - 1 AS ordinal,
+                   repo, CAST(severity_rank AS INTEGER) AS severity_rank, CAST(o_analyzer AS INTEGER) AS analyzer_ord,
                    CAST(o_phase AS INTEGER) AS phase, file, CAST(o_line AS INTEGER) AS line_ord,
                    CAST(o_rule AS INTEGER) AS rule_ord, CAST(o_pos AS INTEGER) AS pos, id
             FROM findings ORDER BY repo, severity_rank DESC, o_analyzer, o_phase, file, o_line, o_rule, o_pos, id""",

@@ -227,6 +227,14 @@ def deps_python_table(spark, sf):
     return _flat(deps.python_vulnerabilities(found, c.part_advisories(spark, sf))).drop("id")
 
 
+@query("deps_npm_table")
+def deps_npm_table(spark, sf):
+    """Manifests and advisories that both grow with the parts, all on three packages."""
+    configure(spark)
+    found = deps.npm_dependencies(c.spread(c.part_manifests(spark, sf)))
+    return _flat(deps.npm_vulnerabilities(found, c.part_npm_advisories(spark, sf))).drop("id")
+
+
 @query("deps_rust_info")
 def deps_rust_info(spark, sf):
     return _flat(deps.rust_notes(c.planted_manifests(spark, sf)))
@@ -252,7 +260,8 @@ def git_insecure_remote(spark, sf):
 
 @query("git_recent_commits")
 def git_recent_commits(spark, sf):
-    recent = git.recent_commits(c.commits(spark, sf))
+    """The newest commits that a head leads to; some branches are merged, others are not."""
+    recent = git.recent_commits(c.branched_commits(spark, sf), heads=c.heads(spark, sf))
     return recent.select(
         "repo", "hash", "author", "message", "commit_time", "position",
         F.size("parents").alias("n_parents"),
@@ -380,11 +389,19 @@ def rules_first(spark, sf):
     return summary.rules_first(_everything(spark, sf))
 
 
+@query("rule_state")
+def rule_state(spark, sf):
+    """One aggregation that the summary and the list of rules follow from."""
+    state = summary.rule_state(_everything(spark, sf))
+    return state.select("repo", "rule_id", "severity_rank", "n", "first.title", "first.severity")
+
+
 @query("report_order")
 def report_order(spark, sf):
-    ordered = fi.report_order(_everything(spark, sf))
-    return ordered.select(
-        "repo", "severity_rank",
+    """Findings with their place in the report; the corpus is scanned once, into a table."""
+    folder = f"{shared_dir(spark)}/report-{uuid.uuid4().hex}"
+    return sinks.numbered_report(_everything(spark, sf), folder).select(
+        "ordinal", "repo", "severity_rank",
         F.col("ord.analyzer").alias("analyzer_ord"), F.col("ord.phase").alias("phase"),
         "file", F.col("ord.line").alias("line_ord"), F.col("ord.rule").alias("rule_ord"),
         F.col("ord.pos").alias("pos"), "id",
@@ -463,7 +480,7 @@ def text_report(spark, sf):
     return _document(text_reports.text_report(_stored(scan(corpus)), c.all_paths(spark, sf), SCAN_TIME, 2.45, "medium"))
 
 
-def _report(spark, sf, name: str, **options) -> DataFrame:
+def _report(spark, sf, name, **options) -> DataFrame:
     corpus = c.corpus(spark, sf)
     found = _stored(scan(corpus))
     return _document(sinks.report(found, c.all_paths(spark, sf), SCAN_TIME, name, **options))
@@ -492,9 +509,8 @@ def _short(findings: DataFrame, repos: DataFrame, scan_time: str) -> DataFrame:
 
 @query("report_user")
 def report_user(spark, sf):
-    """A format of the caller, under a name of its own."""
-    sinks.register_format("short", _short)
-    return _report(spark, sf, "short")
+    """A format of the caller."""
+    return _report(spark, sf, _short)
 
 
 #: A rule of a user, and findings that need only the path.

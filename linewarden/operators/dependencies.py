@@ -52,7 +52,7 @@ RUST_ADVICE = "Run `cargo audit` to check for vulnerabilities"
 
 SECTIONS = ("dependencies", "devDependencies")
 
-#: First characters of an advisory's package that candidates are found by.
+#: Characters of the runs of an advisory's package that candidates are found by.
 GRAM = 3
 
 
@@ -108,7 +108,7 @@ def npm_minimums(spark: SparkSession, given: DataFrame | None = None) -> DataFra
 def python_advisories(spark: SparkSession, given: DataFrame | None = None) -> DataFrame:
     """Python advisories as join rows; names only need to be contained, so the key is the version.
 
-    That key suits the few built-in advisories; see ``_python_hits`` for a table of the caller.
+    That key suits the few built-in advisories; see :func:`resolved` for a table of the caller.
     """
     rows = _table(spark, given, PYTHON_ADVISORIES, schema.PYTHON_ADVISORIES)
     return rows.select(
@@ -265,29 +265,17 @@ def python_requirements(files: DataFrame, nested: bool = False) -> DataFrame:
 
 
 def keyed(deps: DataFrame) -> DataFrame:
-    """Dependency rows with their join key and major version."""
+    """Dependency rows with the key that they meet the built-in advisories by."""
     python = F.col("ecosystem") == "python"
-    first = F.split_part("version", F.lit("."), F.lit(1))
-    # The cast alone would also take blanks around the digits.
-    major = F.when(first.rlike(r"\A[+-]?[0-9]+\z"), first.try_cast("int"))
-    return deps.withColumns({
-        "key": F.when(python, F.col("version")).otherwise(fold_name(F.col("package"))),
-        "major": F.when(~python, major),
-    })
+    return deps.withColumn("key", F.when(python, F.col("version")).otherwise(fold_name(F.col("package"))))
 
 
 def is_hit() -> Column:
     """Whether an advisory row of the same key concerns the dependency."""
-    return (
-        F.when(F.col("min_major").isNotNull(), F.col("major") < F.col("min_major"))
-        .when(F.col("ecosystem") == "python", F.col("package").contains(F.col("a_package")))
-        .otherwise(
-            (F.col("package") == F.col("a_package"))
-            & (
-                (F.col("version") == F.col("a_version"))
-                | F.col("version").startswith(F.concat("a_version", F.lit(".")))
-            )
-        )
+    a = {name: F.col(name) for name in ("a_package", "a_version", "min_major")}
+    python = F.col("package").contains(a["a_package"])
+    return F.when(F.col("ecosystem") == "python", python).otherwise(
+        is_npm_hit(F.col("package"), F.col("version"), a)
     )
 
 
@@ -381,48 +369,108 @@ def is_npm_hit(package: Column, version: Column, a: Column) -> Column:
     return F.when(a["min_major"].isNotNull(), major_version(version) < a["min_major"]).otherwise(exact)
 
 
-def _python_hits(deps: DataFrame, known: DataFrame) -> DataFrame:
-    """Dependency rows with the advisories of their version whose package they contain.
+def version_prefixes(version: Column) -> Column:
+    """The version and what stands before each of its dots: one more than it has dots."""
+    parts = F.split(version, r"\.", -1)
+    return F.transform(
+        F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), ".")
+    )
+
+
+def _npm_hits(packages: DataFrame, known: DataFrame) -> DataFrame:
+    """Packages with the advisories of their exact name, for their version or one above it.
+
+    An equi-join on (package, version prefix), so that a package with very many advisories is
+    no hot key: a version brings as many rows into the join as it has prefixes.
+    """
+    asked = packages.select("package", "version", F.explode(version_prefixes(F.col("version"))).alias("a_version"))
+    exact = known.where("min_major IS NULL").withColumn("package", F.col("a_package"))
+    return asked.join(exact.drop("key"), ["package", "a_version"])
+
+
+def _minimum_hits(packages: DataFrame, known: DataFrame) -> DataFrame:
+    """Packages whose numeric major version is under a minimum of their folded name."""
+    asked = packages.select(
+        "package", "version", fold_name(F.col("package")).alias("key"),
+        major_version(F.col("version")).alias("major"),
+    ).where("major IS NOT NULL")
+    least = known.where("min_major IS NOT NULL")
+    return asked.join(least, "key").where("major < min_major").drop("key", "major")
+
+
+def _grams(name: Column, short: bool) -> Column:
+    """Distinct runs of ``GRAM`` characters; a shorter name is its own, ``short`` adds all shorter runs."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(name) - GRAM + 1, F.lit(1)))
+    grams = F.transform(starts, lambda i: F.substring(name, i, F.lit(GRAM)))
+    if short:
+        places = F.sequence(F.lit(1), F.length(name) + 1)
+        shorter = F.transform(places, lambda i: F.array(
+            *[F.substring(name, i, F.lit(n)) for n in range(GRAM)]
+        ))
+        grams = F.concat(grams, F.flatten(shorter))
+    return F.array_distinct(grams)
+
+
+def rarest_grams(names: DataFrame) -> DataFrame:
+    """``(a_package, gram)``: of the grams of each name, the one that the fewest names have."""
+    grams = names.select("a_package", F.explode(_grams(F.col("a_package"), False)).alias("gram"))
+    counts = grams.groupBy("gram").agg(F.count("*").alias("n_names"))
+    return grams.join(counts, "gram").groupBy("a_package").agg(
+        F.min_by("gram", F.struct("n_names", "gram")).alias("gram")
+    )
+
+
+def name_candidates(packages: DataFrame, names: DataFrame) -> DataFrame:
+    """``(package, a_package)``: names whose rarest gram the package has.
 
-    A version like 1.0.0 has very many packages and advisories, so it is no join key alone.
-    Each distinct package name is paired with the advisory names it contains, found by their
-    first characters at each place of the name; then distinct (package, version) meet the
-    advisories on (advisory package, version), and the dependencies meet what is left.
+    Names that begin alike do not meet all packages that begin so: what sets them apart is rarer.
     """
-    names = deps.select("package").distinct()
-    starts = F.sequence(F.lit(1), F.length("package") + 1)
-    grams = F.flatten(F.transform(starts, lambda i: F.array(
-        *[F.substring(F.col("package"), i, F.lit(n)) for n in range(GRAM + 1)]
-    )))
-    wanted = known.select("a_package", F.substring("a_package", 1, GRAM).alias("gram")).distinct()
-    pairs = names.select("package", F.explode(F.array_distinct(grams)).alias("gram")).join(
-        wanted, "gram"
-    ).where(F.col("package").contains(F.col("a_package"))).select("package", "a_package")
-    hits = deps.select("package", "version").distinct().join(pairs, "package").join(
-        known.drop("ecosystem", "key").withColumn("version", F.col("a_version")),
-        ["a_package", "version"],
+    asked = packages.select("package", F.explode(_grams(F.col("package"), True)).alias("gram"))
+    return asked.join(rarest_grams(names), "gram").select("package", "a_package")
+
+
+def _python_hits(packages: DataFrame, known: DataFrame) -> DataFrame:
+    """Packages with the advisories of their version whose name they contain.
+
+    A version like 1.0.0 has very many packages and advisories, so it is no join key alone: each
+    distinct name is paired with the advisory names that it contains, found by their rarest gram,
+    and (package, version) then meets the advisories on (advisory name, version).
+    """
+    names = packages.select("package").distinct()
+    pairs = name_candidates(names, known.select("a_package").distinct()).where(
+        F.col("package").contains(F.col("a_package"))
+    )
+    exact = known.drop("key").withColumn("version", F.col("a_version"))
+    return packages.select("package", "version").join(pairs, "package").join(exact, ["a_package", "version"])
+
+
+def resolved(deps: DataFrame, known: DataFrame) -> DataFrame:
+    """Dependency rows with the advisories that concern them.
+
+    Distinct (ecosystem, package, version) meet the advisories, and the rows meet what is left.
+    """
+    packages = deps.select("ecosystem", "package", "version").distinct()
+    python = F.col("ecosystem") == "python"
+    npm, npm_known = packages.where(~python), known.where(~python)
+    hits = _npm_hits(npm, npm_known).unionByName(_minimum_hits(npm, npm_known)).unionByName(
+        _python_hits(packages.where(python), known.where(python))
     )
-    return deps.join(hits, ["package", "version"])
+    return deps.join(hits, ["ecosystem", "package", "version"])
 
 
 def advisory_findings(deps: DataFrame, known: DataFrame, small: bool = False) -> DataFrame:
-    """Dependency rows joined with advisory rows on (ecosystem, key).
+    """Dependency rows joined with advisory rows.
 
     npm advisories ask for the exact package and for the advisory's version or one below it,
     minimum versions for a numeric major version under the minimum, python advisories for a
     package that contains the advisory's.  ``small`` marks advisory rows whose number is fixed
-    for broadcast.  A table of the caller has no known bound: Spark decides from its statistics,
-    past the broadcast threshold adaptive execution splits the skewed side of the join, and
-    python advisories are joined by name and version.
+    for one broadcast join.  A table of the caller has no known bound: see :func:`resolved`.
     """
     python = F.col("ecosystem") == "python"
-    asked = keyed(deps)
     if small:
-        joined = asked.join(F.broadcast(known), ["ecosystem", "key"]).where(is_hit())
+        joined = keyed(deps).join(F.broadcast(known), ["ecosystem", "key"]).where(is_hit())
     else:
-        joined = asked.where(~python).join(
-            known.where(~python), ["ecosystem", "key"]
-        ).where(is_hit()).unionByName(_python_hits(asked.where(python), known.where(python)))
+        joined = resolved(deps, known)
     outdated = F.col("min_major").isNotNull()
     upgrade = F.concat(F.lit("Upgrade "), "package", F.lit(" to a patched version"))
     return to_findings(

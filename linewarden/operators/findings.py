@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linewarden.functions.severity import parse_severity
@@ -106,10 +106,37 @@ def with_report_columns(findings: DataFrame) -> DataFrame:
     )
 
 
+def _in_report_order() -> list[Column]:
+    """Repository, most severe first, scan order inside; the whole key ends inside a file."""
+    return [F.col("repo"), F.desc("severity_rank"), F.col("ord"), F.col("id")]
+
+
 def report_order(findings: DataFrame) -> DataFrame:
     """Most severe first, scan order inside.
 
     A global sort: Spark range-partitions on the whole key, which ends in the position inside
     a file, so one very large repository is spread over many tasks.
     """
-    return findings.orderBy("repo", F.desc("severity_rank"), "ord", "id")
+    return findings.orderBy(*_in_report_order())
+
+
+def numbered(findings: DataFrame, folder: str) -> DataFrame:
+    """Stored findings with ``ordinal``, their place in the report order of all, without gaps.
+
+    Range partitions are written once below ``folder``, a new one of the caller's; an ordinal is
+    a row's place in its partition and the rows of the partitions before.  Range partitioning
+    reads its input twice, to sample it as well, so ``findings`` are to be a table: see
+    :func:`linewarden.reports.sinks.numbered_report`.
+    """
+    order = _in_report_order()
+    ranges = findings.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranges.withColumn("_at", F.monotonically_increasing_id()).write.parquet(folder)
+    stored = findings.sparkSession.read.parquet(folder).withColumn("_range", F.shiftright("_at", 33))
+    # one row per range partition, so as many as the setting for shuffles says at most
+    counts = stored.groupBy("_range").agg(F.count("*").alias("_rows"))
+    before = F.sum("_rows").over(Window.orderBy("_range")) - F.col("_rows")
+    starts = F.broadcast(counts.select("_range", before.alias("_before")))
+    in_range = F.col("_at").bitwiseAND((1 << 33) - 1)
+    return stored.join(starts, "_range").withColumn("ordinal", F.col("_before") + in_range).drop(
+        "_at", "_range", "_before"
+    )

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from linewarden.functions.severity import RANKS, severity_name
 
 COUNTS = tuple(name.lower() for name in RANKS)
+#: What the first finding says of its rule.
+CARRIED = ("title", "description", "remediation", "severity", "analyzer")
 
 
 def _counts() -> list[Column]:
@@ -52,11 +54,39 @@ def rules_first(findings: DataFrame) -> DataFrame:
 
     ``min_by`` keeps one candidate per key in each task before the shuffle.
     """
-    carried = ("title", "description", "remediation", "severity", "analyzer")
-    first = F.min_by(F.struct(*carried), F.col("ord")).alias("first")
+    first = F.min_by(F.struct(*CARRIED), F.col("ord")).alias("first")
     return findings.groupBy("repo", "rule_id").agg(first).select("repo", "rule_id", "first.*")
 
 
+def rule_state(findings: DataFrame) -> DataFrame:
+    """One row per repository, rule id and severity: count, first finding and its place.
+
+    One aggregation that both the summary and the list of rules follow from; kept as a table, its
+    rows are as many as the kinds of findings of a repository.
+    """
+    first = F.min_by(F.struct(*CARRIED), F.col("ord")).alias("first")
+    return findings.groupBy("repo", "rule_id", "severity_rank").agg(
+        F.count("*").alias("n"), first, F.min("ord").alias("first_ord")
+    )
+
+
+def summary_of_state(state: DataFrame, repos: DataFrame) -> DataFrame:
+    """:func:`severity_summary` of the findings of a state."""
+    known = repos.select("repo", F.lit(None).cast("int").alias("severity_rank"), F.lit(0).cast("long").alias("n"))
+    rows = state.select("repo", "severity_rank", "n").unionByName(known)
+    counts = [
+        F.sum(F.when(F.col("severity_rank") == rank, F.col("n")).otherwise(0)).alias(name.lower())
+        for name, rank in RANKS.items()
+    ]
+    return _finish(rows.groupBy("repo").agg(*counts, F.max("severity_rank").alias("rank")))
+
+
+def rules_of_state(state: DataFrame) -> DataFrame:
+    """:func:`rules_first` of the findings of a state."""
+    first = F.min_by("first", "first_ord").alias("first")
+    return state.groupBy("repo", "rule_id").agg(first).select("repo", "rule_id", "first.*")
+
+
 def scan_reports(
     findings: DataFrame, repos: DataFrame, analyzers: list[str], scan_time: str, duration_secs: float
 ) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from linewarden.operators.findings import numbered
 from linewarden.reports.html import html_document
 from linewarden.reports.sarif import sarif_document
 from linewarden.reports.text import text_report
@@ -20,26 +21,22 @@ FORMATS = {
 }
 
 
-def register_format(name: str, build: Callable[..., DataFrame]) -> None:
-    """Make ``report`` take ``name``, in any case, for a function of the caller.
-
-    The function gets findings, repositories, scan time and the options, and returns document
-    fragments.
-    """
-    FORMATS[name.lower()] = build
-
-
 def report(
-    findings: DataFrame, repos: DataFrame, scan_time: str, format: str = "console", **options
+    findings: DataFrame,
+    repos: DataFrame,
+    scan_time: str,
+    format: str | Callable[..., DataFrame] = "console",
+    **options,
 ) -> DataFrame:
     """Document fragments in the named format, case-insensitive; unknown names raise.
 
-    Pass :func:`stored` findings unless scanning again is cheaper than writing them.
+    A format of the caller is a function: it gets findings, repositories, scan time and the
+    options, and returns document fragments.  Pass :func:`stored` findings unless scanning again
+    is cheaper than writing them.
     """
-    try:
-        build = FORMATS[format.lower()]
-    except KeyError:
-        raise ValueError(f"Unknown report format: {format}") from None
+    build = format if callable(format) else FORMATS.get(format.lower())
+    if build is None:
+        raise ValueError(f"Unknown report format: {format}")
     return build(findings, repos, scan_time, **options)
 
 
@@ -67,3 +64,11 @@ def read_findings(spark: SparkSession, path: str) -> DataFrame:
     from linewarden import schema
 
     return spark.read.schema(schema.FINDINGS).parquet(path)
+
+
+def numbered_report(findings: DataFrame, path: str) -> DataFrame:
+    """The findings in report order with an ``ordinal``, from tables below ``path``.
+
+    The findings are stored first, so that the corpus is scanned once.
+    """
+    return numbered(stored(findings, f"{path}/findings"), f"{path}/ordered")
