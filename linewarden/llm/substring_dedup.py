@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import packed_columns, text_or_empty, unpacked_columns, written
 from .packing import in_bounds
 
 #: Words of a window, and of the runs that minimizers are chosen from.
@@ -53,18 +53,6 @@ _FACTOR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _LAST = np.iinfo(np.int64).max
 
 
-def _packed(columns: dict[str, pa.Array]) -> bytes:
-    sink = pa.BufferOutputStream()
-    batch = pa.RecordBatch.from_pydict(columns)
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_batch(batch)
-    return sink.getvalue().to_pybytes()
-
-
-def _unpacked(raw: bytes) -> pa.RecordBatch:
-    return pa.ipc.open_stream(raw).read_next_batch()
-
-
 def chunks_of(docs: DataFrame) -> DataFrame:
     """``chunk, bytes, docs``: documents in compressed chunks whose numbers rise with the rows."""
 
@@ -79,7 +67,7 @@ def chunks_of(docs: DataFrame) -> DataFrame:
                     some = batch.slice(start + low, high - low)
                     yield pa.RecordBatch.from_arrays([
                         pa.array([number]), pa.array([sum(sizes[start + low:start + high])]),
-                        pa.array([_packed({"doc_id": some.column(0), "text": some.column(1)})]),
+                        pa.array([packed_columns({"doc_id": some.column(0), "text": some.column(1)})]),
                     ], names=["chunk", "bytes", "docs"])
                     number += 1
 
@@ -95,11 +83,11 @@ class Words:
         words = cut.flatten()
         real = pc.binary_length(words).to_numpy() > 0  # white space at an end leaves empty words
         offsets = np.concatenate([[0], np.cumsum(real)])[cut.offsets.to_numpy() - cut.offsets[0].as_py()]
-        self.words = words.filter(pa.array(real))
         self.starts, self.sizes = offsets[:-1], np.diff(offsets)
-        coded = self.words.dictionary_encode()
-        distinct = coded.dictionary.to_numpy(zero_copy_only=False)
-        hashes = pd.util.hash_array(distinct.astype(object), categorize=False) if len(distinct) else distinct
+        coded = words.filter(pa.array(real)).dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).astype(object)
+        hashes = pd.util.hash_array(distinct, categorize=False) if len(distinct) else distinct
+        self.words = distinct[coded.indices.to_numpy()]
         self._hashes = hashes.astype(np.uint64)[coded.indices.to_numpy()]
         self._of = np.repeat(np.arange(len(self.sizes)), self.sizes)
 
@@ -158,7 +146,7 @@ def shared_minimizers(chunks: DataFrame, total_bytes: int) -> DataFrame:
     def minimizers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                hashes, _, counts = _by_minimizer(*Words(_unpacked(raw).column(1)).stretches()[2:])
+                hashes, _, counts = _by_minimizer(*Words(unpacked_columns(raw).column(1)).stretches()[2:])
                 bucket = (hashes >> np.uint64(20)) % np.uint64(buckets)
                 order = np.argsort(bucket, kind="stable")
                 used, first = np.unique(bucket[order], return_index=True)
@@ -212,7 +200,7 @@ class Stretches:
         blobs = []
         for texts in map(self._places.__getitem__, used):
             order, row, start = zip(*(p for places in texts.values() for p in places))
-            blobs.append(_packed({
+            blobs.append(packed_columns({
                 "texts": pa.array([list(texts)], pa.list_(pa.string())),
                 "times": pa.array([list(map(len, texts.values()))], pa.list_(pa.int64())),
                 "order": pa.array([order], pa.list_(pa.int64())),
@@ -232,7 +220,7 @@ def sharded_stretches(chunks: DataFrame, shared: DataFrame, shards: int) -> Data
         out = Stretches(shards)
         for batch in batches:
             for chunk, raw, found in zip(*(c.to_pylist() for c in batch.columns)):
-                _send_chunk(chunk, _unpacked(raw), found or [], out, shards)
+                _send_chunk(chunk, unpacked_columns(raw), found or [], out, shards)
                 if out.held > COMBINED:
                     yield out.taken()
         yield out.taken()
@@ -267,7 +255,7 @@ def _send_chunk(chunk: int, docs: pa.RecordBatch, found: list[dict], out: Stretc
         begins = np.concatenate([begins, one])
         sizes = np.concatenate([sizes, np.full(len(one), WINDOW)])
         shard = np.concatenate([shard, (words.runs(WINDOW)[one] >> np.uint64(8)) % np.uint64(shards)])
-    text_words = words.words.to_pylist()
+    text_words = words.words.tolist()
     number, start = words.place(begins)
     order = docs.column(0).fill_null(_LAST).to_numpy()[number]
     rows = zip(
@@ -409,7 +397,7 @@ def removed_spans(stretches: DataFrame) -> DataFrame:
         known: dict[str, int] = {}
         texts, parts = [], []
         for raw in table["stretches"].to_pylist():
-            batch = _unpacked(raw)
+            batch = unpacked_columns(raw)
             some, times, *places = (c.values for c in batch.columns)
             numbers = [known.setdefault(t, len(known)) for t in some.to_pylist()]
             parts.append([np.repeat(numbers, times.to_numpy()), *(p.to_numpy() for p in places)])
@@ -436,7 +424,7 @@ def without_spans(chunks: DataFrame, spans: DataFrame) -> DataFrame:
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw, found in zip(*(c.to_pylist() for c in batch.columns)):
-                keys, texts = (c.to_pylist() for c in _unpacked(raw).columns)
+                keys, texts = (c.to_pylist() for c in unpacked_columns(raw).columns)
                 by_row: dict[int, list] = {}
                 triples = np.frombuffer(b"".join(found or []), "<i4").reshape(-1, 3)
                 for number, low, high in triples.tolist():
