@@ -418,7 +418,7 @@ TOTAL = "count(severity_rank) AS total"
 def summary_cte(where: str = "true") -> str:
     return f"""
 known AS (SELECT DISTINCT repo FROM files),
-summary AS (SELECT k.repo AS repo, {COUNTS}, {TOTAL}, {RANK_NAME} AS max_severity
+summary AS MATERIALIZED (SELECT k.repo AS repo, {COUNTS}, {TOTAL}, {RANK_NAME} AS max_severity
             FROM known k LEFT JOIN (SELECT * FROM findings WHERE {where}) f ON k.repo = f.repo GROUP BY k.repo)"""
 
 
@@ -660,6 +660,14 @@ def sql() -> dict[str, str]:
         "git_origin": f"WITH files AS ({CONFIG_FILES}), {remotes_cte()} SELECT repo, url FROM remotes WHERE remote = 'origin'",
         "git_insecure_remote": f"WITH files AS ({CONFIG_FILES}), {remotes_cte()}, {findings_cte(insecure_remotes())} {flat}",
         "git_recent_commits": """
+            SELECT repo, hash, author, message, commit_time, CAST(position AS INTEGER) AS position, n_parents FROM (
+              SELECT 'r' || (o_orderkey % 100) AS repo, CAST(o_orderkey AS VARCHAR) AS hash,
+                     CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' THEN o_orderpriority ELSE 'Unknown' END AS author,
+                     CASE WHEN o_orderstatus <> 'P' THEN 'order ' || o_orderstatus ELSE '' END AS message,
+                     o_orderdate AS commit_time, CAST(CASE WHEN o_orderkey >= 100 THEN 1 ELSE 0 END AS INTEGER) AS n_parents,
+                     row_number() OVER (PARTITION BY o_orderkey % 100 ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR)) AS position
+              FROM orders) WHERE position <= 100""",
+        "git_head_commits": """
             WITH RECURSIVE base AS (
               SELECT o_orderkey AS k, o_orderkey // 100 AS place, 'r' || (o_orderkey % 100) AS repo, CAST(o_orderkey AS VARCHAR) AS hash,
                      CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' THEN o_orderpriority ELSE 'Unknown' END AS author,

@@ -260,8 +260,16 @@ def git_insecure_remote(spark, sf):
 
 @query("git_recent_commits")
 def git_recent_commits(spark, sf):
+    return _commits(git.recent_commits(c.commits(spark, sf)))
+
+
+@query("git_head_commits")
+def git_head_commits(spark, sf):
     """The newest commits that a head leads to; some branches are merged, others are not."""
-    recent = git.recent_commits(c.branched_commits(spark, sf), heads=c.heads(spark, sf))
+    return _commits(git.recent_commits(c.branched_commits(spark, sf), heads=c.heads(spark, sf)))
+
+
+def _commits(recent: DataFrame) -> DataFrame:
     return recent.select(
         "repo", "hash", "author", "message", "commit_time", "position",
         F.size("parents").alias("n_parents"),

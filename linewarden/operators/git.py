@@ -122,9 +122,10 @@ def reachable(commits: DataFrame, heads: DataFrame, folder: str) -> DataFrame:
         pointers = kept(alone.where("n = 1").drop("n"))
         moving = True
         while moving:
-            # two doublings for each table
+            # three doublings for each table
             twice = followed(pointers, pointers).drop("moved")
-            pointers = kept(followed(twice, twice), moving=F.count_if("moved"))
+            again = followed(twice, twice).drop("moved")
+            pointers = kept(followed(again, again), moving=F.count_if("moved"))
             moving, pointers = tallies[pointers]["moving"], pointers.drop("moved")
         moved = kept(followed(edges, pointers).drop("moved").distinct())
         decided = reached.select("repo", F.col("hash").alias("above"))

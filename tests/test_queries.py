@@ -22,7 +22,7 @@ CHECKED = [
     "git_recent_commits", "git_files_changed", "repo_urls", "repo_names", "rules_first", "severity_summary",
     "sarif_document", "text_report", "html_document", "report_evidence", "lines_bytes", "deps_python_table",
     "git_insecure_remote", "scan_secrets", "scan_url", "scan_extensions", "report_user", "user_analyzer",
-    "findings_by_analyzer", "ci_gate", "report_order", "rule_state", "deps_npm_table",
+    "findings_by_analyzer", "ci_gate", "report_order", "rule_state", "deps_npm_table", "git_head_commits",
 ]
 
 
