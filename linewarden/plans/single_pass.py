@@ -7,6 +7,8 @@ worked out where it arises, and only what is found leaves the row; one projectio
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,26 +79,21 @@ def _packages(content: Column, language: Column) -> Column:
     ).when(language == "python", parts(deps.python_packages(text), "python"))
 
 
-def file_parts(corpus, placed: list[PlacedRule], kinds: set[str], use_prefilter: bool) -> DataFrame:
-    """``(repo, path, kind, line, text, name, a, b, c)`` of what is found in every file."""
+@lru_cache(maxsize=32)
+def _parts(application: str, placed: tuple[PlacedRule, ...], kinds: frozenset[str], prune: bool,
+           nested: bool, use_prefilter: bool) -> Column:
+    """Array of the parts of a file, from columns that ``file_parts`` names.
+
+    Building it costs far more calls into the JVM than using it, so it is kept for each
+    application and choice of rules.
+    """
     path, content = F.col("path"), F.col("content")
-    kept = is_listed(path) if not corpus.prune else is_listed(path) & ~below_ignored_dir(path)
-    needed = ["git-config"] * (REMOTE in kinds) + ["manifest"] * bool(kinds - {REMOTE})
-    if placed or SUFFIX in kinds:
-        needed = ["git-config", "manifest", "other"]
-    # the git configuration lies below an ignored folder
-    files = corpus.read(tuple(needed), corpus.prune and REMOTE not in kinds, numbered=bool(placed))
-    listed = kept if REMOTE in kinds else F.lit(True)
-    if REMOTE not in kinds:
-        files = files.where(kept)
-    first_line = F.col("first_line") if "first_line" in files.columns else F.lit(0)
-    # what the path says is found once, in the first piece
-    head = F.col("chunk") == 0 if "chunk" in files.columns else F.lit(True)
+    listed = _listed(prune) if REMOTE in kinds else F.lit(True)
     found = []
     if placed:
         found.append(F.when(listed, _lines(placed, use_prefilter)))
     if SUFFIX in kinds:
-        found.append(F.when(listed & head & suspicious_suffix(path), F.filter(
+        found.append(F.when(listed & F.col("is_head") & suspicious_suffix(path), F.filter(
             F.array(*[
                 F.when(path.endswith(suffix), _part(SUFFIX, a=i))
                 for i, (suffix, _, _) in enumerate(SUSPICIOUS_EXTENSIONS)
@@ -114,7 +111,7 @@ def file_parts(corpus, placed: list[PlacedRule], kinds: set[str], use_prefilter:
                 own.append(F.when((m["language"] == "rust") & noted, F.array(_part(RUST))).otherwise(_none()))
             return F.when(m.isNotNull(), F.concat(*own))
 
-        found.append(F.when(listed, let(manifest(path, corpus.nested_manifests), of_manifest)))
+        found.append(F.when(listed, let(manifest(path, nested), of_manifest)))
     if REMOTE in kinds:
         insecure = F.filter(
             remotes_of(decode_utf8(content)),
@@ -123,12 +120,36 @@ def file_parts(corpus, placed: list[PlacedRule], kinds: set[str], use_prefilter:
         found.append(F.when(
             path == CONFIG_PATH, F.transform(insecure, lambda r: _part(REMOTE, r["url"], r["remote"]))
         ))
-    parts = F.concat(*[F.coalesce(x, _none()) for x in found])
+    return F.concat(*[F.coalesce(x, _none()) for x in found])
+
+
+def _listed(prune: bool) -> Column:
+    kept = is_listed(F.col("path"))
+    return kept & ~below_ignored_dir(F.col("path")) if prune else kept
+
+
+def file_parts(corpus, placed: list[PlacedRule], kinds: set[str], use_prefilter: bool) -> DataFrame:
+    """``(repo, path, kind, line, text, name, a, b, c)`` of what is found in every file."""
+    needed = ["git-config"] * (REMOTE in kinds) + ["manifest"] * bool(kinds - {REMOTE})
+    if placed or SUFFIX in kinds:
+        needed = ["git-config", "manifest", "other"]
+    # the git configuration lies below an ignored folder
+    files = corpus.read(tuple(needed), corpus.prune and REMOTE not in kinds, numbered=bool(placed))
+    if REMOTE not in kinds:
+        files = files.where(_listed(corpus.prune))
+    parts = _parts(
+        corpus.spark.sparkContext.applicationId, tuple(placed), frozenset(kinds), corpus.prune,
+        corpus.nested_manifests, use_prefilter,
+    )
+    path = F.col("path")
+    first_line = F.col("first_line") if "first_line" in files.columns else F.lit(0)
+    # what the path says is found once, in the first piece
+    is_head = F.col("chunk") == 0 if "chunk" in files.columns else F.lit(True)
     # the rules ask for what the path says
     described_files = files.select(
         "repo", "path", "content", is_url_skipped(path).alias("url_skipped"),
         detect_language(path).alias("language"), first_line.cast("int").alias("first_line"),
-        *[c for c in ("chunk",) if c in files.columns],
+        is_head.alias("is_head"),
     )
     return described_files.select("repo", "path", F.inline(parts))
 
