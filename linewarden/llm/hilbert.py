@@ -88,31 +88,54 @@ def hilbert_index(cells: list[Column], bits: int) -> Column:
     )
 
 
-def sortable(kind: str, column: Column) -> Column:
-    """A number in the order of the column: itself, or the first seven bytes of a text."""
-    if kind == "string":
-        head = F.substring(F.to_binary(column, F.lit("utf-8")), 1, 7)
-        return F.conv(F.rpad(F.hex(head), 14, "0"), 16, 10).cast("long").cast("double")
-    return column.cast("double")
+def text_cuts(df: DataFrame, column: str, cells: int) -> list[str]:
+    """Texts that cut the rows into ``cells`` nearly equal parts, compared as whole texts.
+
+    Distinct values are sorted by range and their counts summed up; of them only those that a cut
+    falls on are collected, fewer than ``cells``.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).count()
+    spread = counts.repartitionByRange("value").sortWithinPartitions("value")
+    placed = written(spread.withColumn("_part", F.spark_partition_id()), "text-values")
+    sizes = placed.groupBy("_part").agg(F.sum("count").alias("_rows"))
+    before = sizes.select(  # one row per partition
+        "_part",
+        (F.sum("_rows").over(Window.orderBy("_part")) - F.col("_rows")).alias("_before"),
+        F.sum("_rows").over(Window.partitionBy()).alias("_total"),
+    )
+    upto = F.col("_before") + F.sum("count").over(Window.partitionBy("_part").orderBy("value"))
+    share = placed.join(F.broadcast(before), "_part").withColumn("_upto", upto)
+    passed = F.expr(f"(_upto * {cells}) div _total") > F.expr(f"((_upto - count) * {cells}) div _total")
+    return sorted(r["value"] for r in share.where(passed & (F.col("_upto") < F.col("_total"))).collect())
 
 
 def quantised(df: DataFrame, dims: list[str], bits: int) -> list[Column]:
-    """The cell of each dimension; the cut points are ``2 ** bits - 1`` numbers each."""
+    """The cell of each dimension; there are fewer than ``2 ** bits`` cut points for each."""
     kinds = dict(df.dtypes)
-    numbers = [sortable(kinds[d], F.col(d)) for d in dims]
+    numbers = [d for d in dims if kinds[d] != "string"]
     shares = [i / (1 << bits) for i in range(1, 1 << bits)]
-    found = df.agg(*[
-        F.percentile_approx(n, shares, QUANTILE_ACCURACY).alias(f"cuts_{i}")
-        for i, n in enumerate(numbers)
-    ]).first()
+    found = df.agg(F.lit(0), *[
+        F.percentile_approx(F.col(d).cast("double"), shares, QUANTILE_ACCURACY).alias(f"cuts_{i}")
+        for i, d in enumerate(numbers)
+    ]).first()[1:]
+    cuts = dict(zip(numbers, found, strict=True))
     cells = []
-    for n, cuts in zip(numbers, found, strict=True):
-        points = sorted(set(cuts or []))
-        below = F.filter(F.array(*map(F.lit, points)), lambda c, n=n: c < n) if points else None
-        cells.append(F.lit(0) if below is None else F.coalesce(F.size(below), F.lit(0)))
+    for d in dims:
+        if d in cuts:
+            value, points = F.col(d).cast("double"), sorted(set(cuts[d] or []))
+        else:
+            value, points = F.col(d), text_cuts(df, d, 1 << bits)
+        cells.append(_cuts_below(points, value))
     return cells
 
 
+def _cuts_below(points: list, value: Column) -> Column:
+    if not points:
+        return F.lit(0)
+    below = F.filter(F.array(*map(F.lit, points)), lambda cut: cut < value)
+    return F.when(value.isNull(), 0).otherwise(F.size(below))
+
+
 def ranked(df: DataFrame, order: list[str], label: str) -> DataFrame:
     """Every row with its place in the order, without a window over all rows.
 

@@ -229,3 +229,15 @@ def test_a_passage_stays_at_its_first_place(spark):
     docs = spark.createDataFrame(rows, LINES)
     got = {r.doc_id: r.text for r in line_dedup.line_dedup(docs, line_dedup.line_pairs).collect()}
     assert got == {1: "a b\na b", 2: "x 1\ny 1", 3: "k\nl\nm", 4: "n", 5: "n\nm\n", 6: ""}
+
+
+def test_texts_that_begin_alike_lie_in_cells_of_their_own(spark):
+    rows = [(i, "x", "en", f"https://example.org/{i % 40:02d}/", 1, "c", 1) for i in range(400)]
+    docs = spark.createDataFrame([*rows, (401, "x", "en", None, 1, "c", 1)], DOCS)
+    cuts = hilbert.text_cuts(docs, "source", 8)
+    assert 6 <= len(cuts) <= 7 and cuts == sorted(cuts)
+    cells = docs.select("source", hilbert.quantised(docs, ["source"], 3)[0].alias("cell")).collect()
+    sizes = [sum(r.cell == c for r in cells) for c in range(8)]
+    assert max(sizes) <= 70 and min(s for s in sizes if s) >= 40
+    by_source = sorted({(r.source or "", r.cell) for r in cells})
+    assert [c for _, c in by_source] == sorted(c for _, c in by_source)
