@@ -2,9 +2,11 @@
 
 Each paragraph passes points for its length and commas to the element around it, and half of them
 to the next one, discounted by the share of its text in links.  If the element with the most points
-lies in an article, that article is the content.  Else all that stands around it, up to the page, is
-content too, headings and short blocks as well; only what is nearly all links goes.
-What is no article by its tag, role, class or id never enters the tree.
+lies in an article, that article is the content, with the other articles of the same ``main``.  Else
+the element is the content, with what stands beside it and beside the elements around it: paragraphs
+and headings, and containers that have a heading or a good share of its points.  What is nearly all
+links goes.  What is no article by its tag, role, class or id never enters the tree; for a paragraph
+or a heading inside an article the name alone is no sign of it.
 
 Defined cases: null html is an empty page and has an empty text; a page whose every part is left
 out has an empty text; unclosed and misnested tags end with the element around them; a repeated row
@@ -65,6 +67,9 @@ START = {"article": 25.0, "main": 25.0, "div": 5.0, "pre": 3.0, "td": 3.0, "bloc
          "ol": -3.0, "ul": -3.0, "dl": -3.0, "li": -3.0, "address": -3.0, "th": -5.0}
 #: From this share of link text on, such an element is a menu, and anything beside the content.
 MENUS, MENU_LINKS = frozenset(("div", "dl", "ol", "section", "table", "ul")), 0.8
+#: Containers that say nothing of what they hold, and the share of the best one's points from which
+#: one beside it is content.
+PLAIN, CONTENT_SHARE = frozenset(("center", "details", "div", "header", "section")), 0.2
 
 _WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
@@ -102,6 +107,7 @@ def _dropped(tag: str, attrs: list[tuple[str, str | None]], parent: Element) ->
         return True
     if not attrs or tag in ("html", "body", "main", "article"):
         return False
+    is_text = tag == "p" or tag in HEADINGS
     for name, value in attrs:
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
             return True
@@ -115,7 +121,7 @@ def _dropped(tag: str, attrs: list[tuple[str, str | None]], parent: Element) ->
             words = _words(value)
             if words & ARRANGED_WORDS:  # an arrangement of the page, not a part of it
                 continue
-            if words & DROPPED_WORDS:
+            if words & DROPPED_WORDS and ("hidden" in words or not is_text or _outside_article(parent)):
                 return True
             if "header" in words and not words & CONTENT_WORDS and _outside_article(parent):
                 return True
@@ -252,10 +258,23 @@ def _paragraph(tag: str) -> bool:
                    "summary", "address") or tag in HEADINGS
 
 
-def _without_menus(items: list[Element | str], content: Element) -> list[Element | str]:
-    """What stands beside the content, but for blocks and lines of text that are nearly all links."""
+def _beside(items: list[Element | str], content: Element, points: float) -> list[Element | str]:
+    """The content and what belongs to it of what stands beside it.
+
+    Blocks and lines of text that are nearly all links do not, nor plain containers without a
+    heading whose points are few.
+    """
     kept, line = [], []
 
+    def belongs(item: Element) -> bool:
+        if item.tag in HEADINGS:
+            return True
+        if item.anchors > 1 and item.link_share >= MENU_LINKS:
+            return False
+        return item.tag not in PLAIN or item.points >= points or any(
+            e.tag in HEADINGS and e.size for e in _elements(item)
+        )
+
     def end() -> None:
         size = sum(len(x.strip()) if isinstance(x, str) else x.size for x in line)
         inline = [x for x in line if isinstance(x, Element)]
@@ -269,7 +288,7 @@ def _without_menus(items: list[Element | str], content: Element) -> list[Element
             line.append(item)
             continue
         end()
-        if item is content or item.tag in HEADINGS or item.anchors < 2 or item.link_share < MENU_LINKS:
+        if item is content or belongs(item):
             kept.append(item)
     end()
     return kept
@@ -293,13 +312,31 @@ def _content(root: Element) -> list[Element]:
     while at is not None and at.tag not in ("article", "main"):
         at = at.parent
     if at is not None:
-        return [at]
+        return _articles(at)
+    points = CONTENT_SHARE * best.points
     while best.parent is not None:
-        best.parent.items = _without_menus(best.parent.items, best)
+        best.parent.items = _beside(best.parent.items, best, points)
         best = best.parent
     return [best]
 
 
+def _articles(article: Element) -> list[Element]:
+    """The article, and the others of the innermost ``main`` around it, in page order."""
+    main = article
+    while main is not None and main.tag != "main":
+        main = main.parent
+    if main is None or main is article:
+        return [article]
+    found, stack = [], [main]
+    while stack:  # an article inside an article is part of it
+        at = stack.pop()
+        if at.tag == "article":
+            found.append(at)
+        else:
+            stack.extend(x for x in reversed(at.items) if isinstance(x, Element))
+    return found
+
+
 def main_text(html: str | None) -> str:
     """The article's blocks, joined by an empty line."""
     if not html:

@@ -212,6 +212,40 @@ def test_short_parts_around_the_best_container_stay(page, want):
     assert main_text.main_text(f"<body>{page}</body>").split("\n\n") == want
 
 
+NOTES = "<div><p>Copyright 2020 Acme. All rights reserved. Terms apply.</p></div><div>We use data files; click OK to accept.</div>"
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    (f"<div>{RUN * 4}</div>{NOTES}", 4 * [WORDS]),
+    (f"<div id=wrap><div>{RUN * 4}</div>{NOTES}</div>", 4 * [WORDS]),
+    (f"<main><article><h2>One</h2><p>Short, first.</p></article><article><h2>Two</h2>{RUN * 3}</article></main>",
+     ["One", "Short, first.", "Two", *3 * [WORDS]]),
+    (f"<main><h1>All</h1>{RUN * 2}</main><article>Other, thing.</article>", ["All", *2 * [WORDS]]),
+    (f"<article>{RUN * 2}<p class='ad-hoc note'>Kept, too.</p><h2 id=skip-the-line>Head</h2><div class=ad>No.</div></article>",
+     [*2 * [WORDS], "Kept, too.", "Head"]),
+    (f"<article><article class=part>{RUN}</article><p>After, it.</p></article>", [WORDS]),
+])
+def test_scores_and_articles_decide(page, want):
+    assert main_text.main_text(f"<body>{page}</body>").split("\n\n") == want
+
+
+def test_points_equal_a_plain_scorer():
+    """Points of every container by brute force over the paragraphs below it."""
+    page = f"<div id=a><div id=b>{RUN * 3}<p>x, <a href=1>y, z</a></p></div><div id=c><p>one, two</p></div><p>more, here</p></div>"
+    builder = main_text.TreeBuilder()
+    builder.feed(f"<body>{page}</body>")
+    divs = [e for e in main_text._elements(builder.root) if e.tag == "div"]
+    main_text._content(builder.root)
+
+    def worth(text, linked=0):
+        return (min(len(text) / 25, 1) + text.count(",") + min(len(text) / 100, 3)) * (1 - linked / sum(map(len, text.split(", "))) if linked else 1)
+
+    b = 3 * worth(WORDS) + (min(7 / 25, 1) + 2 + 0.07) * (1 - 4 / 6)
+    c, more = worth("one, two"), worth("more, here")
+    got = [e.points - main_text.START["div"] for e in divs]
+    assert got == pytest.approx([b / 2 + c / 2 + more, b, c])
+
+
 @pytest.mark.parametrize(("html", "text"), [
     (None, ""), ("", ""), ("plain  text", "plain text"), ("<p>a<p>b", "a\n\nb"), ("<script>x", ""),
     ("<div>" * 5000 + "deep" + "</div>" * 5000, "deep"), ("</p></div>x", "x"), ("a &amp b &#233;", "a & b é"),
