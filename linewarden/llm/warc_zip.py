@@ -320,8 +320,10 @@ def read_records(archives: DataFrame, with_payload: bool = True) -> DataFrame:
             if found:
                 yield _batch(found, names, kinds)
 
+    # with a number, since adaptive execution would put these few bytes into one task
+    tasks = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     places = record_places(archives).repartition(
-        F.col("path"), F.floor(F.col("at") / RANGE_BYTES)
+        tasks, F.col("path"), F.floor(F.col("at") / RANGE_BYTES)
     ).sortWithinPartitions("path", "at")
     return places.mapInArrow(read, types)
 
