@@ -126,13 +126,13 @@ def training_sample(docs: DataFrame) -> DataFrame:
     """
     labelled = docs.where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 1)
-    ).select("doc_id", "lang", F.xxhash64("doc_id").alias("draw"))
+    ).select("doc_id", "lang", F.xxhash64("text").alias("same"), F.xxhash64("doc_id").alias("draw"))
     part = F.pmod("draw", F.lit(SAMPLE_PARTS))
-    in_part = Window.partitionBy("lang", part).orderBy("draw", "doc_id")
+    in_part = Window.partitionBy("lang", part).orderBy("draw", "doc_id", "same")
     drawn = labelled.withColumn("in_part", F.row_number().over(in_part)).where(
         F.col("in_part") <= TRAINING_ROWS // SAMPLE_PARTS
     )
-    first = Window.partitionBy("lang").orderBy("draw", "doc_id")
+    first = Window.partitionBy("lang").orderBy("draw", "doc_id", "same")
     return drawn.withColumn("turn", F.row_number().over(first)).orderBy("turn", "lang").limit(
         TRAINING_ROWS
     )
@@ -149,14 +149,18 @@ def _packed_presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 def learn(docs: DataFrame) -> Model:
     """A model of the labelled rows of ``docs`` that are not held out."""
-    chosen = training_sample(docs).select("doc_id", "turn")
-    # at most TRAINING_ROWS ids, so the join may broadcast them
+    # a row may be drawn as often as it is repeated, but is learnt from once
+    key = ["doc_id", "lang", "same"]
+    chosen = training_sample(docs).groupBy(*key).agg(F.min("turn").alias("turn"))
+    # at most TRAINING_ROWS keys, so the join may broadcast them
     texts = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
-        "doc_id", "lang", "text"
-    ).join(F.broadcast(chosen), "doc_id").select("turn", "lang", "text")
-    rows = texts.mapInArrow(_packed_presence, "turn int, lang string, flags binary").collect()
+        "doc_id", "lang", "text", F.xxhash64("text").alias("same")
+    ).join(F.broadcast(chosen), key)
+    once = texts.groupBy("turn", "lang", "doc_id", "same").agg(F.min("text").alias("text"))
+    rows = once.select("turn", "lang", "text").mapInArrow(
+        _packed_presence, "turn int, lang string, flags binary"
+    ).collect()
     rows.sort(key=lambda r: (r["turn"], r["lang"], r["flags"]))
-    rows = rows[:TRAINING_ROWS]  # ids that repeat
     return fit([bytes(r["flags"]) for r in rows], [r["lang"] for r in rows])
 
 
