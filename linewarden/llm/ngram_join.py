@@ -193,7 +193,7 @@ def tree_pairs(first: Node, second: Node, percent: int) -> Iterator[tuple]:
 
 # ---- the corpus ----
 
-_CLASSES = ("doc_id long, n_shingles long, class binary, keys array<long>, bits binary")
+_CLASSES = ("doc_id long, text_hash long, n_shingles long, class binary, keys array<long>, bits binary")
 
 
 def shingle_counts(docs: DataFrame, words: int) -> np.ndarray:
@@ -224,7 +224,7 @@ def classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
         shingles, seen = Shingles(words), set()
         for batch in batches:
             sizes, names, keys, bits = [], [], [], []
-            for one in shingles(batch.column(1).to_pylist()):
+            for one in shingles(batch.column(2).to_pylist()):
                 name = _name(one)
                 sizes.append(len(one))
                 names.append(name)
@@ -237,12 +237,13 @@ def classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 keys.append(one[rarest[:prefix_length(len(one), percent)]].view(np.int64))
                 bits.append(bitmap(one).to_bytes(BITS // 8))
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()),
+                batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()),
                 pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary()),
-            ], names=["doc_id", "n_shingles", "class", "keys", "bits"])
+            ], names=["doc_id", "text_hash", "n_shingles", "class", "keys", "bits"])
 
     return docs.select(
-        F.col("doc_id").cast("long"), text_or_empty().alias("text")
+        F.col("doc_id").cast("long"), F.xxhash64(text_or_empty()).alias("text_hash"),
+        text_or_empty().alias("text"),
     ).mapInArrow(found, _CLASSES)
 
 
@@ -467,7 +468,7 @@ def _pairs(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """Per document: ``n_shingles``, the smallest id that links reach."""
+    """Per document: ``text_hash``, ``n_shingles``, the smallest id that links reach."""
     members = written(classes(docs, words, percent), "classes")
     signatures = members.where("bits is not null").dropDuplicates(["class"]).select(
         "class", "n_shingles", "bits"
@@ -491,12 +492,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         # components so far are stars: links that stand for all links before
         stars = known.select(F.col("component").alias("a"), F.col("class").alias("b"))
         known = components(found.union(stars))
-    labelled = members.select("doc_id", "n_shingles", "class").join(known, "class", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "class").alias("component")
+    labelled = members.select("doc_id", "text_hash", "n_shingles", "class").join(
+        known, "class", "left"
+    ).select(
+        "doc_id", "text_hash", "n_shingles", F.coalesce("component", "class").alias("component")
     )
     least = labelled.where("component is not null").groupBy("component").agg(
         F.min("doc_id").alias("least"), F.count("*").alias("n")
     ).where("n > 1")
     return labelled.join(least, "component", "left").select(
-        "doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id")
+        "doc_id", "text_hash", "n_shingles", F.coalesce("least", "doc_id").alias("component_id")
     )

@@ -62,7 +62,8 @@ def op4_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=85)
+    docs = table(spark, sf_dir, "documents")
+    return ngram_join.near_duplicates(docs, words=4, percent=85).drop("text_hash")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,8 +260,34 @@ FROM docs d LEFT JOIN kept USING (doc_id)
 """
 
 
+#: All pairs that share a shingle, and their components; for small tables.
+OP5_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(
+    string_split_regex(lower_ascii, '[\x20\x09-\x0D]+'), lambda w: w <> ''
+  ) AS words
+  FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_ascii FROM documents)
+), sets AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' '))) END AS shingles
+  FROM words
+), flat AS MATERIALIZED (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM sets),
+links AS MATERIALIZED (
+  SELECT a, b FROM (
+    SELECT x.doc_id AS a, y.doc_id AS b, any_value(x.n) AS n, any_value(y.n) AS m, count(*) AS shared
+    FROM flat x JOIN flat y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY 1, 2
+  ) WHERE 100 * shared >= 85 * (n + m - shared)
+), reached(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM sets UNION SELECT r.doc_id, l.b FROM reached r JOIN links l ON l.a = r.other
+)
+SELECT s.doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, c.component_id
+FROM sets s JOIN (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY 1) c USING (doc_id)
+"""
+
+
 def sql() -> dict[str, str]:
     return {
-        "op1_topk_search": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op11_prefix_trie": OP11_SQL,
+        "op1_topk_search": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op5_ngram_join": OP5_SQL,
+        "op11_prefix_trie": OP11_SQL,
         "op12_substring_dedup": OP12_SQL,
     }

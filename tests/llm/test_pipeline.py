@@ -67,7 +67,7 @@ def test_copies_that_lost_all_their_text_go(spark, sf_dir):
 @pytest.mark.parametrize("name", sorted(queries.sql()))
 def test_queries_equal_their_sql(spark, sf_dir, name):
     with duckdb.connect() as db:
-        for source in ("documents", "embeddings"):
+        for source in ("documents", "embeddings", "conversations"):
             db.execute(f"CREATE VIEW {source} AS SELECT * FROM '{sf_dir}/{source}.parquet'")
         answer = db.execute(queries.sql()[name])
         columns, want = [c[0] for c in answer.description], answer.fetchall()
@@ -78,4 +78,23 @@ def test_queries_equal_their_sql(spark, sf_dir, name):
 def test_every_operator_is_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 14))
+
+
+def test_rows_of_one_id_are_judged_by_their_own_texts(spark, sf_dir):
+    words = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, words, "en", "s", 9, 1), (2, words + " end", "en", "s", 9, 1), (2, "another text of its own", "en", "s", 9, 1),
+            (None, "no id", "en", "s", 9, 1), (None, "no id", "en", "s", 9, 1)]
+    stage = dict(corpus_pipeline.STAGES)["near_dedup"]
+    got = stage(spark, spark.createDataFrame(rows, DOCS), sf_dir).select("doc_id", "text").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(
+        [(1, words), (2, "another text of its own"), (None, "no id")], key=str
+    )
+
+
+def test_documents_without_a_language_get_the_predicted_one(spark, sf_dir):
+    docs = common.table(spark, sf_dir, "documents")
+    blank = docs.withColumn("lang", F.when(F.col("doc_id") % 10 != 0, F.col("lang")))
+    got = dict(corpus_pipeline.STAGES)["language"](spark, blank, sf_dir).where("doc_id % 10 = 0").select("doc_id", "lang")
+    both = got.join(docs.select("doc_id", F.col("lang").alias("known")), "doc_id").where("known IS NOT NULL").collect()
+    assert len(both) > 10 and sum(r.lang == r.known for r in both) >= 0.9 * len(both)
