@@ -1,14 +1,16 @@
 """The corpus pipeline: stages over ``documents``, each written as Parquet and read by the next.
 
-1. ``language``: documents without any letter, which have no language, go.
+1. ``language``: documents without any letter, which have no language, go; where ``lang`` is null,
+   it becomes the predicted language.
 2. ``line_dedup``: passages of several lines stay at their first place.
 3. ``near_dedup``: of documents linked by five-word shingles at a similarity of 0.8, that with the
    smallest id stays; documents of which no letter or digit is left, since all their passages stand
    in earlier ones, go.
 4. ``packing``: what is left becomes sequences of at most 2048 tokens.
 
-Defined cases: rows without id stay in every stage; rows that repeat id and text count as one
-document from the third stage on; further columns are kept up to the third stage.
+Defined cases: rows without id stay in every stage; rows that repeat id and text, also without id,
+count as one document from the third stage on; of rows that repeat an id with other texts, each is
+judged by its own text; further columns are kept up to the third stage.
 """
 
 from __future__ import annotations
@@ -24,9 +26,15 @@ from linewarden.llm.queries import TOKENIZERS, WORD_BPE
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a letter, also where no row is labelled and so no language can be told."""
-    scored = language_id.predict(docs, language_id.learn(docs), "_lettered")
-    return scored.where("_lettered").select(docs.columns)
+    """Documents with a letter, also where no row is labelled and so no language can be told.
+
+    Those without ``lang`` get the predicted one.
+    """
+    scored = language_id.predict(docs, language_id.learn(docs), "_lettered").where("_lettered")
+    if "lang" not in docs.columns:
+        return scored.select(docs.columns)
+    told = F.when(F.col("lang_pred") != language_id.UNKNOWN, F.col("lang_pred"))
+    return scored.withColumn("lang", F.coalesce("lang", told)).select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,10 +49,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, and none of those that lost all their text."""
     docs = docs.where(F.col("text").rlike(r"[\p{L}\p{N}]"))
     found = ngram_join.near_duplicates(docs, words=5, percent=80)
-    gone = found.where("doc_id != component_id").select("doc_id").distinct()
-    rest = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    same = F.when(F.col("doc_id").isNull(), F.uuid()).otherwise(F.xxhash64("text").cast("string"))
-    return rest.withColumn("_same", same).dropDuplicates(["doc_id", "_same"]).drop("_same")
+    gone = found.where("doc_id != component_id").select(
+        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")
+    ).distinct()
+    hashed = docs.withColumn("_same", F.xxhash64("text"))
+    rest = hashed.join(gone, (F.col("doc_id") == F.col("_id")) & (F.col("_same") == F.col("_hash")), "left_anti")
+    return rest.dropDuplicates(["doc_id", "_same"]).select(docs.columns)
 
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
