@@ -2,10 +2,11 @@
 
 Both tokenizers encode a text with one space before it.  Where their tokens end at the same byte,
 the tokens are cut into groups, and the two that end there are linked.  No token of either reaches
-over a space that stands between other characters, so texts are cut there, and a chunk is encoded
-and aligned once per task.
+over a space or newline that stands between other characters, so texts are cut before them, and
+each distinct unit is encoded and aligned once per task.
 
-The first pass counts linked id pairs per task.  A minimal perfect hash is built over the distinct
+The ids are stored in blocks of documents.  The first pass aligns them and counts linked id pairs
+per block.  A minimal perfect hash is built over the distinct
 pairs (hash and displace, shard by shard), each task's counts become dense vectors indexed by it,
 and the vectors are summed as a tree.  The second pass aligns the documents again and looks the
 counts up; a look-up compares the pair with the key stored at its index.
@@ -22,11 +23,11 @@ further columns are not read.
 from __future__ import annotations
 
 import hashlib
-import json
 import os
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +35,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import packed_columns, text_or_empty, unpacked_columns, written
 from .packing import gathered, in_bounds
 
-#: Chunks that a task remembers; beyond it forgets all and goes on.
-REMEMBERED = 200_000
+#: Units that a task remembers; beyond it forgets all and goes on.
+REMEMBERED = 150_000
 #: Bytes of texts that are taken at once.
-AT_ONCE = 8_000_000
+AT_ONCE = 600_000
 #: Pairs in a shard of the hash, its pairs per bucket, and displacements that are tried at once.
 SHARD_PAIRS, PER_BUCKET, TRIED = 20_000, 4, 64
 #: Counts in a block of a dense vector, and vectors that are summed at a step of the tree.
@@ -101,7 +102,6 @@ def pair_bound(tokens_a: list[bytes], tokens_b: list[bytes]) -> int:
 class Aligned:
     """Texts in both encodings: tokens and links as flat arrays, and where each text's end."""
 
-    whole: np.ndarray  # whether both encodings give the text back
     ids: tuple[np.ndarray, np.ndarray]
     ends: tuple[np.ndarray, np.ndarray]
     closes: tuple[np.ndarray, np.ndarray]  # flags of the tokens that close a group
@@ -110,20 +110,45 @@ class Aligned:
 
     def groups(self) -> list[str]:
         """``a1,a2|b1;a3|b2,b3`` of each text."""
-        sides = []
-        for ids, closes in zip(self.ids, self.closes):
-            cuts = (np.flatnonzero(closes) + 1).tolist()
-            names = list(map(str, ids.tolist()))
-            sides.append([",".join(names[a:b]) for a, b in zip([0, *cuts], cuts)])
-        joined = ["|".join(group) for group in zip(*sides, strict=True)]
-        ends = self.pair_ends.tolist()
-        return [";".join(joined[a:b]) for a, b in zip([0, *ends], ends)]
+        closed = [np.flatnonzero(closes) + 1 for closes in self.closes]
+        sizes_a, sizes_b = (np.diff(ends, prepend=0) for ends in closed)
+        # all tokens in the order of the groups, those of the first side in front
+        ends = np.cumsum(sizes_a + sizes_b)
+        shift = ends - sizes_a - sizes_b
+        at_a = np.arange(len(self.ids[0])) + np.repeat(shift - closed[0] + sizes_a, sizes_a)
+        at_b = np.arange(len(self.ids[1])) + np.repeat(shift + sizes_a - closed[1] + sizes_b, sizes_b)
+        ids = np.empty(len(at_a) + len(at_b), np.int64)
+        ids[at_a], ids[at_b] = self.ids
+        marks = np.zeros(len(ids), np.int64)
+        marks[ends - sizes_b - 1], marks[ends - 1] = 1, 2
+        last = np.unique(self.pair_ends[self.pair_ends > 0])
+        marks[ends[last - 1] - 1] = 3
+        parts = [""] * (2 * len(ids))
+        parts[::2] = map(str, ids.tolist())
+        parts[1::2] = np.array([",", "|", ";", "\n"], object)[marks].tolist()
+        said = iter("".join(parts).split("\n"))
+        return [next(said) if n else "" for n in np.diff(self.pair_ends, prepend=0).tolist()]
+
+
+def aligned(ids: tuple[np.ndarray, np.ndarray], counts: tuple[np.ndarray, np.ndarray],
+            sizes: tuple[np.ndarray, np.ndarray]) -> Aligned:
+    """Texts given as the ids of both sides, ``counts`` of them each; ``sizes`` are bytes by id."""
+    (a, b), (a_bytes, b_bytes) = ids, (np.cumsum(of[some]) for of, some in zip(sizes, ids))
+    at = np.searchsorted(b_bytes, a_bytes)
+    closes_a = b_bytes[at] == a_bytes if len(b_bytes) else np.zeros(0, bool)
+    closes_b = np.zeros(len(b), bool)
+    closes_b[at[closes_a]] = True
+    linked = np.concatenate([[0], np.cumsum(closes_a)])
+    a_ends, b_ends = map(np.cumsum, counts)
+    return Aligned(
+        ids, (a_ends, b_ends), (closes_a, closes_b), (a[closes_a] << 32) + b[at[closes_a]], linked[a_ends]
+    )
 
 
-class Aligner:
-    """Both tokenizers inside a task, with the alignments of chunks that it has met."""
+class Encoder:
+    """Both tokenizers inside a task, with the ids of the units that it has met."""
 
-    def __init__(self, vocabularies: Vocabularies, pair_values=None, with_groups: bool = False):
+    def __init__(self, vocabularies: Vocabularies):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import regex
         from sentencepiece import SentencePieceProcessor
@@ -132,171 +157,201 @@ class Aligner:
         self._a = Tokenizer.from_str(vocabularies.byte_level)
         self._a.encode_special_tokens = True
         self._b = SentencePieceProcessor(model_proto=vocabularies.pieces)
-        self._flat, self._starts, self._sizes = [], [], []
-        for tokens in (vocabularies.tokens_a, vocabularies.tokens_b):
-            sizes = np.array(list(map(len, tokens)), np.int64)
-            self._flat.append(np.frombuffer(b"".join(tokens), np.uint8))
-            self._starts.append(np.cumsum(sizes) - sizes)
-            self._sizes.append(sizes)
-        # a space that begins a longer run of white space, or ends the text
-        self._odd = regex.compile(r" (?=\s|\Z)|\A\s").search
-        self._pair_values, self._with_groups = pair_values, with_groups
-        self.forget()
-
-    def forget(self) -> None:
+        self._bytes = [_flat(tokens) for tokens in (vocabularies.tokens_a, vocabularies.tokens_b)]
+        # white space that is no single space or newline between other characters, unless both
+        # tokenizers cut it as the units do
+        self._odd = regex.compile(
+            r" (?=\s|\Z)|\A\s|\n(?=[^\S\n ])|[^\S\n ](?=\n)|\n\n(?=\s|\Z)"
+        ).search
+        self._forget()
+
+    def _forget(self) -> None:
         self._places: dict[str, int] = {}
-        self._values = np.zeros((0, 5), np.int64)
         self._whole = np.zeros(0, bool)
-        self._groups: list[str] = []
-        self._pairs: list[np.ndarray] = []
-        self._pair_sizes: list[np.ndarray] = []
-        self._met = np.zeros(0, np.int64)
-        self._extra: list[np.ndarray] = []
-
-    def align(self, texts: list[str]) -> Aligned:
-        raw = [b" " + t.encode() for t in texts]
-        codes = (
-            [e.ids for e in self._a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)],
-            self._b.encode(texts, num_threads=1),
-        )
+        #: Ids, and where each unit's begin and how many they are, of both sides.
+        self._ids = [tuple(np.zeros(0, np.int64) for _ in range(3)) for _ in range(2)]
+
+    def units(self, units: list[str]):
+        """Encodings of units, with a space before each that does not begin with a newline."""
+        spaced = [t if t[:1] == "\n" else " " + t for t in units]
+        # the space that the second tokenizer adds is no part of what begins with a newline
+        pieces = [
+            ids[1:] if t[0] == "\n" else ids
+            for t, ids in zip(spaced, self._b.encode(units, num_threads=1))
+        ]
+        return self._checked(spaced, pieces)
+
+    def whole_text(self, text: str):
+        """The encodings of a whole text, which always has a space before it."""
+        return self._checked([" " + text], [self._b.encode(text)])
+
+    def _checked(self, spaced: list[str], pieces: list[list[int]]):
+        """Which texts both encodings give back, and ids and their counts, none where they do not."""
+        coded = self._a.encode_batch_fast(spaced, add_special_tokens=False)
+        raw = [t.encode() for t in spaced]
         sizes = np.array(list(map(len, raw)), np.int64)
-        whole = sizes > 1
-        flat = []
-        for side, ids in enumerate(codes):
-            ids_flat = np.array([i for some in ids for i in some], np.int64)
+        whole, flat = np.ones(len(raw), bool), []
+        for (_, _, lengths), ids in zip(self._bytes, ([e.ids for e in coded], pieces)):
             counts = np.array(list(map(len, ids)), np.int64)
-            lengths = np.add.reduceat(
-                np.append(self._sizes[side][ids_flat], 0), np.cumsum(counts) - counts
-            ) * (counts > 0) if len(counts) else counts
-            whole &= lengths == sizes
+            ids_flat = np.fromiter(chain.from_iterable(ids), np.int64, int(counts.sum()))
+            total = np.concatenate([[0], np.cumsum(lengths[ids_flat])])
+            whole &= np.diff(total[np.cumsum(counts)], prepend=0) == sizes
             flat.append((ids_flat, counts))
-        kept = []
         text_bytes = np.frombuffer(b"".join(raw), np.uint8)
-        for side, (ids_flat, counts) in enumerate(flat):
-            same_size = np.repeat(whole, counts)
-            some, _ = gathered(self._flat[side], self._starts[side], self._sizes[side], ids_flat[same_size])
+        inside = np.repeat(whole, sizes)
+        wrong = []
+        for (token_bytes, starts, lengths), (ids_flat, counts) in zip(self._bytes, flat):
+            some, _ = gathered(token_bytes, starts, lengths, ids_flat[np.repeat(whole, counts)])
             differs = np.zeros(len(text_bytes), bool)
-            inside = np.repeat(whole, sizes)
             differs[inside] = some != text_bytes[inside]
-            wrong = np.flatnonzero(differs)
-            whole[np.searchsorted(np.cumsum(sizes), wrong, "right")] = False
-        for side, (ids_flat, counts) in enumerate(flat):
-            ids = ids_flat[np.repeat(whole, counts)]
-            kept.append((ids, np.cumsum(counts * whole), np.cumsum(self._sizes[side][ids])))
-        (a, a_ends, a_bytes), (b, b_ends, b_bytes) = kept
-        at = np.searchsorted(b_bytes, a_bytes)
-        closes_a = b_bytes[at] == a_bytes if len(b_bytes) else np.zeros(0, bool)
-        closes_b = np.zeros(len(b), bool)
-        closes_b[at[closes_a]] = True
-        linked = np.concatenate([[0], np.cumsum(closes_a)])
-        return Aligned(
-            whole, (a, b), (a_ends, b_ends), (closes_a, closes_b),
-            (a[closes_a] << 32) + b[at[closes_a]], linked[a_ends],
-        )
+            wrong.append(np.searchsorted(np.cumsum(sizes), np.flatnonzero(differs), "right"))
+        whole[np.concatenate(wrong)] = False
+        return whole, [(ids[np.repeat(whole, counts)], counts * whole) for ids, counts in flat]
+
+    def _learn(self, units: list[str]) -> None:
+        whole, sides = self.units(units)
+        first = len(self._places)
+        self._places.update(zip(units, range(first, first + len(units))))
+        self._whole = np.concatenate([self._whole, whole])
+        for side, (ids, counts) in enumerate(sides):
+            flat, starts, sizes = self._ids[side]
+            self._ids[side] = (
+                np.concatenate([flat, ids]),
+                np.concatenate([starts, len(flat) + np.cumsum(counts) - counts]),
+                np.concatenate([sizes, counts]),
+            )
 
-    def _taken(self, found: Aligned) -> np.ndarray:
-        """Per text: tokens of both sides, links, best links, sum of the links' counts."""
-        values = np.zeros((len(found.whole), 5), np.int64)
-        for column, ends in enumerate((*found.ends, found.pair_ends)):
-            values[:, column] = np.diff(ends, prepend=0)
-        if self._pair_values is not None:
-            for column, of_pairs in enumerate(self._pair_values(found.pairs), 3):
-                values[:, column] = np.diff(
-                    np.concatenate([[0], np.cumsum(of_pairs)])[found.pair_ends], prepend=0
-                )
-        return values
-
-    def _learn(self, chunks: list[str]) -> None:
-        found = self.align(chunks)
-        self._places.update(zip(chunks, range(len(self._places), len(self._places) + len(chunks))))
-        self._values = np.concatenate([self._values, self._taken(found)])
-        self._whole = np.concatenate([self._whole, found.whole])
-        if self._with_groups:
-            self._groups += found.groups()
-        else:
-            self._pairs.append(found.pairs)
-            self._pair_sizes.append(np.diff(found.pair_ends, prepend=0))
-            self._met = np.concatenate([self._met, np.zeros(len(chunks), np.int64)])
-
-    def documents(self, texts: list[str]) -> list[tuple[np.ndarray, str]]:
-        """Per text its five sums and its groups; links are kept for ``counted``."""
+    def block(self, keys: list, texts: list[str]) -> bytes:
+        """Documents as numbers of their units, and the units' ids."""
         plain = [bool(t) and not self._odd(t) for t in texts]
-        cut = pc.split_pattern(pa.array([t for t, p in zip(texts, plain) if p], pa.string()), " ")
-        words = cut.flatten().dictionary_encode()
-        chunks = words.dictionary.to_pylist()
-        fresh = [c for c in chunks if c not in self._places]
+        given = pa.array([t for t, p in zip(texts, plain) if p], pa.large_string())
+        cut = pc.split_pattern(pc.replace_substring(given, "\n", " \n"), " ")
+        units = cut.flatten().dictionary_encode()
+        names = units.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self._places) > REMEMBERED:
+            self._forget()
+        fresh = [c for c in names if c not in self._places]
         for at in range(0, len(fresh), 50_000):
             self._learn(fresh[at:at + 50_000])
-        places = np.array([self._places[c] for c in chunks], np.int64)[words.indices.to_numpy()]
-        offsets = iter(cut.offsets.to_numpy().tolist())
-        low, found = next(offsets), []
+        known = np.array([self._places[c] for c in names], np.int64)
+        sides = []
+        for flat, starts, sizes in self._ids:
+            sides.append([[gathered(flat, starts, sizes, known)[0]], [sizes[known]]])
+        indices, bounds = units.indices.to_numpy(), cut.offsets.to_numpy()
+        whole = self._whole[known][indices]
+        of_plain = iter(zip(bounds.tolist(), bounds[1:].tolist()))
+        parts, counts, more = [], [], len(names)
         for text, is_plain in zip(texts, plain):
-            at = None
+            part = np.zeros(0, np.int64)
             if is_plain:
-                high = next(offsets)
-                at, low = places[low:high], high
-            if at is not None and self._whole[at].all():
-                groups = ""
-                if self._with_groups:
-                    groups = ";".join(map(self._groups.__getitem__, at.tolist()))
-                else:
-                    self._met += np.bincount(at, minlength=len(self._met)) if len(at) > 5000 else 0
-                    if len(at) <= 5000:
-                        np.add.at(self._met, at, 1)
-                found.append((self._values[at].sum(axis=0), groups))
-            elif text:
-                alone = self.align([text])
-                self._extra.append(alone.pairs)
-                found.append((self._taken(alone)[0], alone.groups()[0] if self._with_groups else ""))
-            else:
-                found.append((np.zeros(5, np.int64), ""))
-        return found
+                low, high = next(of_plain)
+                part = indices[low:high]
+                is_plain = whole[low:high].all()
+            if text and not is_plain:  # a unit of its own
+                _, alone = self.whole_text(text)
+                part = np.array([more])
+                more += 1
+                for side, (ids, count) in zip(sides, alone):
+                    side[0].append(ids)
+                    side[1].append(count)
+            parts.append(part)
+            counts.append(len(part))
+        columns = {"doc_id": (keys, pa.int64()), "sizes": (counts, pa.int32())}
+        columns["units"] = (np.concatenate([np.zeros(0, np.int64), *parts]), pa.int32())
+        for name, (ids, sizes) in zip("ab", sides):
+            columns[f"ids_{name}"] = (np.concatenate(ids), pa.int32())
+            columns[f"counts_{name}"] = (np.concatenate(sizes), pa.int32())
+        return packed_columns({
+            name: pa.array([values], pa.list_(kind)) for name, (values, kind) in columns.items()
+        })
 
-    def is_full(self) -> bool:
-        return len(self._places) > REMEMBERED
 
-    def counted(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct pairs of all documents since the last ``forget``, and their counts."""
-        none = [np.zeros(0, np.int64)]
-        sizes = np.concatenate(none + self._pair_sizes)
-        pairs = np.concatenate(none + self._pairs + self._extra)
-        times = np.concatenate([
-            np.repeat(self._met, sizes), np.ones(len(pairs) - int(sizes.sum()), np.int64)
-        ])
-        distinct, at = np.unique(pairs, return_inverse=True)
+def _flat(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of tokens one after the other, where each begins and how many it has."""
+    sizes = np.array(list(map(len, tokens)), np.int64)
+    return np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(sizes) - sizes, sizes
+
+
+class Block:
+    """The documents of a block, aligned."""
+
+    def __init__(self, raw: bytes, sizes: tuple[np.ndarray, np.ndarray]):
+        columns = {
+            name: column[0].values for name, column in zip(
+                ("doc_id", "sizes", "units", "ids_a", "counts_a", "ids_b", "counts_b"),
+                unpacked_columns(raw).columns,
+            )
+        }
+        self.doc_ids = columns.pop("doc_id")
+        whole = {name: values.to_numpy().astype(np.int64) for name, values in columns.items()}
+        self.units, self.bounds = whole["units"], np.concatenate([[0], np.cumsum(whole["sizes"])])
+        self.units_aligned = aligned(
+            (whole["ids_a"], whole["ids_b"]), (whole["counts_a"], whole["counts_b"]), sizes
+        )
+
+    def pair_counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct linked pairs and their counts."""
+        found = self.units_aligned
+        met = np.bincount(self.units, minlength=len(found.pair_ends))
+        times = np.repeat(met, np.diff(found.pair_ends, prepend=0))
+        distinct, at = np.unique(found.pairs, return_inverse=True)
         counts = np.zeros(len(distinct), np.int64)
         np.add.at(counts, at, times)
-        return distinct[counts > 0], counts[counts > 0]
+        return distinct, counts
+
+    def sums(self, of_pairs: list[np.ndarray]) -> list[np.ndarray]:
+        """Per document: tokens of both sides, links, and the sums of ``of_pairs`` over its links."""
+        found = self.units_aligned
+        per_unit = [np.diff(ends, prepend=0) for ends in (*found.ends, found.pair_ends)]
+        for values in of_pairs:
+            total = np.concatenate([[0], np.cumsum(values)])
+            per_unit.append(np.diff(total[found.pair_ends], prepend=0))
+        return [
+            np.diff(np.concatenate([[0], np.cumsum(values[self.units])])[self.bounds]) for values in per_unit
+        ]
+
+    def digests(self) -> list[str]:
+        """Digest of each document's groups; empty without tokens."""
+        groups, found = self.units_aligned.groups(), []
+        units, bounds = self.units.tolist(), self.bounds.tolist()
+        for low, high in zip(bounds, bounds[1:]):
+            said = ";".join(map(groups.__getitem__, units[low:high]))
+            found.append(hashlib.sha256(said.encode()).hexdigest() if said else "")
+        return found
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
+def encoded_blocks(docs: DataFrame, shared) -> DataFrame:
+    """``block``: documents in both encodings, packed."""
 
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(shared.value)
+        for batch in batches:
+            for low, high in in_bounds(pc.binary_length(batch.column(1)).to_pylist(), AT_ONCE):
+                keys, texts = (c.to_pylist() for c in batch.slice(low, high - low).columns)
+                yield pa.RecordBatch.from_arrays([pa.array([encoder.block(keys, texts)])], names=["block"])
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
-    for batch in batches:
-        for low, high in in_bounds(pc.binary_length(batch.column(1)).to_pylist(), AT_ONCE):
-            yield tuple(c.to_pylist() for c in batch.slice(low, high - low).columns)
+    texts = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
+    return texts.mapInArrow(encode, "block binary")
 
 
-def task_counts(docs: DataFrame, shared) -> DataFrame:
-    """First pass: each task's linked pairs with their counts."""
+def task_counts(blocks: DataFrame, shared) -> DataFrame:
+    """First pass: linked pairs of each block with their counts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(shared.value)
+        sizes = token_sizes(shared.value)
+        for batch in batches:
+            for raw in batch.column(0):  # one by one, since all of them are large
+                counted = Block(raw.as_py(), sizes).pair_counts()
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, counted)), names=["pair", "n"])
 
-        def taken() -> pa.RecordBatch:
-            found = pa.RecordBatch.from_arrays(list(map(pa.array, aligner.counted())), names=["pair", "n"])
-            aligner.forget()
-            return found
+    return blocks.mapInArrow(count, "pair long, n long")
 
-        for _, texts in _blocks(batches):
-            aligner.documents(texts)
-            if aligner.is_full():
-                yield taken()
-        yield taken()
 
-    return _texts(docs).mapInArrow(count, "pair long, n long")
+def token_sizes(vocabularies: Vocabularies) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(
+        np.array(list(map(len, tokens)), np.int64)
+        for tokens in (vocabularies.tokens_a, vocabularies.tokens_b)
+    )
 
 
 def mixed(keys: np.ndarray, seeds) -> np.ndarray:
@@ -461,33 +516,27 @@ def align_corpus(docs: DataFrame, vocabularies: Vocabularies) -> DataFrame:
         raise ValueError(f"the vocabularies allow {bound} pairs; at most {MOST_PAIRS} are broadcast")
     context = docs.sparkSession.sparkContext
     shared = context.broadcast(vocabularies)
-    counts = written(task_counts(docs, shared), "pair-counts")
+    blocks = written(encoded_blocks(docs, shared), "token-blocks")
+    counts = written(task_counts(blocks, shared), "pair-counts")
     index = build_hash(counts)
     totals = summed_counts(counts, index)
     looked_up = context.broadcast((index, totals, best_flags(index.keys, totals)))
 
     def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, totals, best = looked_up.value
+        sizes = token_sizes(shared.value)
+        for batch in batches:
+            for raw in batch.column(0):
+                block = Block(raw.as_py(), sizes)
+                at = index(block.units_aligned.pairs)
+                assert (at >= 0).all(), "a pair that the first pass did not count"
+                a, b, links, is_best, total = map(pa.array, block.sums([best[at].astype(np.int64), totals[at]]))
+                yield pa.RecordBatch.from_arrays(
+                    [block.doc_ids, a, b, links, links, is_best, total, pa.array(block.digests(), pa.string())],
+                    names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
+                )
 
-        def values(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            at = index(pairs)
-            assert (at >= 0).all(), "a pair that the first pass did not count"
-            return best[at].astype(np.int64), totals[at]
-
-        aligner = Aligner(shared.value, values, with_groups=True)
-        for keys, texts in _blocks(batches):
-            found = aligner.documents(texts)
-            sums = np.array([sums for sums, _ in found], np.int64).reshape(-1, 5)
-            a, b, links, is_best, total = map(pa.array, sums.T)
-            digests = [hashlib.sha256(g.encode()).hexdigest() if g else "" for _, g in found]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), a, b, links, links, is_best, total, pa.array(digests)],
-                names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
-            )
-            if aligner.is_full():
-                aligner.forget()
-
-    return _texts(docs).mapInArrow(
+    return blocks.mapInArrow(
         second_pass, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, "
         "count_sum long, groups_sha256 string",
     )
