@@ -48,7 +48,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, and none of those that lost all their text."""
     docs = docs.where(F.col("text").rlike(r"[\p{L}\p{N}]"))
-    found = ngram_join.near_duplicates(docs, words=5, percent=80)
+    found = ngram_join.near_duplicates(docs, words=5, percent=80, with_hash=True)
     gone = found.where("doc_id != component_id").select(
         F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")
     ).distinct()

@@ -45,7 +45,7 @@ BITS, LEAF, FAN, PART = 4096, 8, 8, 512
 #: Further passes of a group against some of its classes, and how many in each.
 ROUNDS, PIVOTS = 2, 4
 #: Words whose hashes a task remembers, and characters that are cut at once.
-REMEMBERED, AT_ONCE = 700_000, 8_000_000
+REMEMBERED, AT_ONCE = 250_000, 2_000_000
 
 _MIX, _ADD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 _SHIFT = np.uint64(29)
@@ -324,9 +324,15 @@ def exact_links(docs: DataFrame, members: DataFrame, pairs: DataFrame, words: in
             texts.select(F.col("class").alias(side), F.col("text").alias(f"text_{side}")), side
         )
 
+    def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.add(pc.binary_length(batch.column(1)), pc.binary_length(batch.column(3)))
+            for low, high in in_bounds(sizes.to_pylist(), AT_ONCE):
+                yield batch.slice(low, high - low)
+
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(words)
-        for batch in batches:
+        for batch in parts_of(batches):
             a, text_a, b, text_b = (c.to_pylist() for c in batch.columns)
             left, right = list(zip(a, text_a)), list(zip(b, text_b))
             named = list(dict.fromkeys([*left, *right]))
@@ -467,8 +473,8 @@ def _pairs(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """Per document: ``text_hash``, ``n_shingles``, the smallest id that links reach."""
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, with_hash: bool = False) -> DataFrame:
+    """Per document: ``n_shingles``, the smallest id that links reach; ``text_hash`` if asked for."""
     members = written(classes(docs, words, percent), "classes")
     signatures = members.where("bits is not null").dropDuplicates(["class"]).select(
         "class", "n_shingles", "bits"
@@ -500,6 +506,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     least = labelled.where("component is not null").groupBy("component").agg(
         F.min("doc_id").alias("least"), F.count("*").alias("n")
     ).where("n > 1")
+    told = ["doc_id", "text_hash", "n_shingles"] if with_hash else ["doc_id", "n_shingles"]
     return labelled.join(least, "component", "left").select(
-        "doc_id", "text_hash", "n_shingles", F.coalesce("least", "doc_id").alias("component_id")
+        *told, F.coalesce("least", "doc_id").alias("component_id")
     )

@@ -63,7 +63,7 @@ def op4_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return ngram_join.near_duplicates(docs, words=4, percent=85).drop("text_hash")
+    return ngram_join.near_duplicates(docs, words=4, percent=85)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
