@@ -2,14 +2,17 @@
 
 Documents are taken in blocks of bounded size.  A block's texts are cut by the pattern into words,
 each distinct word that is no token itself is encoded once by Spark's higher-order functions, and
-the documents' ids are put together from their words' ids.  The fold begins with the ids of a
+the documents' ids are put together from their words' ids.  Words that most blocks would encode anew
+are encoded once for the corpus: those that stand in most blocks of some drawn rows, a bounded number;
+any other word is encoded where it occurs, so what is drawn decides on time alone.  The fold begins with the ids of a
 word's bytes and the ranks of neighbouring pairs; each step joins the first pair of the lowest rank,
 whose rank is the id of the joined piece, and looks up the two new neighbours.  Ranks are one
 literal: an array of small maps, so that a look-up does not walk through the vocabulary.  A pair of
 ids stands for its bytes: the map holds every way to cut a token into two tokens.  Decoding joins
 the binary pieces of the ids.
 
-Nothing is shuffled, and nothing but the vocabulary is held by every task.
+Of the documents nothing is shuffled, and nothing but the vocabulary and the words encoded before are
+held by every task.  Blocks are a table in the shared folder, so that a task has one Python process.
 
 Defined cases: a null text counts as empty and has no ids; rows that repeat are encoded each; an
 empty table gives no rows; further columns are not read.  The cost of one word grows with the
@@ -25,14 +28,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import packed_columns, text_or_empty, unpacked_columns, written
 from .packing import in_bounds
 
 #: Bytes of the documents whose words are made distinct together.
 BLOCK_BYTES = 6_000_000
+#: Words that are encoded before the blocks, bytes of the rows that they are drawn from, bytes of a block of
+#: these rows, and parts that the words are dealt out to.
+KNOWN_WORDS, DRAWN_BYTES, DRAWN_BLOCK, KNOWN_PARTS = 200_000, 24_000_000, 1_000_000, 32
 #: Small maps that the pairs are spread over, and bits that the first id is shifted by.
 BUCKETS, SPREAD = 1 << 18, 5
 #: Above every rank: the pair is no token.
@@ -40,7 +47,8 @@ NO_RANK = 2**31 - 1
 #: The lower of two numbers that are packed into one.
 LOW = (1 << 31) - 1
 
-BLOCKS = "doc_ids array<long>, indexes array<binary>, words array<array<long>>"
+BLOCKS = "docs binary, words array<array<long>>"
+CODED = "doc_id long, n_tokens long, ids binary, decoded binary"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -129,27 +137,26 @@ def decoded_ids(ids: Column, pieces: Column) -> Column:
     return F.aggregate(ids, empty, lambda done, i: F.concat(done, F.get(pieces, i)))
 
 
-def word_blocks(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+def word_blocks(docs: DataFrame, shared: Broadcast[dict[bytes, int]], pattern: str, block_bytes: int) -> DataFrame:
     """Blocks of documents: distinct words, and each document as indexes of its words.
 
-    An index below the size of the vocabulary is a word that is a token; from there on the words
-    of the block are counted, which are given as the ids of their bytes.
+    ``shared`` gives the indexes of known words, the tokens first; above them the words of the block
+    are counted, which are given as the ids of their bytes.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        ranks = shared.value
-        tokens = max(ranks.values(), default=-1) + 1
-        byte_ids = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
+        told = shared.value
+        start = max(told.values(), default=-1) + 1
+        byte_ids = np.array([told.get(bytes([b]), -1) for b in range(256)], np.int64)
         words_of = regex.compile(pattern).findall
         # a space that begins a longer run of white space, or ends the text
         odd_space = regex.compile(r" (?=\s|\Z)|\A\s").search
         for batch in batches:
             sizes = pc.binary_length(batch.column(1)).to_pylist()
-            for low, high in in_bounds(sizes, BLOCK_BYTES):
-                keys, texts = (c.to_pylist() for c in batch.slice(low, high - low).columns)
+            for low, high in in_bounds(sizes, block_bytes):
+                keys, texts = batch.slice(low, high - low).columns
                 words: list[bytes] = []
                 known: dict[str, int] = {}
                 chunks: dict[str, bytes] = {}
@@ -158,9 +165,9 @@ def word_blocks(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataF
                     found = known.get(word)
                     if found is None:
                         raw = word.encode()
-                        found = ranks.get(raw)
+                        found = told.get(raw)
                         if found is None:
-                            found = tokens + len(words)
+                            found = start + len(words)
                             words.append(raw)
                         known[word] = found
                     return found
@@ -169,7 +176,7 @@ def word_blocks(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataF
                     return array("i", map(number, words_of(text))).tobytes()
 
                 indexes = []
-                for text in texts:
+                for text in texts.to_pylist():
                     if odd_space(text):
                         indexes.append(coded(text))
                         continue
@@ -183,53 +190,75 @@ def word_blocks(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataF
                 ids = byte_ids[np.frombuffer(b"".join(words), np.uint8)]
                 words = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([keys], pa.list_(pa.int64())),
-                    pa.array([indexes], pa.list_(pa.binary())),
+                    pa.array([packed_columns({"doc_id": keys, "indexes": pa.array(indexes, pa.binary())})]),
                     pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words),
-                ], names=["doc_ids", "indexes", "words"])
+                ], names=["docs", "words"])
 
     texts = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
     return texts.mapInArrow(blocks, BLOCKS)
 
 
-def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """Per document: number of ids, the ids as little-endian unsigned 32-bit integers, and the
-    bytes that they decode to."""
-    rank_map, pieces = rank_literal(docs.sparkSession, ranks)
-    # a subquery may not stand inside a higher-order function, so a block carries the literals
-    blocks = word_blocks(docs, ranks, pattern).withColumns({"ranks": rank_map, "pieces": pieces})
-    coded = blocks.withColumn(
+def frequent_words(docs: DataFrame, shared: Broadcast[dict[bytes, int]], pattern: str) -> DataFrame:
+    """Lists of words that are no tokens: those in most blocks of some rows, a bounded number."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    drawn = docs.sample(min(1.0, DRAWN_BYTES / size), seed=0) if size else docs.limit(0)
+    most = word_blocks(drawn, shared, pattern, DRAWN_BLOCK).select(F.explode("words").alias("word")) \
+        .groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(KNOWN_WORDS)
+    part = F.pmod(F.xxhash64("word"), F.lit(KNOWN_PARTS))
+    return most.repartition(KNOWN_PARTS, part).groupBy(part).agg(F.collect_list("word").alias("words"))
+
+
+def coded_words(lists: DataFrame, literals: tuple[Column, Column]) -> DataFrame:
+    """In place of ``words`` their ``ids`` and the bytes that these decode to, ``decoded``."""
+    rank_map, pieces = literals
+    others = [c for c in lists.columns if c != "words"]
+    # a subquery may not stand inside a higher-order function, so a list carries the literals
+    coded = lists.withColumns({"ranks": rank_map, "pieces": pieces}).withColumn(
         "ids", F.transform("words", lambda w: encoded_word(w, F.col("ranks")))
     )
-    both = coded.select(
-        "doc_ids", "indexes", "ids",
-        F.transform("ids", lambda ids: decoded_ids(ids, F.col("pieces"))).alias("decoded"),
+    return coded.select(
+        *others, "ids", F.transform("ids", lambda ids: decoded_ids(ids, F.col("pieces"))).alias("decoded")
     )
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+
+
+def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+    """Per document: number of ids, the ids as little-endian unsigned 32-bit integers, and the
+    bytes that they decode to."""
+    context, literals = docs.sparkSession.sparkContext, rank_literal(docs.sparkSession, ranks)
+    n_tokens = max(ranks.values(), default=-1) + 1
+    # index, ids and bytes of what is known before the blocks
+    known = {piece: (rank, np.array([rank], "<u4").tobytes()) for piece, rank in ranks.items()}
+    frequent = coded_words(frequent_words(docs, context.broadcast(ranks), pattern), literals)
+    for ids, decoded in zip(*(c.to_pylist() for c in frequent.select(
+            F.inline(F.arrays_zip("ids", "decoded"))).toArrow().columns), strict=True):
+        if decoded is not None:  # a byte may be no token
+            known[decoded] = n_tokens + len(known) - len(ranks), np.array(ids, "<u4").tobytes()
+    shared = context.broadcast({piece: index for piece, (index, _) in known.items()})
+    before = context.broadcast(known)
+    blocks = word_blocks(docs, shared, pattern, BLOCK_BYTES)
+    coded = written(coded_words(blocks, literals), "coded-blocks")
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = shared.value
-        tokens = [b""] * (max(ranks.values(), default=-1) + 1)
-        for piece, rank in ranks.items():
-            tokens[rank] = piece
-        token_ids = [np.array([i], "<u4").tobytes() for i in range(len(tokens))]
+        size = max((index for index, _ in before.value.values()), default=-1) + 1
+        known_ids, known_texts = [b""] * size, [b""] * size
+        for piece, (index, raw) in before.value.items():
+            known_ids[index], known_texts[index] = raw, piece
         for batch in batches:
-            for block in range(batch.num_rows):
-                keys, indexes, ids, decoded = (c[block].values for c in batch.columns)
+            for packed, ids, decoded in zip(*batch.columns, strict=True):
+                ids = ids.values
                 ends = 4 * (ids.offsets.to_numpy() - ids.offsets[0].as_py())
                 raw = ids.flatten().to_numpy().astype("<u4").tobytes()
-                id_bytes = token_ids + [raw[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
-                texts = tokens + decoded.to_pylist()
+                id_bytes = known_ids + [raw[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
+                texts = known_texts + decoded.as_py()
                 rows = []
-                for key, index in zip(keys.to_pylist(), indexes.to_pylist(), strict=True):
-                    index = array("i", index)
-                    coded = b"".join(map(id_bytes.__getitem__, index))
-                    text = b"".join(map(texts.__getitem__, index))
-                    rows.append((key, len(coded) // 4, coded, text))
+                for key, index in zip(*unpacked_columns(packed.as_py()).columns, strict=True):
+                    index = array("i", index.as_py())
+                    whole = b"".join(map(id_bytes.__getitem__, index))
+                    rows.append((key.as_py(), len(whole) // 4, whole, b"".join(map(texts.__getitem__, index))))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(
                         zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True
                     )], names=["doc_id", "n_tokens", "ids", "decoded"],
                 )
 
-    return both.mapInArrow(joined, "doc_id long, n_tokens long, ids binary, decoded binary")
+    return coded.mapInArrow(joined, CODED)

@@ -82,6 +82,27 @@ def test_byte_bpe_equals_tiktoken_and_decodes_to_the_text(spark, sf_dir):
     assert bpe.encode_and_decode(docs.limit(0), ranks, queries.PATTERN).count() == 0
 
 
+@pytest.mark.parametrize("drawn", [10**6, 0])
+def test_words_of_many_blocks_are_encoded_once(spark, monkeypatch, drawn):
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256, b" ab": 257}
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", 20)
+    monkeypatch.setattr(bpe, "DRAWN_BYTES", drawn)
+    lists, coded_words = [], bpe.coded_words
+
+    def counted(words, literals):
+        lists.append(words.select(F.explode("words")).count())
+        return coded_words(words, literals)
+
+    monkeypatch.setattr(bpe, "coded_words", counted)
+    texts = ["abc abd", "abc abc", "", None, "abd", "ab ab"] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    rows = bpe.encode_and_decode(docs, ranks, queries.PATTERN).collect()
+    assert {r.doc_id: bytes(r.decoded).decode() for r in rows} == {i: t or "" for i, t in enumerate(texts)}
+    assert {r.n_tokens for r in rows if texts[r.doc_id] == "abc abd"} == {4}
+    first, blocks = lists
+    assert (first, blocks) == (4, 0) if drawn else first == 0 and blocks > 4
+
+
 def test_pattern_is_that_of_the_vocabularies():
     public_tokenizers = pytest.importorskip("public_tokenizers")
     assert queries.PATTERN == public_tokenizers.PATTERN
