@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import released, text_or_empty, written
 from .packing import in_bounds
 
 #: Cells of the corpus counts of shingles: a table of fixed size.
@@ -45,7 +45,7 @@ BITS, LEAF, FAN, PART = 4096, 8, 8, 512
 #: Further passes of a group against some of its classes, and how many in each.
 ROUNDS, PIVOTS = 2, 4
 #: Words whose hashes a task remembers, and characters that are cut at once.
-REMEMBERED, AT_ONCE = 250_000, 2_000_000
+REMEMBERED, AT_ONCE = 100_000, 1_000_000
 
 _MIX, _ADD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 _SHIFT = np.uint64(29)
@@ -209,7 +209,7 @@ def shingle_counts(docs: DataFrame, words: int) -> np.ndarray:
             [pa.array(cells), pa.array(total[cells])], names=["cell", "n"]
         )
 
-    rows = docs.select(text_or_empty().alias("text")).mapInArrow(count, "cell long, n long") \
+    rows = docs.select(text_or_empty().alias("text")).mapInArrow(released(count), "cell long, n long") \
         .groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(COUNT_CELLS, np.int64)
     counts[rows["cell"].to_numpy()] = rows["n"].to_numpy()
@@ -244,7 +244,7 @@ def classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return docs.select(
         F.col("doc_id").cast("long"), F.xxhash64(text_or_empty()).alias("text_hash"),
         text_or_empty().alias("text"),
-    ).mapInArrow(found, _CLASSES)
+    ).mapInArrow(released(found), _CLASSES)
 
 
 def groups(members: DataFrame) -> DataFrame:
@@ -280,7 +280,7 @@ def groups(members: DataFrame) -> DataFrame:
                     [firsts.take(chosen), name.take(chosen)], names=["first", "class"]
                 )
 
-    return sorted_rows.mapInArrow(runs, "first binary, class binary").distinct()
+    return sorted_rows.mapInArrow(released(runs), "first binary, class binary").distinct()
 
 
 def _bound_pairs(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
@@ -305,7 +305,7 @@ def _bound_pairs(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataF
             ]
             yield batch.filter(pa.array(passed, pa.bool_())).select(["a", "b"])
 
-    return wide.mapInArrow(bounded, "a binary, b binary")
+    return wide.mapInArrow(released(bounded), "a binary, b binary")
 
 
 def exact_links(docs: DataFrame, members: DataFrame, pairs: DataFrame, words: int,
@@ -346,7 +346,7 @@ def exact_links(docs: DataFrame, members: DataFrame, pairs: DataFrame, words: in
                 kept.append(x in own and y in own and 100 * common >= percent * union)
             yield batch.filter(pa.array(kept, pa.bool_())).select(["a", "b"])
 
-    return wide.select("a", "text_a", "b", "text_b").mapInArrow(linked, "a binary, b binary")
+    return wide.select("a", "text_a", "b", "text_b").mapInArrow(released(linked), "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -464,7 +464,7 @@ def tree_candidates(members: DataFrame, signatures: DataFrame, percent: int) ->
         if told:
             yield _pairs(told)
 
-    return cells.mapInArrow(searched, "a binary, b binary").distinct()
+    return cells.mapInArrow(released(searched), "a binary, b binary").distinct()
 
 
 def _pairs(rows: list[tuple]) -> pa.RecordBatch:

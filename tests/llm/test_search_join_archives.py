@@ -239,3 +239,16 @@ def test_directory_with_and_without_zip64(monkeypatch, limit):
         warc_zip.data_offset(out, members[5])
     with pytest.raises(ValueError, match="no end"):
         warc_zip.central_directory(io.BytesIO(b"nothing"), 7)
+
+
+def test_memory_is_given_back_after_the_last_row(monkeypatch):
+    freed = []
+
+    class Pool:
+        def release_unused(self):
+            freed.append(True)
+
+    monkeypatch.setattr(common.pa, "default_memory_pool", Pool)
+    rows = common.released(lambda batches: (2 * b for b in batches))(iter([1, 2]))
+    assert (next(rows), next(rows), freed) == (2, 4, [])
+    assert list(rows) == [] and freed == [True]
