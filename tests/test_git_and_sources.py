@@ -103,3 +103,14 @@ def test_files_table_prunes_by_kind(spark, tmp_path):
     assert ids(corpus) == ids(plain) and len(ids(plain)) == 4
     plan = scan(corpus, ["dependencies"])._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(kind" in plan.replace("\n", "") and "= manifest)" in plan
+
+
+def test_commits_that_none_is_below_are_not_followed(spark, tmp_path):
+    commits = spark.createDataFrame(
+        [("r", "head", [f"p{i}" for i in range(50)])] + [("r", f"p{i}", []) for i in range(50)],
+        "repo string, hash string, parents array<string>",
+    )
+    heads = spark.createDataFrame([("r", "head")], "repo string, hash string")
+    assert git.reachable(commits, heads, str(tmp_path)).count() == 51
+    steps = [spark.read.parquet(str(p)) for p in tmp_path.iterdir()]
+    assert sum(t.count() for t in steps if "moved" in t.columns) == 0
