@@ -3,7 +3,7 @@
 Both tokenizers encode a text with one space before it.  Where their tokens end at the same byte,
 the tokens are cut into groups, and the two that end there are linked.  No token of either reaches
 over a space or newline that stands between other characters, so texts are cut before them, and
-each distinct unit is encoded and aligned once per task.
+the distinct units of a block that the task does not remember are encoded, many as one text.
 
 The ids are stored in blocks of documents.  The first pass aligns them and counts linked id pairs
 per block.  A minimal perfect hash is built over the distinct
@@ -35,11 +35,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed_columns, text_or_empty, unpacked_columns, written
+from .common import packed_columns, released, text_or_empty, unpacked_columns, written
 from .packing import gathered, in_bounds
 
-#: Units that a task remembers; beyond it forgets all and goes on.
+#: Units that a task remembers; beyond it forgets those that it met in one block only.
 REMEMBERED = 150_000
+#: Units that are encoded at once, and those among them that are encoded as one text.
+LEARNED, JOINED = 25_600, 256
+#: White space of Unicode, as characters of a class.
+_WHITE = r"\t-\r\x1C- \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_OTHER_WHITE = _WHITE.replace(r"\t-\r\x1C- ", r"\t\x0B-\r\x1C-\x1F")
+#: White space that is no single space or newline between other characters, unless both tokenizers cut
+#: it as the units do.
+_ODD = (
+    rf" [{_WHITE}]| \z|\A[{_WHITE}]|\n[{_OTHER_WHITE}]|[{_OTHER_WHITE}]\n|\n\n[{_WHITE}]|\n\n\z"
+)
 #: Bytes of texts that are taken at once.
 AT_ONCE = 600_000
 #: Pairs in a shard of the hash, its pairs per bucket, and displacements that are tried at once.
@@ -108,8 +118,8 @@ class Aligned:
     pairs: np.ndarray
     pair_ends: np.ndarray
 
-    def groups(self) -> list[str]:
-        """``a1,a2|b1;a3|b2,b3`` of each text."""
+    def groups(self, shown: list[str]) -> list[str]:
+        """``a1,a2|b1;a3|b2,b3`` of each text; ``shown`` are the ids as ``shown_ids`` gives them."""
         closed = [np.flatnonzero(closes) + 1 for closes in self.closes]
         sizes_a, sizes_b = (np.diff(ends, prepend=0) for ends in closed)
         # all tokens in the order of the groups, those of the first side in front
@@ -123,13 +133,15 @@ class Aligned:
         marks[ends - sizes_b - 1], marks[ends - 1] = 1, 2
         last = np.unique(self.pair_ends[self.pair_ends > 0])
         marks[ends[last - 1] - 1] = 3
-        parts = [""] * (2 * len(ids))
-        parts[::2] = map(str, ids.tolist())
-        parts[1::2] = np.array([",", "|", ";", "\n"], object)[marks].tolist()
-        said = iter("".join(parts).split("\n"))
+        said = iter("".join(map(shown.__getitem__, (4 * ids + marks).tolist())).split("\n"))
         return [next(said) if n else "" for n in np.diff(self.pair_ends, prepend=0).tolist()]
 
 
+def shown_ids(n: int) -> list[str]:
+    """Each id below ``n`` before each of the four marks that may follow it."""
+    return [f"{i}{mark}" for i in range(n) for mark in ",|;\n"]
+
+
 def aligned(ids: tuple[np.ndarray, np.ndarray], counts: tuple[np.ndarray, np.ndarray],
             sizes: tuple[np.ndarray, np.ndarray]) -> Aligned:
     """Texts given as the ids of both sides, ``counts`` of them each; ``sizes`` are bytes by id."""
@@ -150,7 +162,6 @@ class Encoder:
 
     def __init__(self, vocabularies: Vocabularies):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        import regex
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
@@ -158,19 +169,25 @@ class Encoder:
         self._a.encode_special_tokens = True
         self._b = SentencePieceProcessor(model_proto=vocabularies.pieces)
         self._bytes = [_flat(tokens) for tokens in (vocabularies.tokens_a, vocabularies.tokens_b)]
-        # white space that is no single space or newline between other characters, unless both
-        # tokenizers cut it as the units do
-        self._odd = regex.compile(
-            r" (?=\s|\Z)|\A\s|\n(?=[^\S\n ])|[^\S\n ](?=\n)|\n\n(?=\s|\Z)"
-        ).search
-        self._forget()
-
-    def _forget(self) -> None:
         self._places: dict[str, int] = {}
-        self._whole = np.zeros(0, bool)
+        #: Blocks that a unit was met in since it was last kept, and whether both sides give it back.
+        self._met, self._whole = np.zeros(0, np.int64), np.zeros(0, bool)
         #: Ids, and where each unit's begin and how many they are, of both sides.
         self._ids = [tuple(np.zeros(0, np.int64) for _ in range(3)) for _ in range(2)]
 
+    def _forget(self) -> None:
+        """Keeps the units met in several blocks, at most half of those that may be remembered."""
+        least = 2
+        while np.count_nonzero(self._met >= least) > REMEMBERED // 2:
+            least += 1
+        kept = np.flatnonzero(self._met >= least)
+        names = list(self._places)
+        self._places = {names[at]: place for place, at in enumerate(kept.tolist())}
+        self._met, self._whole = np.ones(len(kept), np.int64), self._whole[kept]
+        for side, (flat, starts, sizes) in enumerate(self._ids):
+            ids, _ = gathered(flat, starts, sizes, kept)
+            self._ids[side] = (ids, np.cumsum(sizes[kept]) - sizes[kept], sizes[kept])
+
     def units(self, units: list[str]):
         """Encodings of units, with a space before each that does not begin with a newline."""
         spaced = [t if t[:1] == "\n" else " " + t for t in units]
@@ -208,11 +225,45 @@ class Encoder:
         whole[np.concatenate(wrong)] = False
         return whole, [(ids[np.repeat(whole, counts)], counts * whole) for ids, counts in flat]
 
-    def _learn(self, units: list[str]) -> None:
-        whole, sides = self.units(units)
+    def joined(self, units: list[str]):
+        """As ``units``, of units without white space: encoded as texts of several, which are cut again.
+
+        Also gives the units in the order of the encodings; those of a text that does not come
+        back whole, or that a token reaches out of, stand at the end, encoded one by one.
+        """
+        groups = [units[at:at + JOINED] for at in range(0, len(units), JOINED)]
+        texts = list(map(" ".join, groups))
+        fits = [text.split() == group for text, group in zip(texts, groups)]
+        texts = [text for text, fit in zip(texts, fits) if fit]
+        fitting, alone = [g for g, fit in zip(groups, fits) if fit], [g for g, fit in zip(groups, fits) if not fit]
+        whole, sides = self._checked([" " + t for t in texts], self._b.encode(texts, num_threads=1))
+        alone += [g for g, is_whole in zip(fitting, whole.tolist()) if not is_whole]
+        fitting = [g for g, is_whole in zip(fitting, whole.tolist()) if is_whole]
+        names = list(chain.from_iterable(fitting))
+        ends = np.cumsum(pc.binary_length(pa.array(names, pa.string())).to_numpy().astype(np.int64) + 1)
+        cut = []
+        for (_, _, lengths), (ids, _) in zip(self._bytes, sides):
+            token_ends = np.cumsum(lengths[ids])
+            last = np.searchsorted(token_ends, ends)
+            if not np.array_equal(token_ends[last], ends):
+                return units, *self.units(units)
+            cut.append((ids, np.diff(last, prepend=-1)))
+        whole, rest = np.ones(len(names), bool), list(chain.from_iterable(alone))
+        if rest:
+            rest_whole, rest_sides = self.units(rest)
+            whole = np.concatenate([whole, rest_whole])
+            cut = [tuple(map(np.concatenate, zip(*both))) for both in zip(cut, rest_sides)]
+        return names + rest, whole, cut
+
+    def _learn(self, units: list[str], joined: bool) -> None:
+        if joined:
+            units, whole, sides = self.joined(units)
+        else:
+            whole, sides = self.units(units)
         first = len(self._places)
         self._places.update(zip(units, range(first, first + len(units))))
         self._whole = np.concatenate([self._whole, whole])
+        self._met = np.concatenate([self._met, np.zeros(len(units), np.int64)])
         for side, (ids, counts) in enumerate(sides):
             flat, starts, sizes = self._ids[side]
             self._ids[side] = (
@@ -223,7 +274,8 @@ class Encoder:
 
     def block(self, keys: list, texts: list[str]) -> bytes:
         """Documents as numbers of their units, and the units' ids."""
-        plain = [bool(t) and not self._odd(t) for t in texts]
+        odd = pc.match_substring_regex(pa.array(texts, pa.large_string()), _ODD).to_pylist()
+        plain = [bool(t) and not is_odd for t, is_odd in zip(texts, odd)]
         given = pa.array([t for t, p in zip(texts, plain) if p], pa.large_string())
         cut = pc.split_pattern(pc.replace_substring(given, "\n", " \n"), " ")
         units = cut.flatten().dictionary_encode()
@@ -231,9 +283,12 @@ class Encoder:
         if len(self._places) > REMEMBERED:
             self._forget()
         fresh = [c for c in names if c not in self._places]
-        for at in range(0, len(fresh), 50_000):
-            self._learn(fresh[at:at + 50_000])
-        known = np.array([self._places[c] for c in names], np.int64)
+        for joined in (True, False):
+            some = [c for c in fresh if (c[0] != "\n") == joined]
+            for at in range(0, len(some), LEARNED):
+                self._learn(some[at:at + LEARNED], joined)
+        known = np.fromiter(map(self._places.__getitem__, names), np.int64, len(names))
+        self._met[known] += 1
         sides = []
         for flat, starts, sizes in self._ids:
             sides.append([[gathered(flat, starts, sizes, known)[0]], [sizes[known]]])
@@ -256,13 +311,14 @@ class Encoder:
                     side[1].append(count)
             parts.append(part)
             counts.append(len(part))
-        columns = {"doc_id": (keys, pa.int64()), "sizes": (counts, pa.int32())}
-        columns["units"] = (np.concatenate([np.zeros(0, np.int64), *parts]), pa.int32())
+        columns = {"doc_id": pa.array(keys, pa.int64()), "sizes": np.array(counts, np.int32)}
+        columns["units"] = np.concatenate([np.zeros(0, np.int32), *parts]).astype(np.int32)
         for name, (ids, sizes) in zip("ab", sides):
-            columns[f"ids_{name}"] = (np.concatenate(ids), pa.int32())
-            columns[f"counts_{name}"] = (np.concatenate(sizes), pa.int32())
+            columns[f"ids_{name}"] = np.concatenate(ids).astype(np.int32)
+            columns[f"counts_{name}"] = np.concatenate(sizes).astype(np.int32)
         return packed_columns({
-            name: pa.array([values], pa.list_(kind)) for name, (values, kind) in columns.items()
+            name: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values))
+            for name, values in columns.items()
         })
 
 
@@ -310,9 +366,9 @@ class Block:
             np.diff(np.concatenate([[0], np.cumsum(values[self.units])])[self.bounds]) for values in per_unit
         ]
 
-    def digests(self) -> list[str]:
+    def digests(self, shown: list[str]) -> list[str]:
         """Digest of each document's groups; empty without tokens."""
-        groups, found = self.units_aligned.groups(), []
+        groups, found = self.units_aligned.groups(shown), []
         units, bounds = self.units.tolist(), self.bounds.tolist()
         for low, high in zip(bounds, bounds[1:]):
             said = ";".join(map(groups.__getitem__, units[low:high]))
@@ -331,7 +387,7 @@ def encoded_blocks(docs: DataFrame, shared) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([encoder.block(keys, texts)])], names=["block"])
 
     texts = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    return texts.mapInArrow(encode, "block binary")
+    return texts.mapInArrow(released(encode), "block binary")
 
 
 def task_counts(blocks: DataFrame, shared) -> DataFrame:
@@ -344,7 +400,7 @@ def task_counts(blocks: DataFrame, shared) -> DataFrame:
                 counted = Block(raw.as_py(), sizes).pair_counts()
                 yield pa.RecordBatch.from_arrays(list(map(pa.array, counted)), names=["pair", "n"])
 
-    return blocks.mapInArrow(count, "pair long, n long")
+    return blocks.mapInArrow(released(count), "pair long, n long")
 
 
 def token_sizes(vocabularies: Vocabularies) -> tuple[np.ndarray, np.ndarray]:
@@ -525,6 +581,7 @@ def align_corpus(docs: DataFrame, vocabularies: Vocabularies) -> DataFrame:
     def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, totals, best = looked_up.value
         sizes = token_sizes(shared.value)
+        shown = shown_ids(max(map(len, sizes)))
         for batch in batches:
             for raw in batch.column(0):
                 block = Block(raw.as_py(), sizes)
@@ -532,11 +589,11 @@ def align_corpus(docs: DataFrame, vocabularies: Vocabularies) -> DataFrame:
                 assert (at >= 0).all(), "a pair that the first pass did not count"
                 a, b, links, is_best, total = map(pa.array, block.sums([best[at].astype(np.int64), totals[at]]))
                 yield pa.RecordBatch.from_arrays(
-                    [block.doc_ids, a, b, links, links, is_best, total, pa.array(block.digests(), pa.string())],
+                    [block.doc_ids, a, b, links, links, is_best, total, pa.array(block.digests(shown), pa.string())],
                     names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
                 )
 
     return blocks.mapInArrow(
-        second_pass, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, "
+        released(second_pass), "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, "
         "count_sum long, groups_sha256 string",
     )

@@ -108,3 +108,26 @@ def test_bound_on_pairs_holds(vocabularies):
     bound = token_alignment.pair_bound(vocabularies.tokens_a, vocabularies.tokens_b)
     assert bound < token_alignment.MOST_PAIRS / 4
     assert token_alignment.pair_bound([b"ab", b"b"], [b"b", b"ab", b"xab", b"b"]) == 8
+
+
+def test_units_that_come_again_are_encoded_once(vocabularies, monkeypatch):
+    monkeypatch.setattr(token_alignment, "REMEMBERED", 4)
+    encoder, learned = token_alignment.Encoder(vocabularies), []
+    learn = encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda units, *more: (learned.extend(units), learn(units, *more)))
+    texts = ["often one two", "often three four five", "often one six", "often seven\neight"]
+    for text in texts:
+        encoder.block([1], [text])
+    assert learned.count("often") == 1 and learned.count("one") == 2
+
+
+def test_joined_units_have_the_ids_of_single_ones(vocabularies, monkeypatch):
+    monkeypatch.setattr(token_alignment, "JOINED", 4)
+    units = [u for text in ODD if text for u in text.replace("\n", " ").split(" ") if u]
+    encoder = token_alignment.Encoder(vocabularies)
+    for some in (units, units[:1], units[1:3], ["a▁b", "c"]):
+        names, whole, sides = encoder.joined(some)
+        whole_alone, sides_alone = encoder.units(names)
+        assert sorted(names) == sorted(some) and whole.tolist() == whole_alone.tolist()
+        for joined, alone in zip(sides, sides_alone):
+            assert [x.tolist() for x in joined] == [x.tolist() for x in alone]
