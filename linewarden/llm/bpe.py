@@ -24,6 +24,8 @@ from __future__ import annotations
 import base64
 from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +34,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import packed_columns, text_or_empty, unpacked_columns, written
-from .packing import in_bounds
+from .common import WHITE, packed_columns, released, text_or_empty, unpacked_columns, written
+from .packing import gathered, in_bounds
 
 #: Bytes of the documents whose words are made distinct together.
 BLOCK_BYTES = 6_000_000
@@ -42,10 +44,8 @@ BLOCK_BYTES = 6_000_000
 KNOWN_WORDS, DRAWN_BYTES, DRAWN_BLOCK, KNOWN_PARTS = 200_000, 24_000_000, 1_000_000, 32
 #: Small maps that the pairs are spread over, and bits that the first id is shifted by.
 BUCKETS, SPREAD = 1 << 18, 5
-#: Above every rank: the pair is no token.
-NO_RANK = 2**31 - 1
-#: The lower of two numbers that are packed into one.
-LOW = (1 << 31) - 1
+#: A space that begins a longer run of white space or ends the text, or white space that begins it.
+ODD_SPACE = rf" [{WHITE}]| \z|\A[{WHITE}]"
 
 BLOCKS = "docs binary, words array<array<long>>"
 CODED = "doc_id long, n_tokens long, ids binary, decoded binary"
@@ -56,11 +56,48 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in file if line.strip())}
 
 
-def rank_literal(spark: SparkSession, ranks: dict[bytes, int]) -> tuple[Column, Column]:
-    """The ranks of pairs and the pieces by id, each as one literal value.
+@dataclass(frozen=True)
+class Layout:
+    """Where an element of the fold holds the rank of its pair, the place of its piece and its id."""
 
-    A pair is the number ``first id * 2 ** 31 + second id``; its rank stands 31 bits up as well.
+    id_bits: int
+
+    @classmethod
+    def of(cls, ranks: dict[bytes, int]) -> Layout:
+        found = cls((max(ranks.values(), default=-1) + 2).bit_length())
+        if found.place_bits < 20:
+            raise ValueError(f"ranks of {found.id_bits} bits leave {found.place_bits} for places in a word")
+        return found
+
+    @property
+    def place_bits(self) -> int:
+        return 62 - 2 * self.id_bits
+
+    @property
+    def rank_at(self) -> int:
+        return self.id_bits + self.place_bits
+
+    @property
+    def id_mask(self) -> int:
+        return (1 << self.id_bits) - 1
+
+    @property
+    def low_mask(self) -> int:
+        """Place and id."""
+        return (1 << self.rank_at) - 1
+
+    @property
+    def no_rank(self) -> int:
+        """Above every rank: the pair is no token."""
+        return (1 << 63) - (1 << self.rank_at)
+
+
+def rank_literal(spark: SparkSession, ranks: dict[bytes, int]) -> tuple[Column, Column, Layout]:
+    """The ranks of pairs and the pieces by id, each as one literal value, and the layout of the fold.
+
+    A pair is the number ``first id * 2 ** 31 + second id``; its rank stands where ``Layout`` has it.
     """
+    layout = Layout.of(ranks)
     buckets: list[list] = [[] for _ in range(BUCKETS)]
     pieces: list = [None] * (max(ranks.values(), default=-1) + 1)
     for piece, rank in ranks.items():
@@ -69,13 +106,13 @@ def rank_literal(spark: SparkSession, ranks: dict[bytes, int]) -> tuple[Column,
             first, second = ranks.get(piece[:cut]), ranks.get(piece[cut:])
             if first is not None and second is not None:
                 bucket = ((first << SPREAD) ^ second) % BUCKETS
-                buckets[bucket].append(((first << 31) + second, rank << 31))
+                buckets[bucket].append(((first << 31) + second, rank << layout.rank_at))
     row = pa.table({
         "ranks": pa.array([buckets], pa.list_(pa.map_(pa.int64(), pa.int64()))),
         "pieces": pa.array([pieces], pa.list_(pa.binary())),
     })
     frame = spark.createDataFrame(row)
-    return frame.select("ranks").scalar(), frame.select("pieces").scalar()
+    return frame.select("ranks").scalar(), frame.select("pieces").scalar(), layout
 
 
 def _let(value: Column, kind: str, use) -> Column:
@@ -84,50 +121,55 @@ def _let(value: Column, kind: str, use) -> Column:
     return F.aggregate(F.array(value), F.lit(None).cast(kind), lambda _, v: use(v))
 
 
-def encoded_word(word: Column, ranks: Column) -> Column:
+def encoded_word(word: Column, ranks: Column, layout: Layout) -> Column:
     """Ids of one word, given as the ids of its bytes."""
+    no_rank, id_mask, low_mask = layout.no_rank, layout.id_mask, layout.low_mask
 
-    def packed(id_: Column, following: Column) -> Column:
+    def packed(low: Column, id_: Column, following: Column) -> Column:
         # shifts and bits: sums find out their types anew for each row
         bucket = F.shiftleft(id_, SPREAD).bitwiseXOR(following).bitwiseAND(BUCKETS - 1)
         found = F.try_element_at(ranks[bucket], F.shiftleft(id_, 31).bitwiseOR(following))
-        return F.coalesce(found, F.lit(NO_RANK << 31)).bitwiseOR(id_)
+        return F.coalesce(found, F.lit(no_rank)).bitwiseOR(low)
 
-    # an element is the rank of its pair with the next one, above its own id
+    # An element is the rank of its pair with the next one, above its place and its own id.  The place
+    # is that of its first byte and stays while pieces are joined: the smallest element is the first
+    # pair of the lowest rank.
     size = F.size(word)
-    last = F.element_at(word, -1).bitwiseOR(NO_RANK << 31)
+    placed = F.transform(word, lambda x, i: F.shiftleft(i.cast("long"), layout.id_bits).bitwiseOR(
+        x.bitwiseAND(id_mask)
+    ))
     start = F.concat(
-        F.zip_with(F.slice(word, F.lit(1), size - 1), F.slice(word, F.lit(2), size - 1), packed),
-        F.array(last),
+        F.zip_with(
+            F.slice(placed, F.lit(1), size - 1), F.slice(word, F.lit(2), size - 1),
+            lambda x, following: packed(x, x.bitwiseAND(id_mask), following.bitwiseAND(id_mask)),
+        ),
+        F.array(F.element_at(placed, -1).bitwiseOR(no_rank)),
     )
 
-    def id_at(state: Column, at: Column) -> Column:
-        return state[at].bitwiseAND(LOW)
-
-    def joined(state: Column, at: Column, low: Column) -> Column:
-        following = F.when(at + 2 < F.size(state), packed(low, id_at(state, at + 2))).otherwise(
-            low.bitwiseOR(NO_RANK << 31)
-        )
-        return F.transform(
-            F.sequence(F.lit(0), F.size(state) - 2),
-            lambda i: F.when(i > at, state[i + 1]).when(i == at, following).when(
-                i < at - 1, state[i]
-            ).otherwise(packed(id_at(state, i), low)),
+    def joined(state: Column, first: Column, at: Column) -> Column:
+        """``first``, element ``at`` from 1, joined with the one behind it."""
+        new = F.shiftright(first, layout.rank_at)
+        low = new.bitwiseOR(first.bitwiseAND(low_mask ^ id_mask))
+        # without an element behind the next one all of it is null
+        following = F.coalesce(
+            packed(low, new, F.get(state, at + 1).bitwiseAND(id_mask)), low.bitwiseOR(no_rank)
         )
+        return F.filter(F.transform(
+            state, lambda x, i: F.when(i == at - 1, following).when(
+                i == at - 2, packed(x.bitwiseAND(low_mask), x.bitwiseAND(id_mask), new)
+            ).when(i != at, x),
+        ), lambda x: x.isNotNull())
 
     def step(state: Column, _: Column) -> Column:
-        # rank and place in one number: the smallest is the first pair of the lowest rank
-        placed = F.transform(state, lambda x, i: x.bitwiseAND(~LOW).bitwiseOR(i))
-        return _let(F.array_min(placed), "array<bigint>", lambda first: F.when(
-            first >= (NO_RANK << 31), state
+        return _let(F.array_min(state), "array<bigint>", lambda first: F.when(
+            first >= no_rank, state
         ).otherwise(_let(
-            first.bitwiseAND(LOW).cast("int"), "array<bigint>",
-            lambda at: joined(state, at, F.shiftright(first, 31)),
+            F.array_position(state, first).cast("int"), "array<bigint>", lambda at: joined(state, first, at)
         )))
 
     return F.aggregate(
         F.sequence(F.lit(2), size), start, step,
-        lambda state: F.transform(state, lambda x: x.bitwiseAND(LOW).cast("int")),
+        lambda state: F.transform(state, lambda x: x.bitwiseAND(id_mask).cast("int")),
     )
 
 
@@ -151,41 +193,53 @@ def word_blocks(docs: DataFrame, shared: Broadcast[dict[bytes, int]], pattern: s
         start = max(told.values(), default=-1) + 1
         byte_ids = np.array([told.get(bytes([b]), -1) for b in range(256)], np.int64)
         words_of = regex.compile(pattern).findall
-        # a space that begins a longer run of white space, or ends the text
-        odd_space = regex.compile(r" (?=\s|\Z)|\A\s").search
         for batch in batches:
             sizes = pc.binary_length(batch.column(1)).to_pylist()
             for low, high in in_bounds(sizes, block_bytes):
                 keys, texts = batch.slice(low, high - low).columns
+                odd = pc.match_substring_regex(texts, ODD_SPACE)
+                # no word of other texts holds a space but as its first character: cut there
+                cut = pc.split_pattern(texts.filter(pc.invert(odd)), " ")
+                bounds, parts = cut.offsets.to_numpy().astype(np.int64), cut.flatten()
+                is_first = np.zeros(len(parts), bool)
+                is_first[bounds[:-1]] = True
+                chunks = parts.filter(pa.array(~is_first)).dictionary_encode()
+                of_chunks = words_of("".join([" " + c for c in chunks.dictionary.to_pylist()]))
+                # beginnings of texts, and texts that are not cut
+                others = list(map(words_of, chain(
+                    parts.filter(pa.array(is_first)).to_pylist(), texts.filter(odd).to_pylist()
+                )))
+                every = pa.array([*of_chunks, *chain.from_iterable(others)], pa.string()).dictionary_encode()
                 words: list[bytes] = []
-                known: dict[str, int] = {}
-                chunks: dict[str, bytes] = {}
-
-                def number(word: str, words=words, known=known) -> int:
-                    found = known.get(word)
+                numbers = np.zeros(len(every.dictionary), np.int32)
+                for at, word in enumerate(every.dictionary.cast(pa.binary()).to_pylist()):
+                    found = told.get(word)
                     if found is None:
-                        raw = word.encode()
-                        found = told.get(raw)
-                        if found is None:
-                            found = start + len(words)
-                            words.append(raw)
-                        known[word] = found
-                    return found
-
-                def coded(text: str, number=number) -> bytes:
-                    return array("i", map(number, words_of(text))).tobytes()
-
-                indexes = []
-                for text in texts.to_pylist():
-                    if odd_space(text):
-                        indexes.append(coded(text))
-                        continue
-                    # no word holds a space but as its first character: cut there
-                    first, *others = text.split(" ")
-                    for chunk in set(others):
-                        if chunk not in chunks:
-                            chunks[chunk] = coded(" " + chunk)
-                    indexes.append(coded(first) + b"".join(map(chunks.__getitem__, others)))
+                        found = start + len(words)
+                        words.append(word)
+                    numbers[at] = found
+                every_number = numbers[every.indices.to_numpy()]
+                # each chunk begins with its space
+                begins = pc.starts_with(every.dictionary, " ").to_numpy(zero_copy_only=False)
+                starts = np.flatnonzero(begins[every.indices.to_numpy()[:len(of_chunks)]])
+                counts = np.diff(starts, append=len(of_chunks))
+                in_chunks = chunks.indices.to_numpy()
+                cut_numbers, _ = gathered(every_number, starts, counts, in_chunks)
+                chunk_ends = np.concatenate([[0], np.cumsum(counts[in_chunks])])
+                # of the chunks only: each text before has one beginning
+                cut_bounds = chunk_ends[bounds - np.arange(len(bounds))].tolist()
+                others_bounds = np.cumsum([len(of_chunks), *map(len, others)]).tolist()
+                plain, uncut, indexes = 0, len(cut), []
+                for is_odd in odd.to_pylist():
+                    if is_odd:
+                        indexes.append(every_number[others_bounds[uncut]:others_bounds[uncut + 1]].tobytes())
+                        uncut += 1
+                    else:
+                        indexes.append(
+                            every_number[others_bounds[plain]:others_bounds[plain + 1]].tobytes()
+                            + cut_numbers[cut_bounds[plain]:cut_bounds[plain + 1]].tobytes()
+                        )
+                        plain += 1
                 ends = np.cumsum([0, *map(len, words)], dtype=np.int32)
                 ids = byte_ids[np.frombuffer(b"".join(words), np.uint8)]
                 words = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))
@@ -195,7 +249,7 @@ def word_blocks(docs: DataFrame, shared: Broadcast[dict[bytes, int]], pattern: s
                 ], names=["docs", "words"])
 
     texts = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    return texts.mapInArrow(blocks, BLOCKS)
+    return texts.mapInArrow(released(blocks), BLOCKS)
 
 
 def frequent_words(docs: DataFrame, shared: Broadcast[dict[bytes, int]], pattern: str) -> DataFrame:
@@ -208,13 +262,13 @@ def frequent_words(docs: DataFrame, shared: Broadcast[dict[bytes, int]], pattern
     return most.repartition(KNOWN_PARTS, part).groupBy(part).agg(F.collect_list("word").alias("words"))
 
 
-def coded_words(lists: DataFrame, literals: tuple[Column, Column]) -> DataFrame:
+def coded_words(lists: DataFrame, literals: tuple[Column, Column, Layout]) -> DataFrame:
     """In place of ``words`` their ``ids`` and the bytes that these decode to, ``decoded``."""
-    rank_map, pieces = literals
+    rank_map, pieces, layout = literals
     others = [c for c in lists.columns if c != "words"]
     # a subquery may not stand inside a higher-order function, so a list carries the literals
     coded = lists.withColumns({"ranks": rank_map, "pieces": pieces}).withColumn(
-        "ids", F.transform("words", lambda w: encoded_word(w, F.col("ranks")))
+        "ids", F.transform("words", lambda w: encoded_word(w, F.col("ranks"), layout))
     )
     return coded.select(
         *others, "ids", F.transform("ids", lambda ids: decoded_ids(ids, F.col("pieces"))).alias("decoded")
@@ -261,4 +315,4 @@ def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) ->
                     )], names=["doc_id", "n_tokens", "ids", "decoded"],
                 )
 
-    return coded.mapInArrow(joined, CODED)
+    return coded.mapInArrow(released(joined), CODED)

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: The white space that the operators' contracts name, as a Java and Python character class.
 SPACE = r"[\x20\x09-\x0D]"
+#: White space of Unicode, as characters of a class in Arrow's patterns.
+WHITE = r"\t-\r\x1C- \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -35,20 +35,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed_columns, released, text_or_empty, unpacked_columns, written
+from .common import WHITE, packed_columns, released, text_or_empty, unpacked_columns, written
 from .packing import gathered, in_bounds
 
 #: Units that a task remembers; beyond it forgets those that it met in one block only.
 REMEMBERED = 150_000
 #: Units that are encoded at once, and those among them that are encoded as one text.
 LEARNED, JOINED = 25_600, 256
-#: White space of Unicode, as characters of a class.
-_WHITE = r"\t-\r\x1C- \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-_OTHER_WHITE = _WHITE.replace(r"\t-\r\x1C- ", r"\t\x0B-\r\x1C-\x1F")
+#: White space but space and newline.
+_OTHER_WHITE = WHITE.replace(r"\t-\r\x1C- ", r"\t\x0B-\r\x1C-\x1F")
 #: White space that is no single space or newline between other characters, unless both tokenizers cut
 #: it as the units do.
 _ODD = (
-    rf" [{_WHITE}]| \z|\A[{_WHITE}]|\n[{_OTHER_WHITE}]|[{_OTHER_WHITE}]\n|\n\n[{_WHITE}]|\n\n\z"
+    rf" [{WHITE}]| \z|\A[{WHITE}]|\n[{_OTHER_WHITE}]|[{_OTHER_WHITE}]\n|\n\n[{WHITE}]|\n\n\z"
 )
 #: Bytes of texts that are taken at once.
 AT_ONCE = 600_000

@@ -1,5 +1,6 @@
 """Language identification, tokenizing, packing and extraction against brute force."""
 
+import itertools
 import random
 import zlib
 from collections import defaultdict
@@ -103,6 +104,32 @@ def test_words_of_many_blocks_are_encoded_once(spark, monkeypatch, drawn):
     assert (first, blocks) == (4, 0) if drawn else first == 0 and blocks > 4
 
 
+def test_fold_joins_the_first_pair_of_the_lowest_rank(spark):
+    rng = random.Random(5)
+    pieces = [bytes(p) for n in (2, 3, 4) for p in itertools.product(b"ab", repeat=n)]
+    rng.shuffle(pieces)  # ranks that do not grow with length, and pairs of one rank that overlap
+    ranks = {bytes([b]): b for b in range(256)} | {p: 256 + i for i, p in enumerate(pieces[:20])}
+    words = [bytes(rng.choices(b"abc", (5, 5, 1), k=rng.randrange(1, 40))) for _ in range(300)]
+    words += [b"a" * 3000, bytes(range(256))]
+    rank_map, texts, layout = bpe.rank_literal(spark, ranks)
+    assert layout.place_bits >= 20 and max(ranks.values()) < layout.id_mask
+    lists = spark.createDataFrame([([list(w) for w in words],)], "words array<array<long>>")
+    row = bpe.coded_words(lists, (rank_map, texts, layout)).first()
+
+    def by_hand(word):
+        parts = [word[i:i + 1] for i in range(len(word))]
+        while True:
+            found = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+            if not found:
+                return [ranks[p] for p in parts]
+            at = min(found)[1]
+            parts[at:at + 2] = [parts[at] + parts[at + 1]]
+
+    assert row.ids == list(map(by_hand, words)) and list(map(bytes, row.decoded)) == words
+    with pytest.raises(ValueError, match="bits"):
+        bpe.Layout.of({b"a": 1 << 25})
+
+
 def test_pattern_is_that_of_the_vocabularies():
     public_tokenizers = pytest.importorskip("public_tokenizers")
     assert queries.PATTERN == public_tokenizers.PATTERN
