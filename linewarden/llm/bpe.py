@@ -41,7 +41,7 @@ from .packing import gathered, in_bounds
 BLOCK_BYTES = 6_000_000
 #: Words that are encoded before the blocks, bytes of the rows that they are drawn from, bytes of a block of
 #: these rows, and parts that the words are dealt out to.
-KNOWN_WORDS, DRAWN_BYTES, DRAWN_BLOCK, KNOWN_PARTS = 200_000, 24_000_000, 1_000_000, 32
+KNOWN_WORDS, DRAWN_BYTES, DRAWN_BLOCK, KNOWN_PARTS = 300_000, 48_000_000, 1_000_000, 48
 #: Small maps that the pairs are spread over, and bits that the first id is shifted by.
 BUCKETS, SPREAD = 1 << 18, 5
 #: A space that begins a longer run of white space or ends the text, or white space that begins it.
