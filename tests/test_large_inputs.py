@@ -3,7 +3,7 @@
 import os
 import random
 import uuid
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,6 +15,7 @@ from linewarden.operators import git, lines, summary
 from linewarden.operators import findings as fi
 from linewarden.plans.scan import Corpus, scan
 from linewarden.reports import sinks
+from linewarden.session import configure
 from linewarden.sources import tree
 from linewarden.sources.chunks import with_first_lines
 from linewarden.sources.files import file_kind
@@ -161,6 +162,35 @@ def test_hot_package_meets_only_its_versions(spark):
     assert len(joined) == 1 and "a_version" in joined[0]
 
 
+def brute_npm(files, table):
+    """``(repo, title)`` of files that ask for one package at a version."""
+    return Counter(
+        (repo, cve and f"Vulnerable dependency: {cve}: {text}")
+        for repo, package, asked in files for name, version, cve, text, _ in table
+        if package == name and version is not None and (asked == version or asked.startswith(f"{version}."))
+    )
+
+
+def test_findings_of_one_npm_version_come_from_many_tasks(spark):
+    """As many rows as files times advisories, from files and advisories in one partition each."""
+    configure(spark)
+    files = [(f"r{i}", "hot", "1.2.3") for i in range(700)] + [("r0", "hot", "1.2.3"), ("x", "cold", "1.2"), ("y", "none", "1")]
+    table = [("hot", ("1.2.3", "1.2", "1")[i % 3], f"CVE-{i}", "t", "low") for i in range(500)]
+    table += [table[0], ("cold", "1", None, "t", "low"), ("hot", None, "CVE-n", "t", "low"), (None, "1", "CVE-m", "t", "low"),
+              ("else", "1", "CVE-e", "t", "no severity")]  # read only where it concerns a package
+    manifests = spark.createDataFrame(
+        [(repo, "package.json", f'{{"dependencies":{{"{package}":"^{version}"}}}}') for repo, package, version in files],
+        "repo STRING, path STRING, content STRING",
+    )
+    advisories = spark.createDataFrame(table, schema.NPM_ADVISORIES).coalesce(1)
+    found = deps.npm_vulnerabilities(deps.npm_dependencies(manifests.coalesce(1)), advisories)
+    rows = found.select("repo", "title", "evidence", "severity_rank", F.spark_partition_id().alias("task")).collect()
+    assert Counter((r["repo"], r["title"]) for r in rows) == brute_npm(files, table)
+    assert {r["evidence"] for r in rows if r["repo"] == "r1"} == {"hot@1.2.3"} and {r["severity_rank"] for r in rows} == {2}
+    tasks = Counter(r["task"] for r in rows)
+    assert len(tasks) > 3 and max(tasks.values()) < len(rows) / 2
+
+
 def test_names_that_begin_alike_do_not_meet_each_other(spark):
     n = 10_000
     names = [f"pytest-plugin-{i:05d}" for i in range(n)] + ["py", "", "x"]
