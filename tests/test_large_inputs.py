@@ -191,6 +191,28 @@ def test_findings_of_one_npm_version_come_from_many_tasks(spark):
     assert len(tasks) > 3 and max(tasks.values()) < len(rows) / 2
 
 
+def test_findings_of_one_python_version_come_from_many_tasks(spark):
+    files = [(f"r{i}", "my-foo-bar==2.0\n# x\nother==1\nmy-foo-bar==2.0") for i in range(400)] + [("x", "foo==2")]
+    table = [(("foo", "bar", "oo-b")[i % 3], "2.0", f"CVE-{i}", "HIGH") for i in range(400)]
+    table += [table[0], ("foo", None, "CVE-n", "HIGH"), (None, "2.0", "CVE-m", "HIGH"), ("foo", "2", None, "high")]
+    manifests = spark.createDataFrame([(repo, "setup.py", text) for repo, text in files], FILES).coalesce(1)
+    advisories = spark.createDataFrame(table, schema.PYTHON_ADVISORIES).coalesce(1)
+    found = deps.python_vulnerabilities(deps.python_requirements(manifests), advisories)
+    rows = found.select("id", "repo", "title", "evidence", "remediation", F.spark_partition_id().alias("task")).collect()
+    want = Counter()
+    for repo, text in files:
+        for line in text.splitlines():
+            package, _, version = line.partition("==")
+            for name, bad, cve, _ in table:
+                if name is not None and name in package and version == bad:
+                    title = cve and f"Vulnerable Python package: {cve}"
+                    want[repo, title, line, f"Upgrade {package} to a patched version"] += 1
+    assert Counter((r["repo"], r["title"], r["evidence"], r["remediation"]) for r in rows) == want
+    assert len({r["id"] for r in rows}) == 400 * 400 * 2 + 1  # the advisory that comes twice has one id
+    tasks = Counter(r["task"] for r in rows)
+    assert len(tasks) > 3 and max(tasks.values()) < len(rows) / 2
+
+
 def test_names_that_begin_alike_do_not_meet_each_other(spark):
     n = 10_000
     names = [f"pytest-plugin-{i:05d}" for i in range(n)] + ["py", "", "x"]
